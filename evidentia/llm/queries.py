@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, jaccard, mixing, rules, secrets, suffixdedup
+from . import decontam, jaccard, langid, mixing, rules, secrets, suffixdedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,19 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.digest(suffixdedup.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    field = langid.fit(docs.where(langid.fold(F.col("doc_id"), 5) != 0))
+    return langid.identify(docs, field).select("doc_id", (langid.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    grammar = toxicity.fit(docs, labels.where(langid.fold(F.col("doc_id"), 3) != 1))
+    scored = toxicity.score_toxicity(docs, grammar)
+    return scored.select("doc_id", (langid.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -42,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_poisson_mix": op1_poisson_mix,
     "op3_quality_rules": op3_quality_rules,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_language_id": op6_language_id,
+    "op7_toxicity": op7_toxicity,
     "op8_secret_scan": op8_secret_scan,
     "op9_signature_trees": op9_signature_trees,
     "op10_decontamination": op10_decontamination,
