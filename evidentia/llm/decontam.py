@@ -102,6 +102,29 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
     return out
 
 
+def _scan(batches: Iterator[pa.RecordBatch], text_at: int, sent: list, window: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, dict, dict]]:
+    """Each batch with its word counts, and the word spans and item ids found, by row."""
+    sets = pattern_sets(sent[0].value, window) if len(sent) == 1 else None
+    for batch in batches:
+        n_words = np.zeros(batch.num_rows, dtype=np.int64)
+        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        items: dict[int, set] = defaultdict(set)
+        for one in sent or [None]:
+            tables = sets if sets is not None else pattern_sets(one.value, window) if one is not None else []
+            for first, last, data, offsets in slices(batch.column(text_at)):
+                words = Words(data, offsets, ALNUM)
+                n_words[first:last] = words.counts()
+                for patterns in tables:
+                    for at, ids in patterns.search(words):
+                        d = int(np.searchsorted(words.first, at, side="right")) - 1
+                        start = at - int(words.first[d])
+                        found[first + d].append((start, start + patterns.length))
+                        items[first + d] |= ids
+            if sets is None and one is not None:
+                vars(one).pop("_value", None)  # the worker's copy; it is loaded again for the next batch
+        yield batch, n_words, found, items
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -122,27 +145,8 @@ def decontaminate(
     sent = _blocks(benchmark, item_col, item_text_col, block_bytes)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = pattern_sets(sent[0].value, window) if len(sent) == 1 else None
-        for batch in batches:
+        for batch, n_words, found, items in _scan(batches, 1, sent, window):
             n = batch.num_rows
-            n_words = np.zeros(n, dtype=np.int64)
-            found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            items: dict[int, set] = defaultdict(set)
-            for one in sent:
-                for first, last, data, offsets in slices(batch.column(1)):
-                    words = Words(data, offsets, ALNUM)
-                    n_words[first:last] = words.counts()
-                    for patterns in sets if sets is not None else pattern_sets(one.value, window):
-                        for at, ids in patterns.search(words):
-                            d = int(np.searchsorted(words.first, at, side="right")) - 1
-                            start = at - int(words.first[d])
-                            found[first + d].append((start, start + patterns.length))
-                            items[first + d] |= ids
-                if sets is None:
-                    vars(one).pop("_value", None)  # the worker's copy; it is loaded again for the next batch
-            if not sent:
-                for first, last, data, offsets in slices(batch.column(1)):
-                    n_words[first:last] = Words(data, offsets, ALNUM).counts()
             spans = [_merged(found[i]) if i in found else [] for i in range(n)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -182,10 +186,18 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, max_share: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows of which more than max_share of the words lie in benchmark windows; columns as in docs."""
-    bad = decontaminate(docs, benchmark, id_col=id_col, text_col=text_col).where(F.col("n_hit") > F.lit(max_share) * F.col("n_words")).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, max_share: float = 0.0, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = 16_000_000) -> DataFrame:
+    """docs without the rows of which more than max_share of the words lie in benchmark windows; columns as in docs, no shuffle."""
+    sent, at = _blocks(benchmark, item_col, item_text_col, block_bytes), docs.columns.index(text_col)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, n_words, found, _ in _scan(batches, at, sent, window):
+            hit = np.zeros(batch.num_rows)
+            for i, spans in found.items():
+                hit[i] = sum(e - s for s, e in _merged(spans))
+            yield batch.filter(pa.array(hit <= max_share * n_words))
+
+    return docs.mapInArrow(sift, docs.schema)
 
 
 __all__ = ["PatternSet", "decontaminate", "digest", "drop_contaminated", "pattern_sets"]

@@ -241,13 +241,45 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return train([(r.t, r.y) for r in rows], sorted({r.y for r in rows}))
 
 
+def predict(own: Field, texts: pa.Array, some: np.ndarray, spans: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, list]]:
+    """(first row, last row + 1, best label numbers, scores, shares, spans) for slices of lower-cased texts; the number after the last label is ``und``."""
+    k = len(own.labels)
+    for first, last, data, offsets in slices(texts):
+        n = last - first
+        best, score, shares, runs = np.full(n, k), np.zeros(n), np.zeros((n, k)), [[] for _ in range(n)]
+        if k:
+            words = Words(data, offsets, NOT_SPACE)
+            post = posteriors(own, emissions(own, words), words.first)
+            # Letters are told from digits and signs by bytes: ASCII letters, or any non-ASCII byte.
+            letter = np.concatenate([[0], np.cumsum((words.data >= 0x80) | ((words.data >= 0x61) & (words.data <= 0x7A)))])
+            spoken = letter[words.end] > letter[words.start]
+            sums = np.concatenate([np.zeros((1, k)), np.cumsum(post * spoken[:, None], axis=0)])
+            total = sums[words.first[1:]] - sums[words.first[:-1]]
+            weight = total.sum(axis=1)
+            ok = some[first:last].astype(bool) & (weight > 1e-9)
+            shares[ok] = total[ok] / weight[ok, None]
+            best[ok], score[ok] = shares[ok].argmax(axis=1), np.clip(shares[ok].max(axis=1), 0, 1)
+            if spans:
+                likely = post.argmax(axis=1) if len(post) else np.empty(0, dtype=np.int64)
+                for d in np.flatnonzero(ok):
+                    s, e = words.first[d], words.first[d + 1]
+                    cut = np.concatenate([[0], np.flatnonzero(np.diff(likely[s:e])) + 1, [e - s]])
+                    runs[d] = [{"lang": own.labels[likely[s + a]], "start": int(a), "end": int(b)} for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        yield first, last, best, score, shares, runs
+
+
+def _read(text_col: str) -> tuple[Column, Column]:
+    """The lower-cased text, and whether it has a letter."""
+    return F.lower(F.col(text_col).cast("string")).alias("__lower"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__some")
+
+
 def identify(docs: DataFrame, field: Field, *, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
     """One row per row of docs: id, lang_pred, score, shares (expected share of words a language), and with spans the labelled word runs.
 
     lang_pred is the language with the largest expected number of words, ties to the first in order,
     and score its share. Null texts and texts without a letter are ``und`` with score 0, and so is
     everything where nothing could be learned. Words without a letter take no part in the shares.
-    Spans are runs of words of one most likely language: (lang, first word, last word + 1).
+    Spans are runs of words of one most likely language: (lang, first word, word after the last).
     """
     kind = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(field)
@@ -257,31 +289,10 @@ def identify(docs: DataFrame, field: Field, *, id_col: str = "doc_id", text_col:
         names = np.array([*own.labels, UNKNOWN], dtype=object)
         k = len(own.labels)
         for batch in batches:
-            some = batch.column(2).to_numpy(zero_copy_only=False)
-            for first, last, data, offsets in slices(batch.column(1)):
-                n = last - first
-                best, score, shares, runs = np.full(n, k), np.zeros(n), np.zeros((n, k)), [[] for _ in range(n)]
-                if k:
-                    words = Words(data, offsets, NOT_SPACE)
-                    post = posteriors(own, emissions(own, words), words.first)
-                    # Letters are told from digits and signs by bytes: ASCII letters, or any non-ASCII byte.
-                    letter = np.concatenate([[0], np.cumsum((words.data >= 0x80) | ((words.data >= 0x61) & (words.data <= 0x7A)))])
-                    spoken = letter[words.end] > letter[words.start]
-                    sums = np.concatenate([np.zeros((1, k)), np.cumsum(post * spoken[:, None], axis=0)])
-                    total = sums[words.first[1:]] - sums[words.first[:-1]]
-                    weight = total.sum(axis=1)
-                    ok = some[first:last].astype(bool) & (weight > 1e-9)
-                    shares[ok] = total[ok] / weight[ok, None]
-                    best[ok], score[ok] = shares[ok].argmax(axis=1), np.clip(shares[ok].max(axis=1), 0, 1)
-                    if spans:
-                        likely = post.argmax(axis=1) if len(post) else np.empty(0, dtype=np.int64)
-                        for d in np.flatnonzero(ok):
-                            s, e = words.first[d], words.first[d + 1]
-                            cut = np.concatenate([[0], np.flatnonzero(np.diff(likely[s:e])) + 1, [e - s]])
-                            runs[d] = [{"lang": names[likely[s + a]], "start": int(a), "end": int(b)} for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            for first, last, best, score, shares, runs in predict(own, batch.column(1), batch.column(2).to_numpy(zero_copy_only=False), spans):
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(first, n),
+                        batch.column(0).slice(first, last - first),
                         pa.array(names[best].tolist(), pa.string()),
                         pa.array(score),
                         pa.array([[] if b == k else [{"lang": x, "share": float(v)} for x, v in zip(own.labels, row, strict=True)] for b, row in zip(best, shares, strict=True)], pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))),
@@ -290,17 +301,28 @@ def identify(docs: DataFrame, field: Field, *, id_col: str = "doc_id", text_col:
                     names=[id_col, "lang_pred", "score", "shares", "spans"],
                 )
 
-    has = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     schema = f"`{id_col}` {kind}, lang_pred string, score double, shares array<struct<lang: string, share: double>>, spans array<struct<lang: string, start: bigint, end: bigint>>"
-    out = docs.select(F.col(id_col), F.lower(F.col(text_col).cast("string")), has).mapInArrow(label, schema)
+    out = docs.select(F.col(id_col), *_read(text_col)).mapInArrow(label, schema)
     return out if spans else out.drop("spans")
 
 
-def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
-    """docs without the rows that are ``und`` or whose language has a share below least; columns as in docs.
+def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
+    """docs without the rows that are ``und`` or whose language has a share below least; columns as in docs, no shuffle.
 
-    The field is learned from the rows of docs that have a language and are not in fold 0 of 5.
+    The field is learned from the rows of docs that have a language and are not in fold 0 of 5. Where no
+    row has a language, nothing can be told and every row with a letter stays.
     """
     field = fit(docs.where(fold(F.col(id_col), 5) != 0), id_col=id_col, text_col=text_col, lang_col=lang_col)
-    bad = identify(docs, field, id_col=id_col, text_col=text_col).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")
+    if not field.labels:
+        return docs.where(_read(text_col)[1])
+    sent = docs.sparkSession.sparkContext.broadcast(field)
+    width = len(docs.columns)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for first, last, best, score, _, _ in predict(sent.value, batch.column(width), batch.column(width + 1).to_numpy(zero_copy_only=False)):
+                keep[first:last] = (best < len(field.labels)) & (score >= least)
+            yield batch.select(list(range(width))).filter(pa.array(keep))
+
+    return docs.select(*docs.columns, *_read(text_col)).mapInArrow(sift, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, mixing, rules, secrets, suffixdedup, toxicity
+from . import chat, decontam, jaccard, langid, mixing, qda, rules, secrets, suffixdedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +18,24 @@ def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.read_back(chat.format_turns(turns.unionByName(extra)))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.drop("rules")
 
 
+def op4_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = qda.score_quality(docs, labels.where(langid.fold(F.col("doc_id"), 5) != 0))
+    return scored.select("doc_id", (langid.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.digest(suffixdedup.remove_repeats(_table(spark, sf_dir, "documents")))
 
@@ -54,7 +67,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_poisson_mix": op1_poisson_mix,
+    "op2_chat_format": op2_chat_format,
     "op3_quality_rules": op3_quality_rules,
+    "op4_quality_qda": op4_quality_qda,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,

@@ -135,3 +135,11 @@ def redact(scanned: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]"
     tail = lambda acc: F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1, F.length(text_col)))
     cut = F.aggregate("secrets", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, tail)
     return scanned.withColumn(text_col, F.when(F.size("secrets") > 0, cut).otherwise(F.col(text_col))).drop("secrets")
+
+
+def redact_documents(docs: DataFrame, *, text_col: str = "text", chars_col: str = "n_chars", mark: str = "[SECRET]") -> DataFrame:
+    """docs with secrets replaced in the text and, where there is such a column, the number of characters brought up to date."""
+    out = redact(scan_secrets(docs, text_col=text_col), text_col=text_col, mark=mark)
+    if chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.when(F.col(text_col).isNull(), F.col(chars_col)).otherwise(F.length(text_col)).cast(docs.schema[chars_col].dataType))
+    return out.select(*docs.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +21,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """df computed once and read back from the checkpoint folder: lost executors cost no recomputation of what came before."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage_folder(spark: SparkSession) -> str:
+    """A new folder name below the checkpoint folder, for tables written between the stages of one run."""
+    return f"{checkpoint_dir(spark)}/stages-{uuid.uuid4().hex}"
