@@ -192,33 +192,32 @@ def repeated_offsets(data: np.ndarray, offsets: np.ndarray, anchor: np.ndarray,
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, sig, text) to runs (a, s, id, sig, lo, hi, at)."""
+    """(id, sig, text) to runs (a, s, id, sig, pos); pos packs the first start, and how far the last start and the anchor lie behind it."""
     for batch in batches:
         ids, sig = batch.column(0), batch.column(1)
         for first, _, data, offsets in slices(batch.column(2)):
             doc, lo, hi, anchor, a, s = spans_of(data, offsets)
             if len(doc):
-                base, row = offsets[doc], pa.array(doc + first)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), ids.take(row), sig.take(row), *(pa.array((x - base).astype(np.int32)) for x in (lo, hi, anchor))],
-                    names=["a", "s", "id", "sig", "lo", "hi", "at"],
-                )
+                pos = ((lo - offsets[doc]) << 16) | ((hi - lo) << 8) | (anchor - lo)
+                row = pa.array(doc + first)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), ids.take(row), sig.take(row), pa.array(pos)], names=["a", "s", "id", "sig", "pos"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, sig, text, runs) to the runs with their bytes: (a, id, sig, lo, at, whole, bytes)."""
+    """(id, sig, text, runs) to the runs with their bytes: (a, id, sig, lo, at, whole, bytes, hot)."""
     for batch in batches:
         ids, sig = batch.column(0), batch.column(1)
         for i, runs in enumerate(batch.column(3)):
             raw = batch.column(2)[i].as_py()
             runs = runs.as_py()
             row = pa.array([i] * len(runs))
+            lo = [r["pos"] >> 16 for r in runs]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([r["a"] for r in runs], pa.int64()), ids.take(row), sig.take(row), pa.array([r["lo"] for r in runs], pa.int32()),
-                    pa.array([r["at"] for r in runs], pa.int32()), pa.array([r["whole"] for r in runs], pa.bool_()), pa.array([raw[r["lo"] : r["hi"] + WIDTH] for r in runs], pa.binary()),
+                    pa.array([r["a"] for r in runs], pa.int64()), ids.take(row), sig.take(row), pa.array(lo, pa.int32()), pa.array([x + (r["pos"] & 255) for x, r in zip(lo, runs, strict=True)], pa.int32()),
+                    pa.array([r["whole"] for r in runs], pa.bool_()), pa.array([raw[x : x + (r["pos"] >> 8 & 255) + WIDTH] for x, r in zip(lo, runs, strict=True)], pa.binary()), pa.array([r["hot"] for r in runs], pa.bool_()),
                 ],
-                names=["a", "id", "sig", "lo", "at", "whole", "bytes"],
+                names=["a", "id", "sig", "lo", "at", "whole", "bytes", "hot"],
             )
 
 
@@ -320,28 +319,29 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     so that ids may be null or repeated. An empty table gives an empty one; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("sig", F.xxhash64("text")).select("id", "sig", "text")
-    runs = plain.where(F.octet_length("text") >= WIDTH).mapInArrow(_runs, f"a bigint, s bigint, id {kind}, sig bigint, lo int, hi int, at int")
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("sig", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))).select("id", "sig", "text")
+    runs = plain.where(F.octet_length("text") >= WIDTH).mapInArrow(_runs, f"a bigint, s bigint, id {kind}, sig bigint, pos bigint")
     again = runs.groupBy(F.col("a").alias("k")).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k")
     met = cut_lineage(runs.join(again, F.col("a") == F.col("k")).drop("k"))
-    whole = met.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "sig", "lo", "hi", "at")).alias("run"))
+    # first() takes all three columns from one row; any run of its kind will do.
+    whole = cut_lineage(met.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.first("id").alias("i"), F.first("sig").alias("g"), F.first("pos").alias("pos")))
     differ = whole.groupBy(F.col("a").alias("k")).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     equal = met.join(whole.where("c > 1").select(F.col("a").alias("k"), F.col("s").alias("l")), (F.col("a") == F.col("k")) & (F.col("s") == F.col("l")))
-    done = equal.select("id", "sig", F.col("lo").alias("s"), (F.col("hi") + WIDTH).alias("e"))
+    lo = F.shiftright("pos", 16)
+    done = equal.select("id", "sig", lo.cast("int").alias("s"), (lo + F.shiftright("pos", 8).bitwiseAND(F.lit(255)) + WIDTH).cast("int").alias("e"))
     # One run of each kind, where an anchor has several kinds: these meet with their bytes.
-    detail = whole.join(differ, F.col("a") == F.col("k")).select(F.col("run.id").alias("i"), F.col("run.sig").alias("g"), F.struct("a", "run.lo", "run.hi", "run.at", (F.col("c") > 1).alias("whole"), F.col("m")).alias("r"))
-    asked = detail.groupBy("i", "g").agg(F.collect_list("r").alias("runs"))
+    detail = whole.join(differ, F.col("a") == F.col("k")).select("i", "g", F.struct("a", "pos", (F.col("c") > 1).alias("whole"), (F.col("m") > hot).alias("hot")).alias("r"))
+    asked = cut_lineage(detail.groupBy("i", "g").agg(F.collect_list("r").alias("runs")))
     same = lambda: plain["id"].eqNullSafe(F.col("i")) & (plain["sig"] == F.col("g"))
-    one = plain.join(asked, same()).select("id", "sig", F.col("text").cast("binary").alias("text"), "runs")
-    parts = one.mapInArrow(_contexts, f"a bigint, id {kind}, sig bigint, lo int, at int, whole boolean, bytes binary")
-    parts = cut_lineage(parts)
-    many = parts.groupBy(F.col("a").alias("k")).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("k")
-    cool = parts.join(many, F.col("a") == F.col("k"), "left_anti").repartition("a").sortWithinPartitions("a")
-    sorted_out = cool.mapInArrow(_intervals, f"id {kind}, sig bigint, s int, e int")
-    windows = parts.join(many, F.col("a") == F.col("k"), "left_semi").mapInArrow(_window_hashes, f"h bigint, g bigint, id {kind}, sig bigint, s int, whole boolean")
-    twice = windows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("h").alias("h2"), F.col("g").alias("g2"))
-    counted = windows.where("not whole").join(twice, (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2"))).select("id", "sig", "s", (F.col("s") + WIDTH).alias("e"))
-    gone = done.unionByName(sorted_out).unionByName(counted).groupBy(F.col("id").alias("i"), F.col("sig").alias("g")).agg(F.collect_set(F.struct("s", "e")).alias("cuts"))
+    # This join and the last one read the same exchange of the texts, which Spark reuses within one plan.
+    found = plain.join(asked, same()).select("id", "sig", F.col("text").cast("binary").alias("text"), "runs")
+    parts = found.mapInArrow(_contexts, f"a bigint, id {kind}, sig bigint, lo int, at int, whole boolean, bytes binary, hot boolean")
+    gone = done.unionByName(parts.where("not hot").repartition("a").sortWithinPartitions("a").mapInArrow(_intervals, f"id {kind}, sig bigint, s int, e int"))
+    if not differ.where(F.col("m") > hot).isEmpty():
+        windows = cut_lineage(parts.where("hot").mapInArrow(_window_hashes, f"h bigint, g bigint, id {kind}, sig bigint, s int, whole boolean"))
+        twice = windows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("h").alias("h2"), F.col("g").alias("g2"))
+        gone = gone.unionByName(windows.where("not whole").join(twice, (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2"))).select("id", "sig", "s", (F.col("s") + WIDTH).alias("e")))
+    gone = gone.groupBy(F.col("id").alias("i"), F.col("sig").alias("g")).agg(F.collect_set(F.struct("s", "e")).alias("cuts"))
     full = plain.join(gone, same(), "left").select("id", F.col("text").cast("binary").alias("text"), "cuts")
     out = full.mapInArrow(_cut, f"id {kind}, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
     return out.withColumnRenamed("id", id_col)
