@@ -3,7 +3,7 @@
 Two transducers are composed. The lexical one reads words and writes symbols with weights: insult,
 threat, target, negation, reporting verb, other. Its insults are a short fixed list and what labelled
 texts teach: words and word beginnings (inflected and compounded insults share their beginnings) that
-mark toxic texts by smoothed log-odds. The grammar reads the symbols of one clause and writes matches:
+mark toxic texts by smoothed log-odds, far beyond chance. The grammar reads the symbols of one clause and writes matches:
 
     insult                       -> plain, weight of the insult
     target ... insult ... target -> aimed
@@ -13,7 +13,9 @@ mark toxic texts by smoothed log-odds. The grammar reads the symbols of one clau
 
 A text's score is a logistic function of its matched clauses' weights by kind of match; a word outside a
 matched clause contributes nothing. The lexicon and the logistic weights are fitted on at most
-``SAMPLE`` labelled texts a class, a deterministic sample by hash; scoring reads whole texts.
+``SAMPLE`` toxic and ``SAMPLE_CLEAN`` other texts and ``SAMPLE_CHARS`` characters of each, a
+deterministic sample by hash; scoring reads whole texts. The logistic layer sees each half of the sample
+through the lexicon of the other half, as it will see texts that taught the lexicon nothing.
 """
 
 from __future__ import annotations
@@ -28,12 +30,12 @@ from pyspark.sql import functions as F
 
 from .textscan import Words, mix, prefix_hashes, range_hashes, slices
 
-#: Bound of the training sample: texts of each class.
-SAMPLE = 4_000
+#: Bounds of the training sample: toxic texts, other texts, and characters of a text.
+SAMPLE, SAMPLE_CLEAN, SAMPLE_CHARS = 1_500, 3_000, 10_000
 #: Lengths in bytes of the word beginnings that are learned.
 STEMS = (4, 5, 6, 7)
-#: Least log-odds, and least number of toxic training texts, of a learned entry; and words that a negation reaches.
-LEAST_ODDS, LEAST_TEXTS, REACH = 1.5, 4, 3
+#: Least log-odds and least log-likelihood ratio (against chance, over very many candidates) of a learned entry; words that a negation reaches.
+LEAST_ODDS, LEAST_RATIO, REACH = 1.5, 14.0, 3
 
 #: The base lexicon.
 INSULTS = "idiot idiots moron morons stupid dumb loser losers pathetic worthless scum trash clown disgusting imbecile fool fools jerk garbage vermin filth idiota imbécil estúpido basura idiote imbécile ordure débile dummkopf abschaum trottel".split()
@@ -139,40 +141,55 @@ def _features(sums: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log1p(sums), np.log1p(dense)])
 
 
-def train(texts: list[str], toxic: list[int], prior: float | None = None) -> Grammar:
-    """A grammar from labelled texts. prior: share of toxic texts where it is not that of the sample."""
-    y = np.array(toxic, dtype=np.int64)
+def learn_lexicon(texts: list[str], y: np.ndarray) -> Grammar:
+    """A grammar with the insults that the texts teach, and the base lexicon as far as they don't contradict it."""
     fixed = {_hash_of(w): 2.0 for w in INSULTS}
-    if len(y) and 0 < y.sum() < len(y):
-        keys, counts = [], []
-        column = pa.array(texts, pa.large_string())
-        for first, last, data, offsets in slices(column):
+    n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    if n1 and n0:
+        table, df1, df0 = np.empty(0, dtype=np.uint64), np.empty(0), np.empty(0)
+        for first, last, data, offsets in slices(pa.array(texts, pa.large_string())):
             words = Words(data, offsets, LETTERS)
             entries = _entries(words)
-            doc = np.repeat(np.arange(first, last), words.counts())
-            pairs = np.unique(np.column_stack([entries.ravel(), np.repeat(doc, entries.shape[1]).astype(np.uint64)]), axis=0)
-            pairs = pairs[pairs[:, 0] != 0]
-            keys.append(pairs[:, 0])
-            counts.append(y[pairs[:, 1].astype(np.int64)])
-        table, slot = np.unique(np.concatenate(keys), return_inverse=True)
-        marks = np.concatenate(counts)
-        df1 = np.bincount(slot, weights=marks, minlength=len(table))
-        df0 = np.bincount(slot, weights=1 - marks, minlength=len(table))
-        n1, n0 = y.sum(), len(y) - y.sum()
+            doc = np.repeat(np.repeat(np.arange(first, last), words.counts()), entries.shape[1])
+            entries = entries.ravel()
+            once = np.unique(mix(entries + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]  # each entry once a text
+            once = once[entries[once] != 0]
+            own, slot = np.unique(entries[once], return_inverse=True)
+            marks = y[doc[once]]
+            one, zero = np.bincount(slot, weights=marks, minlength=len(own)), np.bincount(slot, weights=1 - marks, minlength=len(own))
+            table, slot = np.unique(np.concatenate([table, own]), return_inverse=True)
+            df1, df0 = np.bincount(slot, weights=np.concatenate([df1, one])), np.bincount(slot, weights=np.concatenate([df0, zero]))
         odds = np.log((df1 + 0.5) / (n1 + 1)) - np.log((df0 + 0.5) / (n0 + 1))
-        sure = odds - np.sqrt(1 / (df1 + 0.5) + 1 / (df0 + 0.5))
-        good = (df1 >= LEAST_TEXTS) & (odds >= LEAST_ODDS) & (sure >= 1.0)
-        known = dict(zip(table.tolist(), zip(odds.tolist(), (df1 + df0).tolist(), strict=True), strict=True))
+        both = df1 + df0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = 2 * (np.nan_to_num(df1 * np.log(df1 * len(y) / (both * n1))) + np.nan_to_num(df0 * np.log(df0 * len(y) / (both * n0))))
+        good = (odds >= LEAST_ODDS) & (ratio >= LEAST_RATIO)
+        slot = _member(np.array(list(fixed), dtype=np.uint64), table)
+        known = {k: (odds[i], both[i]) for k, i in zip(fixed, slot.tolist(), strict=True) if i >= 0}
         fixed = {k: (max(0.0, known[k][0]) if k in known and known[k][1] >= 20 else w) for k, w in fixed.items()}
         fixed |= dict(zip(table[good].tolist(), odds[good].tolist(), strict=True))
     lexicon = sorted((k, w) for k, w in fixed.items() if w > 0)
-    grammar = Grammar(np.array([k for k, _ in lexicon], dtype=np.uint64), np.array([w for _, w in lexicon]))
-    if len(y) and 0 < y.sum() < len(y):
-        rows = []
-        for _, _, data, offsets in slices(pa.array(texts, pa.large_string())):
-            words = Words(data, offsets, LETTERS)
-            rows.append(_features(matches(grammar, words)[0], words.counts()))
-        grammar.coef, grammar.bias = _logistic(np.vstack(rows), y)
+    return Grammar(np.array([k for k, _ in lexicon], dtype=np.uint64), np.array([w for _, w in lexicon]))
+
+
+def _measure(grammar: Grammar, texts: list[str]) -> np.ndarray:
+    rows = [np.empty((0, len(KINDS) + 1))]
+    for _, _, data, offsets in slices(pa.array(texts, pa.large_string())):
+        words = Words(data, offsets, LETTERS)
+        rows.append(_features(matches(grammar, words)[0], words.counts()))
+    return np.vstack(rows)
+
+
+def train(texts: list[str], toxic: list[int], prior: float | None = None) -> Grammar:
+    """A grammar from labelled texts. prior: share of toxic texts where it is not that of the sample."""
+    y = np.array(toxic, dtype=np.int64)
+    grammar = learn_lexicon(texts, y)
+    halves = [np.arange(k, len(y), 2) for k in (0, 1)]
+    if all(0 < y[h].sum() < len(h) for h in halves):
+        x = np.zeros((len(y), len(KINDS) + 1))
+        for h, other in (halves, halves[::-1]):
+            x[h] = _measure(learn_lexicon([texts[i] for i in other], y[other]), [texts[i] for i in h])
+        grammar.coef, grammar.bias = _logistic(x, y)
         if prior is not None:
             rate = y.mean()
             prior = min(max(prior, 1e-4), 1 - 1e-4)
@@ -194,8 +211,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", sample: int = SAMPLE) -> Grammar:
-    """A grammar learned from labelled documents: at most ``sample`` texts a class, chosen by hash.
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", sample: int = SAMPLE, sample_clean: int = SAMPLE_CLEAN) -> Grammar:
+    """A grammar learned from labelled documents: about ``sample`` toxic and ``sample_clean`` other texts, chosen by hash.
 
     Null texts, labels and ids are left out; of repeated labels of an id the largest holds; texts that
     begin and end alike count once, so that copies don't make their words look like insults.
@@ -203,11 +220,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     marks = labels.where(F.col(toxic_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(toxic_col).cast("int")).alias("y"))
     n = {r.y: r.n for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     keyed = marks.withColumn("h", F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    share = F.when(F.col("y") == 1, F.lit(sample / max(1, n.get(1, 0)))).otherwise(F.lit(sample / max(1, n.get(0, 0))))
-    # A Bernoulli sample by hash of about ``sample`` ids a class, then a hard bound on what the driver takes.
-    few = keyed.where(F.col("h") < share).select("__id", "y", "h")
-    some = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(few, F.col("i") == F.col("__id")).select("h", "i", "y", "t")
-    rows = some.orderBy("h", "i").limit(3 * sample).collect()
+    share = F.when(F.col("y") == 1, F.lit(sample / max(1, n.get(1, 0)))).otherwise(F.lit(sample_clean / max(1, n.get(0, 0))))
+    # A Bernoulli sample of ids by hash, and a hard bound on it: at most so many ids are broadcast, and the texts stay where they are.
+    few = F.broadcast(keyed.where(F.col("h") < share).select("__id", "y", "h").orderBy("h", "__id").limit(2 * (sample + sample_clean)))
+    some = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.substring(F.lower(text_col), 1, SAMPLE_CHARS).alias("t")).join(few, F.col("i") == F.col("__id")).select("h", "i", "y", "t")
+    rows = some.orderBy("h", "i").limit(2 * (sample + sample_clean)).collect()
     seen, texts, ys = set(), [], []
     for r in rows:
         ends = (r.t[:80], r.t[-80:])
