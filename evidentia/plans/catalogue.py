@@ -1,5 +1,633 @@
-"""The registered queries of the library and their SQL counterparts."""
+"""The registered queries of the library, each with the SQL that its result is held against where SQL can express it."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import constants as C
+from ..functions import text as tx
+from ..functions import trust as tr
+from ..functions import urls as ur
+from ..functions import vectors as ve
+from ..operators import chunking, crawl, evaluation, html, media, models, ranking, store, trust, verdict
+from ..sources import fetch, tables
+from ..streaming import incremental
+from . import flows
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "claim_check"
+
+#: Epoch seconds that stand for now in the queries: 2024-06-01 UTC.
+AS_OF = 1717200000.0
+LISTS = [("spam-farm.example.org", "blocked"), ("example.net", "trusted")]
+POSTS = [(1, "#Covid_19 vaccine #5G #2021 #covid_19 see https://a.b/c @who BREAKING!!! now.."), (2, "no tags here at all"), (3, "#كأس_العالم #Ünïcode_Tag #x")]
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.table(spark, sf, "pages")
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.table(spark, sf, "documents")
+
+
+def _lists(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(LISTS, "domain string, tier string")
+
+
+# --- URLs and trust -----------------------------------------------------------------------------------
+
+_TRACKING = ", ".join(f"'{p}'" for p in C.TRACKING_PARAMETERS)
+_CANONICAL = f"""
+    select page_id, url, s || '://' || h || (case when path = '' then '/' else path end) || (case when len(qs) > 0 then '?' || array_to_string(qs, '&') else '' end) as canonical
+    from (select page_id, url, lower(regexp_extract(u, '^([A-Za-z]+)://', 1)) as s, lower(regexp_extract(u, '^[^:]+://([^/?#]*)', 1)) as h,
+                 regexp_replace(regexp_extract(u, '^[^:]+://[^/?#]*([^?#]*)', 1), '/+', '/', 'g') as path,
+                 list_sort([x for x in string_split(regexp_extract(u, '\\?([^#]*)', 1), '&') if x <> '' and split_part(x, '=', 1) not in ({_TRACKING})]) as qs
+          from (select page_id, url, trim(url) as u from pages))"""
+_HOST = "regexp_replace(lower(regexp_extract(url, '^[^:]+://([^/?#:]*)', 1)), '^www\\.', '')"
+_TIER = f"(case when {_HOST} = 'spam-farm.example.org' then 'blocked' when {_HOST} = 'example.net' or {_HOST} like '%.example.net' then 'trusted' end)"
+_TRUST = f"(case when {_TIER} = 'blocked' then 0.2 when {_TIER} = 'trusted' then 2.0 when {_HOST} like '%.org%' then 1.3 else 1.0 end)"
+
+
+@query(f"select page_id, canonical from ({_CANONICAL})")
+def url_canonical(spark, sf):
+    return _pages(spark, sf).select("page_id", ur.canonical_url(F.col("url")).alias("canonical"))
+
+
+@query(f"select substr(sha256(canonical), 1, 16) as fingerprint, count(*) as n, min(page_id) as first_page from ({_CANONICAL}) group by canonical")
+def url_fingerprint_dedup(spark, sf):
+    return _pages(spark, sf).withColumn("fingerprint", ur.fingerprint(ur.canonical_url(F.col("url")))).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_page"))
+
+
+@query(f"select page_id, {_HOST} as host, {_HOST} as registered, replace(split_part(url, '/', 3), 'www.', '') as evidence from pages")
+def domain_extract(spark, sf):
+    u = F.col("url")
+    return _pages(spark, sf).select("page_id", ur.host_domain(u).alias("host"), ur.registered_domain(u).alias("registered"), ur.evidence_domain(u).alias("evidence"))
+
+
+@query(f"select page_id, {_TRUST}::double as trust, least({_TRUST} / 1.5, 2.0)::double as boost, ({_TRUST} / 3.0)::double as normalised from pages")
+def trust_score(spark, sf):
+    rated = trust.with_trust(_pages(spark, sf).select("page_id", "url"), "url", _lists(spark))
+    return rated.select("page_id", "trust", tr.crawl_boost(F.col("trust")).alias("boost"), tr.normalised_trust(F.col("trust")).alias("normalised"))
+
+
+@query(f"select page_id, {_TIER} as tier from pages")
+def trust_suffix_join(spark, sf):
+    return trust.listed_tier(_pages(spark, sf).select("page_id", "url"), "url", _lists(spark)).select("page_id", "tier")
+
+
+@query(f"select page_id from pages where coalesce({_TIER}, '') <> 'blocked'")
+def blocked_filter(spark, sf):
+    return trust.drop_blocked(_pages(spark, sf).select("page_id", "url"), "url", _lists(spark)).select("page_id")
+
+
+@query(f"select page_id, round((page_id % 10) / 10.0 / (1 + page_id % 4) * least({_TRUST} / 1.5, 2.0), 9)::double as priority from pages")
+def frontier_priority(spark, sf):
+    rated = trust.with_trust(_pages(spark, sf).select("page_id", "url"), "url", _lists(spark))
+    links = rated.select("page_id", "url", "trust", (F.col("page_id") % 10 / 10.0).alias("relevance_score"), (F.col("page_id") % 4).alias("depth"))
+    return crawl.frontier_rows(links).select("page_id", F.round("priority", 9).alias("priority"))
+
+
+@query(f"select page_id, {_TRUST}::double as trust from pages order by trust desc, page_id limit 15")
+def trusted_first_sort(spark, sf):
+    rated = trust.with_trust(_pages(spark, sf).select("page_id", "url", F.col("page_id").alias("pos")), "url", _lists(spark))
+    return trust.trusted_first(rated, 10).select("page_id", "trust")
+
+
+@query(f"select count(*) filter ({_TRUST} >= 2.0) as trusted, count(*) as kept from pages")
+def trusted_count(spark, sf):
+    return trust.trusted_count(trust.with_trust(_pages(spark, sf).select("page_id", "url"), "url", _lists(spark)))
+
+
+@query("select (rn - 1) // 25 as batch, 'claim (' || string_agg('site:' || d, ' OR ' order by d) || ')' as query from (select d, row_number() over (order by d) as rn from (select 'd' || lpad((range)::varchar, 3, '0') || '.org' as d from range(60))) group by 1")
+def site_queries(spark, sf):
+    domains = spark.range(60).select(F.concat(F.lit("d"), F.lpad(F.col("id").cast("string"), 3, "0"), F.lit(".org")).alias("domain"))
+    return trust.site_queries(domains, "claim")
+
+
+@query("select u as url from (select u, min(l * 1000000 + p) as first from (select 0 as l, page_id as p, url as u from pages where page_id % 3 = 0 union all select 1, page_id, url from pages where page_id % 2 = 0) group by u) order by first limit 40")
+def discover_seeds(spark, sf):
+    pages = _pages(spark, sf).select("url", F.col("page_id").alias("pos"))
+    return ranking.discover([pages.where("pos % 3 = 0"), pages.where("pos % 2 = 0")], 40)
+
+
+# --- Text ---------------------------------------------------------------------------------------------
+
+@query("select doc_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) >= 15 and regexp_matches(text, '[A-Za-z؀-ۿ]{3,}') as is_claim, regexp_matches(text, '[؀-ۿ]') as arabic from documents")
+def claim_gate(spark, sf):
+    t = F.col("text")
+    return _docs(spark, sf).select("doc_id", tx.has_claim(t).alias("is_claim"), tx.has_arabic(t).alias("arabic"))
+
+
+_CLEAN = """trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(text, 'https?://\\S+', ' ', 'g'), '@[\\p{L}\\p{M}\\p{N}\\p{Pc}]+', ' ', 'g'), '#', ' '),
+    '[^\\p{L}\\p{M}\\p{N}\\p{Pc}\\s.,!?''"-]', ' ', 'g'), '[!?]{2,}', '. ', 'g'), '\\.{2,}', '. ', 'g'), '\\s+', ' ', 'g'))"""
+
+
+@query(f"select doc_id, md5({_CLEAN}) as cleaned from documents")
+def clean_claim(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.md5(tx.clean_claim(F.col("text"))).alias("cleaned"))
+
+
+@query("select 1 as id, 'covid 19|5g' as tags union all select 2, '' union all select 3, 'كأس العالم|ünïcode tag'")
+def hashtag_terms(spark, sf):
+    posts = spark.createDataFrame(POSTS, "id int, text string")
+    return posts.select("id", F.array_join(tx.hashtags(F.col("text")), "|").alias("tags"))
+
+
+@query("select 1 as id, 'covid 19 5g covid vaccine see breaking now' as query union all select 2, 'tags here all'")
+def search_query(spark, sf):
+    posts = spark.createDataFrame(POSTS[:2], "id int, text string")
+    return posts.select("id", tx.search_query(F.col("text")).alias("query"))
+
+
+@query("select doc_id, len([w for w in regexp_split_to_array(text, '\\s+') if w <> ''])::int as n, array_to_string(([w for w in regexp_split_to_array(text, '\\s+') if w <> ''])[1:8], ' ') as short from documents")
+def token_count(spark, sf):
+    return _docs(spark, sf).select("doc_id", tx.token_count(F.col("text")).alias("n"), tx.short_query(F.col("text")).alias("short"))
+
+
+@query("select doc_id, len(string_split(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)))::int as n from documents")
+def sentence_split(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.size(F.split("text", r"(?<=[.!?])\s+(?=[A-Z])")).alias("n"))
+
+
+@query("""select doc_id, s::int as start_char, e::int as end_char, (row_number() over (partition by doc_id order by s) - 1)::int as chunk_index, md5(t) as chunk
+    from (select doc_id, s, least(s + 512, length(text)) as e, trim(substr(text, s + 1, 512), chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) as t
+          from (select doc_id, text, unnest(range(0, length(text), 448)) as s from documents)) where length(t) >= 100""")
+def chunk_fixed(spark, sf):
+    return chunking.chunk_fixed(_docs(spark, sf), keep=["doc_id"]).select("doc_id", "start_char", "end_char", "chunk_index", F.md5("text").alias("chunk"))
+
+
+@query()
+def chunk_sentence(spark, sf):
+    return chunking.chunk_sentences(_docs(spark, sf), keep=["doc_id"])
+
+
+@query()
+def chunk_claims(spark, sf):
+    return chunking.chunk_claims(_docs(spark, sf), keep=["doc_id"])
+
+
+@query()
+def chunk_semantic(spark, sf):
+    return chunking.chunk_semantic(_docs(spark, sf), models.hashed_embedding, keep=["doc_id"])
+
+
+@query("""select doc_id, count(distinct g)::int as n from (
+      select doc_id, unnest(case when len(w) < 4 then w else [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)] end) as g
+      from (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') as w from documents)) group by doc_id""")
+def shingles(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.size(tx.word_shingles(F.col("text"))).alias("n")).where("n > 0")
+
+
+_CLICK = " or ".join("contains(lower(t), '" + p.replace("'", "''") + "')" for p in C.CLICKBAIT_PHRASES)
+
+
+@query(f"""select doc_id, round((case when {_CLICK} then 0.5 else 1.0 end) * (case when l > 0 and c / greatest(l, 1) > 0.5 then 0.7 else 1.0 end)
+      * (case when length(t) - length(replace(t, '!', '')) >= 2 or length(t) - length(replace(t, '?', '')) >= 2 then 0.8 else 1.0 end), 6)::double as factor
+    from (select doc_id, t, length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) as l, length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) as c from (select doc_id, substr(text, 1, 200) as t from documents))""")
+def clickbait(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.round(tx.clickbait_factor(F.substring("text", 1, 200)), 6).alias("factor"))
+
+
+@query("select doc_id, md5(case when length(t) <= 300 then t else regexp_replace(substr(t, 1, 300), ' [^ ]*$', '') || '…' end) as snippet from (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from documents)")
+def snippets(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.md5(tx.snippet(F.col("text"), 300)).alias("snippet"))
+
+
+@query("select o_orderkey, round(exp(-greatest((1717200000.0 - epoch(o_orderdate)) / 86400.0, 0.0) / 365.0), 9) as fresh from orders")
+def freshness(spark, sf):
+    orders = tables.table(spark, sf, "orders")
+    return orders.select("o_orderkey", F.round(tr.freshness(F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1e6, AS_OF), 9).alias("fresh"))
+
+
+@query("select * from (values ('1700000000.5', 1700000000.5), ('2024-03-01T12:30:00Z', 1709296200.0), ('2024-03-01 something', 1709251200.0), ('soon', null), ('', null)) t(value, seconds)")
+def parse_dates(spark, sf):
+    rows = spark.createDataFrame([("1700000000.5",), ("2024-03-01T12:30:00Z",), ("2024-03-01 something",), ("soon",), ("",)], "value string")
+    return rows.select("value", tr.to_seconds(F.col("value")).alias("seconds"))
+
+
+@query("select page_id, round(least(n / 3.0 + 0.05, 1.0), 9)::double as score from (select page_id, len(list_intersect(list_distinct(regexp_extract_all(lower(html), '\\b[a-z]{3,}\\b')), ['the', 'and', 'zebra'])) as n from pages)")
+def link_keyword_score(spark, sf):
+    terms = F.array(F.lit("the"), F.lit("and"), F.lit("zebra"))
+    return _pages(spark, sf).select("page_id", F.round(tx.keyword_overlap(F.col("html"), terms), 9).alias("score"))
+
+
+# --- HTML ---------------------------------------------------------------------------------------------
+
+@query("""select page_id, (i - 1)::int as pos, hrefs[i] as href from (select page_id, hrefs, unnest(range(1, len(hrefs) + 1)) as i from (select page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) as hrefs from pages))""")
+def html_links(spark, sf):
+    return html.href_links(_pages(spark, sf)).select("page_id", "pos", "href")
+
+
+@query()
+def html_link_scores(spark, sf):
+    return html.extract_links(_pages(spark, sf), ["the", "and"], threshold=0.0)
+
+
+@query()
+def html_content(spark, sf):
+    return html.extract_content(_pages(spark, sf), keep=["page_id", "url"])
+
+
+# --- Retrieval and ranking ----------------------------------------------------------------------------
+
+def _vectors(spark, sf):
+    return tables.table(spark, sf, "embeddings")
+
+
+def _knn(spark, sf, k, where=None):
+    vectors = _vectors(spark, sf)
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("query_label"))
+    return asked, ranking.nearest(asked, vectors, k, where=where)
+
+
+_SCORES = "select q.vec_id as query_id, v.vec_id, q.label as query_label, v.label, list_dot_product(q.embedding::double[], v.embedding::double[]) as score from embeddings q, embeddings v where q.vec_id % 20 = 0"
+_KNN = f"select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from ({_SCORES})"
+
+
+@query(f"select query_id, vec_id, round(score, 6) as score, rank::int as rank from ({_KNN}) where rank <= 10")
+def knn_topk(spark, sf):
+    return _knn(spark, sf, 10)[1].select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"select query_id, vec_id, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from ({_SCORES} and v.label = 3)) where rank <= 5")
+def knn_filtered(spark, sf):
+    return _knn(spark, sf, 5, F.col("label") == 3)[1].select("query_id", "vec_id", "rank")
+
+
+@query("select source, lang, doc_id, n_chars from (select *, row_number() over (partition by source, lang order by n_chars desc, doc_id) as r from documents) where r = 1")
+def max_per_url(spark, sf):
+    return ranking.best_per_url(_docs(spark, sf).select("source", "lang", "doc_id", "n_chars"), by=["source", "lang"], score_col="n_chars", tie_col="doc_id")
+
+
+@query("select source, doc_id from (select *, row_number() over (partition by source order by n_chars desc, doc_id) as r from documents) where r <= 3")
+def cap_per_domain(spark, sf):
+    return ranking.cap_per_domain(_docs(spark, sf), 3, by=["source"], order=[F.desc("n_chars"), F.asc("doc_id")]).select("source", "doc_id")
+
+
+@query("select source, lang, doc_id, r::int as rank from (select *, row_number() over (partition by source, lang order by n_chars desc, doc_id) as r from documents) where r <= 2")
+def top2_per_page(spark, sf):
+    return ranking.top_rows(_docs(spark, sf), 2, by=["source", "lang"], order=[F.desc("n_chars"), F.asc("doc_id")]).select("source", "lang", "doc_id", "rank")
+
+
+@query()
+def near_dup(spark, sf):
+    docs = _docs(spark, sf).select(F.col("doc_id").alias("id"), "source", "lang", "text", F.col("n_chars").cast("double").alias("score"))
+    return ranking.near_duplicate_filter(docs, by=["source", "lang"]).select("id", "source", "score")
+
+
+@query(f"""select page_id, round((0.5 * ((page_id % 100) / 100.0) + 0.3 * ({_TRUST} / 3.0) + 0.2 * exp(-greatest(page_id % 900, 0) / 365.0)), 6)::double as score from pages order by 2 desc, 1 limit 10""")
+def blend_rank(spark, sf):
+    rated = trust.with_trust(_pages(spark, sf).select("page_id", "url"), "url", _lists(spark))
+    score = tr.blended_score(F.col("page_id") % 100 / 100.0, F.col("trust"), tr.freshness(F.lit(AS_OF) - F.col("page_id") % 900 * 86400.0, AS_OF), F.lit(1.0))
+    return rated.select("page_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "page_id").limit(10)
+
+
+@query("select vec_id, round(0.6 * e + 0.4 / (1 + exp(-(label - 5)::double)), 4) as fused from (select vec_id, label, embedding[1]::double as e from embeddings)")
+def fusion(spark, sf):
+    return _vectors(spark, sf).select("vec_id", ve.fused_score(F.get("embedding", F.lit(0)).cast("double"), (F.col("label") - 5).cast("double"), F.lit(2)).alias("fused"))
+
+
+@query("""select vec_id, round(n, 6) as norm, round(exp(embedding[1]) / (exp(embedding[1]) + exp(embedding[2]) + exp(embedding[3])), 6) as p, (list_position(embedding[1:3], list_max(embedding[1:3])) - 1)::int as best
+    from (select vec_id, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n, embedding::double[] as embedding from embeddings)""")
+def vector_functions(spark, sf):
+    few = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
+    return _vectors(spark, sf).select("vec_id", F.round(ve.norm(F.col("embedding")), 6).alias("norm"), F.round(F.get(ve.softmax(few), F.lit(0)), 6).alias("p"), ve.argmax(few).alias("best"))
+
+
+@query("""with e as (select a.vec_id, [0.8 * a.embedding[i]::double + 0.2 * ((b.embedding[i]::double + c.embedding[i]::double) / 2) for i in range(1, 65)] as m
+      from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 join embeddings c on c.vec_id = a.vec_id + 2 where a.vec_id % 50 = 0)
+    select vec_id, round(m[1] / (sqrt(list_dot_product(m, m)) + 1e-9), 6) as first, round(sqrt(list_dot_product(m, m)), 6) as len from e""")
+def query_centroid(spark, sf):
+    v = _vectors(spark, sf).select("vec_id", "embedding")
+    near = lambda i: v.select((F.col("vec_id") - i).alias("vec_id"), F.col("embedding").alias(f"e{i}"))
+    rows = v.where("vec_id % 50 = 0").join(near(1), "vec_id").join(near(2), "vec_id")
+    full = ve.weighted_centroid(F.col("embedding"), F.array("e1", "e2"))
+    mixed = F.transform(F.col("embedding"), lambda x, i: 0.8 * x.cast("double") + 0.2 * ((F.get("e1", i).cast("double") + F.get("e2", i).cast("double")) / 2))
+    return rows.select("vec_id", F.round(F.get(full, F.lit(0)), 6).alias("first"), F.round(ve.norm(mixed), 6).alias("len"))
+
+
+# --- Verdicts -----------------------------------------------------------------------------------------
+
+_EVIDENCE = """select doc_id % 50 as claim_id, doc_id, 'https://www.' || source || '.org/' || doc_id as url, 0.3 + (doc_id % 70) / 100.0 as w, case when doc_id % 5 = 0 then 2.0 else 1.3 end as cred,
+      case when quality = 1 then 0.7 else 0.1 end as ps, case when toxic = 1 then 0.9 when quality = 0 then 0.6 else 0.1 end as pr, 0.2 as pn,
+      case when toxic = 1 then 'REFUTES' when quality = 1 then 'SUPPORTS' else 'REFUTES' end as label
+    from labels join documents using (doc_id)"""
+_SHARES = f"""select claim_id, sum(ps * w * cred) / sum((ps + pr + pn) * w * cred) as s, sum(pr * w * cred) / sum((ps + pr + pn) * w * cred) as r, sum(pn * w * cred) / sum((ps + pr + pn) * w * cred) as n, max(pr) as top from ({_EVIDENCE}) group by claim_id"""
+_VERDICT = f"""select claim_id, case when top >= 0.85 and r >= 0.35 then 'REFUTES' when s >= 0.55 then 'SUPPORTS' when r >= 0.55 then 'REFUTES' else 'NOT ENOUGH INFO' end as verdict,
+      case when top >= 0.85 and r >= 0.35 then top when s >= 0.55 then s when r >= 0.55 then r else greatest(s, r) end as confidence, s, r, n from ({_SHARES})"""
+
+
+def _evidence(spark, sf):
+    labels = tables.table(spark, sf, "labels")
+    rows = labels.join(_docs(spark, sf).select("doc_id", "source"), "doc_id")
+    return rows.select(
+        (F.col("doc_id") % 50).alias("claim_id"),
+        "doc_id",
+        F.concat(F.lit("https://www."), "source", F.lit(".org/"), F.col("doc_id").cast("string")).alias("url"),
+        (0.3 + F.col("doc_id") % 70 / 100.0).alias("retrieval_score"),
+        F.when(F.col("doc_id") % 5 == 0, 2.0).otherwise(1.3).alias("credibility"),
+        F.when(F.col("quality") == 1, 0.7).otherwise(0.1).alias("p_supports"),
+        F.when(F.col("toxic") == 1, 0.9).when(F.col("quality") == 0, 0.6).otherwise(0.1).alias("p_refutes"),
+        F.lit(0.2).alias("p_no_info"),
+        F.when(F.col("toxic") == 1, C.REFUTES).when(F.col("quality") == 1, C.SUPPORTS).otherwise(C.REFUTES).alias("label"),
+        F.col("doc_id").alias("pos"),
+        F.concat(F.lit("text "), F.col("doc_id").cast("string")).alias("text"),
+    )
+
+
+@query(f"select claim_id, verdict, round(confidence, 6)::double as confidence, round(s, 6)::double as supports, round(r, 6)::double as refutes, round(n, 6)::double as no_info from ({_VERDICT})")
+def claim_verdict(spark, sf):
+    return verdict.claim_verdicts(_evidence(spark, sf)).select("claim_id", "verdict", *[F.round(c, 6).alias(c) for c in ("confidence", "supports", "refutes", "no_info")])
+
+
+@query(f"""with e as (select * from ({_EVIDENCE}) join (select claim_id, verdict from ({_VERDICT})) using (claim_id)),
+      d as (select claim_id, verdict, replace(split_part(url, '/', 3), 'www.', '') as dom, bool_or(label = verdict) as a, bool_or(label = verdict and cred >= 2) as ta, bool_or(label <> verdict and verdict <> 'NOT ENOUGH INFO' and cred >= 2) as tc from e group by all),
+      c as (select claim_id, verdict, (count(*) filter (a))::int as n, coalesce(list(dom order by dom) filter (ta), []) as ta, coalesce(list(dom order by dom) filter (tc), []) as tc from d group by all)
+    select claim_id, verdict in ('SUPPORTS', 'REFUTES') and n >= 2 and len(ta) > 0 and len(tc) = 0 as verified, n as independent_sources, array_to_string(ta, ',') as trusted_agree, array_to_string(tc, ',') as trusted_contradict,
+      case when verdict = 'NOT ENOUGH INFO' then 'Not enough reliable evidence to verify this claim.' when n >= 2 and len(ta) > 0 and len(tc) = 0 then verdict || ' — ' || n || ' independent sources agree (' || len(ta) || ' trusted).'
+        when n >= 1 and len(ta) = 0 then 'Leans ' || verdict || ', but only low-authority sources agree (' || n || '). Treat with caution.' when len(tc) > 0 then 'Conflicting evidence: ' || verdict || ' disputed by ' || len(tc) || ' trusted source(s).'
+        else 'Leans ' || verdict || ' (' || n || ' source(s)) — weak support.' end as statement from c""")
+def verify_sources(spark, sf):
+    rows = _evidence(spark, sf)
+    out = verdict.verify_sources(rows, verdict.claim_verdicts(rows))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("trusted_agree", "trusted_contradict")})
+
+
+@query(f"""select claim_id, doc_id from (select *, row_number() over (partition by claim_id order by doc_id) as r from (select e.*, case when label = verdict then 0 else 1 end as o, min(case when label = verdict then 0 else 1 end) over (partition by claim_id) as least_o
+      from ({_EVIDENCE}) e join (select claim_id, verdict from ({_VERDICT})) using (claim_id)) where o = least_o) where r <= 5""")
+def explanation_input(spark, sf):
+    rows = _evidence(spark, sf)
+    return verdict.explanation_input(rows, verdict.claim_verdicts(rows)).select("claim_id", "doc_id")
+
+
+@query()
+def result_envelope(spark, sf):
+    rows = _evidence(spark, sf)
+    verdicts = verdict.claim_verdicts(rows)
+    return verdict.result_envelope(verdicts, verdict.verify_sources(rows, verdicts), rows)
+
+
+@query("select count(*) as total, count(*) filter (quality = toxic) as passed, count(*) filter (quality <> toxic) as failed from labels")
+def battery_tally(spark, sf):
+    return verdict.battery_tally(tables.table(spark, sf, "labels").select(F.col("quality").alias("expected"), F.col("toxic").alias("actual")))
+
+
+@query("""select label as video_id, round(avg((vec_id % 100) / 100.0), 6)::double as avg_real, round(avg(1 - (vec_id % 100) / 100.0), 6)::double as avg_fake, count(*) as n,
+      case when avg((vec_id % 100) / 100.0) > avg(1 - (vec_id % 100) / 100.0) then 'REAL' else 'FAKE' end as verdict from embeddings group by label""")
+def video_mean(spark, sf):
+    frames = _vectors(spark, sf).select(F.col("label").alias("video_id"), (F.col("vec_id") % 100 / 100.0).alias("p_real"), (1 - F.col("vec_id") % 100 / 100.0).alias("p_fake"))
+    return verdict.video_verdicts(frames).withColumns({c: F.round(c, 6) for c in ("avg_real", "avg_fake")})
+
+
+@query("""select post_id, f as fake_image, t as refuted_text, case when f and t then 'FAKE' when f then 'FAKE IMAGE' when t then 'MISLEADING TEXT' else 'AUTHENTIC' end as verdict, 0.85::double as confidence
+    from (select doc_id % 100 as post_id, bool_or(quality = 0) as f, bool_or(toxic = 1) as t from labels group by 1)""")
+def post_verdict(spark, sf):
+    labels = tables.table(spark, sf, "labels")
+    return verdict.post_verdicts(labels.select((F.col("doc_id") % 100).alias("post_id"), (F.col("quality") == 0).alias("fake_image"), (F.col("toxic") == 1).alias("refuted_text")))
+
+
+# --- Evaluation ---------------------------------------------------------------------------------------
+
+_METRICS = f"""with r as (select query_id, vec_id, rank, (label = query_label)::int as hit from ({_KNN}) where rank <= 30),
+      rel as (select q.vec_id as query_id, count(*) as n from embeddings q join embeddings v on q.label = v.label where q.vec_id % 20 = 0 group by 1),
+      c as (select *, sum(hit) over (partition by query_id order by rank) as c from r)
+    select query_id, sum(case when rank <= 10 then hit else 0 end) / 10.0 as p, sum(case when rank <= 10 then hit else 0 end) / any_value(n) as rc, sum(case when hit = 1 then c / rank else 0 end) / any_value(n) as ap,
+      sum(case when rank <= 10 and hit = 1 then 1 / log2(rank + 1) else 0 end) / list_sum([1 / log2(i + 1) for i in range(1, least(any_value(n), 10) + 1)]) as nd, coalesce(1.0 / min(case when hit = 1 then rank end), 0) as rr
+    from c join rel using (query_id) group by query_id"""
+
+
+def _metrics(spark, sf):
+    asked, found = _knn(spark, sf, 30)
+    vectors = _vectors(spark, sf).select(F.col("vec_id").alias("item_id"), "label")
+    good = asked.join(vectors, F.col("query_label") == F.col("label")).select("query_id", "item_id")
+    return evaluation.query_metrics(found.withColumnRenamed("vec_id", "item_id"), good, 10)
+
+
+@query(f"select query_id, round(p, 6)::double as precision_at_k, round(rc, 6)::double as recall_at_k, round(ap, 6)::double as average_precision, round(nd, 6)::double as ndcg_at_k, round(rr, 6)::double as reciprocal_rank from ({_METRICS})")
+def retrieval_metrics(spark, sf):
+    out = _metrics(spark, sf)
+    return out.select("query_id", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
+
+
+@query(f"select count(*) as n_queries, round(avg(p), 6)::double as mean_precision, round(avg(rc), 6)::double as mean_recall, round(avg(ap), 6)::double as map, round(avg(nd), 6)::double as mean_ndcg, round(avg(rr), 6)::double as mrr from ({_METRICS})")
+def map_mrr(spark, sf):
+    out = evaluation.mean_metrics(_metrics(spark, sf))
+    return out.select("n_queries", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
+
+
+# --- Stores, frontier, caches -------------------------------------------------------------------------
+
+@query("select distinct source, substr(sha256(text), 1, 32) as h from documents d where not exists (select 1 from documents s where s.doc_id % 3 = 0 and s.source = d.source and sha256(s.text) = sha256(d.text))")
+def incremental_index(spark, sf):
+    docs = _docs(spark, sf).select("doc_id", "source", "text")
+    stored = docs.where("doc_id % 3 = 0").select(F.col("source").alias("url"), ur.content_hash(F.col("text")).alias("content_hash"), F.lit(True).alias("indexed"))
+    return store.to_index(docs, stored, url_col="source").select("source", F.col("content_hash").alias("h"))
+
+
+@query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r = 1")
+def metadata_upsert_latest(spark, sf):
+    events = tables.table(spark, sf, "events").select("user_id", "event_id", "event_type", "ts")
+    return store.upsert(events.where("event_id % 2 = 0").limit(0), events, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("select event_id, event_type from events order by ts desc, event_id limit 25")
+def recent_rows(spark, sf):
+    return store.recent(tables.table(spark, sf, "events"), 25, time_col="ts", tie_col="event_id").select("event_id", "event_type")
+
+
+@query("select event_id from events where 1704800000.0 - epoch(ts) < 86400")
+def ttl_cache_live(spark, sf):
+    events = tables.table(spark, sf, "events").withColumn("added_at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return store.alive_entries(events, 1704800000.0, 86400).select("event_id")
+
+
+@query("select event_id from (select event_id, row_number() over (order by ts, event_id) as r, count(*) over () as n from events) where n <= 200 or r > 50")
+def evict_oldest(spark, sf):
+    return store.evict_oldest(tables.table(spark, sf, "events"), time_col="ts", key="event_id").select("event_id")
+
+
+@query(f"""with f as (select page_id, url, {_HOST} as domain, (page_id % 97)::double as priority from pages),
+      best as (select * from f order by priority desc, page_id limit 50), free as (select * from best left join (select distinct {_HOST} as domain, 5.0 as nxt from pages where page_id % 4 = 0) using (domain) where coalesce(nxt, 0) <= 1)
+    select page_id, domain from (select *, row_number() over (partition by domain order by priority desc, page_id) as r from free) where r = 1""")
+def frontier_pop_polite(spark, sf):
+    pages = _pages(spark, sf).select("page_id", "url")
+    frontier = pages.select("page_id", "url", (F.col("page_id") % 97).cast("double").alias("priority"), F.lit(0).alias("depth"), F.col("page_id").cast("double").alias("discovered_at"), ur.fingerprint(F.col("url")).alias("fingerprint"), F.lit("pending").alias("status"))
+    clock = pages.where("page_id % 4 = 0").select(ur.host_domain(F.col("url")).alias("domain"), F.lit(5.0).alias("next_allowed_at")).distinct()
+    return crawl.pop_polite(frontier, clock, 1.0, take=None).select("page_id", "domain")
+
+
+@query("""with recursive e as (select (range)::bigint as a, (range * 7 + 1) % 500 as b from range(500) union all select range, (range * 13 + 5) % 500 from range(500)),
+      w(n, d) as (select 0::bigint, 0 union select e.b, w.d + 1 from w join e on e.a = w.n where w.d < 6)
+    select 'u' || n as url, min(d)::int as depth from w group by n""")
+def crawl_bfs_depth(spark, sf):
+    n = spark.range(500)
+    name = lambda c: F.concat(F.lit("u"), c.cast("string"))
+    links = n.select(name(F.col("id")).alias("parent_url"), F.explode(F.array((F.col("id") * 7 + 1) % 500, (F.col("id") * 13 + 5) % 500)).alias("b")).select("parent_url", name(F.col("b")).alias("url"))
+    _checkpoints(spark)
+    return crawl.crawl_depths(spark.createDataFrame([("u0",)], "url string"), links, max_depth=6).select("url", "depth")
+
+
+@query()
+def crawl_flow(spark, sf):
+    _checkpoints(spark)
+    pages = _pages(spark, sf).withColumn("url", ur.canonical_url(F.col("url")))
+    score = lambda got: pages.select(F.col("url").alias("u"), "page_id").join(got.select("url"), F.col("u") == F.col("url")).select(F.col("u").alias("parent_url"), ((F.col("page_id") * 7 + 1) % 200).alias("n")).join(pages.select("page_id", "url"), F.col("n") == F.col("page_id")).select("parent_url", "url", F.lit(0.9).alias("relevance_score"))
+    found = crawl.crawl(pages.where("page_id < 5").select("url"), fetch.from_table(pages), score, max_depth=3, max_pages=60)
+    return found.select("url", "depth")
+
+
+def _checkpoints(spark: SparkSession) -> None:
+    """The shared checkpoint folder, as the cluster names it; one of our own only where it names none."""
+    import tempfile
+
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidentia-"))
+
+
+_STAGE = "(case event_type when 'view' then 'queued' when 'click' then 'searching' when 'signup' then 'fetching' when 'error' then 'nli' else 'done' end)"
+
+
+@query(f"""select task_id, stage, (case stage when 'queued' then 1 when 'searching' then 12 when 'fetching' then 25 when 'nli' then 90 else 100 end)::int as pct from
+      (select user_id as task_id, {_STAGE} as stage, ts, row_number() over (partition by user_id order by ts desc, {_STAGE} desc) as r from events) where r = 1 and 1706600000.0 - epoch(ts) < 600""")
+def task_progress_state(spark, sf):
+    stage = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "searching").when(F.col("event_type") == "signup", "fetching").when(F.col("event_type") == "error", "nli").otherwise("done")
+    updates = tables.table(spark, sf, "events").select(F.col("user_id").alias("task_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), stage.alias("stage"))
+    return incremental.task_states(updates, 1706600000.0).select("task_id", "stage", "pct")
+
+
+# --- Media --------------------------------------------------------------------------------------------
+
+def _blocks(spark):
+    i = F.col("id")
+    return spark.range(2000).select((i % 40).alias("image_id"), (i * 37 % 800).cast("int").alias("x"), (i * 53 % 600).cast("int").alias("y"), F.lit(20).alias("w"), F.lit(10).alias("h"), F.concat(F.lit("w"), i.cast("string")).alias("text"))
+
+
+_BLOCKS = "select range % 40 as image_id, range * 37 % 800 as x, range * 53 % 600 as y, 20 as w, 10 as h, 'w' || range as text, range as id from range(2000)"
+
+
+@query(f"select text from ({_BLOCKS}) b where exists (select 1 from range(40) r where r.range = b.image_id and x + 10 between r.range * 10 and r.range * 10 + 200 and y + 5 between 100 and 400)")
+def text_in_region(spark, sf):
+    regions = spark.range(40).select(F.col("id").alias("image_id"), (F.col("id") * 10).alias("x"), F.lit(100).alias("y"), F.lit(200).alias("width"), F.lit(300).alias("height"))
+    return media.blocks_in_regions(_blocks(spark), regions).select("text")
+
+
+@query(f"""select image_id, line::int as line, string_agg(text, ' ' order by x, text) as text from (select *, sum(b) over (partition by image_id order by y, x, text rows unbounded preceding) as line from
+      (select *, coalesce((abs(y + 5 - lag(y + 5) over (partition by image_id order by y, x, text)) > 15)::int, 0) as b from ({_BLOCKS}))) group by 1, 2""")
+def ocr_lines(spark, sf):
+    return media.text_lines(_blocks(spark)).select("image_id", "line", "text")
+
+
+@query("""select by_, min(pos) as first, max(pos) as last, count(*) as size from (select *, pos - row_number() over (partition by by_ order by pos) as g from
+      (select range as pos, range // 1000 as by_, range // 7 * 7919 % 101 as value from range(10000)) where value < 60) group by by_, g having count(*) >= 3""")
+def low_variance_bands(spark, sf):
+    i = F.col("id")
+    profile = spark.range(10000).select(i.alias("pos"), F.floor(i / 1000).alias("by_"), (F.floor(i / 7) * 7919 % 101).alias("value"))
+    return media.low_bands(profile, by="by_", below=60, least=3)
+
+
+@query("""select range as video_id, array_to_string([round_even(i * (t - 1) / greatest(n - 1, 1)::double, 0)::int for i in range(0, n)], ',') as frames from
+      (select range, (range * 31 % 400 + 1)::int as t, least(greatest(least(round_even(range * 1.7, 0)::int, 60), 8), (range * 31 % 400 + 1)::int)::int as n from range(200))""")
+def frame_samples(spark, sf):
+    rows = spark.range(200).select(F.col("id").alias("video_id"), (F.col("id") * 31 % 400 + 1).cast("int").alias("t"), (F.col("id") * 1.7).alias("d"))
+    return rows.select("video_id", F.array_join(media.frame_indexes(F.col("t"), F.col("d")), ",").alias("frames"))
+
+
+@query("select image_id, x as pos, round(stddev_pop(v), 6) as value from (select range % 5 as image_id, range // 5 % 40 as x, range // 200 as y, range * 37 % 256 as v from range(6000)) group by 1, 2")
+def deviation_profile(spark, sf):
+    i = F.col("id")
+    pixels = spark.range(6000).select((i % 5).alias("image_id"), (F.floor(i / 5) % 40).alias("x"), F.floor(i / 200).alias("y"), (i * 37 % 256).alias("value"))
+    return media.deviation_profile(pixels, by="image_id", axis="x").select("image_id", "pos", F.round("value", 6).alias("value"))
+
+
+@query()
+def mask_regions(spark, sf):
+    masks = spark.range(6).select(F.col("id").alias("image_id"), F.lit(40).alias("width"), F.transform(F.sequence(F.lit(0), F.lit(1599)), lambda i: F.when(((i % 40) - 20) * ((i % 40) - 20) + (F.floor(i / 40) - 20) * (F.floor(i / 40) - 20) < F.col("id") * 50, 0.9).otherwise(0.1)).alias("cells"))
+    return media.mask_regions(masks).join(media.mask_summary(masks), "image_id")
+
+
+# --- Flows --------------------------------------------------------------------------------------------
+
+def _claims(spark, sf):
+    claims = tables.table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), tx.squeeze(F.col("text")).alias("claim"))
+    pages = _docs(spark, sf).select(F.concat(F.lit("https://"), "source", F.lit(".example.org/"), F.col("doc_id").cast("string")).alias("url"), "text")
+    terms = F.filter(tx.letters_tokens(F.col("text")), lambda w: F.length(w) >= 9)
+    return claims, flows.trusted_evidence_pages(claims, pages, _lists(spark), terms=terms)
+
+
+@query()
+def claim_check(spark, sf):
+    claims, pages = _claims(spark, sf)
+    seen, verdicts, verified = flows.check_claims(claims, pages)
+    return claims.select("claim_id").join(verdicts, "claim_id", "left").join(verified, "claim_id", "left").select("claim_id", F.coalesce("verdict", F.lit(C.NO_INFO)).alias("verdict"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "verified", "independent_sources", "statement")
+
+
+@query()
+def search_flow(spark, sf):
+    vectors = _vectors(spark, sf)
+    chunks = vectors.select(F.col("vec_id").alias("id"), "embedding").join(_pages(spark, sf).select(F.col("page_id").alias("id"), "url"), "id").join(_docs(spark, sf).select(F.col("doc_id").alias("id"), "text"), "id")
+    rated = trust.with_trust(chunks, "url", _lists(spark)).withColumns({"title": F.substring("text", 1, 60), "published": F.lit(AS_OF) - F.col("id") * 86400.0})
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return flows.search(asked, rated, AS_OF)
+
+
+@query()
+def index_flow(spark, sf):
+    pages = _pages(spark, sf)
+    stored = spark.createDataFrame([], "url string, content_hash string, indexed boolean")
+    return flows.index_pages(pages, stored).select("id", "url", "chunk_index", "text", "title", "domain")
+
+
+# --- Streams ------------------------------------------------------------------------------------------
+
+@query("select date_trunc('hour', ts) as start, date_trunc('hour', ts) + interval 1 hour as end_, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
+def windowed_counts(spark, sf):
+    events = tables.table(spark, sf, "events")
+    out = incremental.windowed_counts(events)
+    return out.select("start", F.col("end").alias("end_"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""select user_id, min(ts) as start, max(ts) + interval 30 minute as end_, count(*) as n from (select *, sum(b) over (partition by user_id order by ts, event_id rows unbounded preceding) as s from
+      (select *, coalesce((ts > lag(ts) over (partition by user_id order by ts, event_id) + interval 30 minute)::int, 0) as b from events)) group by user_id, s""")
+def session_counts(spark, sf):
+    return incremental.session_counts(tables.table(spark, sf, "events")).select("user_id", "start", F.col("end").alias("end_"), "n")
+
+
+@query("select substr(sha256(canonical), 1, 16) as fingerprint from (" + _CANONICAL + ") group by 1")
+def stream_seen_set(spark, sf):
+    """The seen set as a stream over the pages, run until all are read, into a table in memory."""
+    from ..sources.tables import table
+
+    schema = table(spark, sf, "pages").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_stream_folder(sf)).withColumn("url", ur.canonical_url(F.col("url")))
+    return _run_stream(spark, incremental.unseen_urls(stream.select("url")).select("fingerprint"), "seen_set")
+
+
+def _stream_folder(sf: str) -> str:
+    """A stream reads folders: the table's own, or the files named like it."""
+    return f"{sf}/pages.parquet*"
+
+
+def _run_stream(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
+    import uuid
+
+    _checkpoints(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").queryName(f"{name}_{uuid.uuid4().hex[:8]}").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
