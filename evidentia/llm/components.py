@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_io import cut_lineage
+from .spark_io import cut_lineage, fitted
+
+
+#: Edges that one task handles at least.
+PER_TASK = 100_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -21,16 +25,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     now = cut_lineage(edges.where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(now)
+    few = lambda df: fitted(df, before[0], PER_TASK)
     while before[0]:
+        now = few(now)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = few(few(both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")).distinct())
         least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
-        paired = large.join(least, F.col("u") == F.col("w"))
-        small = paired.select("u", F.col("m").alias("v")).unionByName(paired.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        now = cut_lineage(small)
+        paired = few(large.join(least, F.col("u") == F.col("w")))
+        small = paired.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
+        now = cut_lineage(few(small))
         after = _state(now)
         if after == before:
             break
         before = after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return cut_lineage(few(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())))

@@ -6,13 +6,14 @@ representatives that agree on one of ``BANDS`` bands of ``ROWS`` min-hashes. A p
 misses all bands with a probability of 1e-8, a pair above it with less; nothing else is approximate, as
 every link is confirmed on the whole sets.
 
-Links are found in two ways. Star rounds propose, for each representative, the block leader it meets
-most often, and merge what is confirmed, so a group of m copies costs m comparisons, not m * m. The
-full round then takes each block that still holds several components: its representatives form a
-signature tree, whose nodes hold the OR of the bitmaps, the range of sizes and the component below
-them. A dual traversal drops the node pairs whose largest possible overlap is too small for a link or
-which are one component already, and the pairs of leaves left are compared. As pairs inside a component
-cannot change it, components are those of all links.
+Links are found in three steps. A star round proposes, for each representative, the block leader it
+meets most often, and merges what is confirmed, so a group of m copies costs m comparisons, not m * m.
+Then each block that still holds several components is a signature tree, whose nodes hold the OR of the
+bitmaps, the range of sizes and the component below them. A dual traversal drops the node pairs whose
+largest possible overlap is too small for a link or which are one component already. Nearest rounds
+compare only the closest partner of each representative in another component; the full round compares
+every pair of leaves that is left. As pairs inside a component cannot change it, components are those of
+all links.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .spark_io import cut_lineage
+from .spark_io import cut_lineage, fitted
 from .textscan import NOT_SPACE, Words, mix, slices
 
 GRAM = 5
@@ -35,6 +36,8 @@ BANDS, ROWS = 48, 4
 FANOUT = 8
 #: Node pairs that are expanded at once, and members that one task compares with a leader.
 CHUNK, SALT = 65_536, 1_000
+#: Block entries, texts and pairs that one task handles at least.
+ENTRIES, TEXTS, PAIRS = 100_000, 5_000, 2_000
 
 _ROLL = np.uint64(0xA0761D6478BD642F | 1)
 _RNG = np.random.default_rng(977)
@@ -69,8 +72,8 @@ def set_key(tokens: np.ndarray) -> int:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """A bitmap of twice as many bits as tokens at least, a power of two and 64 or more."""
-    bits = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
+    """A bitmap of eight times as many bits as tokens at least, a power of two and 64 or more."""
+    bits = 1 << max(6, int(8 * len(tokens) - 1).bit_length())
     flags = np.zeros(bits, dtype=bool)
     flags[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(flags, bitorder="little").tobytes()
@@ -105,9 +108,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([set_key(s) for s in sets], pa.int64()),
                     pa.array([int(np.bitwise_xor.reduce(mix(s)).view(np.int64)) if len(s) else 0 for s in sets], pa.int64()),
                     pa.array(bands, pa.list_(pa.int64())),
-                    pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary()),
                 ],
-                names=["id", "n", "s", "x", "bands", "bits"],
+                names=["id", "n", "s", "x", "bands"],
             )
 
 
@@ -138,19 +140,19 @@ class SignatureTree:
         return nodes[own] * FANOUT + np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many), own
 
 
-def may_link(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray) -> np.ndarray:
-    """Whether any documents below nodes i and j can be linked and are not one component yet."""
+def may_link(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether any documents below nodes i and j can be linked and are not one component yet; the largest similarity possible."""
     lo_a, hi_a, hid_a, bit_a, part_a = (x[i] for x in a)
     lo_b, hi_b, hid_b, bit_b, part_b = (x[j] for x in b)
     most = np.bitwise_count(bit_a & bit_b).sum(axis=1).astype(np.int64) + np.minimum(hid_a, hid_b)
     most = np.minimum(most, np.minimum(hi_a, hi_b))
     ok = (100 + SIMILARITY) * most >= SIMILARITY * (lo_a + lo_b)
     ok &= (100 * hi_a >= SIMILARITY * lo_b) & (100 * hi_b >= SIMILARITY * lo_a)
-    return ok & ((part_a != part_b) | (part_a < 0))
+    return ok & ((part_a != part_b) | (part_a < 0)), most / np.maximum(1, lo_a + lo_b - most)
 
 
-def dual_traversal(x: SignatureTree, y: SignatureTree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of entries (of x, of y) that may be linked; of one tree with itself each pair once."""
+def dual_traversal(x: SignatureTree, y: SignatureTree) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of entries (of x, of y) that may be linked, with their largest possible similarity; of one tree with itself each pair once."""
     same = x is y
     top = max(len(x.levels), len(y.levels)) - 1
     stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
@@ -159,14 +161,14 @@ def dual_traversal(x: SignatureTree, y: SignatureTree) -> Iterator[tuple[np.ndar
         if len(i) > CHUNK:
             stack += [(k, i[:CHUNK], j[:CHUNK]), (k, i[CHUNK:], j[CHUNK:])]
             continue
-        keep = may_link(x.level(k), i, y.level(k), j)
+        keep, most = may_link(x.level(k), i, y.level(k), j)
         if same and k == 0:
             keep &= i < j
-        i, j = i[keep], j[keep]
+        i, j, most = i[keep], j[keep], most[keep]
         if not len(i):
             continue
         if k == 0:
-            yield x.order[i], y.order[j]
+            yield x.order[i], y.order[j], most
             continue
         ci, own = x.below(k - 1, i)
         cj, who = y.below(k - 1, j[own])
@@ -184,7 +186,7 @@ def _fold(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def block_pairs(n: np.ndarray, maps: list[bytes], part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def block_pairs(n: np.ndarray, maps: list[bytes], part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Entry pairs of a block that may be linked. Sizes of linked sets differ by a third at most, so their bitmaps by one doubling."""
     width = np.array([len(m) // 8 for m in maps])
     trees = {}
@@ -193,23 +195,33 @@ def block_pairs(n: np.ndarray, maps: list[bytes], part: np.ndarray) -> Iterator[
         trees[w] = at, np.frombuffer(b"".join(maps[i] for i in at), dtype=np.uint64).reshape(len(at), w)
     for w, (at, bits) in trees.items():
         tree = SignatureTree(n[at], bits, part[at])
-        for i, j in dual_traversal(tree, tree):
-            yield at[i], at[j]
+        for i, j, most in dual_traversal(tree, tree):
+            yield at[i], at[j], most
         if 2 * w in trees:
             more, wide = trees[2 * w]
-            for i, j in dual_traversal(tree, SignatureTree(n[more], _fold(wide, w), part[more])):
-                yield at[i], more[j]
+            for i, j, most in dual_traversal(tree, SignatureTree(n[more], _fold(wide, w), part[more])):
+                yield at[i], more[j], most
 
 
-def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, part, n, bits), sorted by key, to pairs (a, b) of nodes."""
+def _traverse(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, part, n, bits), sorted by key, to pairs (a, b, most) of nodes; with nearest, one for each node b at most."""
     held: list[pa.RecordBatch] = []
 
     def pairs(block: pa.Table) -> Iterator[pa.RecordBatch]:
         node = block.column("node").combine_chunks()
         part = np.unique([str(p) for p in block.column("part").to_pylist()], return_inverse=True)[1].astype(np.int64)
-        for i, j in block_pairs(block.column("n").to_numpy(), block.column("bits").to_pylist(), part):
-            yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], names=["a", "b"])
+        found = block_pairs(block.column("n").to_numpy(), block.column("bits").to_pylist(), part)
+        if nearest:
+            best, mate = np.full(len(part), -1.0), np.full(len(part), -1)
+            for i, j, most in found:
+                for x, y in ((i, j), (j, i)):
+                    np.maximum.at(best, x, most)
+                    top = most == best[x]
+                    mate[x[top]] = y[top]
+            on = np.flatnonzero(mate >= 0)
+            found = iter([(mate[on], on, best[on])] if len(on) else [])
+        for i, j, most in found:
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j)), pa.array(most)], names=["a", "b", "most"])
 
     for batch in batches:
         keys = batch.column(0).to_numpy()
@@ -230,13 +242,13 @@ def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (node, z): the compressed text under its representative's name."""
+    """(id, text) to (node, n, bits, z): set size, bitmap and compressed text under the representative's name."""
     for batch in batches:
         for first, last, data, offsets in slices(batch.column(1)):
-            keys = [set_key(s) for s in shingle_sets(Words(data, offsets, NOT_SPACE))]
+            sets = shingle_sets(Words(data, offsets, NOT_SPACE))
             texts = [zlib.compress(data[s:e].tobytes(), 1) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
-            node = pa.StructArray.from_arrays([batch.column(0).slice(first, last - first), pa.array(keys, pa.int64())], names=["id", "s"])
-            yield pa.RecordBatch.from_arrays([node, pa.array(texts, pa.binary())], names=["node", "z"])
+            node = pa.StructArray.from_arrays([batch.column(0).slice(first, last - first), pa.array([set_key(s) for s in sets], pa.int64())], names=["id", "s"])
+            yield pa.RecordBatch.from_arrays([node, pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array(texts, pa.binary())], names=["node", "n", "bits", "z"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,50 +274,63 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(pairs: DataFrame, texts: DataFrame, node: str) -> DataFrame:
     """The pairs (a, b) that are linked, as (u, v). Members of a leader are dealt out in salted groups of about SALT."""
-    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
-    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / SALT)).alias("salt"))
+    few = lambda df, n=pairs.count(): fitted(df, n, PAIRS)
+    hot = cut_lineage(few(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SALT)))
+    dealt = few(pairs.join(hot, "a", "left")).select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce(F.ceil(F.col("m") / SALT), F.lit(1))).alias("salt"))
     rows = dealt.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("node")).unionByName(dealt.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("node")))
-    full = rows.join(texts, "node").select("a", "salt", "role", "node", "z")
-    return full.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_compare, f"u {node}, v {node}")
+    full = few(rows.join(texts.select("node", "z"), "node")).select("a", "salt", "role", "node", "z")
+    return few(full.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")).mapInArrow(_compare, f"u {node}, v {node}")
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 1, nearest_rounds: int = 2) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the smallest id that links reach, itself included).
 
     Texts without words and null texts have an empty set and are linked with nothing. Rows of equal
     texts are linked. Rows that share an id but not a text are documents of their own. A null id sorts
-    before all others. An empty table gives an empty one; other columns are ignored.
+    before all others. An empty table gives an empty one; other columns are ignored. The numbers of
+    rounds change the work, not the result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     node = f"struct<id: {kind}, s: bigint>"
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = cut_lineage(plain.mapInArrow(_signatures, f"id {kind}, n bigint, s bigint, x bigint, bands array<bigint>, bits binary"))
+    signed = cut_lineage(plain.mapInArrow(_signatures, f"id {kind}, n bigint, s bigint, x bigint, bands array<bigint>"))
     # Equal sets are one class; its representative is its smallest (id, set key).
-    classes = signed.where("n > 0").groupBy("n", "s", "x").agg(F.min(F.struct("id", "s")).alias("node"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
-    classes = classes.select("n", "s", "x", "node", "bands", "bits")
+    classes = signed.where("n > 0").groupBy("n", "s", "x").agg(F.min(F.struct("id", "s")).alias("node"), F.first("bands").alias("bands")).select("n", "s", "x", "node", "bands")
     banded = classes.select("node", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    shared = cut_lineage(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"))
     blocks = cut_lineage(banded.join(shared, "key"))
-    met = blocks.select("node").distinct()
-    texts = cut_lineage(
-        plain.join(met.select(F.col("node.id").alias("nid")).distinct(), F.col("id").eqNullSafe(F.col("nid")), "left_semi").mapInArrow(_pack, f"node {node}, z binary").join(met, "node", "left_semi")
-    )
+    few = lambda df, n=blocks.count(): fitted(df, n, ENTRIES)
+    blocks = few(blocks)
+    met = cut_lineage(few(blocks.select("node").distinct()))
+    texts = plain.join(met.select(F.col("node.id").alias("nid")).distinct(), F.col("id").eqNullSafe(F.col("nid")), "left_semi")
+    texts = cut_lineage(texts.mapInArrow(_pack, f"node {node}, n bigint, bits binary, z binary").join(met, "node", "left_semi"))
+    texts = fitted(texts, met.count(), TEXTS)
     edges = docs.sparkSession.createDataFrame([], f"u {node}, v {node}")
-    parts = connected_components(edges)
+    parts = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+    def placed() -> DataFrame:
+        return few(blocks.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")))
+
+    def traversed(nearest: bool) -> DataFrame:
+        mixed = few(placed().groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("top")).where("low != top").select("key"))
+        entries = few(few(placed().join(mixed, "key")).join(texts.select("node", "n", "bits"), "node").select("key", "node", "part", "n", "bits"))
+        return few(entries.repartition("key").sortWithinPartitions("key")).mapInArrow(lambda it: _traverse(it, nearest), f"a {node}, b {node}, most double")
+
     for _ in range(star_rounds):
-        placed = blocks.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-        heads = placed.groupBy("key").agg(F.min(F.struct("part", "node")).alias("head"), F.max("part").alias("top")).where("head.part != top").select("key", "head")
-        meets = placed.join(heads, "key").where("part != head.part").groupBy("node", F.col("head.node").alias("head")).agg(F.count(F.lit(1)).alias("m"))
-        best = meets.groupBy("node").agg(F.max(F.struct("m", "head")).alias("best")).select(F.col("best.head").alias("a"), F.col("node").alias("b"))
+        heads = few(placed().groupBy("key").agg(F.min(F.struct("part", "node")).alias("head"), F.max("part").alias("top")).where("head.part != top").select("key", "head"))
+        meets = few(placed().join(heads, "key").where("part != head.part")).groupBy("node", F.col("head.node").alias("head")).agg(F.count(F.lit(1)).alias("m"))
+        best = cut_lineage(few(meets.groupBy("node").agg(F.max(F.struct("m", "head")).alias("best")).select(F.col("best.head").alias("a"), F.col("node").alias("b"))))
+        edges = edges.unionByName(cut_lineage(_confirm(best, texts, node)))
+        parts = connected_components(edges)
+    for _ in range(nearest_rounds):
+        best = cut_lineage(few(traversed(nearest=True).groupBy("b").agg(F.max(F.struct("most", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")))
         fresh = cut_lineage(_confirm(best, texts, node))
+        if fresh.isEmpty():
+            break
         edges = edges.unionByName(fresh)
         parts = connected_components(edges)
-    placed = blocks.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("top")).where("low != top").select("key")
-    entries = placed.join(mixed, "key").join(classes.select("node", "n", "bits"), "node").select("key", "node", "part", "n", "bits")
-    found = entries.repartition("key").sortWithinPartitions("key").mapInArrow(_traverse, f"a {node}, b {node}")
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = edges.unionByName(_confirm(found, texts, node))
+    found = cut_lineage(few(traversed(nearest=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    edges = edges.unionByName(cut_lineage(_confirm(found, texts, node)))
     parts = connected_components(edges)
     named = classes.select("n", "s", "x", "node").join(parts, "node", "left").select("n", "s", "x", F.coalesce("component", "node").getField("id").alias("component_id"))
     full = signed.where("n > 0").select("id", "n", "s", "x").join(named, ["n", "s", "x"])
@@ -314,6 +339,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest id. Columns as in docs."""
-    stay = jaccard_components(docs, id_col=id_col, text_col=text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("__stay")), "left_semi").dropDuplicates([id_col])
+    """docs with one row of each component: that of the smallest id. Of rows that share this id one stays. Columns as in docs."""
+    stay = jaccard_components(docs, id_col=id_col, text_col=text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    stay = cut_lineage(stay.groupBy(F.col(id_col).alias("__stay")).agg(F.count(F.lit(1)).alias("__m")))
+    left = docs.join(stay.select("__stay"), docs[id_col].eqNullSafe(F.col("__stay")), "left_semi")
+    return left if stay.where("__m > 1").isEmpty() else left.dropDuplicates([id_col])

@@ -17,12 +17,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Makes Spark delete the shuffle files of an execution when it ends; they are of no use once its result is in the checkpoint folder.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df computed once and read back from the checkpoint folder: lost executors cost no recomputation of what came before."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
 
 
 def stage_folder(spark: SparkSession) -> str:
     """A new folder name below the checkpoint folder, for tables written between the stages of one run."""
     return f"{checkpoint_dir(spark)}/stages-{uuid.uuid4().hex}"
+
+
+def fitted(df: DataFrame, rows: int, per_task: int) -> DataFrame:
+    """df in about rows / per_task tasks where that is fewer than it has: a table that has shrunk needs no task for each shuffle partition."""
+    return df.coalesce(max(1, -(-rows // per_task)))

@@ -42,7 +42,13 @@ def test_jaccard_repeated_and_null_ids(spark):
 
 def test_jaccard_links_found_by_the_full_round_alone(spark, real):
     texts = NEAR + [t for _, t in real]
-    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs_of(spark, texts), star_rounds=0).collect()}
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs_of(spark, texts), star_rounds=0, nearest_rounds=0).collect()}
+    assert got == {i: c for i, (_, c) in enumerate(brute.op9(texts))}
+
+
+def test_jaccard_nearest_rounds(spark, real):
+    texts = NEAR + [t for _, t in real]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs_of(spark, texts), star_rounds=0, nearest_rounds=3).collect()}
     assert got == {i: c for i, (_, c) in enumerate(brute.op9(texts))}
 
 
@@ -59,7 +65,7 @@ def test_signature_tree_keeps_every_possible_link():
         base = rng.integers(0, 1 << 63, int(rng.integers(3, 200)), dtype=np.uint64)
         sets += [np.unique(base), np.unique(np.where(rng.random(len(base)) < 0.08, rng.integers(0, 1 << 63, len(base), dtype=np.uint64), base))]
     n, maps = np.array([len(s) for s in sets]), [jaccard.bitmap(s) for s in sets]
-    found = {tuple(sorted(p)) for i, j in jaccard.block_pairs(n, maps, np.arange(len(sets))) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    found = {tuple(sorted(p)) for i, j, _ in jaccard.block_pairs(n, maps, np.arange(len(sets))) for p in zip(i.tolist(), j.tolist(), strict=True)}
     for a in range(len(sets)):
         for b in range(a + 1, len(sets)):
             both = len(np.intersect1d(sets[a], sets[b]))
