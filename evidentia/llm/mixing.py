@@ -12,10 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spark_io import cut_lineage
+
 #: Largest mean that is inverted in one piece.
 MAX_MEAN = 8.0
 #: Terms of the distribution function kept for a mean up to MAX_MEAN; the rest is below 2**-60.
 TERMS = 48
+#: Most sources whose rates are broadcast (about 0.5 KB each); beyond it the join is left to Spark, which splits hot partitions.
+BROADCAST_SOURCES = 20_000
 
 
 def unit_hash(seed: int, *parts: Column) -> Column:
@@ -49,10 +53,9 @@ def source_rates(docs: DataFrame, *, source_col: str = "source", weights: DataFr
     else:
         given = weights.groupBy(F.col("source").alias("s2")).agg(F.max(F.greatest(F.col("weight").cast("double"), F.lit(0.0))).alias("weight"))
         w = n.join(given, n["source"].eqNullSafe(given["s2"]), "left").drop("s2").fillna(0.0, ["weight"])
-    sums = w.agg(F.sum("weight").alias("all_w"), F.sum("n").alias("all_n"))
-    want = F.lit(float(total)) if total is not None else F.col("all_n").cast("double")
-    # sums is one row by construction, so this join only attaches two scalars to each source.
-    rated = w.join(F.broadcast(sums)).withColumn("rate", F.when(F.col("all_w") > 0, want * F.col("weight") / (F.col("n") * F.col("all_w"))).otherwise(F.lit(0.0)))
+    all_weight = F.coalesce(w.agg(F.sum("weight")).scalar(), F.lit(0.0))
+    want = F.lit(float(total)) if total is not None else w.agg(F.sum("n")).scalar().cast("double")
+    rated = w.withColumn("rate", F.when(all_weight > 0, want * F.col("weight") / (F.col("n") * all_weight)).otherwise(F.lit(0.0)))
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_MEAN)).cast("int")
     return rated.withColumn("parts", parts).withColumn("cdf", poisson_terms(F.col("rate") / F.col("parts"))).select("source", "n", "rate", "parts", "cdf")
 
@@ -82,10 +85,12 @@ def mix_sources(
     [0, 2**52), so partition k of n takes the k-th n-th of its range and no sampling pass is needed.
     Rows of the same id and source get the same count; a null id counts as one id; an empty table gives
     an empty one. Columns of docs named copy or shuffle_key are replaced.
-    The one table that is joined has a row for each source; Spark broadcasts it below its own size limit
-    and else splits the hot partitions of a sort-merge join.
+    The one table that is joined has a row for each source. It is counted first and broadcast up to
+    BROADCAST_SOURCES rows, so that texts move once, to their place in the order.
     """
-    rates = source_rates(docs, source_col=source_col, weights=weights, alpha=alpha, total=total).select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
+    rates = cut_lineage(source_rates(docs, source_col=source_col, weights=weights, alpha=alpha, total=total).select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf")))
+    if rates.count() <= BROADCAST_SOURCES:
+        rates = F.broadcast(rates)
     kept = docs.drop(*[c for c in docs.columns if c in ("copy", "shuffle_key")])
     counted = (
         kept.join(rates, kept[source_col].eqNullSafe(F.col("__source")))
