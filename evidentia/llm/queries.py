@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, mixing, qda, rules, secrets, suffixdedup, toxicity
+from . import chat, decontam, jaccard, langid, mixing, oracles, qda, rules, secrets, suffixdedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,4 +77,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_signature_trees": op9_signature_trees,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {}
+
+ORACLES: dict[str, str] = oracles.ORACLES
