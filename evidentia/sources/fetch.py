@@ -39,7 +39,7 @@ def parallel_fetch(urls: DataFrame, get: Callable[[str], dict], *, workers: int
                     except Exception as e:
                         row["error"] = str(e)
                 rows.append(row)
-            yield pd.DataFrame(rows, columns=DOWNLOAD.fieldNames())
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in DOWNLOAD.split(", ")])
 
     return urls.select("url").repartition(workers).mapInPandas(run, DOWNLOAD)
 
