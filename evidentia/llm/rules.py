@@ -115,14 +115,13 @@ def choose_cutoffs(good: DataFrame, *, stratum_col: str = "stratum", alpha: floa
     counts = good.groupBy(F.col(stratum_col).alias("stratum")).agg(
         F.count(F.lit(1)).alias("n"), *[beyond(stat, sign, c).alias(f"k{r}_{j}") for r, (_, stat, sign, cuts) in enumerate(RULES) for j, c in enumerate(cuts)]
     )
-    several = counts.agg(F.count(F.lit(1)).alias("m"))
-    tested = counts.join(F.broadcast(several))  # one row: the number of strata
+    several = counts.agg(F.count(F.lit(1))).scalar()
     chosen = []
     for r, (_, _, _, cuts) in enumerate(RULES):
-        tests = F.array(*[F.struct(F.lit(c).alias("c"), (binomial_tail(F.col(f"k{r}_{j}"), F.col("n"), rate) <= F.lit(delta / len(RULES)) / F.col("m")).alias("ok")) for j, c in enumerate(cuts)])
+        tests = F.array(*[F.struct(F.lit(c).alias("c"), (binomial_tail(F.col(f"k{r}_{j}"), F.col("n"), rate) <= F.lit(delta / len(RULES)) / F.col("__strata")).alias("ok")) for j, c in enumerate(cuts)])
         walk = F.aggregate(tests, F.struct(F.lit(True).alias("on"), F.lit(None).cast("double").alias("c")), lambda a, t: F.struct((a["on"] & t["ok"]).alias("on"), F.when(a["on"] & t["ok"], t["c"]).otherwise(a["c"]).alias("c")), lambda a: a["c"])
         chosen.append(walk)
-    return tested.select("stratum", F.array(*chosen).alias("cutoffs"))
+    return counts.withColumn("__strata", several).select("stratum", F.array(*chosen).alias("cutoffs"))
 
 
 def rejected(cutoffs: Column) -> Column:
