@@ -272,14 +272,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(3).take(at), batch.column(0).take(at)], names=["u", "v"])
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, node: str) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame, n_texts: int, node: str) -> DataFrame:
     """The pairs (a, b) that are linked, as (u, v). Members of a leader are dealt out in salted groups of about SALT."""
-    few = lambda df, n=pairs.count(): fitted(df, n, PAIRS)
+    n_pairs = pairs.count()
+    few = lambda df: fitted(df, n_pairs, PAIRS)
+    # Where texts are read, tasks follow their number too: few pairs may need texts from anywhere.
+    wide = lambda df: df.coalesce(max(1, -(-n_pairs // PAIRS), -(-n_texts // TEXTS)))
     hot = cut_lineage(few(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SALT)))
     dealt = few(pairs.join(hot, "a", "left")).select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce(F.ceil(F.col("m") / SALT), F.lit(1))).alias("salt"))
     rows = dealt.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("node")).unionByName(dealt.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("node")))
-    full = few(rows.join(texts.select("node", "z"), "node")).select("a", "salt", "role", "node", "z")
-    return few(full.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")).mapInArrow(_compare, f"u {node}, v {node}")
+    full = wide(rows.join(texts.select("node", "z"), "node")).select("a", "salt", "role", "node", "z")
+    return wide(full.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")).mapInArrow(_compare, f"u {node}, v {node}")
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 1, nearest_rounds: int = 2) -> DataFrame:
@@ -304,7 +307,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     met = cut_lineage(few(blocks.select("node").distinct()))
     texts = plain.join(met.select(F.col("node.id").alias("nid")).distinct(), F.col("id").eqNullSafe(F.col("nid")), "left_semi")
     texts = cut_lineage(texts.mapInArrow(_pack, f"node {node}, n bigint, bits binary, z binary").join(met, "node", "left_semi"))
-    texts = fitted(texts, met.count(), TEXTS)
+    n_texts = met.count()
+    texts = fitted(texts, n_texts, TEXTS)
     edges = docs.sparkSession.createDataFrame([], f"u {node}, v {node}")
     parts = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
@@ -320,17 +324,17 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         heads = few(placed().groupBy("key").agg(F.min(F.struct("part", "node")).alias("head"), F.max("part").alias("top")).where("head.part != top").select("key", "head"))
         meets = few(placed().join(heads, "key").where("part != head.part")).groupBy("node", F.col("head.node").alias("head")).agg(F.count(F.lit(1)).alias("m"))
         best = cut_lineage(few(meets.groupBy("node").agg(F.max(F.struct("m", "head")).alias("best")).select(F.col("best.head").alias("a"), F.col("node").alias("b"))))
-        edges = edges.unionByName(cut_lineage(_confirm(best, texts, node)))
+        edges = edges.unionByName(cut_lineage(_confirm(best, texts, n_texts, node)))
         parts = connected_components(edges)
     for _ in range(nearest_rounds):
         best = cut_lineage(few(traversed(nearest=True).groupBy("b").agg(F.max(F.struct("most", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")))
-        fresh = cut_lineage(_confirm(best, texts, node))
+        fresh = cut_lineage(_confirm(best, texts, n_texts, node))
         if fresh.isEmpty():
             break
         edges = edges.unionByName(fresh)
         parts = connected_components(edges)
     found = cut_lineage(few(traversed(nearest=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
-    edges = edges.unionByName(cut_lineage(_confirm(found, texts, node)))
+    edges = edges.unionByName(cut_lineage(_confirm(found, texts, n_texts, node)))
     parts = connected_components(edges)
     named = classes.select("n", "s", "x", "node").join(parts, "node", "left").select("n", "s", "x", F.coalesce("component", "node").getField("id").alias("component_id"))
     full = signed.where("n > 0").select("id", "n", "s", "x").join(named, ["n", "s", "x"])

@@ -29,6 +29,8 @@ SAMPLE, SAMPLE_WORDS = 400, 150
 TABLE_BITS = 17
 EPOCHS = 6
 BLOCK = 64
+#: Bytes of text that are labelled at once: a word has about fifteen features, each with a row of weights.
+SLICE = 400_000
 UNKNOWN = "und"
 
 
@@ -244,7 +246,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def predict(own: Field, texts: pa.Array, some: np.ndarray, spans: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, list]]:
     """(first row, last row + 1, best label numbers, scores, shares, spans) for slices of lower-cased texts; the number after the last label is ``und``."""
     k = len(own.labels)
-    for first, last, data, offsets in slices(texts):
+    for first, last, data, offsets in slices(texts, SLICE):
         n = last - first
         best, score, shares, runs = np.full(n, k), np.zeros(n), np.zeros((n, k)), [[] for _ in range(n)]
         if k:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 #: Odd multiplier of the polynomial hashes modulo 2**64, its inverse, and a seed for the byte values.
 BASE = 0x9E3779B97F4A7C15 | 1
