@@ -34,8 +34,10 @@ from .textscan import Words, mix, prefix_hashes, range_hashes, slices
 SAMPLE, SAMPLE_CLEAN, SAMPLE_CHARS = 1_500, 3_000, 10_000
 #: Lengths in bytes of the word beginnings that are learned.
 STEMS = (4, 5, 6, 7)
-#: Least log-odds and least log-likelihood ratio (against chance, over very many candidates) of a learned entry; words that a negation reaches.
-LEAST_ODDS, LEAST_RATIO, REACH = 1.5, 14.0, 3
+#: Least log-odds of a learned entry, what its log-likelihood ratio needs beyond chance among all candidates (Bonferroni), and words that a negation reaches.
+LEAST_ODDS, MARGIN, REACH = 1.8, 2.0, 3
+#: A word counts so many times in a text's sums: repetition of one word says little more.
+REPEATS = 2
 
 #: The base lexicon.
 INSULTS = "idiot idiots moron morons stupid dumb loser losers pathetic worthless scum trash clown disgusting imbecile fool fools jerk garbage vermin filth idiota imbécil estúpido basura idiote imbécile ordure débile dummkopf abschaum trottel".split()
@@ -91,7 +93,7 @@ def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def matches(grammar: Grammar, words: Words) -> tuple[np.ndarray, list[tuple[int, int, int, float]]]:
-    """[documents, kinds] summed match weights, and the matches: (first word of the clause, word, kind, weight)."""
+    """[documents, kinds] summed match weights, each word REPEATS times at most, and all matches: (first word of the clause, word, kind, weight)."""
     docs = len(words.first) - 1
     sums = np.zeros((docs, len(KINDS)))
     out: list[tuple[int, int, int, float]] = []
@@ -112,9 +114,13 @@ def matches(grammar: Grammar, words: Words) -> tuple[np.ndarray, list[tuple[int,
     begin = np.flatnonzero(cut)
     stop = np.append(begin[1:], len(clause))
     hot = np.unique(np.searchsorted(begin, np.flatnonzero((symbol == INSULT) | (symbol == THREAT)), side="right") - 1)
+    seen: dict[tuple[int, int], int] = {}
     for s, e in zip(begin[hot].tolist(), stop[hot].tolist(), strict=True):
         for word, kind, w in clause_matches(symbol[s:e].tolist(), weight[s:e].tolist()):
-            sums[doc[s], kind] += w
+            name = (int(doc[s]), int(entries[s + word, 0]))
+            seen[name] = seen.get(name, 0) + 1
+            if seen[name] <= REPEATS:
+                sums[doc[s], kind] += w
             out.append((s, s + word, kind, w))
     return sums, out
 
@@ -163,7 +169,7 @@ def learn_lexicon(texts: list[str], y: np.ndarray) -> Grammar:
         both = df1 + df0
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = 2 * (np.nan_to_num(df1 * np.log(df1 * len(y) / (both * n1))) + np.nan_to_num(df0 * np.log(df0 * len(y) / (both * n0))))
-        good = (odds >= LEAST_ODDS) & (ratio >= LEAST_RATIO)
+        good = (odds >= LEAST_ODDS) & (ratio >= 2 * np.log(max(2, len(table))) + MARGIN)
         slot = _member(np.array(list(fixed), dtype=np.uint64), table)
         known = {k: (odds[i], both[i]) for k, i in zip(fixed, slot.tolist(), strict=True) if i >= 0}
         fixed = {k: (max(0.0, known[k][0]) if k in known and known[k][1] >= 20 else w) for k, w in fixed.items()}
