@@ -22,6 +22,8 @@ from .spark_io import cut_lineage
 
 #: Shares of the pooled covariance and of the scaled identity in a class covariance.
 POOL, RIDGE = 0.3, 0.05
+#: Characters, words or lines of usual text that every share starts from.
+SHORT = 20.0
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SYMBOLS = "#*$%&|<>=~^_\\@{}[]+"
 
@@ -37,25 +39,27 @@ def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     lines = F.filter(F.split(text, "\n"), lambda x: x != "")
     base = docs.select(F.col(id_col).alias("id"), text.alias("t"), words.alias("w"), lines.alias("l"))
     n, nw, nl = F.length("t").cast("double"), F.size("w").cast("double"), F.size("l").cast("double")
-    per_char = lambda c: c / F.greatest(n, F.lit(1.0))
-    per_word = lambda c: c / F.greatest(nw, F.lit(1.0))
-    share = lambda c: F.log((c + 0.005) / (1.005 - F.least(c, F.lit(1.0))))  # noqa: E731  a smoothed logit
+    # Shares lean on a usual value as if SHORT more units had been seen, so that a short text is not extreme by chance.
+    share = lambda c, of, usual: F.log((c + SHORT * usual + 0.005 * of) / (of * 1.005 + SHORT - F.least(c + SHORT * usual, of + SHORT) + 0.005 * SHORT))  # noqa: E731  a smoothed logit
     distinct = F.size(F.array_distinct("w")).cast("double")
     heavy = F.size(F.filter("w", lambda w: F.length(w) >= 15)).cast("double")
     letters_last = F.size(F.filter("w", lambda w: w.rlike(r"[.,;:!?]$"))).cast("double")
+    doubled = F.size(F.filter(F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.lower(a) == F.lower(b)), lambda x: x)).cast("double")
+    t = F.col("t")
     stats = [
-        F.log1p(nw),
-        F.log1p(per_word(n)),
-        share(per_char(_without(F.col("t"), SYMBOLS))),
-        share(per_char(_without(F.col("t"), CAPITALS))),
-        share(per_char(_without(F.col("t"), "0123456789"))),
-        share(per_char(_without(F.col("t"), "!?"))),
-        share(per_char(_without(F.col("t"), ".,;:"))),
-        share(per_char(_without(F.col("t"), "\n"))),
-        share(1 - F.when(nw > 0, distinct / nw).otherwise(F.lit(0.0))) - F.log1p(nw) * 0.1,
-        share(1 - F.when(nl > 0, F.size(F.array_distinct("l")) / nl).otherwise(F.lit(0.0))),
-        share(per_word(heavy)),
-        share(per_word(letters_last)),
+        F.log1p(nw) * 0.5,
+        F.log1p((n + 6 * SHORT) / (nw + SHORT)),
+        share(_without(t, SYMBOLS), n, 0.0),
+        share(_without(t, CAPITALS), n, 0.02),
+        share(_without(t, "0123456789"), n, 0.0),
+        share(_without(t, "!?"), n, 0.0),
+        share(_without(t, ".,;:"), n, 0.02),
+        share(_without(t, "\n"), n, 0.003),
+        share(nw - distinct, nw, 0.3),
+        share(nl - F.size(F.array_distinct("l")), nl, 0.0),
+        share(heavy, nw, 0.02),
+        share(letters_last, nw, 0.1),
+        share(doubled, nw, 0.0),
     ]
     return base.select("id", F.array(*stats).alias("x"))
 
