@@ -40,7 +40,7 @@ def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     base = docs.select(F.col(id_col).alias("id"), text.alias("t"), words.alias("w"), lines.alias("l"))
     n, nw, nl = F.length("t").cast("double"), F.size("w").cast("double"), F.size("l").cast("double")
     # Shares lean on a usual value as if SHORT more units had been seen, so that a short text is not extreme by chance.
-    share = lambda c, of, usual: F.log((c + SHORT * usual + 0.005 * of) / (of * 1.005 + SHORT - F.least(c + SHORT * usual, of + SHORT) + 0.005 * SHORT))  # noqa: E731  a smoothed logit
+    share = lambda c, of, usual: F.log((c + SHORT * usual + 0.005 * (of + SHORT)) / ((of + SHORT) * 1.005 - F.least(c + SHORT * usual, of + SHORT)))  # noqa: E731  a smoothed logit
     distinct = F.size(F.array_distinct("w")).cast("double")
     heavy = F.size(F.filter("w", lambda w: F.length(w) >= 15)).cast("double")
     letters_last = F.size(F.filter("w", lambda w: w.rlike(r"[.,;:!?]$"))).cast("double")
