@@ -321,7 +321,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("sig", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))).select("id", "sig", "text")
     runs = plain.where(F.octet_length("text") >= WIDTH).mapInArrow(_runs, f"a bigint, s bigint, id {kind}, sig bigint, pos bigint")
-    again = runs.groupBy(F.col("a").alias("k")).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k")
+    # Kept as a table of its own, so that both sides of the join are plain exchanges and Spark can split a hot anchor's runs.
+    again = cut_lineage(runs.groupBy(F.col("a").alias("k")).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k"))
     met = cut_lineage(runs.join(again, F.col("a") == F.col("k")).drop("k"))
     # first() takes all three columns from one row; any run of its kind will do.
     whole = cut_lineage(met.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.first("id").alias("i"), F.first("sig").alias("g"), F.first("pos").alias("pos")))
