@@ -123,3 +123,27 @@ def mask_summary(masks: DataFrame, *, key: str = "image_id", threshold: float =
     """(key, coverage_pct, max_confidence, forged) by expressions over the cells."""
     hot = F.size(F.filter("cells", lambda c: c > threshold))
     return masks.select(key, (100.0 * hot / F.size("cells")).alias("coverage_pct"), F.array_max("cells").alias("max_confidence"), (hot > 0).alias("forged"))
+
+
+def decode_image(content: Column) -> Column:
+    """struct(width, height, grey) of a picture, upright, alpha over white; null where it can't be decoded or no imaging library is there."""
+
+    @F.pandas_udf("width int, height int, grey array<double>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        try:
+            from PIL import Image, ImageOps
+        except ImportError:
+            return pd.DataFrame([(None, None, None)] * len(s), columns=["width", "height", "grey"])
+        import io
+
+        rows = []
+        for raw in s:
+            try:
+                picture = ImageOps.exif_transpose(Image.open(io.BytesIO(raw))).convert("RGBA")
+                flat = Image.alpha_composite(Image.new("RGBA", picture.size, "white"), picture).convert("L")
+                rows.append((*flat.size, np.asarray(flat, dtype=float).ravel().tolist()))
+            except Exception:  # a broken file is a null, not a failed job
+                rows.append((None, None, None))
+        return pd.DataFrame(rows, columns=["width", "height", "grey"])
+
+    return run(content)

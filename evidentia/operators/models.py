@@ -63,6 +63,9 @@ class ModelBackend:
     is_claim: Callable[[list[str]], list[bool]] = field(default=lambda texts: [True] * len(texts))
     classify_image: Callable[[list[bytes]], list[tuple[float, float]]] = field(default=lambda images: [(0.5, 0.5)] * len(images))
     entities: Callable[[list[str]], list[list[str]]] = field(default=lambda texts: [[] for _ in texts])
+    segment: Callable[[list[bytes]], list[tuple[int, list[float]]]] = field(default=lambda images: [(1, [0.0])] * len(images))
+    read_text: Callable[[list[bytes]], list[list[dict]]] = field(default=lambda images: [[] for _ in images])
+    complete: Callable[[list[str]], list[str]] = field(default=lambda prompts: [""] * len(prompts))
 
 
 DEFAULT = ModelBackend()
@@ -143,3 +146,48 @@ def classify_image(content: Column, model: ModelBackend = DEFAULT) -> Column:
         return pd.DataFrame(call(s.tolist()), columns=["p_real", "p_fake"])
 
     return run(content)
+
+
+def segment(content: Column, model: ModelBackend = DEFAULT) -> Column:
+    """struct(width, cells): the forgery mask of a picture, row by row."""
+    call = model.segment
+
+    @F.pandas_udf("width int, cells array<double>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(call(s.tolist()), columns=["width", "cells"])
+
+    return run(content)
+
+
+def read_text(content: Column, model: ModelBackend = DEFAULT, least: float = 0.3) -> Column:
+    """array of struct(text, confidence, x, y, w, h): the text blocks of a picture above the confidence."""
+    call = model.read_text
+
+    @F.pandas_udf("array<struct<text: string, confidence: double, x: int, y: int, w: int, h: int>>")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series(call(s.tolist()))
+
+    return F.filter(run(content), lambda b: b["confidence"] > least)
+
+
+def entities(text: Column, model: ModelBackend = DEFAULT) -> Column:
+    """Named entities in lower case, each once, without single characters and mere numbers."""
+    call = model.entities
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series(call(s.fillna("").tolist()))
+
+    found = F.transform(run(text), lambda e: F.trim(F.lower(e)))
+    return F.array_distinct(F.filter(found, lambda e: (F.length(e) > 1) & ~F.replace(e, F.lit(" "), F.lit("")).rlike(r"^\d+$")))
+
+
+def complete(prompt: Column, model: ModelBackend = DEFAULT) -> Column:
+    """What a language model answers to a prompt."""
+    call = model.complete
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series(call(s.fillna("").tolist()))
+
+    return run(prompt)

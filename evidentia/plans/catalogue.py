@@ -12,7 +12,7 @@ from ..functions import text as tx
 from ..functions import trust as tr
 from ..functions import urls as ur
 from ..functions import vectors as ve
-from ..operators import chunking, crawl, evaluation, html, media, models, ranking, store, trust, verdict
+from ..operators import chunking, crawl, evaluation, expansion, html, media, models, ranking, store, trust, verdict
 from ..sources import fetch, tables
 from ..streaming import incremental
 from . import flows
@@ -227,6 +227,35 @@ def link_keyword_score(spark, sf):
     return _pages(spark, sf).select("page_id", F.round(tx.keyword_overlap(F.col("html"), terms), 9).alias("score"))
 
 
+@query("select doc_id, substr(sha256(text), 1, 32) as content_hash, 'emb:' || md5(text) as cache_key, substr(sha256(source || '#' || doc_id), 1, 32) as chunk_id from documents")
+def text_hashes(spark, sf):
+    t = F.col("text")
+    return _docs(spark, sf).select("doc_id", ur.content_hash(t).alias("content_hash"), ur.cache_key(t).alias("cache_key"), ur.chunk_id(F.col("source"), F.col("doc_id")).alias("chunk_id"))
+
+
+@query("select doc_id, md5(array_to_string(list_distinct_ordered, '|')) as terms from (select doc_id, [w[i] for i in range(1, len(w) + 1) if list_position(w, w[i]) = i] as list_distinct_ordered from (select doc_id, [x for x in regexp_split_to_array(lower(substr(text, 1, 400)), '\\s+') if length(x) > 2] as w from documents))")
+def query_terms(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.md5(F.array_join(tx.query_terms(F.substring("text", 1, 400)), "|")).alias("terms"))
+
+
+@query("""select doc_id, md5(array_to_string([w[i] for i in range(1, len(w) + 1) if list_position(w, w[i]) = i], '|')) as terms from (select doc_id, [x for x in [lower(y) for y in regexp_extract_all(substr(text, 1, 400), '[A-Za-z0-9][A-Za-z0-9\\-]+')]
+      if not regexp_matches(x, '^\\d+$') and (length(x) >= 3 or regexp_matches(x, '[0-9]'))] as w from documents)""")
+def keyword_tokens(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.md5(F.array_join(tx.keyword_tokens(F.substring("text", 1, 400)), "|")).alias("terms"))
+
+
+@query("select doc_id, nullif(trim(regexp_replace(regexp_replace(substr(text, 1, 200), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}\\s\\-'']', ' ', 'g'), '\\s{2,}', ' ', 'g')), '') as normalised from documents")
+def query_normalise(spark, sf):
+    return _docs(spark, sf).select("doc_id", tx.normalise_query(F.substring("text", 1, 200)).alias("normalised"))
+
+
+@query("select 'big fast car' as query, 'huge|large|quick' as expanded union all select 'none', ''")
+def synonym_expansion(spark, sf):
+    asked = spark.createDataFrame([("big fast car",), ("none",)], "query string")
+    synonyms = spark.createDataFrame([("fast", "quick"), ("big", "large"), ("big", "huge"), ("car", "auto"), ("fast", "large")], "term string, synonym string")
+    return expansion.expand_by_synonyms(asked, synonyms, most=3).select("query", F.array_join("expanded_terms", "|").alias("expanded"))
+
+
 # --- HTML ---------------------------------------------------------------------------------------------
 
 @query("""select page_id, (i - 1)::int as pos, hrefs[i] as href from (select page_id, hrefs, unnest(range(1, len(hrefs) + 1)) as i from (select page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) as hrefs from pages))""")
@@ -446,6 +475,22 @@ def metadata_upsert_latest(spark, sf):
     return store.upsert(events.where("event_id % 2 = 0").limit(0), events, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
+@query("select page_id, url from pages where page_id % 2 <> 0 or page_id % 4 = 0")
+def robots_allowed(spark, sf):
+    """Even pages live under /private, every fourth under the longer rule that allows it again."""
+    pages = _pages(spark, sf).withColumn("url", F.when(F.col("page_id") % 4 == 0, "http://h.org/private/ok/").when(F.col("page_id") % 2 == 0, "http://h.org/private/").otherwise("http://h.org/"))
+    links = pages.select("page_id", F.concat("url", F.col("page_id").cast("string")).alias("url"), F.lit("h.org").alias("domain"))
+    rules = fetch.robots_rules(spark.createDataFrame([("h.org", "User-agent: *\nDisallow: /private\nAllow: /private/ok")], "domain string, text string"))
+    real = _pages(spark, sf).select("page_id", F.col("url").alias("real"))
+    return fetch.allowed_by_robots(links, rules).join(real, "page_id").select("page_id", F.col("real").alias("url"))
+
+
+@query("select count(*) as pages, count(*) filter (quality = 1) as indexed, count(*) filter (toxic = 1) as failed, avg(doc_id % 5)::double as mean_depth from labels")
+def store_counters(spark, sf):
+    labels = tables.table(spark, sf, "labels")
+    return store.counters(labels.select((F.col("quality") == 1).alias("indexed"), F.when(F.col("toxic") == 1, 500).otherwise(200).alias("http_status"), (F.col("doc_id") % 5).alias("depth")))
+
+
 @query("select event_id, event_type from events order by ts desc, event_id limit 25")
 def recent_rows(spark, sf):
     return store.recent(tables.table(spark, sf, "events"), 25, time_col="ts", tie_col="event_id").select("event_id", "event_type")
@@ -555,6 +600,22 @@ def deviation_profile(spark, sf):
     return media.deviation_profile(pixels, by="image_id", axis="x").select("image_id", "pos", F.round("value", 6).alias("value"))
 
 
+@query("select range as image_id, 'x' || range as content, (case range % 3 when 0 then '.png' when 1 then '.jpg' else '.webp' end) as extension from range(30)")
+def data_urls(spark, sf):
+    kind = F.when(F.col("id") % 3 == 0, "image/unknown").when(F.col("id") % 3 == 1, "image/jpeg").otherwise("image/webp")
+    made = spark.range(30).select(F.col("id").alias("image_id"), media.decode_data_url(F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64(F.encode(F.concat(F.lit("x"), F.col("id").cast("string")), "utf-8")))).alias("d"))
+    return made.select("image_id", F.decode("d.content", "utf-8").alias("content"), "d.extension")
+
+
+@query("""with r as (select range % 20 as image_id, range * 37 % 300 as x, range * 53 % 300 as y, range * 11 % 97 + 1 as w, range * 17 % 89 + 1 as h from range(600)),
+      once as (select *, row_number() over (partition by image_id, x // 30, y // 30, w // 30, h // 30 order by w * h desc, x, y) as n from r where w * h / 10000.0 between 0.02 and 0.95)
+    select image_id, x, y, w as width, h as height from (select *, row_number() over (partition by image_id order by w * h desc, x, y) as k from once where n = 1) where k <= 10""")
+def region_filter(spark, sf):
+    i = F.col("id")
+    regions = spark.range(600).select((i % 20).alias("image_id"), (i * 37 % 300).alias("x"), (i * 53 % 300).alias("y"), (i * 11 % 97 + 1).alias("width"), (i * 17 % 89 + 1).alias("height"), F.lit(10000).alias("image_area"))
+    return media.keep_regions(regions).select("image_id", "x", "y", "width", "height")
+
+
 @query()
 def mask_regions(spark, sf):
     masks = spark.range(6).select(F.col("id").alias("image_id"), F.lit(40).alias("width"), F.transform(F.sequence(F.lit(0), F.lit(1599)), lambda i: F.when(((i % 40) - 20) * ((i % 40) - 20) + (F.floor(i / 40) - 20) * (F.floor(i / 40) - 20) < F.col("id") * 50, 0.9).otherwise(0.1)).alias("cells"))

@@ -69,6 +69,24 @@ def rate_limited(stream: DataFrame, *, key: str = "domain", gap: float = 1.0) ->
     return stream.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, ts double, allowed_at double", "free double", "append", "NoTimeout")
 
 
+def live_entries(stream: DataFrame, *, key: str = "key", ttl: float = 3600.0) -> DataFrame:
+    """(key, ts, hit) for lookups (key, ts as epoch seconds): hit if an entry of the key is younger than ttl; a miss writes one. The state of a key is one number."""
+    kind = stream.schema[key].dataType.simpleString()
+
+    def step(name, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        written = state.get[0] if state.exists else float("-inf")
+        for pdf in batches:
+            pdf = pdf.sort_values("ts")
+            hits = []
+            for t in pdf["ts"]:
+                hits.append(float(t) - written < ttl)
+                written = written if hits[-1] else float(t)
+            yield pd.DataFrame({key: pdf[key].to_numpy(), "ts": pdf["ts"].to_numpy(), "hit": hits})
+        state.update((written,))
+
+    return stream.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, ts double, hit boolean", "written double", "append", "NoTimeout")
+
+
 def windowed_counts(stream: DataFrame, *, time_col: str = "ts", key: str = "event_type", window: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """(start, end, key, n, total) in event-time windows behind a watermark: beyond the reference's own operators."""
     w = F.window(time_col, window, slide) if slide else F.window(time_col, window)
