@@ -36,8 +36,6 @@ SAMPLE, SAMPLE_CLEAN, SAMPLE_CHARS = 1_500, 3_000, 10_000
 STEMS = (4, 5, 6, 7)
 #: Least log-odds of a learned entry, what its log-likelihood ratio needs beyond chance among all candidates (Bonferroni), and words that a negation reaches.
 LEAST_ODDS, MARGIN, REACH = 1.8, 2.0, 3
-#: A word counts so many times in a text's sums: repetition of one word says little more.
-REPEATS = 2
 
 #: The base lexicon.
 INSULTS = "idiot idiots moron morons stupid dumb loser losers pathetic worthless scum trash clown disgusting imbecile fool fools jerk garbage vermin filth idiota imbécil estúpido basura idiote imbécile ordure débile dummkopf abschaum trottel".split()
@@ -92,13 +90,16 @@ def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
-def matches(grammar: Grammar, words: Words) -> tuple[np.ndarray, list[tuple[int, int, int, float]]]:
-    """[documents, kinds] summed match weights, each word REPEATS times at most, and all matches: (first word of the clause, word, kind, weight)."""
+def matches(grammar: Grammar, words: Words) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, float]]]:
+    """[documents, kinds] match weights with repetition damped, the same summed in full, and all matches: (first word of the clause, word, kind, weight).
+
+    Every match counts. n matches of one word in one kind weigh log2(1 + n) times as much as one: repetition says less each time.
+    """
     docs = len(words.first) - 1
-    sums = np.zeros((docs, len(KINDS)))
+    sums, full = np.zeros((docs, len(KINDS))), np.zeros((docs, len(KINDS)))
     out: list[tuple[int, int, int, float]] = []
     if not len(words.start):
-        return sums, out
+        return sums, full, out
     entries = _entries(words)
     at = _member(entries, grammar.keys)
     weight = np.where(at >= 0, grammar.odds[at] if len(grammar.odds) else 0.0, 0.0).max(axis=1)
@@ -114,15 +115,15 @@ def matches(grammar: Grammar, words: Words) -> tuple[np.ndarray, list[tuple[int,
     begin = np.flatnonzero(cut)
     stop = np.append(begin[1:], len(clause))
     hot = np.unique(np.searchsorted(begin, np.flatnonzero((symbol == INSULT) | (symbol == THREAT)), side="right") - 1)
-    seen: dict[tuple[int, int], int] = {}
+    seen: dict[tuple[int, int, int], int] = {}
     for s, e in zip(begin[hot].tolist(), stop[hot].tolist(), strict=True):
         for word, kind, w in clause_matches(symbol[s:e].tolist(), weight[s:e].tolist()):
-            name = (int(doc[s]), int(entries[s + word, 0]))
-            seen[name] = seen.get(name, 0) + 1
-            if seen[name] <= REPEATS:
-                sums[doc[s], kind] += w
+            name = (int(doc[s]), int(entries[s + word, 0]), kind)
+            n = seen[name] = seen.get(name, 0) + 1
+            sums[doc[s], kind] += w * float(np.log2((1 + n) / n))
+            full[doc[s], kind] += w
             out.append((s, s + word, kind, w))
-    return sums, out
+    return sums, full, out
 
 
 def clause_matches(symbols: list[int], weights: list[float]) -> Iterator[tuple[int, int, float]]:
@@ -142,8 +143,8 @@ def clause_matches(symbols: list[int], weights: list[float]) -> Iterator[tuple[i
             yield i, 3 if reported else 2 if since <= REACH else 4, 1.0
 
 
-def _features(sums: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-    dense = sums[:, [0, 1, 4]].sum(axis=1) / np.maximum(20.0, n_words) * 100
+def _features(sums: np.ndarray, full: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    dense = full[:, [0, 1, 4]].sum(axis=1) / np.maximum(20.0, n_words) * 100
     return np.column_stack([np.log1p(sums), np.log1p(dense)])
 
 
@@ -182,7 +183,7 @@ def _measure(grammar: Grammar, texts: list[str]) -> np.ndarray:
     rows = [np.empty((0, len(KINDS) + 1))]
     for _, _, data, offsets in slices(pa.array(texts, pa.large_string())):
         words = Words(data, offsets, LETTERS)
-        rows.append(_features(matches(grammar, words)[0], words.counts()))
+        rows.append(_features(*matches(grammar, words)[:2], words.counts()))
     return np.vstack(rows)
 
 
@@ -255,8 +256,8 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, *, id_col: str = "doc_id",
         for batch in batches:
             for first, last, data, offsets in slices(batch.column(1)):
                 words = Words(data, offsets, LETTERS)
-                sums, found = matches(own, words)
-                z = _features(sums, words.counts()) @ own.coef + own.bias
+                sums, full, found = matches(own, words)
+                z = _features(sums, full, words.counts()) @ own.coef + own.bias
                 by_doc: list[list] = [[] for _ in range(last - first)]
                 for s, w, k, v in found:
                     d = int(np.searchsorted(words.first, s, side="right")) - 1
