@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .components import connected_components
 from .spark_io import cut_lineage, fitted
@@ -285,14 +286,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame, n_texts: int, node: str) -> Dat
     return wide(full.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")).mapInArrow(_compare, f"u {node}, v {node}")
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 1, nearest_rounds: int = 2) -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id (the smallest id that links reach, itself included).
-
-    Texts without words and null texts have an empty set and are linked with nothing. Rows of equal
-    texts are linked. Rows that share an id but not a text are documents of their own. A null id sorts
-    before all others. An empty table gives an empty one; other columns are ignored. The numbers of
-    rounds change the work, not the result.
-    """
+def _linked(docs: DataFrame, id_col: str, text_col: str, star_rounds: int = 1, nearest_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Signed rows (id, n, s, x) of docs and classes (n, s, x, node, top): top is the smallest node of the class's component."""
     kind = docs.schema[id_col].dataType.simpleString()
     node = f"struct<id: {kind}, s: bigint>"
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -336,15 +331,55 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     found = cut_lineage(few(traversed(nearest=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     edges = edges.unionByName(cut_lineage(_confirm(found, texts, n_texts, node)))
     parts = connected_components(edges)
-    named = classes.select("n", "s", "x", "node").join(parts, "node", "left").select("n", "s", "x", F.coalesce("component", "node").getField("id").alias("component_id"))
+    return signed, classes.select("n", "s", "x", "node").join(parts, "node", "left").select("n", "s", "x", "node", F.coalesce("component", "node").alias("top"))
+
+
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 1, nearest_rounds: int = 2) -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id (the smallest id that links reach, itself included).
+
+    Texts without words and null texts have an empty set and are linked with nothing. Rows of equal
+    texts are linked. Rows that share an id but not a text are documents of their own. A null id sorts
+    before all others. An empty table gives an empty one; other columns are ignored. The numbers of
+    rounds change the work, not the result.
+    """
+    signed, classes = _linked(docs, id_col, text_col, star_rounds, nearest_rounds)
+    named = classes.select("n", "s", "x", F.col("top.id").alias("component_id"))
     full = signed.where("n > 0").select("id", "n", "s", "x").join(named, ["n", "s", "x"])
     out = full.select("id", "n", "component_id").unionByName(signed.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column is the text, that column replaced by the size and the key of its set."""
+    for batch in batches:
+        for first, last, data, offsets in slices(batch.column(batch.num_columns - 1)):
+            sets = shingle_sets(Words(data, offsets, NOT_SPACE))
+            rest = [c.slice(first, last - first) for c in batch.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())], names=[*batch.schema.names[:-1], "__n", "__s"])
+
+
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest id. Of rows that share this id one stays. Columns as in docs."""
-    stay = jaccard_components(docs, id_col=id_col, text_col=text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    stay = cut_lineage(stay.groupBy(F.col(id_col).alias("__stay")).agg(F.count(F.lit(1)).alias("__m")))
-    left = docs.join(stay.select("__stay"), docs[id_col].eqNullSafe(F.col("__stay")), "left_semi")
-    return left if stay.where("__m > 1").isEmpty() else left.dropDuplicates([id_col])
+    """docs with one row of each component: that of the smallest node (id and set key). Columns as in docs.
+
+    Rows without words are linked with nothing and all stay. Where rows share an id, null included, each
+    is told by its own node; of rows of one node, which are linked, that of the smallest hash stays.
+    """
+    signed, classes = _linked(docs, id_col, text_col)
+    heads = cut_lineage(classes.where("node = top").select("n", "s", "x", F.col("node.id").alias("__head")))
+    stays = (F.col("n") == 0) | (F.col("__found") & F.col("id").eqNullSafe(F.col("__head")))
+    marked = signed.select("id", "n", "s", "x").join(heads.withColumn("__found", F.lit(True)), ["n", "s", "x"], "left").withColumn("__stays", F.coalesce(stays, F.lit(False)))
+    ids = cut_lineage(marked.groupBy(F.col("id").alias("__id")).agg(F.count(F.lit(1)).alias("__m"), F.bool_or("__stays").alias("__any")).where("__any"))
+    of = lambda chosen: docs.join(ids.where(chosen).select("__id"), docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    left = of("__m = 1")
+    if ids.where("__m > 1").isEmpty():
+        return left
+    again = of("__m > 1").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    fields = [F.col(f"__row.`{c}`") for c in docs.columns]
+    schema = again.drop("__text").schema.add("__n", LongType()).add("__s", LongType())
+    again = cut_lineage(again.mapInArrow(_keyed, schema))
+    tops = heads.select(F.col("__head"), F.col("n").alias("__hn"), F.col("s").alias("__hs"))
+    same = F.col("__id").eqNullSafe(F.col("__head")) & (F.col("__n") == F.col("__hn")) & (F.col("__s") == F.col("__hs"))
+    key = F.xxhash64(*[c for c, f in zip(fields, docs.schema.fields, strict=True) if "map<" not in f.dataType.simpleString()])
+    first = again.where("__n > 0").join(tops, same, "left_semi").groupBy("__id", "__s").agg(F.min_by("__row", key).alias("__row"))
+    kept = again.where("__n = 0").select("__row").unionByName(first.select("__row"))
+    return left.unionByName(kept.select(*[c.alias(n) for c, n in zip(fields, docs.columns, strict=True)]))
