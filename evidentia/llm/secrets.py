@@ -23,8 +23,10 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 
 #: Least window entropy (bits a character) that makes a candidate a secret, by its character class.
-#: Runs without a digit are words, not keys: they have no threshold.
-ENTROPY = {"digits": 9.0, "hex": 2.9, "alnum": 3.6, "base64": 3.75, "word": 9.0}
+#: Runs without a digit (word) must also mix cases as chance does, see mixed_case(). Runs of digits alone have no threshold.
+ENTROPY = {"digits": 9.0, "hex": 2.9, "alnum": 3.6, "base64": 3.75, "word": 3.6}
+#: Least changes of case a character, and least share of the letters in either case. Names in camel case have fewer capitals.
+CHANGES, CASE_SHARE = 0.25, 0.3
 
 #: A candidate is allowed (no secret) unless it matches one of these: a long number, or a token that mixes letters and digits.
 NOT_ALLOWED = r"[0-9]{5}|[A-Za-z][0-9]|[0-9][A-Za-z]"
@@ -80,6 +82,13 @@ def max_window_entropy(s: Column, window: int = WINDOW) -> Column:
     return F.log2(w.cast("double")) - least / w
 
 
+def mixed_case(s: Column) -> Column:
+    """Capitals and small letters alternate and share the letters as in random strings, unlike words and identifiers."""
+    changes = F.regexp_count(s, F.lit("(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]"))
+    upper, lower = F.regexp_count(s, F.lit("[A-Z]")), F.regexp_count(s, F.lit("[a-z]"))
+    return (changes >= CHANGES * F.length(s)) & (F.least(upper, lower) >= CASE_SHARE * (upper + lower))
+
+
 def entropy_secret(s: Column) -> Column:
     allowed = ~s.rlike(NOT_ALLOWED)
     for pattern in ALLOW:
@@ -88,7 +97,8 @@ def entropy_secret(s: Column) -> Column:
     limit = F.lit(ENTROPY["word"])
     for name, least in ENTROPY.items():
         limit = F.when(kind == name, F.lit(least)).otherwise(limit)
-    return F.when(allowed | kind.isin("word", "digits"), F.lit(False)).otherwise(F.round(max_window_entropy(s), 9) >= limit)
+    allowed = F.when(kind == "word", ~mixed_case(s)).otherwise(allowed | (kind == "digits"))
+    return F.when(allowed, F.lit(False)).otherwise(F.round(max_window_entropy(s), 9) >= limit)
 
 
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
