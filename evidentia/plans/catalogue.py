@@ -627,8 +627,7 @@ def mask_regions(spark, sf):
 def _claims(spark, sf):
     claims = tables.table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), tx.squeeze(F.col("text")).alias("claim"))
     pages = _docs(spark, sf).select(F.concat(F.lit("https://"), "source", F.lit(".example.org/"), F.col("doc_id").cast("string")).alias("url"), "text")
-    terms = F.filter(tx.letters_tokens(F.col("text")), lambda w: F.length(w) >= 9)
-    return claims, flows.trusted_evidence_pages(claims, pages, _lists(spark), terms=terms)
+    return claims, flows.trusted_evidence_pages(claims, pages, _lists(spark))
 
 
 @query()

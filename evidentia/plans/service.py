@@ -88,11 +88,10 @@ class SearchEngine:
 
 def check(spark: SparkSession, claims: list[str], pages: DataFrame, lists: DataFrame, top_k: int = 10) -> DataFrame:
     """One JSON result a claim over the pages (url, text)."""
-    from ..functions.text import letters_tokens
     from ..operators import verdict
 
     asked = spark.createDataFrame(list(enumerate(claims)), "claim_id int, claim string").withColumn("claim", squeeze(F.col("claim")))
-    found = flows.trusted_evidence_pages(asked, pages, lists, terms=letters_tokens(F.col("text")))
+    found = flows.trusted_evidence_pages(asked, pages, lists)
     seen, verdicts, verified = flows.check_claims(asked, found, top_k=bounded(top_k, TOP_K, "top_k"))
     return verdict.result_envelope(verdicts, verified, seen)
 

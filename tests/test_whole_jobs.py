@@ -1,0 +1,19 @@
+"""Operators do the whole job: nothing is left out by a prefix, a length or an id."""
+
+from pyspark.sql import functions as F
+
+from evidentia.plans import catalogue, flows
+
+
+def test_pages_are_found_by_any_term(spark):
+    claims = spark.createDataFrame([(1, "The sky is blue."), (2, "(Crimson), something!"), (3, "12 34")], "claim_id int, claim string")
+    pages = spark.createDataFrame([("https://a.org/1", "a blue bird"), ("https://b.org/2", "something else, crimson"), ("https://c.org/3", "56 78")], "url string, text string")
+    lists = spark.createDataFrame([("b.org", "trusted")], "domain string, tier string")
+    found = {(r.claim_id, r.url) for r in flows.trusted_evidence_pages(claims, pages, lists).collect()}
+    assert found == {(1, "https://a.org/1"), (2, "https://b.org/2")}
+
+
+def test_every_claim_of_the_benchmark_finds_pages(spark, sf_dir):
+    claims, found = catalogue._claims(spark, sf_dir)
+    with_terms = claims.where(F.col("claim").rlike(r"(?i)\b[a-z]{3,}\b"))
+    assert with_terms.join(found, "claim_id", "left_anti").count() == 0
