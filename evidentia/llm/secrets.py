@@ -2,14 +2,16 @@
 
 Base patterns find assignments, access keys and long hex runs. On top of them every run of key-like
 characters of 20 or more is a candidate. Its character class (digits, hex, letters and digits, base64)
-sets a threshold; a window of 20 characters slides over it, and the sum of c * log2(c) over its
-character counts is kept up to date from the character that leaves and the one that enters. Candidates
+sets a threshold; a window of 20 characters slides over it, and the counts of its characters and the sum
+of c * log2(c) over them are kept up to date from the character that leaves and the one that enters. Candidates
 whose largest window entropy reaches the threshold of their class are secrets unless an allow-list
 pattern covers them. Only DataFrame expressions run here; offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +22,14 @@ HEX = r"[0-9a-f]{16,}"
 
 #: Candidates for the entropy scan, and the window.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
+#: Bits of a packed count (up to WINDOW + 1), and values that a running sum takes together.
+FIELD, BLOCK = 5, 64
 
 #: Least window entropy (bits a character) that makes a candidate a secret, by its character class.
 #: Runs without a digit (word) must also mix cases as chance does, see mixed_case(). Runs of digits alone have no threshold.
-ENTROPY = {"digits": 9.0, "hex": 2.9, "alnum": 3.6, "base64": 3.75, "word": 3.6}
+ENTROPY = {"hex": 2.9, "alnum": 3.6, "base64": 3.75, "word": 3.6}
 #: Least changes of case a character, and least share of the letters in either case. Names in camel case have fewer capitals.
 CHANGES, CASE_SHARE = 0.25, 0.3
 
@@ -36,50 +41,89 @@ ALLOW = (r"^[0-]+$", r"^[A-Za-z]+[0-9]{1,4}$")
 KINDS = ("assign", "access", "hex", "entropy")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, plus) -> Column:
+    """Exclusive prefix sums of an array of ints, from 0; plus(a, b) is the sum.
+
+    Blocks of BLOCK values are summed first, so that no accumulator grows with the array.
+    """
+    size = F.lit(BLOCK)
+
+    def sums(v: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("s"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(v, zero, lambda a, x: F.struct(plus(a["s"], x).alias("s"), F.concat(a["all"], F.array(a["s"])).alias("all")), lambda a: a["all"])
+
+    def blocks(v: Column) -> Column:
+        first = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int"))
+        totals = F.transform(first, lambda k: F.aggregate(F.slice(v, k * size + 1, size), F.lit(0), plus))
+        return bound(sums(totals, F.lit(0)), lambda starts: F.flatten(F.transform(starts, lambda start, k: sums(F.slice(v, k * size + 1, size), start))))
+
+    return bound(values, lambda v: F.when(F.size(v) > 0, blocks(v)).otherwise(F.array().cast("array<int>")))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<s, e, m>> of the leftmost non-overlapping matches.
 
-    Offsets come from the lengths of the pieces between the matches, which split() returns.
+    Offsets come from the lengths of the matches and of the pieces between them, which split() returns.
     """
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    step = lambda acc, p: F.struct(
-        (acc["at"] + F.length(p["g"]) + F.length(p["m"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(p["g"])).alias("s"), (acc["at"] + F.length(p["g"]) + F.length(p["m"])).alias("e"), p["m"].alias("m")))).alias("out"),
-    )
     none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+
+    def placed(pairs: Column) -> Column:
+        ends = running(F.transform(pairs, lambda p: F.length(p["g"]) + F.length(p["m"])), _plus)
+        start = lambda p: p["at"] + F.length(p["p"]["g"])
+        return F.transform(F.arrays_zip(pairs.alias("p"), ends.alias("at")), lambda p: F.struct(start(p).alias("s"), (start(p) + F.length(p["p"]["m"])).alias("e"), p["p"]["m"].alias("m")))
+
     pairs = F.filter(F.arrays_zip(found.alias("m"), between.alias("g")), lambda p: p["m"].isNotNull())
-    return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step, lambda a: a["out"])).otherwise(none)
+    return F.when(text.rlike(pattern), bound(pairs, placed)).otherwise(none)
 
 
 def char_class(s: Column) -> Column:
     return F.when(~s.rlike("[0-9]"), "word").when(s.rlike("^[0-9]+$"), "digits").when(s.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), "hex").when(s.rlike("^[A-Za-z0-9]+$"), "alnum").otherwise("base64")
 
 
-def _f(count: Column) -> Column:
-    """count * log2(count), and 0 for 0."""
-    return F.when(count > 1, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
+def max_window_entropy(s: Column, window: int = WINDOW) -> Column:
+    """The largest entropy of a window of the string of ALPHABET; strings shorter than the window count as one window of their length.
 
+    One pass over the characters. The counts of the window's characters are packed, FIELD bits each, into
+    a few whole numbers. A step adds one to the count of the character that enters, takes one from that of
+    the character that leaves, and moves the sum of c * log2(c), in units of 2 ** -40, by the four terms
+    that this changes, so that a step costs the same whatever the length of the string.
+    """
+    per = 60 // FIELD
+    words = -(-(len(ALPHABET) + 1) // per)
+    term = F.array(*[F.lit(round(c * math.log2(c) * 2**40) if c else 0).cast("long") for c in range(window + 2)])
+    names = [f"c{k}" for k in range(words)]
 
-def _count(s: Column, ch: Column) -> Column:
-    return F.length(s) - F.length(F.replace(s, ch, F.lit("")))
+    def scan(codes: Column) -> Column:
+        count = lambda a, x: F.get(F.array(*[a[c] for c in names]), (x / per).cast("int"))
+        of = lambda a, x: F.call_function("shiftright", count(a, x), (x % per * FIELD).cast("int")).bitwiseAND(F.lit((1 << FIELD) - 1)).cast("int")
+        one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), (x % per * FIELD).cast("int"))
 
+        def moved(a: Column, x: Column, sign: int) -> Column:
+            n = of(a, x)
+            more = F.get(term, n + sign) - F.get(term, n)
+            return F.struct(*[F.when((x / per).cast("int") == k, a[c] + sign * one(x)).otherwise(a[c]).alias(c) for k, c in enumerate(names)], (a["t"] + more).alias("t"), a["least"].alias("least"), (a["i"] + (1 if sign > 0 else 0)).alias("i"))
 
-def max_window_entropy(s: Column, window: int = WINDOW) -> Column:
-    """The largest entropy of a window of the string; strings shorter than the window count as one window of their length."""
-    w = F.least(F.lit(window), F.length(s))
-    head = F.substr(s, F.lit(1), w)
-    first = F.aggregate(F.array_distinct(F.split(head, "")), F.lit(0.0), lambda a, ch: a + F.when(ch == "", 0.0).otherwise(_f(_count(head, ch))))
+        def step(a: Column, x: Column) -> Column:
+            left = bound(a, lambda a: F.when(a["i"] >= window, moved(a, F.get(codes, a["i"] - window), -1)).otherwise(a))
+            full = bound(left, lambda a: moved(a, x, 1))
+            return bound(full, lambda a: F.struct(*[a[c] for c in names], a["t"].alias("t"), F.when(a["i"] >= F.least(F.lit(window), F.size(codes)), F.least(a["least"], a["t"])).otherwise(a["least"]).alias("least"), a["i"].alias("i")))
 
-    def slide(acc: Column, i: Column) -> Column:
-        # from characters i .. i+w-1 to i+1 .. i+w (1-based): what both share loses one character and gains another
-        both, out, new = F.substr(s, i + 1, w - 1), F.substr(s, i, F.lit(1)), F.substr(s, i + w, F.lit(1))
-        total = acc["t"] - _f(_count(both, out) + 1) + _f(_count(both, out)) - _f(_count(both, new)) + _f(_count(both, new) + 1)
-        return F.struct(total.alias("t"), F.least(acc["least"], total).alias("least"))
+        zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in names], F.lit(0).cast("long").alias("t"), F.lit(1 << 62).cast("long").alias("least"), F.lit(0).alias("i"))
+        return F.aggregate(codes, zero, step, lambda a: a["least"])
 
-    steps = F.when(F.length(s) > w, F.sequence(F.lit(1), F.length(s) - w)).otherwise(F.array().cast("array<int>"))
-    least = F.aggregate(steps, F.struct(first.alias("t"), first.alias("least")), slide, lambda a: a["least"])
-    return F.log2(w.cast("double")) - least / w
+    w = F.least(F.lit(window), F.length(s)).cast("double")
+    codes = F.transform(F.filter(F.split(s, ""), lambda ch: ch != ""), lambda ch: F.instr(F.lit(ALPHABET), ch))
+    return F.log2(w) - bound(codes, scan) / F.lit(float(1 << 40)) / w
 
 
 def mixed_case(s: Column) -> Column:
@@ -104,7 +148,8 @@ def entropy_secret(s: Column) -> Column:
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' columns plus ``secrets``: array<struct<start, kind_no, kind, end>> by start, then kind in the order of KINDS.
 
-    Null reads as the empty text; empty texts have no secrets; repeated rows give repeated results;
+    Null reads as the empty text; empty texts have no secrets; repeated rows give repeated results; an empty
+    table gives an empty one; work is linear in a text's length, whatever the candidates or hits in it;
     overlapping spans of different kinds all stay. A column named secrets is replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -138,13 +183,16 @@ def redact(scanned: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]"
 
     Null texts stay null, texts without secrets stay as they are.
     """
-    step = lambda acc, x: F.struct(
-        F.greatest(acc["at"], x["end"]).alias("at"),
-        F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1, x["start"] - acc["at"]), F.when((x["start"] > acc["at"]) | (acc["at"] == 0), F.lit(mark)).otherwise(F.lit("")))).otherwise(acc["out"]).alias("out"),
-    )
-    tail = lambda acc: F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1, F.length(text_col)))
-    cut = F.aggregate("secrets", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, tail)
-    return scanned.withColumn(text_col, F.when(F.size("secrets") > 0, cut).otherwise(F.col(text_col))).drop("secrets")
+
+    def cut(chars: Column) -> Column:
+        piece = lambda start, end: F.array_join(F.slice(chars, start + 1, end - start), "")
+        before = running(F.transform("secrets", lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+        runs = F.filter(F.arrays_zip(F.col("secrets").alias("x"), before.alias("at")), lambda r: (r["x"]["start"] > r["at"]) | (r["at"] == 0))
+        kept = F.transform(runs, lambda r: F.concat(piece(r["at"], r["x"]["start"]), F.lit(mark)))
+        return F.concat(F.array_join(kept, ""), piece(F.array_max(F.transform("secrets", lambda x: x["end"])), F.size(chars)))
+
+    whole = F.filter(F.split(F.col(text_col), ""), lambda ch: ch != "")
+    return scanned.withColumn(text_col, F.when(F.size("secrets") > 0, bound(whole, cut)).otherwise(F.col(text_col))).drop("secrets")
 
 
 def redact_documents(docs: DataFrame, *, text_col: str = "text", chars_col: str = "n_chars", mark: str = "[SECRET]") -> DataFrame:

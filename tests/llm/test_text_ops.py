@@ -113,3 +113,24 @@ def test_mixing_hits_its_targets(spark):
     keys = [r.shuffle_key for r in out.collect()]
     assert keys == sorted(keys) and set(out.columns) == {*docs.columns, "shuffle_key"}
     assert mixing.mix_sources(docs.limit(0)).count() == 0
+
+
+def test_secrets_in_long_candidates_and_many_hits_take_linear_time(spark):
+    import random
+    import time
+
+    rng = random.Random(3)
+    key = "".join(rng.choice(secrets.ALPHABET[:64]) for _ in range(1_000_000))
+    hits = " ".join(f'token = "{i:016d}"' for i in range(50_000))
+    df = spark.createDataFrame([(1, key), (2, hits)], "doc_id int, text string")
+    began = time.time()
+    got = {r.doc_id: r.text for r in secrets.redact(secrets.scan_secrets(df)).collect()}
+    assert got == {1: "[SECRET]", 2: " ".join(['[SECRET]"'] * 50_000)}
+    assert time.time() - began < 120
+
+
+def test_running_sums(spark):
+    values = [[], [5], list(range(1, 64)), list(range(200)), [3] * 129]
+    df = spark.createDataFrame([(v,) for v in values], "v array<int>")
+    for r in df.select("v", secrets.running(F.col("v"), lambda a, b: a + b).alias("s")).collect():
+        assert r.s == [sum(r.v[:i]) for i in range(len(r.v))]
