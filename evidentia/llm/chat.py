@@ -6,9 +6,9 @@ leaves an attachment record with its reference and the number of tokens that it
 
     <|turn|>ROLE<|says|>CONTENT<|end|>
 
-Escaping is reversible: a backslash is doubled, and the first character of everything that a model
-could take for a control string becomes a backslash and a letter, so that the string itself no longer
-occurs. A conversation is the concatenation of its turns' fragments in order. Fragments are made turn by
+Escaping is reversible and works character by character: a backslash is doubled, and every angle and
+square bracket that could open a control string becomes a backslash and a letter. No control string is
+left in a text, however the text is cut into parts. A conversation is the concatenation of its turns' fragments in order. Fragments are made turn by
 turn, without a shuffle; no conversation is ever gathered into one value, whatever its length.
 """
 
@@ -31,8 +31,8 @@ LEARNED_ROLE = "assistant"
 #: Tokens that parts expand to: a patch is PATCH x PATCH pixels; audio has so many frames a second, a page so many tokens, text a token for so many bytes.
 PATCH, AUDIO_RATE, PAGE_TOKENS, TEXT_BYTES = 28, 25, 256, 4
 
-#: What is escaped at its first character: marks in bars, sentence and instruction marks, turn marks of public templates.
-_CONTROL = re.compile(r"\\|<(?=\||/?s>|</?SYS>>|(?:bos|eos|pad|unk|start_of_turn|end_of_turn|mask)>)|\[(?=/?(?:INST|SYSTEM_PROMPT|AVAILABLE_TOOLS|TOOL_CALLS|TOOL_RESULTS)\])")
+#: What is escaped: the escape itself, and the characters that open marks, sentence signs and instruction signs of public templates.
+_CONTROL = re.compile(r"[\\<\[]")
 _CODES = {"\\": "\\\\", "<": "\\l", "[": "\\b"}
 _CODE = re.compile(r"\\([\\lb])")
 _PLAIN = {"\\": "\\", "l": "<", "b": "["}
@@ -150,34 +150,35 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def read_back(fragments: DataFrame, *, conv_col: str = "conv_id") -> DataFrame:
-    """One row per conversation, read from the fragments alone: conv_col, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+    """One row per conversation, read from the fragments: conv_col, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_attachments, n_tokens.
 
     Turns come in the order of turn (nulls first), then role and fragment. Each conversation streams
     through running digests, so that memory doesn't grow with its length; a digest of a sequence is
-    sequential, so one conversation's fragments are read by one task.
+    sequential, so one conversation's fragments are read by one task. A null conversation is one; repeated
+    rows are repeated turns; an empty table gives an empty one.
     """
     kind = fragments.schema["conv"].dataType.simpleString()
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, begun = None, False
-        n, chars, loss_chars, turns, loss = 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+        n, chars, loss_chars, attached, tokens, turns, loss = 0, 0, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
         done: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             cols = list(zip(*done, strict=True))
-            types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            names = [conv_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+            types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            names = [conv_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "n_tokens"]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], conv_type), *(pa.array(c, t) for c, t in zip(cols[1:], types, strict=True))], names=names)
             done.clear()
 
         for batch in batches:
             conv_type = batch.column(0).type
-            for conv, fragment, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for conv, fragment, spans, many, cost in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not begun or conv != now:
                     if begun:
-                        done.append((now, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
+                        done.append((now, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, attached, tokens))
                     now, begun = conv, True
-                    n, chars, loss_chars, turns, loss = 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+                    n, chars, loss_chars, attached, tokens, turns, loss = 0, 0, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
                 for role, text in parse(fragment):
                     n += 1
                     turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
@@ -186,12 +187,14 @@ def read_back(fragments: DataFrame, *, conv_col: str = "conv_id") -> DataFrame:
                     loss_chars += len(text)
                     loss.update(text.encode("utf-8", "surrogatepass"))
                 chars += len(fragment)
+                attached += many
+                tokens += cost
             if len(done) >= 10_000:
                 yield from flush()
         if begun:
-            done.append((now, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
+            done.append((now, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, attached, tokens))
             yield from flush()
 
-    schema = f"`{conv_col}` {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    schema = f"`{conv_col}` {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_attachments bigint, n_tokens bigint"
     ordered = fragments.repartition("conv").sortWithinPartitions("conv", F.col("turn").asc_nulls_first(), "role", "fragment")
-    return ordered.select("conv", "fragment", "loss").mapInArrow(stream, schema)
+    return ordered.select("conv", "fragment", "loss", F.size("attachments"), "tokens").mapInArrow(stream, schema)

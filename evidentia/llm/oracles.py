@@ -19,7 +19,7 @@ e as (select d.*, unnest(range(0, c.n))::int as copy from documents d join c on
 select *, ('0x' || substr(md5('order17|' || doc_id || '|' || copy), 1, 13))::bigint as shuffle_key from e
 """
 
-_COUNT = r"len(regexp_extract_all({0}, '\\|<\||</?s>|<</?SYS>>|<(?:bos|eos|pad|unk|start_of_turn|end_of_turn|mask)>|\[/?(?:INST|SYSTEM_PROMPT|AVAILABLE_TOOLS|TOOL_CALLS|TOOL_RESULTS)\]'))"
+_COUNT = r"length(regexp_replace({0}, '[^\\\\<\[]', '', 'g'))"
 
 OP2 = f"""
 with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -27,7 +27,8 @@ with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '')
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-  sum(length(role) + {_COUNT.format("role")} + length(text) + {_COUNT.format("text")} + {len("<|turn|><|says|><|end|>")})::bigint as formatted_chars
+  sum(length(role) + {_COUNT.format("role")} + length(text) + {_COUNT.format("text")} + {len("<|turn|><|says|><|end|>")})::bigint as formatted_chars,
+  0::bigint as n_attachments, sum((strlen(text) + 3) // 4)::bigint as n_tokens
 from t group by conv_id
 """
 
@@ -77,7 +78,10 @@ def _found(kind: int, pattern: str, keep: str = "true") -> str:
 
 def _op8() -> str:
     window = secrets.WINDOW
-    kinds = "case when not regexp_matches(m, '[0-9]') then 9.0 when regexp_matches(m, '^[0-9]+$') then 9.0 " + f"when regexp_matches(m, '^[0-9a-f]+$|^[0-9A-F]+$') then {secrets.ENTROPY['hex']} when regexp_matches(m, '^[A-Za-z0-9]+$') then {secrets.ENTROPY['alnum']} else {secrets.ENTROPY['base64']} end"
+    letters = "length(regexp_replace(m, '[^{}]', '', 'g'))"
+    changes = "len([i for i in range(1, length(m)) if regexp_matches(substr(m, i, 2), '^([a-z][A-Z]|[A-Z][a-z])$')])"
+    mixed = f"{changes} >= {secrets.CHANGES} * length(m) and least({letters.format('A-Z')}, {letters.format('a-z')}) >= {secrets.CASE_SHARE} * {letters.format('A-Za-z')}"
+    kinds = f"case when not regexp_matches(m, '[0-9]') then {secrets.ENTROPY['word']} when regexp_matches(m, '^[0-9]+$') then 9.0 " + f"when regexp_matches(m, '^[0-9a-f]+$|^[0-9A-F]+$') then {secrets.ENTROPY['hex']} when regexp_matches(m, '^[A-Za-z0-9]+$') then {secrets.ENTROPY['alnum']} else {secrets.ENTROPY['base64']} end"
     allowed = " or ".join([f"not regexp_matches(m, '{secrets.NOT_ALLOWED}')", *[f"regexp_matches(m, '{p}')" for p in secrets.ALLOW]])
     per_window = f"list_sum([((length(w) - length(replace(w, ch, ''))) / {window}.0) * -log2((length(w) - length(replace(w, ch, ''))) / {window}.0) for ch in list_distinct(string_split(w, ''))])"
     highest = f"round(list_max([{per_window} for w in [substr(m, i, {window}) for i in range(1, length(m) - {window} + 2)]]), 9)"
@@ -87,7 +91,7 @@ with t as (select doc_id, coalesce(text, '') as text from documents),
 found as ({_found(0, secrets.ASSIGN, assign_keep)}
   union all {_found(1, secrets.ACCESS)}
   union all {_found(2, secrets.HEX)}
-  union all {_found(3, secrets.CANDIDATE, f"not ({allowed}) and {kinds} < 9 and {highest} >= {kinds}")}),
+  union all {_found(3, secrets.CANDIDATE, f"case when regexp_matches(m, '[0-9]') then not ({allowed}) else {mixed} end and {kinds} < 9 and {highest} >= {kinds}")}),
 named as (select doc_id, kind_no, s, ['assign', 'access', 'hex', 'entropy'][kind_no + 1] || ':' || s || ':' || e as line from found)
 select t.doc_id, count(*) filter (kind_no = 0) as n_assign, count(*) filter (kind_no = 1) as n_access, count(*) filter (kind_no = 2) as n_hex,
   sha256(coalesce(string_agg(line, ',' order by s, kind_no) filter (kind_no < 3), '')) as base_sha256, coalesce(string_agg(line, ',' order by s, kind_no), '') as spans
