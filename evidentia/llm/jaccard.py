@@ -1,23 +1,30 @@
 """N-gram Jaccard join over signature trees.
 
-A document's set holds its distinct five-word shingles as 64-bit hashes. Documents of equal sets form a
-class, and only one representative of a class goes on. What is compared with what comes from blocks:
-representatives that agree on one of ``BANDS`` bands of ``ROWS`` min-hashes. A pair at the threshold
-misses all bands with a probability of 1e-8, a pair above it with less; nothing else is approximate, as
-every link is confirmed on the whole sets.
-
-Links are found in three steps. A star round proposes, for each representative, the block leader it
-meets most often, and merges what is confirmed, so a group of m copies costs m comparisons, not m * m.
-Then each block that still holds several components is a signature tree, whose nodes hold the OR of the
-bitmaps, the range of sizes and the component below them. A dual traversal drops the node pairs whose
-largest possible overlap is too small for a link or which are one component already. Nearest rounds
-compare only the closest partner of each representative in another component; the full round compares
-every pair of leaves that is left. As pairs inside a component cannot change it, components are those of
-all links.
+A document's set holds its distinct five-word shingles as 64-bit hashes. Documents of equal words form a
+class, told by a 128-bit BLAKE2b digest of the words, and only one representative of a class goes on.
+What is compared with what comes from blocks: representatives that agree on one of ``BANDS`` bands of
+``ROWS`` min-hashes. A pair at the threshold misses all bands with a probability of 1e-8, a pair above it
+with less; nothing else is approximate.
+
+Candidates are found by signature trees, whose nodes hold the OR of the bitmaps, the range of sizes and
+the component below them. A dual traversal of two trees drops the node pairs whose largest possible
+overlap is too small for a link or which are one component already; leaf pairs that are left are counted
+on the whole sets, and the words themselves are compared before a link holds. There are three steps.
+
+* Leader round: each representative goes to the block leader that it meets most often. A leader's tree is
+  traversed against the tree of its members, so a group of m copies costs m comparisons, not m * m.
+* Nearest rounds: each block that still holds several components is traversed against itself, and only
+  the closest partner of each representative in another component is compared.
+* Full round: every leaf pair that is left is compared.
+
+Blocks of more than ``TILE`` representatives are dealt out in tiles by size and a hash, and each pair of
+tiles whose sizes allow a link is a task, so that no task holds a block, however large. As pairs inside a
+component cannot change it, components are those of all links.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +44,8 @@ BANDS, ROWS = 48, 4
 FANOUT = 8
 #: Node pairs that are expanded at once, and members that one task compares with a leader.
 CHUNK, SALT = 65_536, 1_000
+#: Representatives of a block that are traversed as a whole, ratio of the sizes of a tile (a little over that of linked sets), members of a leader that form a tree.
+TILE, RATIO, GROVE = 4_000, 1.34, 256
 #: Block entries, texts and pairs that one task handles at least.
 ENTRIES, TEXTS, PAIRS = 100_000, 5_000, 2_000
 
@@ -46,30 +55,35 @@ _XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _MUL = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
+def _shingles(h: np.ndarray, gram: int, own: int) -> np.ndarray:
+    """Hashes of all runs of gram words; own is gram, or the number of words of a document that has fewer than GRAM."""
+    full = np.full(max(0, len(h) - gram + 1), own if own < GRAM else 0, dtype=np.uint64)
+    for j in range(gram):
+        full = full * _ROLL + h[j : j + len(full)]
+    return mix(full)
+
+
 def shingle_sets(words: Words, gram: int = GRAM) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each document of a slice."""
     h = words.hash
-    full = np.zeros(max(0, len(h) - gram + 1), dtype=np.uint64)
-    for j in range(gram):
-        full = full * _ROLL + h[j : j + len(full)]
-    full = mix(full)
+    full = _shingles(h, gram, gram)
     out = []
     for s, e in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
         if e - s >= gram:
             out.append(np.unique(full[s : e - gram + 1]))
         elif e > s:
-            one = np.uint64(e - s)
-            with np.errstate(over="ignore"):
-                for x in h[s:e]:
-                    one = one * _ROLL + x
-            out.append(mix(np.array([one])))
+            out.append(_shingles(h[s:e], e - s, e - s))
         else:
             out.append(np.empty(0, dtype=np.uint64))
     return out
 
 
-def set_key(tokens: np.ndarray) -> int:
-    return int(np.add.reduce(mix(tokens ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64)) if len(tokens) else 0
+def word_keys(words: Words) -> np.ndarray:
+    """int64 [documents, 2]: a digest of each document's words, 0 where there are none."""
+    data, at = words.plain()
+    raw = data.tobytes()
+    digests = [hashlib.blake2b(raw[s:e], digest_size=16).digest() if e > s else bytes(16) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return np.frombuffer(b"".join(digests), dtype=np.int64).reshape(len(digests), 2)
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -96,18 +110,19 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offsets in slices(batch.column(1)):
-            sets = shingle_sets(Words(data, offsets, NOT_SPACE))
+            words = Words(data, offsets, NOT_SPACE)
+            sets, keys = shingle_sets(words), word_keys(words)
             full = [i for i, s in enumerate(sets) if len(s)]
             bands: list = [[]] * len(sets)
             if full:
-                for i, keys in zip(full, band_keys([sets[i] for i in full]), strict=True):
-                    bands[i] = keys
+                for i, own in zip(full, band_keys([sets[i] for i in full]), strict=True):
+                    bands[i] = own
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(first, last - first),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([set_key(s) for s in sets], pa.int64()),
-                    pa.array([int(np.bitwise_xor.reduce(mix(s)).view(np.int64)) if len(s) else 0 for s in sets], pa.int64()),
+                    pa.array(keys[:, 0]),
+                    pa.array(keys[:, 1]),
                     pa.array(bands, pa.list_(pa.int64())),
                 ],
                 names=["id", "n", "s", "x", "bands"],
@@ -187,31 +202,46 @@ def _fold(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def block_pairs(n: np.ndarray, maps: list[bytes], part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Entry pairs of a block that may be linked. Sizes of linked sets differ by a third at most, so their bitmaps by one doubling."""
+def _by_width(maps: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Entries and their bitmaps by the bitmaps' number of 64-bit words."""
     width = np.array([len(m) // 8 for m in maps])
-    trees = {}
+    out = {}
     for w in np.unique(width).tolist():
         at = np.flatnonzero(width == w)
-        trees[w] = at, np.frombuffer(b"".join(maps[i] for i in at), dtype=np.uint64).reshape(len(at), w)
-    for w, (at, bits) in trees.items():
-        tree = SignatureTree(n[at], bits, part[at])
-        for i, j, most in dual_traversal(tree, tree):
-            yield at[i], at[j], most
-        if 2 * w in trees:
-            more, wide = trees[2 * w]
-            for i, j, most in dual_traversal(tree, SignatureTree(n[more], _fold(wide, w), part[more])):
-                yield at[i], more[j], most
+        out[w] = at, np.frombuffer(b"".join(maps[i] for i in at), dtype=np.uint64).reshape(len(at), w)
+    return out
+
+
+def block_pairs(n: np.ndarray, maps: list[bytes], part: np.ndarray, left: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Entry pairs of a block that may be linked; with left, pairs of an entry that it marks with one that it doesn't.
+
+    Sizes of linked sets differ by a third at most, so their bitmaps by one doubling.
+    """
+    sides = [np.arange(len(n))] * 2 if left is None else [np.flatnonzero(left), np.flatnonzero(~left)]
+    x, y = ({w: (side[at], bits) for w, (at, bits) in _by_width([maps[i] for i in side]).items()} for side in sides)
+    for w, (at, bits) in x.items():
+        for v in (w, 2 * w) if left is None else (w // 2, w, 2 * w):
+            if v in y:
+                more, wide = y[v]
+                least = min(v, w)
+                own = SignatureTree(n[at], _fold(bits, least), part[at])
+                other = own if left is None and v == w else SignatureTree(n[more], _fold(wide, least), part[more])
+                for i, j, most in dual_traversal(own, other):
+                    yield at[i], more[j], most
 
 
 def _traverse(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, part, n, bits), sorted by key, to pairs (a, b, most) of nodes; with nearest, one for each node b at most."""
+    """Rows (key, right, node, part, n, bits), sorted by key, to pairs (a, b, most) of nodes; with nearest, one for each node b at most.
+
+    Where some rows of a key are marked right, its pairs are those of a row that is with one that isn't.
+    """
     held: list[pa.RecordBatch] = []
 
     def pairs(block: pa.Table) -> Iterator[pa.RecordBatch]:
         node = block.column("node").combine_chunks()
         part = np.unique([str(p) for p in block.column("part").to_pylist()], return_inverse=True)[1].astype(np.int64)
-        found = block_pairs(block.column("n").to_numpy(), block.column("bits").to_pylist(), part)
+        right = block.column("right").to_numpy()
+        found = block_pairs(block.column("n").to_numpy(), block.column("bits").to_pylist(), part, ~right if right.any() else None)
         if nearest:
             best, mate = np.full(len(part), -1.0), np.full(len(part), -1)
             for i, j, most in found:
@@ -243,34 +273,79 @@ def _traverse(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.R
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (node, n, bits, z): set size, bitmap and compressed text under the representative's name."""
+    """(id, text) to (node, n, bits, z): set size, bitmap and compressed words under the representative's name."""
     for batch in batches:
         for first, last, data, offsets in slices(batch.column(1)):
-            sets = shingle_sets(Words(data, offsets, NOT_SPACE))
-            texts = [zlib.compress(data[s:e].tobytes(), 1) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
-            node = pa.StructArray.from_arrays([batch.column(0).slice(first, last - first), pa.array([set_key(s) for s in sets], pa.int64())], names=["id", "s"])
+            words = Words(data, offsets, NOT_SPACE)
+            sets, (plain, at) = shingle_sets(words), words.plain()
+            texts = [zlib.compress(plain[s:e].tobytes(), 1) for s, e in zip(at[:-1], at[1:], strict=True)]
+            node = pa.StructArray.from_arrays([batch.column(0).slice(first, last - first), pa.array(word_keys(words)[:, 0])], names=["id", "s"])
             yield pa.RecordBatch.from_arrays([node, pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array(texts, pa.binary())], names=["node", "n", "bits", "z"])
 
 
+class Shingled:
+    """The words of one document, its shingles' hashes and where each first stands."""
+
+    def __init__(self, z: bytes):
+        self.raw = zlib.decompress(z)
+        self.words = Words(np.frombuffer(self.raw, dtype=np.uint8), np.array([0, len(self.raw)]), NOT_SPACE)
+        n = len(self.words.start)
+        self.gram = min(GRAM, n)
+        self.hash, self.at = np.unique(_shingles(self.words.hash, self.gram, n), return_index=True)
+
+    def bytes_of(self, first: int, last: int) -> bytes:
+        """Shingles first .. last as they stand."""
+        return self.raw[self.words.start[first] : self.words.end[last + self.gram - 1]]
+
+    def linked(self, other: Shingled) -> bool:
+        """Whether the sets are similar enough; shingles of equal hash are compared word by word, in runs that go on in both texts."""
+        enough = lambda both: 100 * both >= SIMILARITY * (len(self.hash) + len(other.hash) - both)
+        _, i, j = np.intersect1d(self.hash, other.hash, assume_unique=True, return_indices=True)
+        if not enough(len(i)):
+            return False
+        order = np.argsort(self.at[i])
+        p, q = self.at[i][order], other.at[j][order]
+        first = np.flatnonzero(np.append(True, (np.diff(p) != 1) | (np.diff(q) != 1)))
+        last = np.append(first[1:], len(p)) - 1
+        if self.gram == other.gram and all(self.bytes_of(p[a], p[b]) == other.bytes_of(q[a], q[b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)):
+            return True
+        sets = [{x.bytes_of(k, k) for k in range(len(x.words.start) - x.gram + 1)} for x in (self, other)]
+        both = len(sets[0] & sets[1])  # a hash collision: count the shingles themselves
+        return 100 * both >= SIMILARITY * (len(sets[0] | sets[1]))
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, salt, role, node, z), leaders (role 0) before their members: the pairs (a, node) that are linked."""
-    leader, tokens = None, None
+    """Rows (a, salt, role, node, n, bits, z), leaders (role 0) before their members: the pairs (a, node) that are linked.
+
+    Members of a leader form trees of at most GROVE leaves; what the traversal against the leader's tree leaves is compared.
+    """
+    group, head, leader = None, None, None
+    held: list[tuple[pa.RecordBatch, int]] = []
+
+    def grown() -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        rows, held = held, []
+        if not rows:
+            return
+        column = lambda name: [b.column(name)[i].as_py() for b, i in [head, *rows]]
+        part = np.arange(len(rows) + 1)
+        hits = []
+        for _, j, _ in block_pairs(np.array(column("n")), column("bits"), part, part == 0):
+            hits += [rows[k - 1] for k in sorted(j.tolist()) if leader.linked(Shingled(rows[k - 1][0].column("z")[rows[k - 1][1]].as_py()))]
+        for batch, i in hits:
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, 1), batch.column("a").slice(i, 1)], names=["u", "v"])
+
     for batch in batches:
-        linked = []
-        a, role = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        for i, z in enumerate(batch.column(4)):
-            if role[i] == 0 and a[i] == leader:
-                continue
-            data = np.frombuffer(zlib.decompress(z.as_py()), dtype=np.uint8)
-            own = shingle_sets(Words(data, np.array([0, len(data)]), NOT_SPACE))[0]
+        a, salt, role = (batch.column(k).to_pylist() for k in range(3))
+        for i in range(batch.num_rows):
+            if (a[i], salt[i]) != group or len(held) == GROVE:
+                yield from grown()
             if role[i] == 0:
-                leader, tokens = a[i], own
-            elif a[i] == leader:
-                both = int(np.isin(own, tokens, assume_unique=True).sum())
-                if 100 * both >= SIMILARITY * (len(own) + len(tokens) - both):
-                    linked.append(i)
-        at = pa.array(linked, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(3).take(at), batch.column(0).take(at)], names=["u", "v"])
+                if (a[i], salt[i]) != group:
+                    group, head, leader = (a[i], salt[i]), (batch, i), Shingled(batch.column("z")[i].as_py())
+            elif (a[i], salt[i]) == group:
+                held.append((batch, i))
+        yield from grown()
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, n_texts: int, node: str) -> DataFrame:
@@ -282,17 +357,36 @@ def _confirm(pairs: DataFrame, texts: DataFrame, n_texts: int, node: str) -> Dat
     hot = cut_lineage(few(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SALT)))
     dealt = few(pairs.join(hot, "a", "left")).select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce(F.ceil(F.col("m") / SALT), F.lit(1))).alias("salt"))
     rows = dealt.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("node")).unionByName(dealt.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("node")))
-    full = wide(rows.join(texts.select("node", "z"), "node")).select("a", "salt", "role", "node", "z")
+    full = wide(rows.join(texts, "node")).select("a", "salt", "role", "node", "n", "bits", "z")
     return wide(full.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")).mapInArrow(_compare, f"u {node}, v {node}")
 
 
+def _tiled(entries: DataFrame) -> DataFrame:
+    """Block entries (key, m, ...) as (key, right, ...): those of a block of more than TILE go once to each pair of tiles that they are in.
+
+    A tile is a range of sizes and a share by hash. Linked sizes lie in the same range or in adjacent
+    ones, so a tile meets the other shares of its range and all shares of the next.
+    """
+    size, k = F.floor(F.log("n") / F.log(F.lit(RATIO))).cast("int"), F.ceil(F.col("m") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("node"), k).cast("int")
+    pair = lambda b, i, c, j, right: F.struct(F.xxhash64("key", b, i, c, j).alias("key"), right.alias("right"))
+    shares = F.sequence(F.lit(0), k - 1)
+    tiles = F.concat(
+        F.transform(shares, lambda j: pair(size, F.least(own, j), size, F.greatest(own, j), j < own)),
+        F.transform(shares, lambda j: pair(size, own, size + 1, j, F.lit(False))),
+        F.transform(shares, lambda j: pair(size - 1, j, size, own, F.lit(True))),
+    )
+    at = F.when(F.col("m") > TILE, tiles).otherwise(F.array(F.struct(F.col("key"), F.lit(False).alias("right"))))
+    return entries.withColumn("at", F.explode(at)).select("at.key", "at.right", "node", "part", "n", "bits")
+
+
 def _linked(docs: DataFrame, id_col: str, text_col: str, star_rounds: int = 1, nearest_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """Signed rows (id, n, s, x) of docs and classes (n, s, x, node, top): top is the smallest node of the class's component."""
     kind = docs.schema[id_col].dataType.simpleString()
     node = f"struct<id: {kind}, s: bigint>"
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = cut_lineage(plain.mapInArrow(_signatures, f"id {kind}, n bigint, s bigint, x bigint, bands array<bigint>"))
-    # Equal sets are one class; its representative is its smallest (id, set key).
+    # Equal words are one class; its representative is its smallest (id, key of the words).
     classes = signed.where("n > 0").groupBy("n", "s", "x").agg(F.min(F.struct("id", "s")).alias("node"), F.first("bands").alias("bands")).select("n", "s", "x", "node", "bands")
     banded = classes.select("node", F.explode("bands").alias("key"))
     shared = cut_lineage(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"))
@@ -311,9 +405,10 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, star_rounds: int = 1, n
         return few(blocks.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")))
 
     def traversed(nearest: bool) -> DataFrame:
-        mixed = few(placed().groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("top")).where("low != top").select("key"))
-        entries = few(few(placed().join(mixed, "key")).join(texts.select("node", "n", "bits"), "node").select("key", "node", "part", "n", "bits"))
-        return few(entries.repartition("key").sortWithinPartitions("key")).mapInArrow(lambda it: _traverse(it, nearest), f"a {node}, b {node}, most double")
+        mixed = few(placed().groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("top"), F.count(F.lit(1)).alias("m")).where("low != top").select("key", "m"))
+        entries = few(few(placed().join(mixed, "key")).join(texts.select("node", "n", "bits"), "node").select("key", "m", "node", "part", "n", "bits"))
+        dealt = few(_tiled(entries))
+        return few(dealt.repartition("key").sortWithinPartitions("key")).mapInArrow(lambda it: _traverse(it, nearest), f"a {node}, b {node}, most double")
 
     for _ in range(star_rounds):
         heads = few(placed().groupBy("key").agg(F.min(F.struct("part", "node")).alias("head"), F.max("part").alias("top")).where("head.part != top").select("key", "head"))
@@ -350,16 +445,17 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose last column is the text, that column replaced by the size and the key of its set."""
+    """Rows whose last column is the text, that column replaced by the size of its set and a key of its words."""
     for batch in batches:
         for first, last, data, offsets in slices(batch.column(batch.num_columns - 1)):
-            sets = shingle_sets(Words(data, offsets, NOT_SPACE))
+            words = Words(data, offsets, NOT_SPACE)
+            sets = shingle_sets(words)
             rest = [c.slice(first, last - first) for c in batch.columns[:-1]]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())], names=[*batch.schema.names[:-1], "__n", "__s"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array([len(s) for s in sets], pa.int64()), pa.array(word_keys(words)[:, 0])], names=[*batch.schema.names[:-1], "__n", "__s"])
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest node (id and set key). Columns as in docs.
+    """docs with one row of each component: that of the smallest node (id and key of the words). Columns as in docs.
 
     Rows without words are linked with nothing and all stay. Where rows share an id, null included, each
     is told by its own node; of rows of one node, which are linked, that of the smallest hash stays.

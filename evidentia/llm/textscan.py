@@ -7,6 +7,7 @@ bound and the longest single document, never the batch or the corpus.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,9 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
 MASK = (1 << 64) - 1
 
+#: Longer words are hashed by BLAKE2b: polynomials modulo a power of two let some long words collide whatever the multiplier.
+LONG = 64
+
 _BYTE_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
 
@@ -118,6 +122,9 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         c = prefix_hashes(self.data)
         self.hash = mix(range_hashes(c, self.start, self.end))
+        self.offsets = offsets
+        for i in np.flatnonzero(self.end - self.start > LONG).tolist():
+            self.hash[i] = int.from_bytes(hashlib.blake2b(self.bytes_of(i), digest_size=8).digest(), "little")
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -128,3 +135,16 @@ class Words:
     def window(self, i: int, n: int) -> bytes:
         """Words i .. i+n-1 joined by single spaces."""
         return b" ".join(self.bytes_of(j) for j in range(i, i + n))
+
+    def plain(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all documents with their words joined by single spaces, and where each document begins."""
+        last = np.zeros(len(self.start), dtype=bool)
+        last[self.first[1:][self.counts() > 0] - 1] = True
+        keep = np.zeros(len(self.data) + 1, dtype=np.int8)
+        np.add.at(keep, self.start, 1)
+        np.add.at(keep, np.minimum(self.end + ~last, len(self.data)), -1)
+        keep = np.cumsum(keep[:-1], dtype=np.int8) > 0
+        out = self.data.copy()
+        out[self.end[~last]] = 0x20
+        at = np.concatenate([[0], np.cumsum(keep)])
+        return out[keep], at[self.offsets]

@@ -1,6 +1,7 @@
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evidentia.llm import components, jaccard, suffixdedup
 
@@ -111,3 +112,57 @@ def test_suffix_sort_orders_and_extends():
         plain, extent = suffixdedup._sort_plainly(data, start, length, sizes)
         text = [data[s : s + n].tobytes() for s, n in zip(start, length, strict=True)]
         assert [text[i] for i in order] == [text[i] for i in plain] and shared.tolist() == extent.tolist()
+
+
+def thue_morse(order, swap=False):
+    out = "ab"[swap]
+    for _ in range(order):
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out
+
+
+def test_jaccard_words_that_collide_in_polynomial_hashes_are_told_apart(spark):
+    texts = [f"one two three four {thue_morse(10)}", f"one two three four {thue_morse(10, True)}", thue_morse(12), thue_morse(12, True)]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs_of(spark, texts)).collect()}
+    assert got == {i: i for i in range(4)}
+
+
+def test_jaccard_counts_the_words_when_hashes_collide(monkeypatch):
+    import zlib
+
+    pack = lambda t: zlib.compress(t.encode())
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    monkeypatch.setattr(jaccard, "_shingles", lambda h, gram, own: np.arange(len(h) - gram + 1, dtype=np.uint64))
+    assert jaccard.Shingled(pack(one)).linked(jaccard.Shingled(pack(one))) and not jaccard.Shingled(pack(one)).linked(jaccard.Shingled(pack(two)))
+
+
+def test_jaccard_tiles_hold_every_pair_that_a_block_holds(spark, monkeypatch, real):
+    monkeypatch.setattr(jaccard, "TILE", 3)
+    texts = NEAR + [edited(BASE, i) for i in range(40)] + [edited(BASE, i, i + 3, i + 7, i + 20, i + 40, i + 70) for i in range(40)] + [t for _, t in real[:60]]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs_of(spark, texts), star_rounds=0, nearest_rounds=1).collect()}
+    assert got == {i: c for i, (_, c) in enumerate(brute.op9(texts))}
+
+
+def test_links_of_a_leader_come_from_the_traversal_of_its_members_tree(monkeypatch):
+    import pyarrow as pa
+
+    texts = [BASE, *(edited(BASE, i) for i in range(0, 100, 9)), *(" ".join(f"{c}{i}" for i in range(120)) for c in "abcdef")]
+    (packed,) = jaccard._pack(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])]))
+    node = packed.column("node")
+    names = ["a", "salt", "role", "node", "n", "bits", "z"]
+    rows = pa.RecordBatch.from_arrays([node.take(pa.array([0] * len(texts))), pa.array([0] * len(texts)), pa.array([0] + [1] * (len(texts) - 1)), node, *(packed.column(c) for c in names[4:])], names=names)
+    linked = lambda: sorted(i["id"] for b in jaccard._compare(iter([rows])) for i in b.column("u").to_pylist())
+    wanted = [i for i, (_, c) in enumerate(brute.op9(texts)) if i and c == 0]
+    assert linked() == wanted and len(wanted) == 12
+    met, plain = [], jaccard.dual_traversal
+    monkeypatch.setattr(jaccard, "dual_traversal", lambda x, y: (met.append(p) or p for p in plain(x, y)))
+    assert linked() == wanted and sum(len(i) for i, _, _ in met) == 12  # unlike members are pruned by their signatures
+    monkeypatch.setattr(jaccard, "dual_traversal", lambda x, y: iter(()))
+    assert linked() == []
+
+
+def test_block_of_unlike_documents_is_dealt_out(spark):
+    rows = [(1, 20_000, i, i, 50 + i % 400) for i in range(20_000)]
+    dealt = jaccard._tiled(spark.createDataFrame(rows, "key long, m long, node long, part long, n long").withColumn("bits", F.lit(b"")))
+    most = dealt.groupBy("key").count().agg(F.max("count")).first()[0]
+    assert most <= 2 * jaccard.TILE and dealt.count() <= 3 * 5 * 20_000
