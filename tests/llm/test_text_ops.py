@@ -134,3 +134,34 @@ def test_running_sums(spark):
     df = spark.createDataFrame([(v,) for v in values], "v array<int>")
     for r in df.select("v", secrets.running(F.col("v"), lambda a, b: a + b).alias("s")).collect():
         assert r.s == [sum(r.v[:i]) for i in range(len(r.v))]
+
+
+def test_decontamination_by_blocks_and_batches(spark, sf_dir, real):
+    """Several blocks against several batches a task give what one block gives."""
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    want = sorted(map(str, decontam.decontaminate(real, bench).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        assert sorted(map(str, decontam.decontaminate(real.coalesce(2), bench, block_bytes=1000).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    empty = decontam.decontaminate(real.limit(0), bench)
+    assert empty.count() == 0 and empty.columns == ["doc_id", "n_words", "n_hit", "hits", "items"]
+
+
+def test_pattern_tables_are_small():
+    import pickle
+    import random
+    import tracemalloc
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(50_000)]
+    texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(1_700)]
+    size = sum(map(len, texts))
+    tracemalloc.start()
+    tables = decontam.pattern_sets(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    held = len(pickle.dumps(tables))  # what a worker loads
+    assert size > 4_000_000 and held < 9 * size and peak < 60 * size
+    assert [t.length for t in tables] == [10] and len(tables[0].at) == 1_700 * 391
