@@ -36,16 +36,8 @@ _STATS = {"symbol_ratio": "n_symbols / word_chars", "dup_line_ratio": "n_dup_lin
 
 
 def _op3(alpha: float = 0.05, delta: float = 0.1) -> str:
-    rate = alpha / len(rules.RULES)
     stat = {k: f"(case when {v.split(' / ')[1]} > 0 then ({v})::double else 0.0 end)" for k, v in _STATS.items()}
-    tests = " union all ".join(
-        f"select {r} as r, {j} as j, {c!r}::double as c, stratum, count(*) as n, count(*) filter ({stat[s]} {'>' if sign > 0 else '<'} {c!r}) as k from good group by stratum"
-        for r, (_, s, sign, cuts) in enumerate(rules.RULES)
-        for j, c in enumerate(cuts)
-    )
-    tail = f"case when k >= n * {rate!r} then 1.0 else (select sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({rate!r}) + (n - i) * ln(1 - {rate!r}))) from range(0, k + 1) x(i)) end"
-    beyond = " or ".join(f"coalesce({stat[s]} {'>' if sign > 0 else '<'} cut.c{r}, false)" for r, (_, s, sign, _) in enumerate(rules.RULES))
-    chosen = ", ".join(f"max({'-c' if sign < 0 else 'c'}) filter (r = {r} and j = top) * {sign} as c{r}" for r, (_, _, sign, _) in enumerate(rules.RULES))
+    steps = ", ".join(f"case when {stat[rules.RULES[r][1]]} {'>' if rules.RULES[r][2] > 0 else '<'} {rules.RULES[r][3][j]!r} then {t} else {rules.NEVER} end" for t, (r, j) in enumerate(rules.STEPS))
     return f"""
 with words as (select doc_id, lang, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
 grams as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from words)),
@@ -56,15 +48,17 @@ stats as (select doc_id, lang as stratum, len(w) as n_words, coalesce(list_sum([
   len([x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\\x20\\x09-\\x0D]')]) as n_lines,
   len([x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\\x20\\x09-\\x0D]')]) - len(list_distinct([x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\\x20\\x09-\\x0D]')])) as n_dup_lines,
   coalesce(c.n, 0) as n_repeat_words from words left join covered c using (doc_id)),
-based as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from stats),
+based as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, least({steps}) as step from stats),
 good as (select b.* from based b where not base_failed and doc_id in (select doc_id from labels where quality = 1)),
-tests as ({tests}),
-judged as (select *, {tail} <= {delta / len(rules.RULES)!r} / (select count(distinct stratum) from good) as ok from tests),
-walked as (select stratum, r, j, c, min(case when ok then 99 else j end) over (partition by stratum, r) - 1 as last from judged),
-best as (select stratum, r, j, c, case when last = 98 then max(j) over (partition by stratum, r) else last end as top from walked),
-cut as (select stratum, {chosen} from best group by stratum)
+sizes as (select stratum, count(*) as n, pow({1 - alpha!r}, count(*)) > {delta!r} / (select count(*) from (select distinct stratum from good)) as small from good group by stratum),
+grouped as (select case when small then null else s.stratum end as own, small, step from good g join sizes s on g.stratum is not distinct from s.stratum),
+tests as (select own, small, t, count(*) as n, count(*) filter (step <= t) as k from grouped, range({len(rules.STEPS)}) r(t) group by own, small, t),
+judged as (select *, case when k >= n * {alpha!r} then 1.0 else (select sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({alpha!r}) + (n - i) * ln({1 - alpha!r}))) from range(0, k + 1) x(i)) end
+  <= {delta!r} / (select count(*) from sizes) as ok from tests),
+limits as (select own, small, coalesce(min(t) filter (not ok), {len(rules.STEPS)}) - 1 as last from judged group by own, small),
+cut as (select s.stratum, last from sizes s join limits l on s.small = l.small and (s.small or s.stratum is not distinct from l.own))
 select doc_id, n_words::bigint as n_words, word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
-  not base_failed and not ({beyond}) as kept
+  not base_failed and step > coalesce(last, -1) as kept
 from based left join cut on based.stratum is not distinct from cut.stratum
 """
 

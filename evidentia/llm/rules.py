@@ -1,12 +1,20 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects a document whose statistic lies beyond a cutoff. Its cutoffs form a fixed sequence
-from loose to tight. On labelled good documents of a stratum (the holdout; nothing else is learned from
-them) every cutoff is tested: the exact binomial probability of seeing at most the observed number of
-false rejections if the true rate were above ``alpha`` / rules. A rule advances along its sequence while
-the test rejects that hypothesis, so no correction over cutoffs is needed; over rules and strata the
-level is divided (Bonferroni). With probability 1 - ``delta`` every stratum then loses at most a share
-``alpha`` of its good documents to all rules together. A rule that passes no test has no cutoff there.
+Each rule rejects a document whose statistic lies beyond a cutoff. The cutoffs of all rules form one
+fixed sequence from loose to tight (``STEPS``: the loosest cutoff of every rule in turn, then the next
+ones), so that going on rejects more and more. A document's step is the first one that rejects it.
+
+On labelled good documents of a stratum (the holdout; nothing else is learned from them) every step is
+tested: the exact binomial probability of at most the observed number of false rejections, by all rules
+up to this step together, if their true rate were above ``alpha``. A stratum advances while the test
+rejects that hypothesis at its level, and stops for good at the first step that fails; because the
+sequence is fixed, that needs no correction over steps, cutoffs or rules. Over strata the level ``delta``
+is divided by their number (Bonferroni). With probability 1 - ``delta`` every stratum then loses at most
+a share ``alpha`` of its good documents to all rules together.
+
+A stratum with so few labelled good documents that no test could succeed, even without a false
+rejection, is judged together with all others of its kind: the limit then holds for their union. Which
+ones these are depends on the numbers of labels alone, not on outcomes, and they count as strata still.
 Only DataFrame expressions run here.
 """
 
@@ -31,6 +39,10 @@ RULES = (
     ("short_words", "mean_word_chars", -1, (1.5, 2.0, 2.5, 3.0, 3.5)),
 )
 
+#: The fixed sequence of the tests: (rule, cutoff).
+STEPS = sorted(((r, j) for r, rule in enumerate(RULES) for j in range(len(rule[3]))), key=lambda x: (x[1], x[0]))
+NEVER = len(STEPS)
+
 
 def word_stats(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_capitals.
@@ -104,29 +116,43 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
     return F.when(k >= n * F.lit(rate), F.lit(1.0)).otherwise(total)
 
 
-def choose_cutoffs(good: DataFrame, *, stratum_col: str = "stratum", alpha: float = 0.05, delta: float = 0.1, strata: DataFrame | None = None) -> DataFrame:
-    """(stratum, cutoffs) with a cutoff for each of RULES, null where none is safe.
+def _beyond(rule: int, cutoff: Column) -> Column:
+    _, stat, sign, _ = RULES[rule]
+    return (F.col(stat) > cutoff) if sign > 0 else (F.col(stat) < cutoff)
+
+
+def first_step() -> Column:
+    """The first step that rejects a row, NEVER where none does."""
+    return F.least(*[F.when(_beyond(r, F.lit(RULES[r][3][j])), F.lit(t)).otherwise(F.lit(NEVER)) for t, (r, j) in enumerate(STEPS)])
 
-    good: the statistics of labelled good documents. One pass counts the false rejections of every
-    cutoff; what is left is a row for each stratum.
+
+def choose_limits(good: DataFrame, *, stratum_col: str = "stratum", step_col: str = "step", alpha: float = 0.05, delta: float = 0.1) -> DataFrame:
+    """(stratum, limit): the last step that is proven safe for the stratum, -1 where none is.
+
+    good: the steps of labelled good documents. One pass counts the false rejections of every step;
+    what is left is a row for each stratum. Strata of too few rows are tested as one.
     """
-    rate = alpha / len(RULES)
-    beyond = lambda stat, sign, c: F.sum(F.when((F.col(stat) > c) if sign > 0 else (F.col(stat) < c), 1).otherwise(0)).cast("long")
-    counts = good.groupBy(F.col(stratum_col).alias("stratum")).agg(
-        F.count(F.lit(1)).alias("n"), *[beyond(stat, sign, c).alias(f"k{r}_{j}") for r, (_, stat, sign, cuts) in enumerate(RULES) for j, c in enumerate(cuts)]
-    )
-    several = counts.agg(F.count(F.lit(1))).scalar()
-    chosen = []
-    for r, (_, _, _, cuts) in enumerate(RULES):
-        tests = F.array(*[F.struct(F.lit(c).alias("c"), (binomial_tail(F.col(f"k{r}_{j}"), F.col("n"), rate) <= F.lit(delta / len(RULES)) / F.col("__strata")).alias("ok")) for j, c in enumerate(cuts)])
-        walk = F.aggregate(tests, F.struct(F.lit(True).alias("on"), F.lit(None).cast("double").alias("c")), lambda a, t: F.struct((a["on"] & t["ok"]).alias("on"), F.when(a["on"] & t["ok"], t["c"]).otherwise(a["c"]).alias("c")), lambda a: a["c"])
-        chosen.append(walk)
-    return counts.withColumn("__strata", several).select("stratum", F.array(*chosen).alias("cutoffs"))
-
-
-def rejected(cutoffs: Column) -> Column:
-    """The names of the rules that reject a row."""
-    hits = [F.when(((F.col(stat) > F.get(cutoffs, F.lit(r))) if sign > 0 else (F.col(stat) < F.get(cutoffs, F.lit(r)))), F.lit(name)) for r, (name, stat, sign, _) in enumerate(RULES)]
+    up_to = [F.count_if(F.col(step_col) <= t).alias(f"k{t}") for t in range(len(STEPS))]
+    counts = cut_lineage(good.groupBy(F.col(stratum_col).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *up_to))
+    counts = counts.withColumn("level", F.lit(delta) / counts.agg(F.count(F.lit(1))).scalar())
+    small = F.pow(F.lit(1 - alpha), F.col("n")) > F.col("level")
+    # Whole strata and the union of the small ones, each tested once.
+    tested = counts.groupBy(small.alias("small"), F.when(~small, F.col("stratum")).alias("own")).agg(F.sum("n").alias("n"), F.first("level").alias("level"), *[F.sum(f"k{t}").alias(f"k{t}") for t in range(len(STEPS))])
+    passed = F.array(*[binomial_tail(F.col(f"k{t}"), F.col("n"), alpha) <= F.col("level") for t in range(len(STEPS))])
+    failed = F.array_position(passed, False)  # from 1; 0 where every step passes
+    limits = tested.select("small", "own", F.when(failed > 0, failed - 2).otherwise(len(STEPS) - 1).cast("int").alias("limit"))
+    named = counts.select("stratum", small.alias("s2"))
+    return named.join(limits, (F.col("s2") == F.col("small")) & (F.col("small") | F.col("stratum").eqNullSafe(F.col("own")))).select("stratum", "limit")
+
+
+def rejected(limit: Column) -> Column:
+    """The names of the rules that reject a row by their cutoffs up to the limit."""
+    hits = []
+    for r, (name, _, _, cuts) in enumerate(RULES):
+        cutoff = F.lit(None).cast("double")
+        for j, c in enumerate(cuts):
+            cutoff = F.when(limit >= STEPS.index((r, j)), F.lit(c)).otherwise(cutoff)
+        hits.append(F.when(_beyond(r, cutoff), F.lit(name)))
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 
@@ -144,18 +170,18 @@ def apply_rules(
     """One row per row of docs: id, the statistics, base_failed, rules (names of rejecting rules), kept.
 
     A null text has no words and fails the base rule; a null stratum is a stratum; strata without
-    labelled good documents have no cutoffs, so that only the base rule applies. Labels of ids that docs
+    labelled good documents have no limit, so that only the base rule applies. Labels of ids that docs
     lacks, null ids and null labels are ignored; of repeated labels of an id the largest holds, and
     repeated documents count once each. Empty tables are fine. Other columns are ignored.
     Good documents that the base rule already rejects say nothing about the other rules and are left out.
     """
     stats = word_stats(docs, text_col=text_col, keep=(id_col, stratum_col)).withColumnRenamed(stratum_col, "__stratum")
     stats = cut_lineage(stats)
-    rated = rule_stats(stats)
+    rated = rule_stats(stats).withColumn("__step", first_step())
     good = labels.where(F.col(good_col).isNotNull()).groupBy(F.col(id_col).alias("__lid")).agg(F.max(good_col).alias("__good")).where("__good = 1")
     held = rated.where(~base_failed()).join(good, F.col(id_col) == F.col("__lid"), "left_semi")
-    cutoffs = choose_cutoffs(held, stratum_col="__stratum", alpha=alpha, delta=delta)
-    judged = rated.join(cutoffs, F.col("__stratum").eqNullSafe(F.col("stratum")), "left").withColumn("rules", F.coalesce(rejected(F.col("cutoffs")), F.array().cast("array<string>")))
+    limits = choose_limits(held, stratum_col="__stratum", step_col="__step", alpha=alpha, delta=delta)
+    judged = rated.join(limits, F.col("__stratum").eqNullSafe(F.col("stratum")), "left").withColumn("rules", F.when(F.col("__step") <= F.col("limit"), rejected(F.col("limit"))).otherwise(F.array().cast("array<string>")))
     return judged.select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), "rules", (~base_failed() & (F.size("rules") == 0)).alias("kept")
     )

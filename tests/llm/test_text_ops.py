@@ -165,3 +165,34 @@ def test_pattern_tables_are_small():
     held = len(pickle.dumps(tables))  # what a worker loads
     assert size > 4_000_000 and held < 9 * size and peak < 60 * size
     assert [t.length for t in tables] == [10] and len(tables[0].at) == 1_700 * 391
+
+
+def test_rule_limits_hold_over_resamples():
+    """The procedure of choose_limits in numpy: over 1 000 holdouts the true rate of false rejection of the chosen limit is above alpha in at most a share delta."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    alpha, delta, steps, n = 0.05, 0.1, len(rules.STEPS), 300
+    true = np.linspace(0.0, 0.12, steps)  # the share of good documents that each step rejects
+    tail = np.array([sum(math.comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(k + 1)) for k in range(int(n * alpha))])
+    wrong = 0
+    for _ in range(1000):
+        k = np.searchsorted(np.sort(rng.random(n)), true, side="right")  # nested rejections
+        ok = (k < n * alpha) & (tail[np.minimum(k, len(tail) - 1)] <= delta)
+        limit = (np.flatnonzero(~ok)[0] if not ok.all() else steps) - 1
+        wrong += limit >= 0 and true[limit] > alpha
+    assert 0 < wrong <= 1000 * delta
+
+
+def test_rule_limits_by_stratum(spark):
+    """Large strata have limits of their own, strata too small for any test share one, and a null stratum is one."""
+    never, cap = rules.NEVER, 20
+    rows = [("a", never)] * 200 + [("b", never)] * 180 + [("b", cap)] * 20 + [("c", never)] * 50 + [(None, never)] * 50 + [("d", cap)] * 3
+    good = spark.createDataFrame(rows, "stratum string, step int")
+    got = {r.stratum: r.limit for r in rules.choose_limits(good).collect()}
+    assert got == {"a": never - 1, "b": cap - 1, "c": cap - 1, "d": cap - 1, None: cap - 1}
+    assert rules.choose_limits(good.where("stratum = 'c'")).first().limit == never - 1
+    assert {r.limit for r in rules.choose_limits(good.where("stratum = 'd'")).collect()} == {-1}
+    assert rules.choose_limits(good.limit(0)).count() == 0
