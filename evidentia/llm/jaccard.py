@@ -47,7 +47,7 @@ CHUNK, SALT = 65_536, 1_000
 #: Representatives of a block that are traversed as a whole, ratio of the sizes of a tile (a little over that of linked sets), members of a leader that form a tree.
 TILE, RATIO, GROVE = 4_000, 1.34, 256
 #: Block entries, texts and pairs that one task handles at least.
-ENTRIES, TEXTS, PAIRS = 100_000, 5_000, 2_000
+ENTRIES, TEXTS, PAIRS = 20_000, 5_000, 2_000
 
 _ROLL = np.uint64(0xA0761D6478BD642F | 1)
 _RNG = np.random.default_rng(977)
