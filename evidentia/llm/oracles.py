@@ -93,6 +93,16 @@ from t left join named using (doc_id) group by t.doc_id
 """
 
 
+OP5 = """
+with t as (select doc_id, row_number() over (order by doc_id) as r, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select r, i, md5_number(substr(h, 2 * i + 1, 400)) as m from (select r, h, unnest(range(0, length(h) // 2 - 199)) as i from t)),
+hit as (select r, i, lag(i) over (partition by r order by i) as before from (select r, i, count(*) over (partition by m) as n from w) where n > 1),
+span as (select r, min(i) as s, max(i) + 200 as e from (select r, i, sum((before is null or i > before + 200)::int) over (partition by r order by i) as k from hit) group by r, k),
+piece as (select r, s, e, lag(e, 1, 0) over (partition by r order by s) as before from span),
+cut as (select t.r, sum(e - s)::bigint as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' order by s) || substr(any_value(h), 2 * max(e) + 1) as kept from piece join t using (r) group by t.r)
+select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from t left join cut using (r)
+"""
+
 OP9 = """
 with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
 g as (select distinct doc_id, md5_number_lower(array_to_string(w[i:least(i + 4, len(w))], ' ') || case when len(w) < 5 then '|' || len(w) else '' end) as s
@@ -121,6 +131,7 @@ ORACLES = {
     "op1_poisson_mix": OP1,
     "op2_chat_format": OP2,
     "op3_quality_rules": _op3(),
+    "op5_suffix_dedup": OP5,
     "op8_secret_scan": _op8(),
     "op9_signature_trees": OP9,
     "op10_decontamination": OP10,

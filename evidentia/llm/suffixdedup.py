@@ -7,16 +7,17 @@ window alone. Equal windows have equal anchors, and neighbouring windows mostly
 is cut into runs of windows (about one for 85 bytes) that are named by their anchor.
 
 * Anchors that occur once are done: their windows are unique.
-* Runs that are equal as a whole, by the prefix polynomial hashes of anchor and run (128 bits), are repeated as a whole.
-* Runs that share an anchor, but not the whole, meet in the anchor's bucket with their bytes. There the
-  suffixes that start at the anchors, and the reversed texts that end there, are sorted by a mergesort.
-  Two of them are compared by binary search for their longest common extension over prefix hashes, and
-  the extensions found between neighbours are verified byte by byte. A window reaching o bytes to the
-  left of its anchor is repeated if another run agrees on o bytes to the left and WIDTH - o to the right,
-  which the two sorted orders tell by their neighbours' extensions.
-
-Buckets of more than ``HOT`` runs are not sorted in one place: their windows are counted by 128-bit hash
-with map-side aggregation instead, which is exact to the same degree and has no group to gather.
+* Runs of equal bytes, told by a 128-bit BLAKE2b digest, are one kind. A kind that occurs more than once
+  enters what follows twice; what is found for a kind holds for all its runs.
+* The kinds that share an anchor meet in the anchor's bucket with their bytes. There the suffixes that
+  start at the anchors, and the reversed texts that end there, are sorted by a mergesort. Two of them are
+  compared by binary search for their longest common extension over prefix hashes, and the extensions
+  found between neighbours are verified byte by byte. A window reaching o bytes to the left of its anchor
+  is repeated if another run agrees on o bytes to the left and WIDTH - o to the right, which the two
+  sorted orders tell by their neighbours' extensions.
+
+A bucket of more than ``SPLIT`` kinds is split further, by the whole window: its windows are told by
+BLAKE2b digests and counted with map-side aggregation, so that no group is gathered, however hot.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ from .textscan import BASE_INV, mix, powers, prefix_hashes, range_hashes, slices
 
 WIDTH = 200
 GRAM = 32
-HOT = 50_000
+#: Kinds of one anchor that are sorted in one place.
+SPLIT = 5_000
 #: Runs that are sorted together in a task, at least; whole buckets only.
 BLOCK = 20_000
 
@@ -52,12 +54,12 @@ def sliding_min(keys: np.ndarray, w: int) -> np.ndarray:
 
 
 def spans_of(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int = GRAM):
-    """Maximal runs of window starts that share their anchor: (document, first start, last start, anchor, anchor hash, span hash)."""
+    """Maximal runs of window starts that share their anchor: (document, first start, last start, anchor, anchor hash)."""
     lengths = np.diff(offsets)
     w = width - gram + 1
     if len(data) < width or not (lengths >= width).any():
         none = np.empty(0, dtype=np.int64)
-        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64)
     c = prefix_hashes(data)
     n = len(data) - gram + 1
     at = np.arange(n)
@@ -73,8 +75,7 @@ def spans_of(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: in
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
     lo, hi = starts[first], starts[last]
-    span = mix(range_hashes(c, lo, hi + width) + (hi - lo).astype(np.uint64))
-    return doc[first], lo, hi, anchor[first], grams[anchor[first]], span
+    return doc[first], lo, hi, anchor[first], grams[anchor[first]]
 
 
 def _extension(c: np.ndarray, inverse: np.ndarray, i: np.ndarray, j: np.ndarray, cap: np.ndarray) -> np.ndarray:
@@ -191,41 +192,55 @@ def repeated_offsets(data: np.ndarray, offsets: np.ndarray, anchor: np.ndarray,
     return out
 
 
+def _digest(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) to the anchors of its runs."""
+    for batch in batches:
+        for _, _, data, offsets in slices(batch.column(0)):
+            a = spans_of(data, offsets)[4]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64))], names=["a"])
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, sig, text) to runs (a, s, id, sig, pos); pos packs the first start, and how far the last start and the anchor lie behind it."""
+    """(id, sig, text) to runs (a, s, id, sig, pos); s is the run's digest, pos packs the first start, and how far the last start and the anchor lie behind it."""
     for batch in batches:
         ids, sig = batch.column(0), batch.column(1)
         for first, _, data, offsets in slices(batch.column(2)):
-            doc, lo, hi, anchor, a, s = spans_of(data, offsets)
+            doc, lo, hi, anchor, a = spans_of(data, offsets)
             if len(doc):
+                raw = data.tobytes()
+                s = [_digest(raw[x:y]) for x, y in zip(lo.tolist(), (hi + WIDTH).tolist(), strict=True)]
                 pos = ((lo - offsets[doc]) << 16) | ((hi - lo) << 8) | (anchor - lo)
                 row = pa.array(doc + first)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), ids.take(row), sig.take(row), pa.array(pos)], names=["a", "s", "id", "sig", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(s, pa.binary()), ids.take(row), sig.take(row), pa.array(pos)], names=["a", "s", "id", "sig", "pos"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, sig, text, runs) to the runs with their bytes: (a, id, sig, lo, at, whole, bytes, hot)."""
+    """(text, runs) to the runs with their bytes: (a, s, at, twice, bytes, hot); at is the anchor's place in the bytes."""
     for batch in batches:
-        ids, sig = batch.column(0), batch.column(1)
-        for i, runs in enumerate(batch.column(3)):
-            raw = batch.column(2)[i].as_py()
-            runs = runs.as_py()
-            row = pa.array([i] * len(runs))
-            lo = [r["pos"] >> 16 for r in runs]
+        for raw, runs in zip(batch.column(0), batch.column(1), strict=True):
+            raw, runs = raw.as_py(), runs.as_py()
+            pos = [r["pos"] for r in runs]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([r["a"] for r in runs], pa.int64()), ids.take(row), sig.take(row), pa.array(lo, pa.int32()), pa.array([x + (r["pos"] & 255) for x, r in zip(lo, runs, strict=True)], pa.int32()),
-                    pa.array([r["whole"] for r in runs], pa.bool_()), pa.array([raw[x : x + (r["pos"] >> 8 & 255) + WIDTH] for x, r in zip(lo, runs, strict=True)], pa.binary()), pa.array([r["hot"] for r in runs], pa.bool_()),
+                    pa.array([r["a"] for r in runs], pa.int64()), pa.array([r["s"] for r in runs], pa.binary()), pa.array([p & 255 for p in pos], pa.int32()), pa.array([r["twice"] for r in runs], pa.bool_()),
+                    pa.array([raw[p >> 16 : (p >> 16) + (p >> 8 & 255) + WIDTH] for p in pos], pa.binary()), pa.array([r["hot"] for r in runs], pa.bool_()),
                 ],
-                names=["a", "id", "sig", "lo", "at", "whole", "bytes", "hot"],
+                names=["a", "s", "at", "twice", "bytes", "hot"],
             )
 
 
 def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs with bytes, sorted by anchor hash, to repeated intervals (id, sig, s, e)."""
+    """Kinds with bytes, sorted by anchor hash, to repeated intervals (a, s, f, t) counted from the run's start."""
     held: list[pa.RecordBatch] = []
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
+        own = np.repeat(np.arange(rows.num_rows), 1 + rows.column("twice").to_numpy())
+        rows = rows.take(pa.array(own))
         a = rows.column("a").to_numpy()
         cuts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
         sizes = np.diff(np.append(cuts, len(a)))
@@ -233,9 +248,9 @@ def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, off, buf = column.buffers()
         off = np.frombuffer(off, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
         data = np.frombuffer(buf, dtype=np.uint8)[off[0] : off[-1]]
-        lo, at = rows.column("lo").to_numpy().astype(np.int64), rows.column("at").to_numpy().astype(np.int64)
-        found = repeated_offsets(data, off - off[0], at - lo, sizes)
-        found &= ~rows.column("whole").to_numpy()[:, None]
+        at = rows.column("at").to_numpy().astype(np.int64)
+        found = repeated_offsets(data, off - off[0], at, sizes)
+        found[np.append(False, own[1:] == own[:-1])] = False  # the second of two equal runs only lends its bytes
         edge = np.zeros((len(a), WIDTH + 2), dtype=np.int8)
         edge[:, 1:-1] = found
         turn = np.diff(edge, axis=1)
@@ -243,8 +258,8 @@ def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         far = np.nonzero(turn == -1)[1] - 1
         pick = pa.array(run)
         return pa.RecordBatch.from_arrays(
-            [rows.column("id").combine_chunks().take(pick), rows.column("sig").combine_chunks().take(pick), pa.array((at[run] - far).astype(np.int32)), pa.array((at[run] - near + WIDTH).astype(np.int32))],
-            names=["id", "sig", "s", "e"],
+            [pa.array(a[run]), rows.column("s").combine_chunks().take(pick), pa.array((at[run] - far).astype(np.int32)), pa.array((at[run] - near + WIDTH).astype(np.int32))],
+            names=["a", "s", "f", "t"],
         )
 
     count = 0
@@ -263,25 +278,13 @@ def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(pa.Table.from_batches(held))
 
 
-def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs with bytes to their windows: (h, g, id, sig, s, whole), two hashes of the window's bytes."""
+def _window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kinds with bytes to their windows: (h, a, s, f, many), the digest, place and number of each."""
     for batch in batches:
-        raw = b"".join(batch.column(6).to_pylist())
-        data = np.frombuffer(raw, dtype=np.uint8)
-        size = np.array([len(x) for x in batch.column(6).to_pylist()])
-        off = np.concatenate([[0], np.cumsum(size)])
-        many = size - WIDTH + 1
-        run = np.repeat(np.arange(len(size)), many)
-        nth = np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many)
-        start = off[run] + nth
-        c = prefix_hashes(data)
-        h = range_hashes(c, start, start + WIDTH)
-        g = mix(range_hashes(c, start, start + WIDTH // 2)) + np.uint64(3) * mix(range_hashes(c, start + WIDTH // 3, start + WIDTH))
-        row = pa.array(run)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), batch.column(1).take(row), batch.column(2).take(row), pa.array((batch.column(3).to_numpy()[run] + nth).astype(np.int32)), batch.column(5).take(row)],
-            names=["h", "g", "id", "sig", "s", "whole"],
-        )
+        for a, s, _, twice, raw, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n = len(raw) - WIDTH + 1
+            h = [_digest(raw[f : f + WIDTH]) for f in range(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array([a] * n, pa.int64()), pa.array([s] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([1 + twice] * n, pa.int64())], names=["h", "a", "s", "f", "many"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +314,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT) -> DataFrame:
     """One row per row of docs: id, n_bytes, spans (maximal removed byte runs), kept (the other bytes).
 
     Null reads as the empty text; texts of fewer than WIDTH bytes keep everything. Repeated rows are
@@ -320,29 +323,28 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     kind = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("sig", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))).select("id", "sig", "text")
-    runs = plain.where(F.octet_length("text") >= WIDTH).mapInArrow(_runs, f"a bigint, s bigint, id {kind}, sig bigint, pos bigint")
+    long = plain.where(F.octet_length("text") >= WIDTH)
     # Kept as a table of its own, so that both sides of the join are plain exchanges and Spark can split a hot anchor's runs.
-    again = cut_lineage(runs.groupBy(F.col("a").alias("k")).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k"))
-    met = cut_lineage(runs.join(again, F.col("a") == F.col("k")).drop("k"))
+    again = cut_lineage(long.select("text").mapInArrow(_anchors, "a bigint").groupBy(F.col("a").alias("k")).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k"))
+    met = cut_lineage(long.mapInArrow(_runs, f"a bigint, s binary, id {kind}, sig bigint, pos bigint").join(again, F.col("a") == F.col("k")).drop("k"))
     # first() takes all three columns from one row; any run of its kind will do.
-    whole = cut_lineage(met.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.first("id").alias("i"), F.first("sig").alias("g"), F.first("pos").alias("pos")))
-    differ = whole.groupBy(F.col("a").alias("k")).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    equal = met.join(whole.where("c > 1").select(F.col("a").alias("k"), F.col("s").alias("l")), (F.col("a") == F.col("k")) & (F.col("s") == F.col("l")))
-    lo = F.shiftright("pos", 16)
-    done = equal.select("id", "sig", lo.cast("int").alias("s"), (lo + F.shiftright("pos", 8).bitwiseAND(F.lit(255)) + WIDTH).cast("int").alias("e"))
-    # One run of each kind, where an anchor has several kinds: these meet with their bytes.
-    detail = whole.join(differ, F.col("a") == F.col("k")).select("i", "g", F.struct("a", "pos", (F.col("c") > 1).alias("whole"), (F.col("m") > hot).alias("hot")).alias("r"))
+    kinds = cut_lineage(met.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.first("id").alias("i"), F.first("sig").alias("g"), F.first("pos").alias("pos")))
+    buckets = cut_lineage(kinds.groupBy(F.col("a").alias("k")).agg(F.count(F.lit(1)).alias("m"), F.sum("c").alias("all")).where("all > 1"))
+    detail = kinds.join(buckets, F.col("a") == F.col("k")).select("i", "g", F.struct("a", "s", "pos", (F.col("c") > 1).alias("twice"), (F.col("m") > split).alias("hot")).alias("r"))
     asked = cut_lineage(detail.groupBy("i", "g").agg(F.collect_list("r").alias("runs")))
     same = lambda: plain["id"].eqNullSafe(F.col("i")) & (plain["sig"] == F.col("g"))
     # This join and the last one read the same exchange of the texts, which Spark reuses within one plan.
-    found = plain.join(asked, same()).select("id", "sig", F.col("text").cast("binary").alias("text"), "runs")
-    parts = found.mapInArrow(_contexts, f"a bigint, id {kind}, sig bigint, lo int, at int, whole boolean, bytes binary, hot boolean")
-    gone = done.unionByName(parts.where("not hot").repartition("a").sortWithinPartitions("a").mapInArrow(_intervals, f"id {kind}, sig bigint, s int, e int"))
-    if not differ.where(F.col("m") > hot).isEmpty():
-        windows = cut_lineage(parts.where("hot").mapInArrow(_window_hashes, f"h bigint, g bigint, id {kind}, sig bigint, s int, whole boolean"))
-        twice = windows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("h").alias("h2"), F.col("g").alias("g2"))
-        gone = gone.unionByName(windows.where("not whole").join(twice, (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2"))).select("id", "sig", "s", (F.col("s") + WIDTH).alias("e")))
-    gone = gone.groupBy(F.col("id").alias("i"), F.col("sig").alias("g")).agg(F.collect_set(F.struct("s", "e")).alias("cuts"))
+    found = plain.join(asked, same()).select(F.col("text").cast("binary").alias("text"), "runs")
+    parts = found.mapInArrow(_contexts, "a bigint, s binary, at int, twice boolean, bytes binary, hot boolean")
+    repeated = parts.where("not hot").repartition("a").sortWithinPartitions("a").mapInArrow(_intervals, "a bigint, s binary, f int, t int")
+    if not buckets.where(F.col("m") > split).isEmpty():
+        windows = cut_lineage(parts.where("hot").mapInArrow(_window_digests, "h binary, a bigint, s binary, f int, many bigint"))
+        several = windows.groupBy(F.col("h").alias("w")).agg(F.sum("many").alias("m")).where("m > 1").select("w")
+        repeated = repeated.unionByName(windows.join(several, F.col("h") == F.col("w")).select("a", "s", "f", (F.col("f") + WIDTH).alias("t")))
+    repeated = cut_lineage(repeated.select(F.col("a").alias("k"), F.col("s").alias("l"), "f", "t"))
+    lo = F.shiftright("pos", 16)
+    gone = met.join(repeated, (F.col("a") == F.col("k")) & (F.col("s") == F.col("l"))).select("id", "sig", F.struct((lo + F.col("f")).cast("int").alias("s"), (lo + F.col("t")).cast("int").alias("e")).alias("cut"))
+    gone = gone.groupBy(F.col("id").alias("i"), F.col("sig").alias("g")).agg(F.collect_set("cut").alias("cuts"))
     full = plain.join(gone, same(), "left").select("id", F.col("text").cast("binary").alias("text"), "cuts")
     out = full.mapInArrow(_cut, f"id {kind}, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
     return out.withColumnRenamed("id", id_col)

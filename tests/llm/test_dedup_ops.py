@@ -87,10 +87,10 @@ REPEATS = [
 ]
 
 
-@pytest.mark.parametrize("hot", [suffixdedup.HOT, 1])
-def test_suffix_dedup_matches_brute_force(spark, real, hot):
+@pytest.mark.parametrize("split", [suffixdedup.SPLIT, 1])
+def test_suffix_dedup_matches_brute_force(spark, real, split):
     texts = brute.EDGE_TEXTS + REPEATS + [t for _, t in real]
-    got = {r.doc_id: tuple(r)[1:] for r in suffixdedup.digest(suffixdedup.remove_repeats(docs_of(spark, texts), hot=hot)).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in suffixdedup.digest(suffixdedup.remove_repeats(docs_of(spark, texts), split=split)).collect()}
     assert got == dict(enumerate(brute.op5(texts)))
 
 
@@ -166,3 +166,19 @@ def test_block_of_unlike_documents_is_dealt_out(spark):
     dealt = jaccard._tiled(spark.createDataFrame(rows, "key long, m long, node long, part long, n long").withColumn("bits", F.lit(b"")))
     most = dealt.groupBy("key").count().agg(F.max("count")).first()[0]
     assert most <= 2 * jaccard.TILE and dealt.count() <= 3 * 5 * 20_000
+
+
+def test_every_repeat_comes_from_the_suffix_sort(monkeypatch):
+    """Kinds that occur twice are found repeated by the sort alone, with their bytes verified."""
+    import pyarrow as pa
+
+    raw = [PASSAGE[:260].encode(), PASSAGE[10:270].encode(), b"q" * 100 + PASSAGE[:160].encode()]
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 1, 2]), pa.array([b"x", b"y", b"z"]), pa.array([100, 90, 100], pa.int32()), pa.array([False, False, True]), pa.array(raw)], names=["a", "s", "at", "twice", "bytes"])
+    found = lambda: [(r["s"], r["f"], r["t"]) for b in suffixdedup._intervals(iter([rows])) for r in b.to_pylist()]
+    assert found() == [(b"x", 10, 260), (b"y", 0, 250), (b"z", 0, 260)]
+    checked, plain = [], suffixdedup._verified
+    monkeypatch.setattr(suffixdedup, "_verified", lambda *x: checked.append(plain(*x)) or checked[-1])
+    found()
+    assert checked == [True, True]
+    monkeypatch.setattr(suffixdedup, "_extension", lambda c, inverse, i, j, cap: cap.copy())  # every comparison collides
+    assert found() == [(b"x", 10, 260), (b"y", 0, 250), (b"z", 0, 260)]
