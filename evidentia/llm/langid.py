@@ -1,15 +1,17 @@
 """Language identification of code-switched text by a linear-chain conditional random field over words.
 
 A word's features are its affixes (first and last one to four bytes), the three- and four-byte strings
-inside it and the whole word as a lexicon entry, all lower-cased and hashed into a table of learned
-weights, one for each language; adjacent labels have learned transition weights. Training sequences are
-whole documents and spliced ones, in which runs of words of documents of different languages follow
-each other, so that the transitions learn how often text switches. Labels of words come from
-forward-backward, computed for all documents of a slice at once: products of small matrices for blocks
-of words first, then over the blocks of each document, then inside the blocks.
+inside it and the whole word, all lower-cased and hashed into a table of learned weights, one for each
+label, and the language whose lexicon has the word; a lexicon holds the words that several sampled
+documents of one language share and those of others hardly use. Labels are the languages and one for
+words of none, which random strings of letters, digits and signs teach. Adjacent labels have learned
+transition weights. Training sequences are documents and spliced ones, in which runs of words of other
+languages or of none follow, so that the transitions learn how often text switches. Labels of words come
+from forward-backward, computed for all documents of a slice at once: products of small matrices for
+blocks of words first, then over the blocks of each document, then inside the blocks.
 
 The model is fitted on at most ``SAMPLE`` labelled documents a language and ``SAMPLE_WORDS`` words of
-each, a bounded, deterministic sample by hash; predictions read whole texts.
+each, in runs from its whole length, a bounded, deterministic sample by hash; predictions read whole texts.
 """
 
 from __future__ import annotations
@@ -26,6 +28,12 @@ from .textscan import NOT_SPACE, Words, mix, prefix_hashes, range_hashes, slices
 
 #: Bounds of the training sample: documents a language and words of a document.
 SAMPLE, SAMPLE_WORDS = 400, 150
+#: Runs of words that are taken from a document of more words.
+RUNS = 6
+#: Documents of a language that a lexicon's word is in at least, and the least share of all its documents.
+LEXICON_DOCS, LEXICON_SHARE = 3, 0.9
+#: Share of training sequences that a run of random words goes into, and of those that are nothing else.
+NOISE, ALL_NOISE = 0.15, 0.03
 TABLE_BITS = 17
 EPOCHS = 6
 BLOCK = 64
@@ -36,15 +44,23 @@ UNKNOWN = "und"
 
 @dataclass
 class Field:
-    """Labels, emission weights [table, labels], transition weights [labels, labels], start weights [labels]."""
+    """Languages, emission weights [table, labels], transition weights [labels, labels], start weights [labels], and the lexicon.
+
+    Labels are the languages and, as the last one, words of none. lexicon: hashes of words in order, and their languages' numbers.
+    """
 
     labels: list[str]
     weights: np.ndarray
     moves: np.ndarray
     start: np.ndarray
+    lexicon: tuple[np.ndarray, np.ndarray] = (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
+
 
+def _word_hashes(words: Words) -> np.ndarray:
+    return mix(range_hashes(prefix_hashes(words.data), words.start, words.end) + np.uint64(99))
 
-def feature_rows(words: Words) -> tuple[np.ndarray, np.ndarray]:
+
+def feature_rows(words: Words, lexicon: tuple[np.ndarray, np.ndarray] = Field.lexicon) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the weight table that the words' features name, and where each word's rows begin."""
     c = prefix_hashes(words.data)
     s, e = words.start, words.end
@@ -53,8 +69,14 @@ def feature_rows(words: Words) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(s + n, e)
         kinds.append(mix(range_hashes(c, s, at) + np.uint64(2 * n)))
         kinds.append(mix(range_hashes(c, np.maximum(e - n, s), e) + np.uint64(2 * n + 1)))
-    kinds.append(mix(range_hashes(c, s, e) + np.uint64(99)))
-    fixed = np.stack(kinds, axis=1) if len(s) else np.empty((0, 9), dtype=np.uint64)
+    whole = mix(range_hashes(c, s, e) + np.uint64(99))
+    kinds.append(whole)
+    listed = np.zeros(len(s), dtype=np.uint64)  # the number of the language whose lexicon has the word, from 1
+    if len(lexicon[0]):
+        at = np.minimum(np.searchsorted(lexicon[0], whole), len(lexicon[0]) - 1)
+        listed = np.where(lexicon[0][at] == whole, lexicon[1][at] + 1, 0).astype(np.uint64)
+    kinds.append(mix(listed + np.uint64(5000)))
+    fixed = np.stack(kinds, axis=1) if len(s) else np.empty((0, 10), dtype=np.uint64)
     grams, counts = [], []
     for n in (3, 4):
         many = np.maximum(0, e - s - n + 1)
@@ -62,12 +84,12 @@ def feature_rows(words: Words) -> tuple[np.ndarray, np.ndarray]:
         at = s[word] + np.arange(len(word)) - np.repeat(np.cumsum(many) - many, many)
         grams.append(mix(range_hashes(c, at, at + n) + np.uint64(1000 + n)))
         counts.append(many)
-    total = 9 + counts[0] + counts[1]
+    total = 10 + counts[0] + counts[1]
     first = np.concatenate([[0], np.cumsum(total)])
     rows = np.empty(int(first[-1]), dtype=np.uint64)
-    for k in range(9):
+    for k in range(10):
         rows[first[:-1] + k] = fixed[:, k]
-    skip = np.full(len(s), 9)
+    skip = np.full(len(s), 10)
     for g, many in zip(grams, counts, strict=True):
         at = np.repeat(first[:-1] + skip, many) + np.arange(len(g)) - np.repeat(np.cumsum(many) - many, many)
         rows[at] = g
@@ -77,9 +99,9 @@ def feature_rows(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def emissions(field: Field, words: Words) -> np.ndarray:
     """[words, labels]: summed weights, divided by the root of the number of features so that long words don't drown out their neighbours."""
-    rows, first = feature_rows(words)
+    rows, first = feature_rows(words, field.lexicon)
     if not len(words.start):
-        return np.zeros((0, len(field.labels)))
+        return np.zeros((0, len(field.start)))
     sums = np.add.reduceat(field.weights[rows], first[:-1], axis=0)
     return sums / np.sqrt(np.diff(first))[:, None]
 
@@ -141,16 +163,45 @@ def posteriors(field: Field, emit: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out / out.sum(axis=1, keepdims=True)
 
 
+def random_words(rng: np.random.Generator, n: int) -> list[bytes]:
+    """n words of no language: letters, hexadecimal digits, or letters, digits and signs by chance."""
+    kinds = (b"abcdefghijklmnopqrstuvwxyz", b"0123456789abcdef", b"abcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+    out = []
+    for _ in range(n):
+        letters = np.frombuffer(kinds[int(rng.integers(3))], dtype=np.uint8)
+        out.append(rng.choice(letters, int(rng.integers(3, 20))).tobytes())
+    return out
+
+
+def _joined(docs: list[list[bytes]]) -> Words:
+    raw = [b" ".join(d) for d in docs]
+    return Words(np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), NOT_SPACE)
+
+
+def learn_lexicon(docs: list[tuple[list[bytes], int]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words that mark one of k languages, in order, and the languages' numbers."""
+    words = _joined([d for d, _ in docs])
+    doc = np.repeat(np.arange(len(docs)), words.counts())
+    pairs = np.unique(np.stack([_word_hashes(words), doc.astype(np.uint64)]), axis=1)  # each word once a document
+    keys, slot = np.unique(pairs[0], return_inverse=True)
+    label = np.array([y for _, y in docs], dtype=np.int64)[pairs[1].astype(np.int64)]
+    counts = np.bincount(slot * k + label, minlength=len(keys) * k).reshape(len(keys), k)
+    top = counts.max(axis=1)
+    good = (top >= LEXICON_DOCS) & (top >= LEXICON_SHARE * counts.sum(axis=1))
+    return keys[good], counts.argmax(axis=1)[good]
+
+
 def train(sequences: list[tuple[str, str]], labels: list[str], epochs: int = EPOCHS, seed: int = 5) -> Field:
     """A field from (text, label) pairs by stochastic gradient steps on the sequences' log-likelihood (AdaGrad)."""
-    k = len(labels)
+    k = len(labels) + 1
     field = Field(labels, np.zeros((1 << TABLE_BITS, k), dtype=np.float32), np.zeros((k, k)), np.zeros(k))
-    if not sequences or k < 2:
+    if not sequences or not labels:
         return field
     rng = np.random.default_rng(seed)
     code = {x: i for i, x in enumerate(labels)}
-    words = [([w.encode() for w in t.lower().split()][:SAMPLE_WORDS], code[y]) for t, y in sequences]
+    words = [([w.encode() for w in t.lower().split()], code[y]) for t, y in sequences]
     words = [x for x in words if x[0]]
+    field.lexicon = learn_lexicon(words, k)
     g_w = np.full(field.weights.shape, 1e-3, dtype=np.float32)
     g_m, g_s = np.full((k, k), 1e-3), np.full(k, 1e-3)
     for _ in range(epochs):
@@ -166,12 +217,16 @@ def train(sequences: list[tuple[str, str]], labels: list[str], epochs: int = EPO
                     a = int(rng.integers(0, len(own) + 1))
                     b = int(rng.integers(1, min(len(more), 40) + 1))
                     parts, ys = [own[:a], more[:b], own[a:]], [y] * a + [z] * b + [y] * (len(own) - a)
+                chance = rng.random()
+                if chance < NOISE + ALL_NOISE:
+                    noise = random_words(rng, int(rng.integers(1, 20)))
+                    a = int(rng.integers(0, len(ys) + 1)) if chance < NOISE else 0
+                    flat = [w for part in parts for w in part] if chance < NOISE else []
+                    parts, ys = [flat[:a], noise, flat[a:]], [*ys[:a], *[k - 1] * len(noise), *ys[a : len(flat)]]
                 seqs.append([w for part in parts for w in part])
                 gold += ys
-            raw = [b" ".join(s) for s in seqs]
-            buf = b"".join(raw)
-            w = Words(np.frombuffer(buf, dtype=np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), NOT_SPACE)
-            rows, first = feature_rows(w)
+            w = _joined(seqs)
+            rows, first = feature_rows(w, field.lexicon)
             scale = 1 / np.sqrt(np.diff(first))
             emit = np.add.reduceat(field.weights[rows], first[:-1], axis=0) * scale[:, None]
             post = posteriors(field, emit.astype(np.float64), w.first)
@@ -229,9 +284,13 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """A field learned from the first ``sample`` labelled texts of each language, in the order of a hash of id and text.
 
     Rows without text, label or a letter are left out. The sample that reaches the driver has at most
-    ``sample`` texts a language, cut to SAMPLE_WORDS words.
+    ``sample`` texts a language, and of texts of more than SAMPLE_WORDS words RUNS runs at even distances
+    from the first to the last, which have as many words in all.
     """
-    text = F.array_join(F.slice(F.split(F.col(text_col), r"\s+", SAMPLE_WORDS + 1), 1, SAMPLE_WORDS), " ")
+    run = SAMPLE_WORDS // RUNS
+    spread = lambda w: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda i: F.slice(w, 1 + F.floor(i * (F.size(w) - run) / (RUNS - 1)).cast("int"), run)))
+    some = F.transform(F.array(F.split(F.col(text_col), r"\s+")), lambda w: F.when(F.size(w) <= SAMPLE_WORDS, w).otherwise(spread(w)))
+    text = F.array_join(F.element_at(some, 1), " ")
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     keyed = usable.select(F.col(lang_col).cast("string").alias("y"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col))
     # The k least hashes of a language: a bounded aggregate with map-side combining, not a sort of each language.
@@ -244,7 +303,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def predict(own: Field, texts: pa.Array, some: np.ndarray, spans: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, list]]:
-    """(first row, last row + 1, best label numbers, scores, shares, spans) for slices of lower-cased texts; the number after the last label is ``und``."""
+    """(first row, last row + 1, best label numbers, scores, shares, spans) for slices of lower-cased texts; the number after the last language is ``und``. Shares are of all words with a letter, those of no language included."""
     k = len(own.labels)
     for first, last, data, offsets in slices(texts, SLICE):
         n = last - first
@@ -255,18 +314,18 @@ def predict(own: Field, texts: pa.Array, some: np.ndarray, spans: bool = False)
             # Letters are told from digits and signs by bytes: ASCII letters, or any non-ASCII byte.
             letter = np.concatenate([[0], np.cumsum((words.data >= 0x80) | ((words.data >= 0x61) & (words.data <= 0x7A)))])
             spoken = letter[words.end] > letter[words.start]
-            sums = np.concatenate([np.zeros((1, k)), np.cumsum(post * spoken[:, None], axis=0)])
+            sums = np.concatenate([np.zeros((1, k + 1)), np.cumsum(post * spoken[:, None], axis=0)])
             total = sums[words.first[1:]] - sums[words.first[:-1]]
             weight = total.sum(axis=1)
             ok = some[first:last].astype(bool) & (weight > 1e-9)
-            shares[ok] = total[ok] / weight[ok, None]
+            shares[ok] = (total[ok] / weight[ok, None])[:, :k]
             best[ok], score[ok] = shares[ok].argmax(axis=1), np.clip(shares[ok].max(axis=1), 0, 1)
             if spans:
                 likely = post.argmax(axis=1) if len(post) else np.empty(0, dtype=np.int64)
                 for d in np.flatnonzero(ok):
                     s, e = words.first[d], words.first[d + 1]
                     cut = np.concatenate([[0], np.flatnonzero(np.diff(likely[s:e])) + 1, [e - s]])
-                    runs[d] = [{"lang": own.labels[likely[s + a]], "start": int(a), "end": int(b)} for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                    runs[d] = [{"lang": [*own.labels, UNKNOWN][likely[s + a]], "start": int(a), "end": int(b)} for a, b in zip(cut[:-1], cut[1:], strict=True)]
         yield first, last, best, score, shares, runs
 
 
@@ -281,7 +340,9 @@ def identify(docs: DataFrame, field: Field, *, id_col: str = "doc_id", text_col:
     lang_pred is the language with the largest expected number of words, ties to the first in order,
     and score its share. Null texts and texts without a letter are ``und`` with score 0, and so is
     everything where nothing could be learned. Words without a letter take no part in the shares.
-    Spans are runs of words of one most likely language: (lang, first word, word after the last).
+    Spans are runs of words of one most likely language or of none (``und``): (lang, first word, word
+    after the last). Repeated rows give repeated results, an empty table gives an empty one, and other
+    columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(field)
@@ -308,11 +369,12 @@ def identify(docs: DataFrame, field: Field, *, id_col: str = "doc_id", text_col:
     return out if spans else out.drop("spans")
 
 
-def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
-    """docs without the rows that are ``und`` or whose language has a share below least; columns as in docs, no shuffle.
+def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
+    """docs without the rows that are ``und`` or whose language has less than a share ``least`` of the words; columns as in docs, no shuffle.
 
     The field is learned from the rows of docs that have a language and are not in fold 0 of 5. Where no
-    row has a language, nothing can be told and every row with a letter stays.
+    row has a language, nothing can be told and every row with a letter stays. So texts of several
+    languages of which none has half of the words go, and texts of which half the words are of none.
     """
     field = fit(docs.where(fold(F.col(id_col), 5) != 0), id_col=id_col, text_col=text_col, lang_col=lang_col)
     if not field.labels:

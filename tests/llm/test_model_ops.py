@@ -24,7 +24,7 @@ def test_random_field_marginals_match_enumeration():
 
     rng = np.random.default_rng(1)
     k = 3
-    field = langid.Field(["a", "b", "c"], np.zeros((1, k)), rng.normal(size=(k, k)), rng.normal(size=k))
+    field = langid.Field(["a", "b"], np.zeros((1, k)), rng.normal(size=(k, k)), rng.normal(size=k))
     sizes = [1, 5, 0, 2, 6]
     first = np.concatenate([[0], np.cumsum(sizes)])
     emit = rng.normal(size=(first[-1], k))
@@ -39,10 +39,50 @@ def test_random_field_marginals_match_enumeration():
         assert np.allclose(got[s:e], want / total)
 
 
+def test_expected_moves_match_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    k, n = 3, 6
+    field = langid.Field(list("ab"), np.zeros((1, k)), rng.normal(size=(k, k)), rng.normal(size=k))
+    emit = rng.normal(size=(n, k))
+    post = langid.posteriors(field, emit, np.array([0, n]))
+    want, total = np.zeros((k, k)), 0.0
+    for path in product(range(k), repeat=n):
+        w = np.exp(sum(emit[t, y] for t, y in enumerate(path)) + field.start[path[0]] + sum(field.moves[a, b] for a, b in zip(path[:-1], path[1:], strict=True)))
+        total += w
+        for a, b in zip(path[:-1], path[1:], strict=True):
+            want[a, b] += w
+    assert np.allclose(langid.pairwise(field, emit, post, np.arange(1, n)), want / total, atol=2e-2)
+
+
+def test_lexicon_has_the_words_of_one_language():
+    docs = [([b"the", b"only", b"le"], 0)] * 3 + [([b"le", b"mot"], 1)] * 3 + [([b"rare"], 1)]
+    keys, codes = langid.learn_lexicon(docs, 3)
+    names = {int(langid._word_hashes(langid._joined([[w]]))[0]): w for d, _ in docs for w in d}
+    assert {(names[int(x)], int(c)) for x, c in zip(keys, codes, strict=True)} == {(b"the", 0), (b"only", 0), (b"mot", 1)}
+
+
+def test_language_stage_drops_documents_of_no_language(spark, larger):
+    docs = spark.read.parquet(f"{larger}/documents.parquet")
+    rng = np.random.default_rng(9)
+    by = {r.lang: r.text for r in docs.where("n_chars between 600 and 900").orderBy("doc_id").collect()}
+    part = lambda x, n: " ".join(by[x].split()[:n])
+    junk = [b" ".join(langid.random_words(rng, 60)).decode() for _ in range(20)]
+    mixed = [" ".join(part(x, 20) for x in langs) for langs in (("en", "de", "fr"), ("fr", "es", "de", "en"), ("es", "en", "fr"))]
+    whole = [by[x] for x in sorted(by)] + [part("en", 60) + " " + part("fr", 20)]
+    texts = junk + mixed + whole
+    more = spark.createDataFrame([(10**6 + i, t, None, "s", len(t)) for i, t in enumerate(texts)], docs.schema)
+    kept = {r.doc_id for r in langid.keep_identified(docs.unionByName(more)).collect()}
+    own = {r.doc_id for r in docs.collect()}
+    assert len(own - kept) <= 0.005 * len(own)
+    assert kept - own == {10**6 + i for i in range(len(junk) + len(mixed), len(texts))}
+
+
 def test_random_field_blocks_agree_with_one_long_pass():
     rng = np.random.default_rng(2)
     k, n = 4, 5 * langid.BLOCK + 7
-    field = langid.Field(list("abcd"), np.zeros((1, k)), rng.normal(size=(k, k)), rng.normal(size=k))
+    field = langid.Field(list("abc"), np.zeros((1, k)), rng.normal(size=(k, k)), rng.normal(size=k))
     emit = rng.normal(size=(n, k)) * 3
     got = langid.posteriors(field, emit, np.array([0, n]))
     m, p = np.exp(field.moves), np.exp(emit)
