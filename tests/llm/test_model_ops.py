@@ -124,18 +124,71 @@ def test_language_id_edges_and_code_switching(spark, larger):
     assert {r.lang_pred for r in langid.identify(docs_of(spark, texts), empty).collect()} == {"und"}
 
 
-def test_toxicity_on_held_out_documents(spark, larger):
-    out = queries.op7_toxicity(spark, larger).join(spark.read.parquet(f"{larger}/labels.parquet"), "doc_id").where("held_out").collect()
-    hits = [r for r in out if r.predicted]
-    assert np.mean([r.toxic for r in hits]) > 0.9 and len(hits) > 0.6 * sum(r.toxic for r in out)
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_toxicity_on_held_out_documents(spark, sf):
+    """Precision of 0.95 and recall of 0.9, at sf0.1 in each language. At sf0.01 two of the 18 toxic documents (850, 881) share no word or beginning with any other toxic one."""
+    folder = f"/root/testdata/sf{sf}"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")
+    out = queries.op7_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").join(docs, "doc_id").where("held_out").collect()
+    for lang in [None] if sf == "0.01" else [None, *sorted({r.lang for r in out})]:
+        own = [r for r in out if lang in (None, r.lang)]
+        hits = [r for r in own if r.predicted]
+        assert len(hits) and np.mean([r.toxic for r in hits]) >= 0.95, lang
+        assert sum(r.toxic for r in hits) >= 0.9 * sum(r.toxic for r in own if r.doc_id not in ((850, 881) if sf == "0.01" else ())), lang
+
+
+def paths_of(machine, state, symbols):
+    """All paths through symbols that end in an accepting state: lists of (output, weight)."""
+    if not symbols:
+        return [[]] if state in machine.accepting else []
+    return [[(output, w), *rest] for then, output, w in machine.arcs[state].get(symbols[0], ()) for rest in paths_of(machine, then, symbols[1:])]
+
+
+def test_composed_grammar_equals_the_best_path_of_the_cascade():
+    rng = np.random.default_rng(11)
+    parts = [toxicity.target_transducer(), toxicity.negation_transducer(), toxicity.report_transducer()]
+    names = [toxicity.OTHER, toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT]
+    for _ in range(400):
+        clause = rng.choice(names, int(rng.integers(0, 10)), p=[0.4, 0.2, 0.1, 0.1, 0.1, 0.1]).tolist()
+        weights = [float(rng.integers(1, 9)) if s in (toxicity.INSULT, toxicity.THREAT) else 0.0 for s in clause]
+        tapes = [([(s, 1.0) for s in clause])]
+        for part in parts:  # one transducer after the other, every path of each
+            tapes = [[(o, v * w) for (_, v), (o, w) in zip(tape, path, strict=True)] for tape in tapes for path in paths_of(part, part.start, [s for s, _ in tape])]
+        value = lambda tape, weights=weights: sum(w * x for (_, w), x in zip(tape, weights, strict=True))
+        found = toxicity.MACHINE.best(clause, weights)
+        assert len(found) == len(clause) and sum(w for _, w in found) == pytest.approx(max(map(value, tapes)))
+        assert [o for o, _ in found] in [[o for o, _ in t] for t in tapes if value(t) == pytest.approx(max(map(value, tapes)))]
 
 
 def test_toxicity_grammar():
-    one = lambda text: list(toxicity.clause_matches(*zip(*[(s, 2.0 if s == toxicity.INSULT else 0.0) for s in text], strict=True)))
+    one = lambda text: list(toxicity.clause_matches(text, [2.0 if s == toxicity.INSULT else 0.0 for s in text]))
     i, t, n, r, h = toxicity.INSULT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.THREAT
     kinds = lambda text: [toxicity.KINDS[k] for _, k, _ in one(text)]
+    far = [0] * toxicity.AIM
     assert kinds([0, i]) == ["plain"] and kinds([i, 0, t]) == ["aimed"] and kinds([t, n, 0, i]) == ["negated"]
-    assert kinds([n, 0, 0, 0, 0, i]) == ["plain"] and kinds([r, t, i]) == ["reported"] and kinds([h]) == [] and kinds([h, t]) == ["threat"]
+    assert kinds([t, 0, i]) == ["aimed"] and kinds([t, *far, i]) == ["plain"] and kinds([i, *far, t]) == ["plain"]
+    assert kinds([n, 0, 0, 0, 0, i]) == ["plain"] and kinds([r, t, i]) == ["reported"] and kinds([i, r]) == ["plain"] and kinds([h]) == [] and kinds([h, t]) == ["threat"]
+    assert one([0, i])[0][2] < one([t, i])[0][2] and one([t, n, i])[0][2] < one([0, i])[0][2]
+
+
+def test_toxicity_reads_long_clauses_in_parts_as_it_reads_them_whole():
+    import pyarrow as pa
+
+    from evidentia.llm.textscan import Words, slices
+
+    rng = np.random.default_rng(12)
+    pool = ["idiot", "you", "not", "said", "kill"] + ["word"] * 40
+    texts = [" ".join(rng.choice(pool, int(rng.integers(1, 120)))) for _ in range(60)]
+    ((_, _, data, offsets),) = slices(pa.array(texts, pa.large_string()))
+    words = Words(data, offsets, toxicity.LETTERS)
+    found = toxicity.matches(toxicity.train([], []), words)[2]
+    code = {"idiot": toxicity.INSULT, "you": toxicity.TARGET, "not": toxicity.NEGATION, "said": toxicity.REPORT, "kill": toxicity.THREAT, "word": 0}
+    want = []
+    for d, text in enumerate(texts):
+        symbols = [code[w] for w in text.split()]
+        base = int(words.first[d])
+        want += [(base, base + i, k, w) for i, k, w in toxicity.clause_matches(symbols, [2.0 if s == toxicity.INSULT else 0.0 for s in symbols])]
+    assert found == want and len(want) > 80
 
 
 def test_toxicity_edges(spark):
