@@ -37,8 +37,8 @@ WIDTH = 200
 GRAM = 32
 #: Kinds of one anchor that are sorted in one place.
 SPLIT = 5_000
-#: Runs that are sorted together in a task, at least; whole buckets only.
-BLOCK = 20_000
+#: Kinds that are sorted together in a task, at least; whole buckets only.
+BLOCK = 4_000
 
 
 def sliding_min(keys: np.ndarray, w: int) -> np.ndarray:
@@ -220,17 +220,15 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, runs) to the runs with their bytes: (a, s, at, twice, bytes, hot); at is the anchor's place in the bytes."""
+    """(text, runs) to the runs with their bytes: (a, s, at, twice, bytes); at is the anchor's place in the bytes."""
     for batch in batches:
         for raw, runs in zip(batch.column(0), batch.column(1), strict=True):
             raw, runs = raw.as_py(), runs.as_py()
             pos = [r["pos"] for r in runs]
+            own = [raw[p >> 16 : (p >> 16) + (p >> 8 & 255) + WIDTH] for p in pos]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r["a"] for r in runs], pa.int64()), pa.array([r["s"] for r in runs], pa.binary()), pa.array([p & 255 for p in pos], pa.int32()), pa.array([r["twice"] for r in runs], pa.bool_()),
-                    pa.array([raw[p >> 16 : (p >> 16) + (p >> 8 & 255) + WIDTH] for p in pos], pa.binary()), pa.array([r["hot"] for r in runs], pa.bool_()),
-                ],
-                names=["a", "s", "at", "twice", "bytes", "hot"],
+                [pa.array([r["a"] for r in runs], pa.int64()), pa.array([_digest(x) for x in own], pa.binary()), pa.array([p & 255 for p in pos], pa.int32()), pa.array([r["twice"] for r in runs], pa.bool_()), pa.array(own, pa.binary())],
+                names=["a", "s", "at", "twice", "bytes"],
             )
 
 
@@ -262,16 +260,18 @@ def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["a", "s", "f", "t"],
         )
 
-    count = 0
+    count, before = 0, None
     for batch in batches:
         keys = batch.column(0).to_numpy()
-        last = 0
-        if count >= BLOCK and len(keys):  # close the block at the first change of the anchor
-            before = held[-1].column(0)[-1].as_py()
-            cut = int(np.argmax(keys != before)) if (keys != before).any() else len(keys)
-            if cut < len(keys):
-                yield solve(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held, count, last = [], 0, cut
+        if not len(keys):
+            continue
+        turns = np.flatnonzero(np.append(before is not None and keys[0] != before, keys[1:] != keys[:-1]))
+        last, before = 0, keys[-1]
+        # A block is closed at the first change of the anchor after BLOCK kinds.
+        while len(ends := turns[(turns >= last + BLOCK - count) & (turns + count > last)]):
+            held.append(batch.slice(last, int(ends[0]) - last))
+            yield solve(pa.Table.from_batches(held))
+            held, count, last = [], 0, int(ends[0])
         held.append(batch.slice(last))
         count += batch.num_rows - last
     if count:
@@ -281,7 +281,7 @@ def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kinds with bytes to their windows: (h, a, s, f, many), the digest, place and number of each."""
     for batch in batches:
-        for a, s, _, twice, raw, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for a, s, _, twice, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             n = len(raw) - WIDTH + 1
             h = [_digest(raw[f : f + WIDTH]) for f in range(n)]
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array([a] * n, pa.int64()), pa.array([s] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([1 + twice] * n, pa.int64())], names=["h", "a", "s", "f", "many"])
@@ -330,15 +330,22 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # first() takes all three columns from one row; any run of its kind will do.
     kinds = cut_lineage(met.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.first("id").alias("i"), F.first("sig").alias("g"), F.first("pos").alias("pos")))
     buckets = cut_lineage(kinds.groupBy(F.col("a").alias("k")).agg(F.count(F.lit(1)).alias("m"), F.sum("c").alias("all")).where("all > 1"))
-    detail = kinds.join(buckets, F.col("a") == F.col("k")).select("i", "g", F.struct("a", "s", "pos", (F.col("c") > 1).alias("twice"), (F.col("m") > split).alias("hot")).alias("r"))
+    # What meets where: a single kind is sorted with itself where its text is, several in their anchor's bucket, too many by window.
+    place = F.when(F.col("m") > split, F.lit("window")).when(F.col("m") > 1, F.lit("bucket")).otherwise(F.lit("alone"))
+    detail = kinds.join(buckets, F.col("a") == F.col("k")).select("i", "g", F.struct("a", "pos", (F.col("c") > 1).alias("twice"), place.alias("place")).alias("r"))
     asked = cut_lineage(detail.groupBy("i", "g").agg(F.collect_list("r").alias("runs")))
     same = lambda: plain["id"].eqNullSafe(F.col("i")) & (plain["sig"] == F.col("g"))
-    # This join and the last one read the same exchange of the texts, which Spark reuses within one plan.
+    # These joins and the last one read the same exchange of the texts, which Spark reuses within one plan.
     found = plain.join(asked, same()).select(F.col("text").cast("binary").alias("text"), "runs")
-    parts = found.mapInArrow(_contexts, "a bigint, s binary, at int, twice boolean, bytes binary, hot boolean")
-    repeated = parts.where("not hot").repartition("a").sortWithinPartitions("a").mapInArrow(_intervals, "a bigint, s binary, f int, t int")
+
+    def parts(where: str) -> DataFrame:
+        own = F.filter("runs", lambda r: r["place"] == where)
+        return found.select("text", own.alias("runs")).where(F.size("runs") > 0).mapInArrow(_contexts, "a bigint, s binary, at int, twice boolean, bytes binary")
+
+    interval = "a bigint, s binary, f int, t int"
+    repeated = parts("alone").mapInArrow(_intervals, interval).unionByName(parts("bucket").repartition("a").sortWithinPartitions("a").mapInArrow(_intervals, interval))
     if not buckets.where(F.col("m") > split).isEmpty():
-        windows = cut_lineage(parts.where("hot").mapInArrow(_window_digests, "h binary, a bigint, s binary, f int, many bigint"))
+        windows = cut_lineage(parts("window").mapInArrow(_window_digests, "h binary, a bigint, s binary, f int, many bigint"))
         several = windows.groupBy(F.col("h").alias("w")).agg(F.sum("many").alias("m")).where("m > 1").select("w")
         repeated = repeated.unionByName(windows.join(several, F.col("h") == F.col("w")).select("a", "s", "f", (F.col("f") + WIDTH).alias("t")))
     repeated = cut_lineage(repeated.select(F.col("a").alias("k"), F.col("s").alias("l"), "f", "t"))

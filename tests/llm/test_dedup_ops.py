@@ -182,3 +182,19 @@ def test_every_repeat_comes_from_the_suffix_sort(monkeypatch):
     assert checked == [True, True]
     monkeypatch.setattr(suffixdedup, "_extension", lambda c, inverse, i, j, cap: cap.copy())  # every comparison collides
     assert found() == [(b"x", 10, 260), (b"y", 0, 250), (b"z", 0, 260)]
+
+
+def test_sort_blocks_hold_whole_buckets(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffixdedup, "BLOCK", 3)
+    text = PASSAGE[:220].encode()
+    keys = [1, 1, 2, 3, 3, 3, 3, 4, 5, 5, 5, 6, 6]
+    rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array([str(i).encode() for i in range(13)]), pa.array([100] * 13, pa.int32()), pa.array([k in (2, 4) for k in keys]), pa.array([text] * 13)], names=["a", "s", "at", "twice", "bytes"])
+    for cuts in ([13], [1, 12], [4, 4, 5], [2, 1, 4, 6], [1] * 13):
+        at, parts = 0, []
+        for n in cuts:
+            parts.append(rows.slice(at, n))
+            at += n
+        out = list(suffixdedup._intervals(iter(parts)))
+        assert sorted(int(r["s"]) for b in out for r in b.to_pylist()) == list(range(13)) and len(out) == 4
