@@ -80,23 +80,27 @@ def crawl_depths(seeds: DataFrame, links: DataFrame, *, max_depth: int, max_page
     return reached if max_pages is None else reached.orderBy("depth", "url").limit(max_pages)
 
 
-def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], score_links: Callable[[DataFrame], DataFrame], *, max_depth: int = 2, max_pages: int = 500, threshold: float = 0.45) -> DataFrame:
+def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], score_links: Callable[[DataFrame], DataFrame], *, max_depth: int = 2, max_pages: int | None = 500, threshold: float = 0.45) -> DataFrame:
     """Pages (url, depth, relevance_score, html) found from seeds (url) by rounds of fetch and link scoring.
 
     fetch: rows with url to rows with url, html, status; score_links: pages to (parent_url, url,
-    relevance_score). Only pages that came back with status 200 count and are followed.
+    relevance_score). Only pages that came back with status 200 count and are followed. max_pages=None
+    sets no bound.
     """
-    level = seeds.select("url").distinct().select("url", F.lit(0).alias("depth"), F.lit(1.0).alias("relevance_score")).limit(max_pages)
+    level = seeds.select("url").distinct().select("url", F.lit(0).alias("depth"), F.lit(1.0).alias("relevance_score"))
+    level = level if max_pages is None else level.limit(max_pages)
     pages, left = None, max_pages
     for depth in range(max_depth + 1):
         got = level.join(fetch(level.select("url")).where("status = 200 and html is not null").select("url", "html"), "url").checkpoint()
         pages = got if pages is None else pages.unionByName(got)
-        left -= got.count()
-        if left <= 0 or depth == max_depth:
+        if max_pages is not None:
+            left -= got.count()
+        if depth == max_depth or (left is not None and left <= 0):
             break
         links = score_links(got).where(F.col("relevance_score") >= threshold).groupBy("url").agg(F.max("relevance_score").alias("relevance_score"))
         fresh = links.join(pages.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth + 1))
-        level = fresh.orderBy(F.desc("relevance_score"), "url").limit(left).select("url", "depth", "relevance_score").checkpoint()
+        fresh = fresh if left is None else fresh.orderBy(F.desc("relevance_score"), "url").limit(left)
+        level = fresh.select("url", "depth", "relevance_score").checkpoint()
         if level.isEmpty():
             break
     return pages

@@ -120,10 +120,11 @@ def site_queries(spark, sf):
     return trust.site_queries(domains, "claim")
 
 
-@query("select u as url from (select u, min(l * 1000000 + p) as first from (select 0 as l, page_id as p, url as u from pages where page_id % 3 = 0 union all select 1, page_id, url from pages where page_id % 2 = 0) group by u) order by first limit 40")
+@query("select u as url from (select u, min(l * 1000000000 + p) as first from (select page_id % 3 as l, page_id as p, url as u from pages union all select 3, page_id, url from pages) group by u) order by first limit 40")
 def discover_seeds(spark, sf):
+    """Four result lists that hold all pages, some of them twice."""
     pages = _pages(spark, sf).select("url", F.col("page_id").alias("pos"))
-    return ranking.discover([pages.where("pos % 3 = 0"), pages.where("pos % 2 = 0")], 40)
+    return ranking.discover([pages.where(f"pos % 3 = {i}") for i in range(3)] + [pages], 40)
 
 
 # --- Text ---------------------------------------------------------------------------------------------
@@ -143,16 +144,34 @@ def clean_claim(spark, sf):
     return _docs(spark, sf).select("doc_id", F.md5(tx.clean_claim(F.col("text"))).alias("cleaned"))
 
 
-@query("select 1 as id, 'covid 19|5g' as tags union all select 2, '' union all select 3, 'كأس العالم|ünïcode tag'")
+#: Documents whose capitalised words are hash tags.
+_TAGGED = "select doc_id, regexp_replace(text, ' ([A-Z])', ' #\\1', 'g') as text from documents"
+_HASHTAGS = """[x for x in [trim(lower(replace(y, '_', ' '))) for y in regexp_extract_all(text, '#([\\p{L}\\p{M}\\p{N}\\p{Pc}]{2,})', 1)] if x <> '' and not regexp_matches(x, '^\\p{Nd}+$')]"""
+
+
+def _distinct(lists: str, most: str = "") -> str:
+    """(doc_id, terms): the lists' terms in the order in which they first occur, each once."""
+    return f"select d.doc_id, coalesce(terms, []){most} as terms from documents d left join (select doc_id, list(x order by p) as terms from (select doc_id, x, min(p) as p from (select doc_id, unnest(l) as x, generate_subscripts(l, 1) as p from ({lists})) group by doc_id, x) group by doc_id) using (doc_id)"
+
+
+def _tagged(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.regexp_replace("text", " ([A-Z])", " #$1").alias("text"))
+
+
+@query(f"select doc_id, md5(array_to_string(terms, '|')) as tags from ({_distinct(f'select doc_id, {_HASHTAGS} as l from ({_TAGGED})')})")
 def hashtag_terms(spark, sf):
-    posts = spark.createDataFrame(POSTS, "id int, text string")
-    return posts.select("id", F.array_join(tx.hashtags(F.col("text")), "|").alias("tags"))
+    return _tagged(spark, sf).select("doc_id", F.md5(F.array_join(tx.hashtags(F.col("text")), "|")).alias("tags"))
+
 
+_KEYWORDS = "[x for x in [lower(y) for y in regexp_extract_all({0}, '[A-Za-z0-9][A-Za-z0-9\\-]+')] if not regexp_matches(x, '^\\d+$') and (length(x) >= 3 or regexp_matches(x, '[0-9]'))]"
+_SHORT = "array_to_string(([w for w in regexp_split_to_array({0}, '\\s+') if w <> ''])[1:8], ' ')"
 
-@query("select 1 as id, 'covid 19 5g covid vaccine see breaking now' as query union all select 2, 'tags here all'")
+
+@query(f"""select doc_id, case when len(terms) > 0 then array_to_string(terms, ' ') else short end as query from
+    ({_distinct(f"select doc_id, list_concat({_HASHTAGS}, {_KEYWORDS.format('clean')}) as l from (select doc_id, text, {_CLEAN} as clean from ({_TAGGED}))", "[1:15]")})
+    join (select doc_id, {_SHORT.format('clean')} as short from (select doc_id, {_CLEAN} as clean from ({_TAGGED}))) using (doc_id)""")
 def search_query(spark, sf):
-    posts = spark.createDataFrame(POSTS[:2], "id int, text string")
-    return posts.select("id", tx.search_query(F.col("text")).alias("query"))
+    return _tagged(spark, sf).select("doc_id", tx.search_query(F.col("text")).alias("query"))
 
 
 @query("select doc_id, len([w for w in regexp_split_to_array(text, '\\s+') if w <> ''])::int as n, array_to_string(([w for w in regexp_split_to_array(text, '\\s+') if w <> ''])[1:8], ' ') as short from documents")
@@ -199,9 +218,9 @@ _CLICK = " or ".join("contains(lower(t), '" + p.replace("'", "''") + "')" for p
 
 @query(f"""select doc_id, round((case when {_CLICK} then 0.5 else 1.0 end) * (case when l > 0 and c / greatest(l, 1) > 0.5 then 0.7 else 1.0 end)
       * (case when length(t) - length(replace(t, '!', '')) >= 2 or length(t) - length(replace(t, '?', '')) >= 2 then 0.8 else 1.0 end), 6)::double as factor
-    from (select doc_id, t, length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) as l, length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) as c from (select doc_id, substr(text, 1, 200) as t from documents))""")
+    from (select doc_id, t, length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) as l, length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) as c from (select doc_id, text as t from documents))""")
 def clickbait(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.round(tx.clickbait_factor(F.substring("text", 1, 200)), 6).alias("factor"))
+    return _docs(spark, sf).select("doc_id", F.round(tx.clickbait_factor(F.col("text")), 6).alias("factor"))
 
 
 @query("select doc_id, md5(case when length(t) <= 300 then t else regexp_replace(substr(t, 1, 300), ' [^ ]*$', '') || '…' end) as snippet from (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from documents)")
@@ -215,10 +234,13 @@ def freshness(spark, sf):
     return orders.select("o_orderkey", F.round(tr.freshness(F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1e6, AS_OF), 9).alias("fresh"))
 
 
-@query("select * from (values ('1700000000.5', 1700000000.5), ('2024-03-01T12:30:00Z', 1709296200.0), ('2024-03-01 something', 1709251200.0), ('soon', null), ('', null)) t(value, seconds)")
+@query("""select event_id, case event_id % 4 when 0 then epoch(ts) when 1 then epoch(date_trunc('second', ts)) when 2 then epoch(date_trunc('day', ts)) end::double as seconds from events""")
 def parse_dates(spark, sf):
-    rows = spark.createDataFrame([("1700000000.5",), ("2024-03-01T12:30:00Z",), ("2024-03-01 something",), ("soon",), ("",)], "value string")
-    return rows.select("value", tr.to_seconds(F.col("value")).alias("seconds"))
+    """The times of all events as epoch seconds, ISO times, dates with words behind them, and words."""
+    ts = F.col("ts").cast("timestamp")
+    kind = F.col("event_id") % 4
+    text = F.when(kind == 0, F.format_string("%.6f", F.unix_micros(ts) / 1e6)).when(kind == 1, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(kind == 2, F.date_format(ts, "yyyy-MM-dd 'at noon'")).otherwise("soon")
+    return tables.table(spark, sf, "events").select("event_id", tr.to_seconds(text).alias("seconds"))
 
 
 @query("select page_id, round(least(n / 3.0 + 0.05, 1.0), 9)::double as score from (select page_id, len(list_intersect(list_distinct(regexp_extract_all(lower(html), '\\b[a-z]{3,}\\b')), ['the', 'and', 'zebra'])) as n from pages)")
@@ -233,27 +255,28 @@ def text_hashes(spark, sf):
     return _docs(spark, sf).select("doc_id", ur.content_hash(t).alias("content_hash"), ur.cache_key(t).alias("cache_key"), ur.chunk_id(F.col("source"), F.col("doc_id")).alias("chunk_id"))
 
 
-@query("select doc_id, md5(array_to_string(list_distinct_ordered, '|')) as terms from (select doc_id, [w[i] for i in range(1, len(w) + 1) if list_position(w, w[i]) = i] as list_distinct_ordered from (select doc_id, [x for x in regexp_split_to_array(lower(substr(text, 1, 400)), '\\s+') if length(x) > 2] as w from documents))")
+@query(f"select doc_id, md5(array_to_string(terms, '|')) as terms from ({_distinct("select doc_id, [x for x in regexp_split_to_array(lower(text), '\\s+') if length(x) > 2] as l from documents")})")
 def query_terms(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.md5(F.array_join(tx.query_terms(F.substring("text", 1, 400)), "|")).alias("terms"))
+    return _docs(spark, sf).select("doc_id", F.md5(F.array_join(tx.query_terms(F.col("text")), "|")).alias("terms"))
 
 
-@query("""select doc_id, md5(array_to_string([w[i] for i in range(1, len(w) + 1) if list_position(w, w[i]) = i], '|')) as terms from (select doc_id, [x for x in [lower(y) for y in regexp_extract_all(substr(text, 1, 400), '[A-Za-z0-9][A-Za-z0-9\\-]+')]
-      if not regexp_matches(x, '^\\d+$') and (length(x) >= 3 or regexp_matches(x, '[0-9]'))] as w from documents)""")
+@query(f"select doc_id, md5(array_to_string(terms, '|')) as terms from ({_distinct(f"select doc_id, {_KEYWORDS.format('text')} as l from documents")})")
 def keyword_tokens(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.md5(F.array_join(tx.keyword_tokens(F.substring("text", 1, 400)), "|")).alias("terms"))
+    return _docs(spark, sf).select("doc_id", F.md5(F.array_join(tx.keyword_tokens(F.col("text")), "|")).alias("terms"))
 
 
-@query("select doc_id, nullif(trim(regexp_replace(regexp_replace(substr(text, 1, 200), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}\\s\\-'']', ' ', 'g'), '\\s{2,}', ' ', 'g')), '') as normalised from documents")
+@query("select doc_id, md5(nullif(trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{M}\\p{N}\\p{Pc}\\s\\-'']', ' ', 'g'), '\\s{2,}', ' ', 'g')), '')) as normalised from documents")
 def query_normalise(spark, sf):
-    return _docs(spark, sf).select("doc_id", tx.normalise_query(F.substring("text", 1, 200)).alias("normalised"))
+    return _docs(spark, sf).select("doc_id", F.md5(tx.normalise_query(F.col("text"))).alias("normalised"))
 
 
-@query("select 'big fast car' as query, 'huge|large|quick' as expanded union all select 'none', ''")
+@query("""select item_id, coalesce(array_to_string((list(syn order by p, syn))[1:3], '|'), '') as expanded from benchmark left join (select item_id, syn, min(p) as p from
+      (select item_id, unnest(w) as x, generate_subscripts(w, 1) as p from (select item_id, [y for y in regexp_split_to_array(lower(text), '\\s+') if length(y) > 2] as w from benchmark))
+      join (values ('the', 'article'), ('and', 'with'), ('and', 'plus'), ('for', 'with'), ('that', 'which'), ('der', 'article'), ('les', 'article')) s(term, syn) on x = term group by item_id, syn) using (item_id) group by item_id""")
 def synonym_expansion(spark, sf):
-    asked = spark.createDataFrame([("big fast car",), ("none",)], "query string")
-    synonyms = spark.createDataFrame([("fast", "quick"), ("big", "large"), ("big", "huge"), ("car", "auto"), ("fast", "large")], "term string, synonym string")
-    return expansion.expand_by_synonyms(asked, synonyms, most=3).select("query", F.array_join("expanded_terms", "|").alias("expanded"))
+    asked = tables.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("query"))
+    synonyms = spark.createDataFrame([("the", "article"), ("and", "with"), ("and", "plus"), ("for", "with"), ("that", "which"), ("der", "article"), ("les", "article")], "term string, synonym string")
+    return expansion.expand_by_synonyms(asked, synonyms, most=3).select("item_id", F.array_join("expanded_terms", "|").alias("expanded"))
 
 
 # --- HTML ---------------------------------------------------------------------------------------------
@@ -340,12 +363,12 @@ def vector_functions(spark, sf):
 
 
 @query("""with e as (select a.vec_id, [0.8 * a.embedding[i]::double + 0.2 * ((b.embedding[i]::double + c.embedding[i]::double) / 2) for i in range(1, 65)] as m
-      from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 join embeddings c on c.vec_id = a.vec_id + 2 where a.vec_id % 50 = 0)
+      from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 join embeddings c on c.vec_id = a.vec_id + 2)
     select vec_id, round(m[1] / (sqrt(list_dot_product(m, m)) + 1e-9), 6) as first, round(sqrt(list_dot_product(m, m)), 6) as len from e""")
 def query_centroid(spark, sf):
     v = _vectors(spark, sf).select("vec_id", "embedding")
     near = lambda i: v.select((F.col("vec_id") - i).alias("vec_id"), F.col("embedding").alias(f"e{i}"))
-    rows = v.where("vec_id % 50 = 0").join(near(1), "vec_id").join(near(2), "vec_id")
+    rows = v.join(near(1), "vec_id").join(near(2), "vec_id")
     full = ve.weighted_centroid(F.col("embedding"), F.array("e1", "e2"))
     mixed = F.transform(F.col("embedding"), lambda x, i: 0.8 * x.cast("double") + 0.2 * ((F.get("e1", i).cast("double") + F.get("e2", i).cast("double")) / 2))
     return rows.select("vec_id", F.round(F.get(full, F.lit(0)), 6).alias("first"), F.round(ve.norm(mixed), 6).alias("len"))
@@ -472,17 +495,17 @@ def incremental_index(spark, sf):
 @query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r = 1")
 def metadata_upsert_latest(spark, sf):
     events = tables.table(spark, sf, "events").select("user_id", "event_id", "event_type", "ts")
-    return store.upsert(events.where("event_id % 2 = 0").limit(0), events, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+    stored = store.latest(events.where("event_id % 2 = 0"), ["user_id"], ["ts", "event_id"])
+    newer = events.join(stored.select("user_id", F.col("ts").alias("t"), F.col("event_id").alias("e")), "user_id", "left").where("t is null or struct(ts, event_id) > struct(t, e)").drop("t", "e")
+    return store.upsert(stored, newer, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
-@query("select page_id, url from pages where page_id % 2 <> 0 or page_id % 4 = 0")
+@query("select page_id, url from (select page_id, url, regexp_replace(url, '^[^:]+://[^/?#]*', '') as path from pages) where path not like '/de/1%' and (path not like '/fr%' or path like '/fr/8%')")
 def robots_allowed(spark, sf):
-    """Even pages live under /private, every fourth under the longer rule that allows it again."""
-    pages = _pages(spark, sf).withColumn("url", F.when(F.col("page_id") % 4 == 0, "http://h.org/private/ok/").when(F.col("page_id") % 2 == 0, "http://h.org/private/").otherwise("http://h.org/"))
-    links = pages.select("page_id", F.concat("url", F.col("page_id").cast("string")).alias("url"), F.lit("h.org").alias("domain"))
-    rules = fetch.robots_rules(spark.createDataFrame([("h.org", "User-agent: *\nDisallow: /private\nAllow: /private/ok")], "domain string, text string"))
-    real = _pages(spark, sf).select("page_id", F.col("url").alias("real"))
-    return fetch.allowed_by_robots(links, rules).join(real, "page_id").select("page_id", F.col("real").alias("url"))
+    """The pages' own URLs against the rules of their hosts, by the longest one that matches."""
+    pages = _pages(spark, sf).select("page_id", "url", F.lower(F.regexp_extract("url", "^[^:]+://([^/?#]*)", 1)).alias("domain"))
+    rules = fetch.robots_rules(pages.select("domain").distinct().withColumn("text", F.lit("User-agent: *\nDisallow: /fr\nAllow: /fr/8\nDisallow: /de/1")))
+    return fetch.allowed_by_robots(pages, rules).select("page_id", "url")
 
 
 @query("select count(*) as pages, count(*) filter (quality = 1) as indexed, count(*) filter (toxic = 1) as failed, avg(doc_id % 5)::double as mean_depth from labels")
@@ -528,13 +551,22 @@ def crawl_bfs_depth(spark, sf):
     return crawl.crawl_depths(spark.createDataFrame([("u0",)], "url string"), links, max_depth=6).select("url", "depth")
 
 
-@query()
+_LINKS = rf"""select distinct root || href as url from (select regexp_extract(url, '^[^:]+://[^/?#]*') as root, replace(unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1)), '&amp;', '&') as href from pages where page_id in (select min(page_id) from ({_CANONICAL}) group by canonical)) where href like '/%'"""
+
+
+@query(f"select canonical as url, 0 as depth from ({_CANONICAL}) union select url, 1 from ({_LINKS}) where url not in (select canonical from ({_CANONICAL}))")
 def crawl_flow(spark, sf):
+    """From all pages over their links, in two rounds; what is linked is held as an empty page."""
     _checkpoints(spark)
-    pages = _pages(spark, sf).withColumn("url", ur.canonical_url(F.col("url")))
-    score = lambda got: pages.select(F.col("url").alias("u"), "page_id").join(got.select("url"), F.col("u") == F.col("url")).select(F.col("u").alias("parent_url"), ((F.col("page_id") * 7 + 1) % 200).alias("n")).join(pages.select("page_id", "url"), F.col("n") == F.col("page_id")).select("parent_url", "url", F.lit(0.9).alias("relevance_score"))
-    found = crawl.crawl(pages.where("page_id < 5").select("url"), fetch.from_table(pages), score, max_depth=3, max_pages=60)
-    return found.select("url", "depth")
+    pages = _pages(spark, sf).groupBy(ur.canonical_url(F.col("url")).alias("url")).agg(F.min_by("html", "page_id").alias("html"), F.min("page_id").alias("page_id"))
+    links = html.extract_links(pages, [], threshold=0.0).select(F.col("url"), F.lit("").alias("html")).join(pages.select("url"), "url", "left_anti")
+    held = pages.select("url", "html").unionByName(links)
+    return crawl.crawl(pages.select("url"), fetch.from_table(held), _link_scores, max_depth=1, max_pages=None).select("url", "depth")
+
+
+def _link_scores(got: DataFrame) -> DataFrame:
+    """Links of fetched pages; without query terms each scores 0.5."""
+    return html.extract_links(got.withColumn("page", F.col("url")), [], threshold=0.0, key="page").select(F.col("page").alias("parent_url"), "url", "relevance_score")
 
 
 def _checkpoints(spark: SparkSession) -> None:
@@ -639,9 +671,10 @@ def claim_check(spark, sf):
 
 @query()
 def search_flow(spark, sf):
+    """Every vector is the chunk of the document of its number."""
     vectors = _vectors(spark, sf)
-    chunks = vectors.select(F.col("vec_id").alias("id"), "embedding").join(_pages(spark, sf).select(F.col("page_id").alias("id"), "url"), "id").join(_docs(spark, sf).select(F.col("doc_id").alias("id"), "text"), "id")
-    rated = trust.with_trust(chunks, "url", _lists(spark)).withColumns({"title": F.substring("text", 1, 60), "published": F.lit(AS_OF) - F.col("id") * 86400.0})
+    docs = _docs(spark, sf).select(F.col("doc_id").alias("id"), F.concat(F.lit("https://"), "source", F.lit(".example.org/"), F.col("doc_id").cast("string")).alias("url"), "text")
+    rated = trust.with_trust(vectors.select(F.col("vec_id").alias("id"), "embedding").join(docs, "id"), "url", _lists(spark)).withColumns({"title": F.substring("text", 1, 60), "published": F.lit(AS_OF) - F.col("id") * 86400.0})
     asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return flows.search(asked, rated, AS_OF)
 

@@ -22,7 +22,7 @@ def select_evidence(claims: DataFrame, pages: DataFrame, *, model: models.ModelB
     work follows the number of pages, not claims x pages. Chunks are scored by cosine, the best of each
     page above the floor stay, are re-ranked, capped by domain and cut to top_k.
     """
-    chunks = chunking.chunk_claims(pages.where(F.length(F.trim("text")) >= 60), keep=["claim_id", "url", "credibility"])
+    chunks = chunking.chunk_claims(pages, keep=["claim_id", "url", "credibility"])
     asked = claims.select("claim_id", "claim", models.embed(F.col("claim"), model).alias("q"))
     scored = chunks.withColumn("v", models.embed(F.col("text"), model)).join(asked, "claim_id")
     scored = scored.withColumn("retrieval_score", F.round(dot(F.col("q"), F.col("v")), 4)).where(F.col("retrieval_score") >= MIN_RELEVANCE)
@@ -86,5 +86,5 @@ def trusted_evidence_pages(claims: DataFrame, pages: DataFrame, lists: DataFrame
     often = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("often"))
     weighed = asked.join(often, "term").crossJoin(total).select("claim_id", "term", F.round(F.log1p(F.col("total") / F.col("often")) * 1e6).cast("long").alias("weight"))
     hits = words.join(weighed, "term").groupBy("url", "trust", "size", "claim_id").agg(F.sum("weight").alias("hits"))
-    best = ranking.top_rows(hits, n + 5, by=["claim_id"], order=[F.desc("trust"), F.desc("hits"), F.asc("size"), F.asc("url")]).drop("rank")
+    best = ranking.top_rows(hits, n + 5, by=["claim_id"], order=[F.desc("trust"), F.desc(F.col("hits") / F.sqrt("size")), F.asc("size"), F.asc("url")]).drop("rank")
     return best.join(pages.select("url", "text"), "url").select("claim_id", "url", "text", F.col("trust").alias("credibility"))
