@@ -348,7 +348,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         windows = cut_lineage(parts("window").mapInArrow(_window_digests, "h binary, a bigint, s binary, f int, many bigint"))
         several = windows.groupBy(F.col("h").alias("w")).agg(F.sum("many").alias("m")).where("m > 1").select("w")
         repeated = repeated.unionByName(windows.join(several, F.col("h") == F.col("w")).select("a", "s", "f", (F.col("f") + WIDTH).alias("t")))
-    repeated = cut_lineage(repeated.select(F.col("a").alias("k"), F.col("s").alias("l"), "f", "t"))
+    repeated = repeated.select(F.col("a").alias("k"), F.col("s").alias("l"), "f", "t")
     lo = F.shiftright("pos", 16)
     gone = met.join(repeated, (F.col("a") == F.col("k")) & (F.col("s") == F.col("l"))).select("id", "sig", F.struct((lo + F.col("f")).cast("int").alias("s"), (lo + F.col("t")).cast("int").alias("e")).alias("cut"))
     gone = gone.groupBy(F.col("id").alias("i"), F.col("sig").alias("g")).agg(F.collect_set("cut").alias("cuts"))
