@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.trust import crawl_boost, frontier_priority
@@ -45,6 +45,16 @@ def pop_polite(frontier: DataFrame, clock: DataFrame, as_of: float, *, look: int
     return one.orderBy(*order).limit(take) if take is not None else one
 
 
+def without_indexed(frontier: DataFrame, indexed: DataFrame) -> DataFrame:
+    """frontier with the pending rows whose URL is indexed already marked as done: an incremental crawl doesn't fetch them again."""
+    return with_status(frontier, frontier.where("status = 'pending'").join(indexed.select("url"), "url", "left_semi"), "done")
+
+
+def enqueue(queue: DataFrame, items: DataFrame, capacity: int, *, order: list[Column]) -> DataFrame:
+    """queue with the first items in order, as many as have room; the others are dropped, as by a producer that doesn't wait."""
+    return queue.unionByName(items.orderBy(*order).limit(max(0, capacity - queue.count())))
+
+
 def with_status(frontier: DataFrame, done: DataFrame, status: str) -> DataFrame:
     """frontier with the status of the rows whose fingerprint is in done."""
     marked = done.select("fingerprint", F.lit(True).alias("__hit")).distinct()

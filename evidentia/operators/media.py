@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import has_arabic
 
-#: Extensions of the common image types, by content type.
+#: Extensions of the common image types, by content type.
 IMAGE_TYPES = {"image/png": ".png", "image/jpeg": ".jpg", "image/jpg": ".jpg", "image/webp": ".webp", "image/gif": ".gif", "image/bmp": ".bmp", "image/tiff": ".tiff"}
 
 
+#: The kinds of image regions.
+REGION_TYPES = ("photo / main image", "banner / horizontal bar", "vertical image", "image block")
+
+
 def frame_indexes(total: Column, duration: Column, *, least: int = 8, most: int = 60, per_second: float = 1.0) -> Column:
     """Evenly spread frame numbers: clamp(duration * per_second) of them, never more than there are."""
     n = F.least(F.greatest(F.bround(duration * per_second).cast("int"), F.lit(least)), F.lit(most), total.cast("int"))
@@ -61,10 +65,21 @@ def deviation_profile(pixels: DataFrame, *, by: str, axis: str) -> DataFrame:
     return pixels.groupBy(by, F.col(axis).alias("pos")).agg(F.stddev_pop("value").alias("value"))
 
 
-def region_type(width: Column, height: Column, image_area: Column) -> Column:
-    """The kind of an image region by its size and shape."""
-    share, aspect = width * height / image_area, width / F.greatest(height, F.lit(1))
-    return F.when(share > 0.5, "main_image").when((aspect > 0.8) & (aspect < 1.25) & (share < 0.05), "avatar").when(aspect > 3, "banner").otherwise("image")
+def region_type(width: Column, height: Column, image_width: Column, image_height: Column) -> Column:
+    """The kind of an image region: a photo takes more than a quarter of both sides; others go by their shape."""
+    aspect = F.when(height > 0, width / height).otherwise(F.lit(1.0))
+    large = (width > 0.25 * image_width) & (height > 0.25 * image_height)
+    return F.when(large, REGION_TYPES[0]).when(aspect > 3, REGION_TYPES[1]).when(aspect < 0.4, REGION_TYPES[2]).otherwise(REGION_TYPES[3])
+
+
+def extraction_summary(blocks: DataFrame, regions: DataFrame, *, image_col: str = "image_id") -> DataFrame:
+    """(image, total_text_blocks, total_outside_text, total_image_regions, total_inside_text) of every image that has either."""
+    inside = blocks_in_regions(blocks, regions, image_col=image_col, inside=True).groupBy(image_col).agg(F.count(F.lit(1)).alias("total_inside_text"))
+    all_blocks = blocks.groupBy(image_col).agg(F.count(F.lit(1)).alias("total_text_blocks"))
+    found = regions.groupBy(image_col).agg(F.count(F.lit(1)).alias("total_image_regions"))
+    names = ["total_text_blocks", "total_inside_text", "total_image_regions"]
+    out = all_blocks.join(inside, image_col, "full").join(found, image_col, "full").fillna(0, names)
+    return out.select(image_col, *names, (F.col("total_text_blocks") - F.col("total_inside_text")).alias("total_outside_text"))
 
 
 def keep_regions(regions: DataFrame, *, image_col: str = "image_id", bucket: int = 30, most: int = 10) -> DataFrame:

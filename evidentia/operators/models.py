@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -52,9 +54,25 @@ def overlap_inference(pairs: list[tuple[str, str]]) -> list[tuple[float, float,
     return out
 
 
+#: Models of this Python worker, by the number of their factory.
+_built: dict[str, Callable] = {}
+
+
+class PerWorker:
+    """A callable that a factory makes once in each Python worker: tasks carry the factory, never the model."""
+
+    def __init__(self, factory: Callable[[], Callable]):
+        self.factory, self.number = factory, uuid.uuid4().hex
+
+    def __call__(self, items: list) -> list:
+        if self.number not in _built:
+            _built[self.number] = self.factory()
+        return _built[self.number](items)
+
+
 @dataclass
 class ModelBackend:
-    """Callables over lists. Replace any by a real model; a callable is built once per Python worker by its factory."""
+    """Callables over lists. Replace any by a real model; wrap what is large or slow to load in PerWorker."""
 
     embed: Callable[[list[str]], list[list[float]]] = hashed_embedding
     rerank: Callable[[list[tuple[str, str]]], list[float]] = overlap_rerank
@@ -65,6 +83,7 @@ class ModelBackend:
     entities: Callable[[list[str]], list[list[str]]] = field(default=lambda texts: [[] for _ in texts])
     segment: Callable[[list[bytes]], list[tuple[int, list[float]]]] = field(default=lambda images: [(1, [0.0])] * len(images))
     read_text: Callable[[list[bytes]], list[list[dict]]] = field(default=lambda images: [[] for _ in images])
+    link_relevance: Callable[[list[tuple[str, str]]], list[float]] = overlap_rerank
     complete: Callable[[list[str]], list[str]] = field(default=lambda prompts: [""] * len(prompts))
 
 
@@ -191,3 +210,19 @@ def complete(prompt: Column, model: ModelBackend = DEFAULT) -> Column:
         return pd.Series(call(s.fillna("").tolist()))
 
     return run(prompt)
+
+
+def link_relevance(query: Column, context: Column, model: ModelBackend = DEFAULT, failed: float = 0.3) -> Column:
+    """Probability that a link is relevant to the query: the logistic function of the model's logit, ``failed`` where the model fails."""
+    call = model.link_relevance
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for q, t in batches:
+            try:
+                logits = pd.Series(call(list(zip(q.fillna(""), t.fillna(""), strict=True))), dtype=float)
+                yield 1 / (1 + (-logits.clip(-30, 30)).map(math.exp))
+            except Exception:  # a model that fails leaves its links in the middle, not the crawl without them
+                yield pd.Series([failed] * len(q), dtype=float)
+
+    return run(query, context)

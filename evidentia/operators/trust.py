@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import TRUST_BLOCKED, TRUST_LISTED, TRUST_NEUTRAL
+from ..functions.constants import TRUST_BLOCKED, TRUST_LISTED, TRUST_NEUTRAL, TRUSTED_ARABIC_DOMAINS, TRUSTED_DOMAINS, UNRELIABLE_DOMAINS
 from ..functions.trust import pattern_trust
 from ..functions.urls import parent_domains, registered_domain
 
@@ -24,7 +24,16 @@ def listed_tier(urls: DataFrame, url_col: str, lists: DataFrame) -> DataFrame:
     return with_host.join(tiers, "__host", "left").drop("__host")
 
 
-def drop_blocked(urls: DataFrame, url_col: str, lists: DataFrame) -> DataFrame:
+def usual_lists(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
+    """(domain, tier) of the trusted sources of the constants and of more, a table of that form: lists of sources to distrust are as long as their user wants."""
+    own = spark.createDataFrame([(d, "trusted") for d in (*TRUSTED_DOMAINS, *TRUSTED_ARABIC_DOMAINS)], "domain string, tier string")
+    return own if more is None else own.unionByName(more.select("domain", "tier"))
+
+
+def drop_blocked(urls: DataFrame, url_col: str, lists: DataFrame | None = None) -> DataFrame:
+    """urls without those of blocked sources: by default the unreliable ones of the constants."""
+    if lists is None:
+        lists = urls.sparkSession.createDataFrame([(d, "blocked") for d in UNRELIABLE_DOMAINS], "domain string, tier string")
     return listed_tier(urls, url_col, lists).where(F.coalesce(F.col("tier"), F.lit("")) != "blocked").drop("tier")
 
 
@@ -45,9 +54,22 @@ def trusted_count(urls: DataFrame, *, trust_col: str = "trust", least: float = 2
 
 
 def site_queries(domains: DataFrame, query: str, size: int = 25) -> DataFrame:
-    """(batch, query): the query restricted to batches of domains in order. The list of domains is small by nature, and ranked by its own order statistics."""
-    from pyspark.sql import Window
+    """(batch, query): the query restricted to batches of ``size`` domains in order.
 
-    ranked = domains.select("domain").distinct().withColumn("batch", F.floor((F.row_number().over(Window.orderBy("domain")) - 1) / size))
+    The place of a domain is the number of smaller ones: domains are dealt out by their first two
+    characters, whose counts are a small table, and ranked within them, so that no task sorts the list.
+    """
+    own = domains.select("domain").distinct().withColumn("__g", F.substring("domain", 1, 2))
+    groups = own.groupBy("__g").agg(F.count(F.lit(1)).alias("n"))
+    before = groups.select("__g", (F.sum("n").over(Window.orderBy("__g")) - F.col("n")).alias("before"))
+    ranked = own.withColumn("r", F.row_number().over(Window.partitionBy("__g").orderBy("domain"))).join(before, "__g").withColumn("batch", F.floor((F.col("before") + F.col("r") - 1) / size))
     sites = ranked.groupBy("batch").agg(F.array_join(F.transform(F.sort_array(F.collect_list("domain")), lambda d: F.concat(F.lit("site:"), d)), " OR ").alias("sites"))
     return sites.select("batch", F.concat(F.lit(f"{query} ("), "sites", F.lit(")")).alias("query"))
+
+
+def batches_needed(found: DataFrame, n: int, *, batch_col: str = "batch", url_col: str = "url", extra: int = 5) -> DataFrame:
+    """(batch, urls) of the batches that a search asks before it has n + extra different URLs: it stops after the batch that fills it."""
+    first = found.groupBy(url_col).agg(F.min(batch_col).alias(batch_col))
+    counts = found.select(batch_col).distinct().join(first.groupBy(batch_col).agg(F.count(F.lit(1)).alias("urls")), batch_col, "left").fillna(0, ["urls"])
+    before = F.sum("urls").over(Window.orderBy(batch_col)) - F.col("urls")
+    return counts.withColumn("__before", before).where(F.col("__before") < n + extra).select(batch_col, "urls")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import NO_INFO, REFUTES, SHARE_NEEDED, SOURCES_NEEDED, STRONG_REFUTATION, STRONG_SHARE, SUPPORTS, TRUSTED_CREDIBILITY
+from ..functions.constants import CARDS, NO_INFO, REFUTES, SHARE_NEEDED, SOURCES_NEEDED, STRONG_REFUTATION, STRONG_SHARE, SUPPORTS, TRUSTED_CREDIBILITY, VIDEO_FAKE
 from ..functions.text import clean_claim, has_claim
 from ..functions.urls import evidence_domain
 
@@ -72,6 +72,16 @@ def video_verdicts(frames: DataFrame, *, by: str = "video_id") -> DataFrame:
     return means.withColumn("verdict", F.when(F.col("avg_real") > F.col("avg_fake"), "REAL").otherwise("FAKE"))
 
 
+def shown_video_verdict(avg_fake: Column) -> Column:
+    """What a client shows: FAKE above the limit of the mean fake probability, whatever the real one."""
+    return F.when(avg_fake > VIDEO_FAKE, "FAKE").otherwise("REAL")
+
+
+def evidence_cards(evidence: DataFrame, *, by: str = "claim_id", most: int = CARDS) -> DataFrame:
+    """The first ``most`` evidence rows of each claim by rank."""
+    return evidence.where(F.col("rank") <= most)
+
+
 def post_verdicts(parts: DataFrame, *, by: str = "post_id") -> DataFrame:
     """(post, fake_image, refuted_text, verdict, confidence) from rows with fake_image and refuted_text flags."""
     either = parts.groupBy(by).agg(F.coalesce(F.bool_or("fake_image"), F.lit(False)).alias("fake_image"), F.coalesce(F.bool_or("refuted_text"), F.lit(False)).alias("refuted_text"))
@@ -94,8 +104,11 @@ def battery_tally(cases: DataFrame) -> DataFrame:
     return cases.agg(F.count(F.lit(1)).alias("total"), passed.alias("passed"), (F.count(F.lit(1)) - passed).alias("failed"))
 
 
-def result_envelope(verdicts: DataFrame, verification: DataFrame, evidence: DataFrame, *, by: str = "claim_id", shown: int = 400) -> DataFrame:
-    """One JSON document a claim: verdict, confidence, evidence rows in order of retrieval score, verification."""
+def result_envelope(verdicts: DataFrame, verification: DataFrame, evidence: DataFrame, *, by: str = "claim_id", shown: int = 400, top_k: int = 10) -> DataFrame:
+    """One JSON document a claim: verdict, confidence, the top_k evidence rows in order of retrieval score and URL, verification."""
+    from .ranking import top_rows
+
+    evidence = top_rows(evidence, top_k, by=[by], order=[F.desc("retrieval_score"), F.asc("url")])
     item = F.struct((-F.col("retrieval_score")).alias("o"), F.col("url"), F.round("retrieval_score", 4).alias("retrieval_score"), F.col("credibility"), F.col("label").alias("nli_label"), F.substring("text", 1, shown).alias("snippet"))
     own = evidence.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x.dropFields("o")).alias("evidence"))
     parts = verdicts.join(own, by, "left").join(verification, by, "left")

@@ -191,14 +191,33 @@ def chunk_fixed(spark, sf):
     return chunking.chunk_fixed(_docs(spark, sf), keep=["doc_id"]).select("doc_id", "start_char", "end_char", "chunk_index", F.md5("text").alias("chunk"))
 
 
-@query()
+def _packs(most: int, overlap: int, least: int, longer: int) -> str:
+    """(doc_id, text, chunk_index) of packed sentences: a pack opens at sentence ``first`` and is closed by the sentence that no longer fits."""
+    return f"""with recursive parts as (select doc_id, [y for y in [trim(x) for x in string_split(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))] if length(y) > {longer}] as s from documents),
+      one as (select doc_id, i, s[i] as t, len([w for w in regexp_split_to_array(s[i], '\\s+') if w <> '']) as n from (select doc_id, s, unnest(range(1, len(s) + 1)) as i from parts)),
+      totals as (select doc_id, i, sum(n) over (partition by doc_id order by i) as upto from one),
+      walk(doc_id, i, first, closed) as (select doc_id, 1::bigint, 1::bigint, null::bigint from parts where len(s) > 0
+        union all select w.doc_id, w.i + 1, case when over then greatest(w.first, w.i + 1 - {overlap}) else w.first end, case when over then w.first end from
+          (select w.*, t.upto - coalesce(b.upto, 0) > {most} as over from walk w join totals t on t.doc_id = w.doc_id and t.i = w.i + 1 left join totals b on b.doc_id = w.doc_id and b.i = w.first - 1) w),
+      ends as (select doc_id, closed as a, i - 1 as b from walk where closed is not null union all select doc_id, first, i from walk join (select doc_id, len(s) as n from parts) using (doc_id) where i = n),
+      joined as (select e.doc_id, b, regexp_replace(array_to_string(s[a:b], ' '), '^\\s+|\\s+$', '', 'g') as t from ends e join parts using (doc_id))
+    select doc_id, t as text, (row_number() over (partition by doc_id order by b) - 1)::int as chunk_index from joined where length(t) >= {least}"""
+
+
+_WORDS = "len([w for w in regexp_split_to_array(text, '\\s+') if w <> ''])::int"
+
+
+@query(f"select doc_id, md5(text) as chunk, chunk_index, {_WORDS} as token_count from ({_packs(512, 3, 100, 0)})")
 def chunk_sentence(spark, sf):
-    return chunking.chunk_sentences(_docs(spark, sf), keep=["doc_id"])
+    return chunking.chunk_sentences(_docs(spark, sf), keep=["doc_id"]).select("doc_id", F.md5("text").alias("chunk"), "chunk_index", "token_count")
 
 
-@query()
+@query(f"""select doc_id, md5(text) as chunk, chunk_index from ({_packs(120, 1, 61, 20)}) union all
+    select doc_id, md5(t), (row_number() over (partition by doc_id order by s) - 1)::int from
+      (select doc_id, s, trim(substr(text, s + 1, 480), chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) as t from
+        (select doc_id, text, unnest(range(0, length(text), 480)) as s from documents where len([y for y in [trim(x) for x in string_split(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))] if length(y) > 20]) = 0)) where length(t) >= 81""")
 def chunk_claims(spark, sf):
-    return chunking.chunk_claims(_docs(spark, sf), keep=["doc_id"])
+    return chunking.chunk_claims(_docs(spark, sf), keep=["doc_id"]).select("doc_id", F.md5("text").alias("chunk"), "chunk_index")
 
 
 @query()
@@ -337,10 +356,20 @@ def top2_per_page(spark, sf):
     return ranking.top_rows(_docs(spark, sf), 2, by=["source", "lang"], order=[F.desc("n_chars"), F.asc("doc_id")]).select("source", "lang", "doc_id", "rank")
 
 
-@query()
+_SHINGLES = "list_distinct(case when len(w) < 4 then w else [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)] end)"
+
+
+@query(f"""with recursive found as (select query_id, vec_id, score from ({_KNN}) where rank <= 30),
+      r as (select query_id, vec_id, source, {_SHINGLES} as g, row_number() over (partition by query_id, source order by score desc, vec_id) as k from
+        (select query_id, vec_id, score, source, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') as w from found join documents on doc_id = vec_id)),
+      fold(query_id, source, k, vec_id, stay, seen) as (select query_id, source, k, vec_id, true, g from r where k = 1
+        union all select query_id, source, k, vec_id, stay, case when stay then list_distinct(list_concat(seen, g)) else seen end from
+          (select r.*, seen, len(list_intersect(g, seen)) / greatest(1, len(g)) <= {C.NEAR_DUPLICATE} as stay from fold f join r on r.query_id = f.query_id and r.source = f.source and r.k = f.k + 1))
+    select query_id, vec_id, source from fold where stay""")
 def near_dup(spark, sf):
-    docs = _docs(spark, sf).select(F.col("doc_id").alias("id"), "source", "lang", "text", F.col("n_chars").cast("double").alias("score"))
-    return ranking.near_duplicate_filter(docs, by=["source", "lang"]).select("id", "source", "score")
+    """Of each query's 30 nearest documents those that repeat a better one of their source go."""
+    found = _knn(spark, sf, 30)[1].join(_docs(spark, sf).select(F.col("doc_id").alias("vec_id"), "source", "text"), "vec_id")
+    return ranking.near_duplicate_filter(found, by=["query_id", "source"], tie_col="vec_id").select("query_id", "vec_id", "source")
 
 
 @query(f"""select page_id, round((0.5 * ((page_id % 100) / 100.0) + 0.3 * ({_TRUST} / 3.0) + 0.2 * exp(-greatest(page_id % 900, 0) / 365.0)), 6)::double as score from pages order by 2 desc, 1 limit 10""")
@@ -428,11 +457,18 @@ def explanation_input(spark, sf):
     return verdict.explanation_input(rows, verdict.claim_verdicts(rows)).select("claim_id", "doc_id")
 
 
-@query()
+@query(f"""select claim_id, verdict as final_prediction, round(confidence, 4)::double as confidence, urls, n::int as shown, independent_sources from
+    (select claim_id, verdict, confidence from ({_VERDICT})) join
+    (select claim_id, string_agg(url, ' ' order by w desc, url) as urls, count(*) as n from (select *, row_number() over (partition by claim_id order by w desc, url) as k from ({_EVIDENCE})) where k <= 10 group by claim_id) using (claim_id) join
+    (select claim_id, (count(distinct dom) filter (label = verdict))::int as independent_sources from (select e.claim_id, label, verdict, replace(split_part(url, '/', 3), 'www.', '') as dom from ({_EVIDENCE}) e join (select claim_id, verdict from ({_VERDICT})) using (claim_id)) group by claim_id) using (claim_id)""")
 def result_envelope(spark, sf):
+    """The JSON documents, read back."""
     rows = _evidence(spark, sf)
     verdicts = verdict.claim_verdicts(rows)
-    return verdict.result_envelope(verdicts, verdict.verify_sources(rows, verdicts), rows)
+    out = verdict.result_envelope(verdicts, verdict.verify_sources(rows, verdicts), rows)
+    form = "final_prediction string, confidence double, evidence array<struct<url: string, retrieval_score: double>>, verification struct<verified: boolean, independent_sources: int>"
+    got = out.select("claim_id", F.from_json("result", form).alias("r"))
+    return got.select("claim_id", "r.final_prediction", "r.confidence", F.array_join(F.col("r.evidence.url"), " ").alias("urls"), F.size("r.evidence").alias("shown"), "r.verification.independent_sources")
 
 
 @query("select count(*) as total, count(*) filter (quality = toxic) as passed, count(*) filter (quality <> toxic) as failed from labels")
@@ -648,10 +684,12 @@ def region_filter(spark, sf):
     return media.keep_regions(regions).select("image_id", "x", "y", "width", "height")
 
 
-@query()
+@query("""with c as (select id, range % 40 as x, range // 40 as y, (range % 40 - 20) * (range % 40 - 20) + (range // 40 - 20) * (range // 40 - 20) < id * 50 as hot from range(6) i(id), range(1600))
+    select id as image_id, min(x)::int as x, min(y)::int as y, (max(x) - min(x) + 1)::int as width, (max(y) - min(y) + 1)::int as height, count(*)::int as area, 0.9::double as avg_confidence, round(100.0 * count(*) / 1600, 6)::double as coverage_pct, 0.9::double as max_confidence, true as forged
+    from c where hot group by id having count(*) >= 100""")
 def mask_regions(spark, sf):
     masks = spark.range(6).select(F.col("id").alias("image_id"), F.lit(40).alias("width"), F.transform(F.sequence(F.lit(0), F.lit(1599)), lambda i: F.when(((i % 40) - 20) * ((i % 40) - 20) + (F.floor(i / 40) - 20) * (F.floor(i / 40) - 20) < F.col("id") * 50, 0.9).otherwise(0.1)).alias("cells"))
-    return media.mask_regions(masks).join(media.mask_summary(masks), "image_id")
+    return media.mask_regions(masks).join(media.mask_summary(masks), "image_id").withColumns({c: F.round(c, 6) for c in ("avg_confidence", "coverage_pct")})
 
 
 # --- Flows --------------------------------------------------------------------------------------------

@@ -11,11 +11,11 @@ from ..functions.constants import MIN_RELEVANCE, PER_DOMAIN_CLAIMS, PER_DOMAIN_S
 from ..functions.text import clickbait_factor, letters_tokens, snippet
 from ..functions.trust import blended_score, freshness
 from ..functions.urls import evidence_domain, host_domain
-from ..functions.vectors import dot, fused_score
+from ..functions.vectors import dot, fused_score, sigmoid
 from ..operators import chunking, html, models, ranking, store, trust, verdict
 
 
-def select_evidence(claims: DataFrame, pages: DataFrame, *, model: models.ModelBackend = models.DEFAULT, per_page: int = 2, top_k: int = 10, rerank: bool = False) -> DataFrame:
+def select_evidence(claims: DataFrame, pages: DataFrame, *, model: models.ModelBackend = models.DEFAULT, per_page: int = 2, top_k: int = 10, rerank: bool = True) -> DataFrame:
     """Evidence rows of each claim: (claim_id, url, text, retrieval_score, credibility, rank).
 
     claims: claim_id, claim. pages: claim_id, url, text, credibility: the pages found for a claim, so the
@@ -43,15 +43,17 @@ def check_claims(claims: DataFrame, pages: DataFrame, *, model: models.ModelBack
     return seen, verdicts, verdict.verify_sources(seen, verdicts)
 
 
-def search(queries: DataFrame, chunks: DataFrame, as_of: float, *, retrieve: int = 30, top_k: int = 10, min_score: float = 0.15, near_duplicates: bool = True, where: Column | None = None) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, as_of: float, *, retrieve: int = 30, top_k: int = 10, min_score: float = 0.15, near_duplicates: bool = True, where: Column | None = None, model: models.ModelBackend = models.DEFAULT) -> DataFrame:
     """Ranked results of each query: (query_id, rank, url, title, snippet, score).
 
-    queries: query_id, embedding. chunks: id, url, title, text, embedding, trust, published (epoch
+    queries: query_id, embedding, and query where results are to be re-ranked by a model. chunks: id, url, title, text, embedding, trust, published (epoch
     seconds or null). Nearest chunks, the best of each URL, near duplicates of a domain removed, domains
     capped, then relevance, trust and freshness blended and clickbait demoted.
     """
     found = ranking.nearest(queries, chunks, retrieve, vector_id="id", where=where).drop("rank")
     rows = found.join(chunks.drop("embedding"), "id").withColumn("chunk_no", F.col("id"))
+    if "query" in queries.columns:
+        rows = rows.join(queries.select("query_id", "query"), "query_id").withColumn("score", sigmoid(models.rerank(F.col("query"), F.col("text"), model))).drop("query")
     best = ranking.top_rows(rows, 1, by=["query_id", "url"], order=[F.desc("score"), F.asc("id")]).drop("rank", "chunk_no").withColumn("domain", host_domain(F.col("url")))
     if near_duplicates:
         best = ranking.near_duplicate_filter(best, by=["query_id", "domain"])
@@ -88,3 +90,11 @@ def trusted_evidence_pages(claims: DataFrame, pages: DataFrame, lists: DataFrame
     hits = words.join(weighed, "term").groupBy("url", "trust", "size", "claim_id").agg(F.sum("weight").alias("hits"))
     best = ranking.top_rows(hits, n + 5, by=["claim_id"], order=[F.desc("trust"), F.desc(F.col("hits") / F.sqrt("size")), F.asc("size"), F.asc("url")]).drop("rank")
     return best.join(pages.select("url", "text"), "url").select("claim_id", "url", "text", F.col("trust").alias("credibility"))
+
+
+def seed_urls(query: str, expanded: list[str], search: Callable[[str], DataFrame], n: int, *, expansions: int = 2) -> DataFrame:
+    """Seeds of a crawl: what the search finds for the query and its first expansions, in that order, each URL once, at most n.
+
+    search: a query text to (url, pos).
+    """
+    return ranking.discover([search(q) for q in [query, *expanded[:expansions]]], n)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -24,24 +26,49 @@ def from_table(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
     return fetch
 
 
-def parallel_fetch(urls: DataFrame, get: Callable[[str], dict], *, workers: int = 8, tries: int = 3) -> DataFrame:
-    """Downloads by ``get`` (url to a dict of DOWNLOAD's fields) in ``workers`` tasks; a failure is a row with status -1 and its error."""
+def parallel_fetch(urls: DataFrame, get: Callable[[str], dict], *, workers: int = 8, tries: int = 3, rules: DataFrame | None = None, deadline: float | None = None, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Downloads by ``get`` (url to a dict of DOWNLOAD's fields) in ``workers`` tasks; a failure is a row with status -1 and its error.
+
+    After a failure a task waits 2 ** attempt seconds and a jitter below one, then tries again. With rules
+    (of robots_rules()) URLs that they refuse aren't asked and come back as errors. ``deadline`` bounds
+    the seconds of a task: what it hasn't begun by then comes back as an error, the rest stays.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        began = time.monotonic()
         for pdf in batches:
             rows = []
-            for url in pdf["url"]:
+            for url, allowed in zip(pdf["url"], pdf["allowed"], strict=True):
                 row = {"url": url, "final_url": url, "status": -1, "html": None, "content_type": None, "error": None, "crawl_delay": 0.0, "elapsed_ms": 0.0}
-                for _ in range(tries):
+                rows.append(row)
+                if not allowed:
+                    row["error"] = "robots"
+                    continue
+                for attempt in range(tries):
+                    if deadline is not None and time.monotonic() - began >= deadline:
+                        row["error"] = "deadline"
+                        break
                     try:
                         row |= {"error": None} | get(url)
                         break
                     except Exception as e:
                         row["error"] = str(e)
-                rows.append(row)
+                        if attempt + 1 < tries:
+                            wait(2.0**attempt + random.random())
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in DOWNLOAD.split(", ")])
 
-    return urls.select("url").repartition(workers).mapInPandas(run, DOWNLOAD)
+    asked = urls.select("url").withColumn("allowed", F.lit(True))
+    if rules is not None:
+        hosts = urls.select("url", F.lower(F.regexp_extract("url", r"^[^:/?#]+://([^/?#]*)", 1)).alias("domain"))
+        open_ = allowed_by_robots(hosts, rules).select("url").distinct()
+        asked = urls.select("url").join(open_.withColumn("__open", F.lit(True)), "url", "left").select("url", F.coalesce("__open", F.lit(False)).alias("allowed"))
+    return asked.repartition(workers).mapInPandas(run, DOWNLOAD)
+
+
+def opensearch_urls(answer: Column) -> Column:
+    """The URLs of an OpenSearch answer, the fourth entry of its list; empty where there is none."""
+    parts = F.from_json(answer, "array<string>")
+    return F.coalesce(F.from_json(F.get(parts, F.lit(3)), "array<string>"), F.array().cast("array<string>"))
 
 
 def succeeded(status: Column, html: Column) -> Column:

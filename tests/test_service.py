@@ -58,7 +58,7 @@ def test_regions(spark):
     assert len(boxes) == 1 and abs(boxes[0][0] - 40) < 30 and abs(boxes[0][2] - 320) < 60
     collage = rng.integers(0, 255, (200, 210)).astype(float)
     collage[:, 100:110] = 128
-    assert regions.split_collage(collage) == [(0, 0, 100, 200), (110, 0, 100, 200)]
+    assert regions.split_collage(collage) == [(0, 0, 105, 200), (105, 0, 105, 200)]
     df = spark.createDataFrame([(1, 400, grey.ravel().tolist(), [])], "image_id int, width int, cells array<double>, boxes array<struct<x: int, y: int, w: int, h: int>>")
     assert regions.detect_regions(df).count() == 1
 
