@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spark_io import bounded
+
 #: The marks of the template.
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
 LEARNED_ROLE = "assistant"
@@ -116,7 +118,7 @@ def format_turns(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     """
     conv_kind, turn_kind = turns.schema[conv_col].dataType.simpleString(), turns.schema[turn_col].dataType.simpleString()
     parts = parts if parts is not None else text_part(F.col(text_col))
-    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), parts.alias("parts"))
+    rows = bounded(turns).select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), parts.alias("parts"))
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spark_io import bounded
 from .textscan import ALNUM, Words, mix, slices
 
 WINDOW = 10
@@ -201,7 +202,7 @@ def decontaminate(
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_words bigint, n_hit bigint, hits array<struct<start: bigint, end: bigint>>, items array<string>"
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(scan, schema)
+    return bounded(docs).select(id_col, F.col(text_col).cast("string")).mapInArrow(scan, schema)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -237,7 +238,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, max_share: float
                 hit[i] = sum(e - s for s, e in _merged(spans))
             yield batch.filter(pa.array(hit <= max_share * n_words))
 
-    return docs.mapInArrow(sift, docs.schema)
+    return bounded(docs).mapInArrow(sift, docs.schema)
 
 
 __all__ = ["PatternSet", "decontaminate", "digest", "drop_contaminated", "pattern_sets"]

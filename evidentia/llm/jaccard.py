@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .components import connected_components
-from .spark_io import cut_lineage, fitted
+from .spark_io import bounded, cut_lineage, fitted
 from .textscan import NOT_SPACE, Words, mix, slices
 
 GRAM = 5
@@ -384,7 +384,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, star_rounds: int = 1, n
     """Signed rows (id, n, s, x) of docs and classes (n, s, x, node, top): top is the smallest node of the class's component."""
     kind = docs.schema[id_col].dataType.simpleString()
     node = f"struct<id: {kind}, s: bigint>"
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    plain = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = cut_lineage(plain.mapInArrow(_signatures, f"id {kind}, n bigint, s bigint, x bigint, bands array<bigint>"))
     # Equal words are one class; its representative is its smallest (id, key of the words).
     classes = signed.where("n > 0").groupBy("n", "s", "x").agg(F.min(F.struct("id", "s")).alias("node"), F.first("bands").alias("bands")).select("n", "s", "x", "node", "bands")

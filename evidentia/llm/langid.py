@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spark_io import bounded
 from .textscan import NOT_SPACE, Words, mix, prefix_hashes, range_hashes, slices
 
 #: Bounds of the training sample: documents a language and words of a document.
@@ -365,7 +366,7 @@ def identify(docs: DataFrame, field: Field, *, id_col: str = "doc_id", text_col:
                 )
 
     schema = f"`{id_col}` {kind}, lang_pred string, score double, shares array<struct<lang: string, share: double>>, spans array<struct<lang: string, start: bigint, end: bigint>>"
-    out = docs.select(F.col(id_col), *_read(text_col)).mapInArrow(label, schema)
+    out = bounded(docs).select(F.col(id_col), *_read(text_col)).mapInArrow(label, schema)
     return out if spans else out.drop("spans")
 
 
@@ -389,4 +390,6 @@ def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 keep[first:last] = (best < len(field.labels)) & (score >= least)
             yield batch.select(list(range(width))).filter(pa.array(keep))
 
-    return docs.select(*docs.columns, *_read(text_col)).mapInArrow(sift, docs.schema)
+    taken = {c.lower() for c in docs.columns}
+    names = [n for n in (f"__{i}" for i in range(len(taken) + 2)) if n not in taken]
+    return bounded(docs).select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(n) for c, n in zip(_read(text_col), names, strict=False)]).mapInArrow(sift, docs.schema)

@@ -60,10 +60,10 @@ def source_rates(docs: DataFrame, *, source_col: str = "source", weights: DataFr
     return rated.withColumn("parts", parts).withColumn("cdf", poisson_terms(F.col("rate") / F.col("parts"))).select("source", "n", "rate", "parts", "cdf")
 
 
-def poisson_count(seed: int, key: Column, parts: Column, cdf: Column) -> Column:
-    """The document's count: for each part, how many terms of its distribution function the hash reaches."""
+def poisson_count(seed: int, key: Column, parts: Column, cdf: Column, first_hash: Column) -> Column:
+    """The document's count: for each part, how many terms of its distribution function the hash reaches. first_hash: that of part 0."""
     one = lambda j: F.size(F.filter(cdf, lambda c: c <= unit_hash(seed, key, j)))
-    first = F.size(F.filter(cdf, lambda c: c <= F.col("__u0")))
+    first = F.size(F.filter(cdf, lambda c: c <= first_hash))
     more = F.aggregate(F.sequence(F.lit(1), parts - 1), F.lit(0), lambda a, j: a + one(j))
     return first + F.when(parts > 1, more).otherwise(F.lit(0))
 
@@ -84,21 +84,23 @@ def mix_sources(
     Rows come in the order of shuffle_key within partitions and over them: the key is uniform in
     [0, 2**52), so partition k of n takes the k-th n-th of its range and no sampling pass is needed.
     Rows of the same id and source get the same count; a null id counts as one id; an empty table gives
-    an empty one. Columns of docs named copy or shuffle_key are replaced.
+    an empty one. Columns of docs named copy or shuffle_key are replaced; any other name is fine.
     The one table that is joined has a row for each source. It is counted first and broadcast up to
     BROADCAST_SOURCES rows, so that texts move once, to their place in the order.
     """
-    rates = cut_lineage(source_rates(docs, source_col=source_col, weights=weights, alpha=alpha, total=total).select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf")))
+    kept = docs.drop(*[c for c in docs.columns if c in ("copy", "shuffle_key")])
+    taken = {c.lower() for c in kept.columns}
+    source, parts, cdf, first, count = (next(n for n in (f"__{name}{i or ''}" for i in range(len(taken) + 1)) if n not in taken) for name in ("source", "parts", "cdf", "first", "count"))
+    rates = cut_lineage(source_rates(docs, source_col=source_col, weights=weights, alpha=alpha, total=total).select(F.col("source").alias(source), F.col("parts").alias(parts), F.col("cdf").alias(cdf)))
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    kept = docs.drop(*[c for c in docs.columns if c in ("copy", "shuffle_key")])
     counted = (
-        kept.join(rates, kept[source_col].eqNullSafe(F.col("__source")))
-        .withColumn("__u0", unit_hash(seed, F.col(id_col), F.lit(0)))
-        .withColumn("__count", poisson_count(seed, F.col(id_col), F.col("__parts"), F.col("__cdf")))
-        .where(F.col("__count") > 0)
+        kept.join(rates, kept[source_col].eqNullSafe(F.col(source)))
+        .withColumn(first, unit_hash(seed, F.col(id_col), F.lit(0)))
+        .withColumn(count, poisson_count(seed, F.col(id_col), F.col(parts), F.col(cdf), F.col(first)))
+        .where(F.col(count) > 0)
     )
-    out = counted.select(*kept.columns, F.explode(F.sequence(F.lit(0), F.col("__count") - 1)).alias("copy"))
+    out = counted.select(*[F.col(f"`{c}`") for c in kept.columns], F.explode(F.sequence(F.lit(0), F.col(count) - 1)).alias("copy"))
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy").cast("string"))), 1, 13), 16, 10).cast("long")
     out = out.withColumn("shuffle_key", key)
     if not shuffle:

@@ -130,7 +130,8 @@ def quality_marks(labels: DataFrame, *, id_col: str = "doc_id", mark_col: str =
 def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mark_col: str = "quality") -> DataFrame:
     """One row per row of docs: id, score (0 to 1; higher: better).
 
-    Null texts score as empty ones. With no labels of both classes the score is the share of good
+    Null texts score as empty ones, repeated rows give repeated results and each counts where its id is
+    labelled, an empty table gives an empty one, and other columns are ignored. With no labels of both classes the score is the share of good
     labels, or 0.5 without any. The statistics are computed once and kept in the checkpoint folder.
     """
     stats = cut_lineage(features(docs, id_col=id_col, text_col=text_col))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_io import cut_lineage
+from .spark_io import bounded, cut_lineage
 from .textscan import BASE_INV, mix, powers, prefix_hashes, range_hashes, slices
 
 WIDTH = 200
@@ -322,7 +322,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     so that ids may be null or repeated. An empty table gives an empty one; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("sig", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))).select("id", "sig", "text")
+    plain = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("sig", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))).select("id", "sig", "text")
     long = plain.where(F.octet_length("text") >= WIDTH)
     # Kept as a table of its own, so that both sides of the join are plain exchanges and Spark can split a hot anchor's runs.
     again = cut_lineage(long.select("text").mapInArrow(_anchors, "a bigint").groupBy(F.col("a").alias("k")).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k"))

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spark_io import bounded
 from .textscan import Words, mix, prefix_hashes, range_hashes, slices
 
 #: Bounds of the training sample: toxic texts, other texts, and bytes in all.
@@ -430,4 +431,4 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, *, id_col: str = "doc_id",
                 )
 
     schema = f"`{id_col}` {kind}, score double, matches array<struct<clause: bigint, word: bigint, kind: string, weight: double>>"
-    return docs.select(F.col(id_col), F.lower(F.col(text_col).cast("string"))).mapInArrow(score, schema)
+    return bounded(docs).select(F.col(id_col), F.lower(F.col(text_col).cast("string"))).mapInArrow(score, schema)
