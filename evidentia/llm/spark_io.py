@@ -70,7 +70,7 @@ def fitted(df: DataFrame, rows: int, per_task: int) -> DataFrame:
 
 
 #: Bytes of an Arrow batch, unless the session sets another bound: rows alone don't bound a Python worker's memory.
-BATCH_BYTES = 64_000_000
+BATCH_BYTES = 8_000_000
 _BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  is pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -219,49 +220,81 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(s, pa.binary()), ids.take(row), sig.take(row), pa.array(pos)], names=["a", "s", "id", "sig", "pos"])
 
 
+#: A kind with its bytes and the anchor's place in them, or an interval of a kind (f, t) counted from its start.
+PART = "a bigint, s binary, at int, twice boolean, bytes binary, f int, t int"
+
+
+def _solve(a: np.ndarray, s: pa.Array, at: np.ndarray, twice: np.ndarray, raw: pa.Array) -> pa.RecordBatch:
+    """The repeated intervals (a, s, f, t) of kinds that stand in the order of their anchors, all kinds of an anchor together."""
+    own = np.repeat(np.arange(len(a)), 1 + twice)
+    pick = pa.array(own)
+    a, at, column = a[own], at[own].astype(np.int64), raw.take(pick).cast(pa.large_binary())
+    sizes = np.diff(np.append(np.flatnonzero(np.append(True, a[1:] != a[:-1])), len(a)))
+    _, off, buf = column.buffers()
+    off = np.frombuffer(off, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(buf, dtype=np.uint8)[off[0] : off[-1]]
+    found = repeated_offsets(data, off - off[0], at, sizes)
+    found[np.append(False, own[1:] == own[:-1])] = False  # the second of two equal runs only lends its bytes
+    edge = np.zeros((len(a), WIDTH + 2), dtype=np.int8)
+    edge[:, 1:-1] = found
+    turn = np.diff(edge, axis=1)
+    run, near = np.nonzero(turn == 1)
+    far = np.nonzero(turn == -1)[1] - 1
+    return pa.RecordBatch.from_arrays([pa.array(a[run]), s.take(pa.array(own[run])), pa.array((at[run] - far).astype(np.int32)), pa.array((at[run] - near + WIDTH).astype(np.int32))], names=["a", "s", "f", "t"])
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, runs) to the runs with their bytes: (a, s, at, twice, bytes); at is the anchor's place in the bytes."""
+    """(text, runs) to PART: kinds that are alone with their anchor are sorted here, the others go on with their bytes."""
+    names = [c.split()[0] for c in PART.split(", ")]
+    none = lambda n, kind: pa.nulls(n, kind)
+    single: list[tuple] = []
+
+    def solved() -> Iterator[pa.RecordBatch]:
+        if single:
+            a, s, at, twice, raw = zip(*single, strict=True)
+            single.clear()
+            got = _solve(np.array(a, dtype=np.int64), pa.array(s, pa.binary()), np.array(at), np.array(twice), pa.array(raw, pa.binary()))
+            n = got.num_rows
+            yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), none(n, pa.int32()), none(n, pa.bool_()), none(n, pa.binary()), got.column(2), got.column(3)], names=names)
+
     for batch in batches:
+        rows: list[tuple] = []
         for raw, runs in zip(batch.column(0), batch.column(1), strict=True):
-            raw, runs = raw.as_py(), runs.as_py()
-            pos = [r["pos"] for r in runs]
-            own = [raw[p >> 16 : (p >> 16) + (p >> 8 & 255) + WIDTH] for p in pos]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["a"] for r in runs], pa.int64()), pa.array([_digest(x) for x in own], pa.binary()), pa.array([p & 255 for p in pos], pa.int32()), pa.array([r["twice"] for r in runs], pa.bool_()), pa.array(own, pa.binary())],
-                names=["a", "s", "at", "twice", "bytes"],
-            )
+            raw = raw.as_py()
+            for r in runs.as_py():
+                p = r["pos"]
+                own = raw[p >> 16 : (p >> 16) + (p >> 8 & 255) + WIDTH]
+                (single if r["alone"] else rows).append((r["a"], _digest(own), p & 255, r["twice"], own))
+            if len(single) >= BLOCK:
+                yield from solved()
+            if len(rows) >= BLOCK:
+                yield _part(rows, names)
+                rows = []
+        if rows:
+            yield _part(rows, names)
+    yield from solved()
+
+
+def _part(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    a, s, at, twice, raw = zip(*rows, strict=True)
+    n = len(rows)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(s, pa.binary()), pa.array(at, pa.int32()), pa.array(twice, pa.bool_()), pa.array(raw, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], names=names)
 
 
 def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kinds with bytes, sorted by anchor hash, to repeated intervals (a, s, f, t) counted from the run's start."""
+    """PART in the order of the anchors to repeated intervals (a, s, f, t): those that are there, and those of each bucket."""
     held: list[pa.RecordBatch] = []
 
-    def solve(rows: pa.Table) -> pa.RecordBatch:
-        own = np.repeat(np.arange(rows.num_rows), 1 + rows.column("twice").to_numpy())
-        rows = rows.take(pa.array(own))
-        a = rows.column("a").to_numpy()
-        cuts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-        sizes = np.diff(np.append(cuts, len(a)))
-        column = rows.column("bytes").combine_chunks().cast(pa.large_binary())
-        _, off, buf = column.buffers()
-        off = np.frombuffer(off, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-        data = np.frombuffer(buf, dtype=np.uint8)[off[0] : off[-1]]
-        at = rows.column("at").to_numpy().astype(np.int64)
-        found = repeated_offsets(data, off - off[0], at, sizes)
-        found[np.append(False, own[1:] == own[:-1])] = False  # the second of two equal runs only lends its bytes
-        edge = np.zeros((len(a), WIDTH + 2), dtype=np.int8)
-        edge[:, 1:-1] = found
-        turn = np.diff(edge, axis=1)
-        run, near = np.nonzero(turn == 1)
-        far = np.nonzero(turn == -1)[1] - 1
-        pick = pa.array(run)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(a[run]), rows.column("s").combine_chunks().take(pick), pa.array((at[run] - far).astype(np.int32)), pa.array((at[run] - near + WIDTH).astype(np.int32))],
-            names=["a", "s", "f", "t"],
-        )
+    def solve() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        return _solve(rows.column("a").to_numpy(), rows.column("s").combine_chunks(), rows.column("at").to_numpy(), rows.column("twice").to_numpy(), rows.column("bytes").combine_chunks())
 
     count, before = 0, None
     for batch in batches:
+        open_ = batch.column(4).is_valid()
+        if not pa.compute.all(open_, min_count=0).as_py():
+            yield batch.filter(pa.compute.invert(open_)).select(["a", "s", "f", "t"])
+            batch = batch.filter(open_)
         keys = batch.column(0).to_numpy()
         if not len(keys):
             continue
@@ -270,18 +303,18 @@ def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A block is closed at the first change of the anchor after BLOCK kinds.
         while len(ends := turns[(turns >= last + BLOCK - count) & (turns + count > last)]):
             held.append(batch.slice(last, int(ends[0]) - last))
-            yield solve(pa.Table.from_batches(held))
+            yield solve()
             held, count, last = [], 0, int(ends[0])
         held.append(batch.slice(last))
         count += batch.num_rows - last
     if count:
-        yield solve(pa.Table.from_batches(held))
+        yield solve()
 
 
 def _window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kinds with bytes to their windows: (h, a, s, f, many), the digest, place and number of each."""
     for batch in batches:
-        for a, s, _, twice, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for a, s, twice, raw in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
             n = len(raw) - WIDTH + 1
             h = [_digest(raw[f : f + WIDTH]) for f in range(n)]
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array([a] * n, pa.int64()), pa.array([s] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([1 + twice] * n, pa.int64())], names=["h", "a", "s", "f", "many"])
@@ -331,21 +364,20 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     kinds = cut_lineage(met.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.first("id").alias("i"), F.first("sig").alias("g"), F.first("pos").alias("pos")))
     buckets = cut_lineage(kinds.groupBy(F.col("a").alias("k")).agg(F.count(F.lit(1)).alias("m"), F.sum("c").alias("all")).where("all > 1"))
     # What meets where: a single kind is sorted with itself where its text is, several in their anchor's bucket, too many by window.
-    place = F.when(F.col("m") > split, F.lit("window")).when(F.col("m") > 1, F.lit("bucket")).otherwise(F.lit("alone"))
-    detail = kinds.join(buckets, F.col("a") == F.col("k")).select("i", "g", F.struct("a", "pos", (F.col("c") > 1).alias("twice"), place.alias("place")).alias("r"))
+    detail = kinds.join(buckets, F.col("a") == F.col("k")).select("i", "g", F.struct("a", "pos", (F.col("c") > 1).alias("twice"), (F.col("m") == 1).alias("alone"), (F.col("m") > split).alias("hot")).alias("r"))
     asked = cut_lineage(detail.groupBy("i", "g").agg(F.collect_list("r").alias("runs")))
     same = lambda: plain["id"].eqNullSafe(F.col("i")) & (plain["sig"] == F.col("g"))
     # These joins and the last one read the same exchange of the texts, which Spark reuses within one plan.
     found = plain.join(asked, same()).select(F.col("text").cast("binary").alias("text"), "runs")
+    some = not buckets.where(F.col("m") > split).isEmpty()
 
-    def parts(where: str) -> DataFrame:
-        own = F.filter("runs", lambda r: r["place"] == where)
-        return found.select("text", own.alias("runs")).where(F.size("runs") > 0).mapInArrow(_contexts, "a bigint, s binary, at int, twice boolean, bytes binary")
+    def parts(hot: bool) -> DataFrame:
+        own = F.filter("runs", lambda r: r["hot"] == hot) if some else F.col("runs")
+        return found.select("text", own.alias("runs")).where(F.size("runs") > 0).mapInArrow(_contexts, PART)
 
-    interval = "a bigint, s binary, f int, t int"
-    repeated = parts("alone").mapInArrow(_intervals, interval).unionByName(parts("bucket").repartition("a").sortWithinPartitions("a").mapInArrow(_intervals, interval))
-    if not buckets.where(F.col("m") > split).isEmpty():
-        windows = cut_lineage(parts("window").mapInArrow(_window_digests, "h binary, a bigint, s binary, f int, many bigint"))
+    repeated = parts(False).repartition("a").sortWithinPartitions("a").mapInArrow(_intervals, "a bigint, s binary, f int, t int")
+    if some:
+        windows = parts(True).mapInArrow(_window_digests, "h binary, a bigint, s binary, f int, many bigint")
         several = windows.groupBy(F.col("h").alias("w")).agg(F.sum("many").alias("m")).where("m > 1").select("w")
         repeated = repeated.unionByName(windows.join(several, F.col("h") == F.col("w")).select("a", "s", "f", (F.col("f") + WIDTH).alias("t")))
     repeated = repeated.select(F.col("a").alias("k"), F.col("s").alias("l"), "f", "t")

@@ -173,7 +173,7 @@ def test_every_repeat_comes_from_the_suffix_sort(monkeypatch):
     import pyarrow as pa
 
     raw = [PASSAGE[:260].encode(), PASSAGE[10:270].encode(), b"q" * 100 + PASSAGE[:160].encode()]
-    rows = pa.RecordBatch.from_arrays([pa.array([1, 1, 2]), pa.array([b"x", b"y", b"z"]), pa.array([100, 90, 100], pa.int32()), pa.array([False, False, True]), pa.array(raw)], names=["a", "s", "at", "twice", "bytes"])
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 1, 2]), pa.array([b"x", b"y", b"z"]), pa.array([100, 90, 100], pa.int32()), pa.array([False, False, True]), pa.array(raw), pa.nulls(3, pa.int32()), pa.nulls(3, pa.int32())], names=["a", "s", "at", "twice", "bytes", "f", "t"])
     found = lambda: [(r["s"], r["f"], r["t"]) for b in suffixdedup._intervals(iter([rows])) for r in b.to_pylist()]
     assert found() == [(b"x", 10, 260), (b"y", 0, 250), (b"z", 0, 260)]
     checked, plain = [], suffixdedup._verified
@@ -190,7 +190,7 @@ def test_sort_blocks_hold_whole_buckets(monkeypatch):
     monkeypatch.setattr(suffixdedup, "BLOCK", 3)
     text = PASSAGE[:220].encode()
     keys = [1, 1, 2, 3, 3, 3, 3, 4, 5, 5, 5, 6, 6]
-    rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array([str(i).encode() for i in range(13)]), pa.array([100] * 13, pa.int32()), pa.array([k in (2, 4) for k in keys]), pa.array([text] * 13)], names=["a", "s", "at", "twice", "bytes"])
+    rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array([str(i).encode() for i in range(13)]), pa.array([100] * 13, pa.int32()), pa.array([k in (2, 4) for k in keys]), pa.array([text] * 13), pa.nulls(13, pa.int32()), pa.nulls(13, pa.int32())], names=["a", "s", "at", "twice", "bytes", "f", "t"])
     for cuts in ([13], [1, 12], [4, 4, 5], [2, 1, 4, 6], [1] * 13):
         at, parts = 0, []
         for n in cuts:
