@@ -18,9 +18,13 @@ def query_metrics(results: DataFrame, judgements: DataFrame, k: int = 10, *, que
     results: (query, item, rank) with ranks from 1. Precision divides by k, recall by the number of
     relevant items (0 without any), nDCG has binary gains and an ideal of min(relevant, k) hits.
     """
-    marked = mark_hits(results, judgements, query_col=query_col, item_col=item_col)
-    so_far = F.sum("hit").over(Window.partitionBy(query_col).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     relevant = judgements.select(query_col, item_col).distinct().groupBy(query_col).agg(F.count(F.lit(1)).alias("n_relevant"))
+    return metrics_of_hits(mark_hits(results, judgements, query_col=query_col, item_col=item_col), relevant, k, query_col=query_col)
+
+
+def metrics_of_hits(marked: DataFrame, relevant: DataFrame, k: int = 10, *, query_col: str = "query_id") -> DataFrame:
+    """query_metrics() from results that are marked (query, rank, hit) and the number of relevant items (query, n_relevant): no list of all relevant pairs is needed."""
+    so_far = F.sum("hit").over(Window.partitionBy(query_col).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     hit, within = F.col("hit") == 1, F.col("rank") <= k
     sums = marked.withColumn("__c", so_far).groupBy(query_col).agg(
         F.sum(F.when(hit & within, 1).otherwise(0)).alias("hits"),

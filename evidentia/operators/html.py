@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keyword_overlap, normalise_spaces, token_count
@@ -85,7 +85,7 @@ def parse(html: str | None) -> Page:
 
 
 def extract_content(pages: DataFrame, *, html_col: str = "html", keep: list[str], least: int = 100) -> DataFrame:
-    """The kept columns with title, text, published_date, word_count and is_empty. Text is the blocks of more than 40 characters, or all text where there are none."""
+    """The kept columns with title, text, published_date, word_count and is_empty. Text is the blocks of more than 40 characters, all blocks where there are none, and what is left without tags where the parser finds nothing."""
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep) + ", title string, text string, published_date string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,8 +93,8 @@ def extract_content(pages: DataFrame, *, html_col: str = "html", keep: list[str]
             made = []
             for html in pdf[html_col]:
                 page = parse(html)
-                body = [b for b in page.blocks if len(b) > BLOCK_LEAST] or [b for b in page.blocks if b]
-                made.append((" ".join(page.title.split()), "\n".join(body), page.date))
+                body = "\n".join([b for b in page.blocks if len(b) > BLOCK_LEAST] or [b for b in page.blocks if b])
+                made.append((" ".join(page.title.split()), body or plain_text(html or ""), page.date))
             yield pdf[keep].assign(title=[m[0] for m in made], text=[m[1] for m in made], published_date=[m[2] for m in made])
 
     out = pages.select(*dict.fromkeys([*keep, html_col])).mapInPandas(run, schema)
@@ -103,8 +103,8 @@ def extract_content(pages: DataFrame, *, html_col: str = "html", keep: list[str]
 
 
 def extract_links(pages: DataFrame, terms: list[str], *, html_col: str = "html", url_col: str = "url", key: str = "page_id", threshold: float = 0.45, most: int = LINKS_MOST) -> DataFrame:
-    """(key, pos, url, anchor_text, surrounding_text, relevance_score): canonical links of each page, each URL once,
-    scored by the query terms in anchor and context, the first ``most`` that reach the threshold."""
+    """(key, pos, url, anchor_text, surrounding_text, relevance_score, rank): canonical links of each page, each URL once,
+    scored by the query terms in anchor and context, the first ``most`` that reach the threshold, ranked by score."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,7 +118,8 @@ def extract_links(pages: DataFrame, terms: list[str], *, html_col: str = "html",
     once = links.groupBy(key, "url").agg(F.min(F.struct(*rest)).alias("x")).select(key, "url", *[F.col("x")[c].alias(c) for c in rest])
     words = F.array(*[F.lit(t.lower()) for t in terms]) if terms else F.array().cast("array<string>")
     scored = once.withColumn("relevance_score", keyword_overlap(F.concat_ws(" ", "anchor_text", "surrounding_text"), words))
-    return top_rows(scored.where(F.col("relevance_score") >= threshold), most, by=[key], order=[F.asc("pos")]).drop("rank")
+    first = top_rows(scored.where(F.col("relevance_score") >= threshold), most, by=[key], order=[F.asc("pos")]).drop("rank")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("relevance_score"), "pos")))
 
 
 def href_links(pages: DataFrame, *, html_col: str = "html", url_col: str = "url", key: str = "page_id") -> DataFrame:

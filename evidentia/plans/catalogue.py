@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -501,10 +502,13 @@ _METRICS = f"""with r as (select query_id, vec_id, rank, (label = query_label)::
 
 
 def _metrics(spark, sf):
+    """Items of the query's label are relevant: marked by the label, counted by label."""
     asked, found = _knn(spark, sf, 30)
-    vectors = _vectors(spark, sf).select(F.col("vec_id").alias("item_id"), "label")
-    good = asked.join(vectors, F.col("query_label") == F.col("label")).select("query_id", "item_id")
-    return evaluation.query_metrics(found.withColumnRenamed("vec_id", "item_id"), good, 10)
+    vectors = _vectors(spark, sf)
+    marked = found.join(vectors.select("vec_id", "label"), "vec_id").join(asked.select("query_id", "query_label"), "query_id").withColumn("hit", (F.col("label") == F.col("query_label")).cast("int"))
+    sizes = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n_relevant"))
+    relevant = asked.join(sizes, F.col("query_label") == F.col("label")).select("query_id", "n_relevant")
+    return evaluation.metrics_of_hits(marked, relevant, 10)
 
 
 @query(f"select query_id, round(p, 6)::double as precision_at_k, round(rc, 6)::double as recall_at_k, round(ap, 6)::double as average_precision, round(nd, 6)::double as ndcg_at_k, round(rr, 6)::double as reciprocal_rank from ({_METRICS})")
@@ -606,11 +610,15 @@ def _link_scores(got: DataFrame) -> DataFrame:
 
 
 def _checkpoints(spark: SparkSession) -> None:
-    """The shared checkpoint folder, as the cluster names it; one of our own only where it names none."""
+    """The shared checkpoint folder, as the cluster names it; one of our own only in local mode, where none is named."""
     import tempfile
 
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidentia-"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="evidentia-"))
 
 
 _STAGE = "(case event_type when 'view' then 'queued' when 'click' then 'searching' when 'signup' then 'fetching' when 'error' then 'nli' else 'done' end)"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import MIN_RELEVANCE, PER_DOMAIN_CLAIMS, PER_DOMAIN_SEARCH
+from ..functions.constants import MIN_RELEVANCE, PAGE_LEAST, PER_DOMAIN_CLAIMS, PER_DOMAIN_SEARCH
 from ..functions.text import clickbait_factor, letters_tokens, snippet
 from ..functions.trust import blended_score, freshness
 from ..functions.urls import evidence_domain, host_domain
@@ -19,10 +19,11 @@ def select_evidence(claims: DataFrame, pages: DataFrame, *, model: models.ModelB
     """Evidence rows of each claim: (claim_id, url, text, retrieval_score, credibility, rank).
 
     claims: claim_id, claim. pages: claim_id, url, text, credibility: the pages found for a claim, so the
-    work follows the number of pages, not claims x pages. Chunks are scored by cosine, the best of each
+    work follows the number of pages, not claims x pages. Pages of fewer than PAGE_LEAST characters have no
+    content. Chunks are scored by cosine, the best of each
     page above the floor stay, are re-ranked, capped by domain and cut to top_k.
     """
-    chunks = chunking.chunk_claims(pages, keep=["claim_id", "url", "credibility"])
+    chunks = chunking.chunk_claims(pages.where(F.length(F.trim("text")) >= PAGE_LEAST), keep=["claim_id", "url", "credibility"])
     asked = claims.select("claim_id", "claim", models.embed(F.col("claim"), model).alias("q"))
     scored = chunks.withColumn("v", models.embed(F.col("text"), model)).join(asked, "claim_id")
     scored = scored.withColumn("retrieval_score", F.round(dot(F.col("q"), F.col("v")), 4)).where(F.col("retrieval_score") >= MIN_RELEVANCE)

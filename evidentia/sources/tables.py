@@ -31,10 +31,12 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def search_response(ranked: DataFrame, *, query_col: str = "query", full: bool = False) -> DataFrame:
-    """One JSON text a query, in order of rank: url and score, or every field."""
+def search_response(ranked: DataFrame, *, query_col: str = "query", full: bool = False, asked: DataFrame | None = None) -> DataFrame:
+    """One JSON text a query, in order of rank: url and score, or every field; with asked, the table of queries, those without results have an empty list."""
     item = F.struct(F.col("rank").alias("o"), *([F.col(c) for c in ranked.columns if c not in (query_col, "rank")] if full else [F.col("url"), F.col("score")]))
     rows = ranked.groupBy(query_col).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x.dropFields("o")).alias("evidence"))
+    if asked is not None:
+        rows = asked.select(query_col).distinct().join(rows, query_col, "left").withColumn("evidence", F.coalesce("evidence", F.array().cast(rows.schema["evidence"].dataType)))
     return rows.select(query_col, F.to_json(F.struct(F.col(query_col).alias("user_query"), "evidence")).alias("response"))
 
 

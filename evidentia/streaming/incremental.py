@@ -16,7 +16,9 @@ TASK_TTL = 600
 
 
 def unseen_urls(stream: DataFrame, *, url_col: str = "url", time_col: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """Each URL once: for the whole stream, or within the watermark if there is a time column, which bounds the state."""
+    """Each URL once: within the watermark if there is a time column, which bounds the state; without one
+    for the whole stream, whose state grows with the number of URLs, as a set of seen URLs must.
+    """
     marked = stream.withColumn("fingerprint", fingerprint(F.col(url_col)))
     if time_col is None:
         return marked.dropDuplicates(["fingerprint"])
@@ -51,7 +53,11 @@ def fetch_progress(done: DataFrame, total: int) -> DataFrame:
 
 
 def rate_limited(stream: DataFrame, *, key: str = "domain", gap: float = 1.0) -> DataFrame:
-    """Events (key, ts as epoch seconds) with ``allowed_at``: no two of a key closer than ``gap`` seconds. The state of a key is one number."""
+    """Events (key, ts as epoch seconds) with ``allowed_at``: no two of a key closer than ``gap`` seconds.
+
+    The state is one number a key and is kept for every key that has come: it grows with the number of
+    domains, not of events. (A timeout by processing time would keep a run over stored data from ending.)
+    """
     kind = stream.schema[key].dataType.simpleString()
 
     def step(name, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -70,7 +76,10 @@ def rate_limited(stream: DataFrame, *, key: str = "domain", gap: float = 1.0) ->
 
 
 def live_entries(stream: DataFrame, *, key: str = "key", ttl: float = 3600.0) -> DataFrame:
-    """(key, ts, hit) for lookups (key, ts as epoch seconds): hit if an entry of the key is younger than ttl; a miss writes one. The state of a key is one number."""
+    """(key, ts, hit) for lookups (key, ts as epoch seconds): hit if an entry of the key is younger than ttl; a miss writes one.
+
+    The state is one number a key and is kept for every key that has come; rate_limited() says why.
+    """
     kind = stream.schema[key].dataType.simpleString()
 
     def step(name, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:

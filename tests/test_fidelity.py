@@ -4,9 +4,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from evidentia.functions.constants import UNRELIABLE_DOMAINS
-from evidentia.operators import crawl, media, models, regions, trust, verdict
+from evidentia.operators import crawl, html, media, models, regions, trust, verdict
 from evidentia.plans import flows
-from evidentia.sources import fetch
+from evidentia.sources import fetch, tables
 
 
 def test_trust_with_the_usual_lists(spark):
@@ -142,3 +142,18 @@ def test_search_reranks_where_it_has_the_query_text(spark):
     assert [r.url for r in flows.search(plain, chunks, 0.0).orderBy("rank").collect()][0] == "https://a.org/1"
     asked = spark.createDataFrame([(1, [1.0, 0.0], "red car")], "query_id int, embedding array<double>, query string")
     assert [r.url for r in flows.search(asked, chunks, 0.0).orderBy("rank").collect()][0] == "https://b.org/2"
+
+
+def test_links_are_ranked_by_score(spark):
+    page = '<p>one <a href="/a">plain</a></p><p>two <a href="/b">red car</a></p><p>three <a href="/c">red</a></p>'
+    df = spark.createDataFrame([(1, "https://h.org/", page)], "page_id int, url string, html string")
+    got = html.extract_links(df, ["red", "car"], threshold=0.0).orderBy("rank").collect()
+    assert [(r.url[-1], r.pos, r["rank"]) for r in got] == [("b", 1, 1), ("c", 2, 2), ("a", 0, 3)]
+    kept = html.extract_links(df, ["red", "car"], threshold=0.0, most=2).orderBy("rank").collect()
+    assert [r.url[-1] for r in kept] == ["b", "a"]  # the first two, then by score
+
+
+def test_queries_without_results_have_an_empty_answer(spark):
+    ranked = spark.createDataFrame([("a", 1, "u1", 0.9), ("a", 2, "u2", 0.5)], "query string, rank int, url string, score double")
+    got = {r.query: r.response for r in tables.search_response(ranked, asked=spark.createDataFrame([("a",), ("b",)], "query string")).collect()}
+    assert got == {"a": '{"user_query":"a","evidence":[{"url":"u1","score":0.9},{"url":"u2","score":0.5}]}', "b": '{"user_query":"b","evidence":[]}'}

@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import expansion, regions
+from evidentia.operators import expansion, regions, trust
 from evidentia.plans import catalogue, service
-from evidentia.sources import tables
+from evidentia.sources import fetch, tables
 
 
 def test_index_and_search(spark, sf_dir, tmp_path):
@@ -66,3 +66,28 @@ def test_regions(spark):
 def test_command_line(capsys):
     service.main(["list"])
     assert "claim_check" in capsys.readouterr().out
+
+
+def test_crawl_jobs_recent_pages_and_counts(spark, tmp_path):
+    text = "<p>" + "The old harbour has a tower and a long red wall beside the water. " * 5 + "</p>"
+    pages = spark.createDataFrame([("https://a.org/1", f'<title>One</title>{text}<p>Here is a page about the <a href="/2">harbour tower</a>.</p><p>Something of no interest: <a href="/3">nothing else</a>.</p>'), ("https://a.org/2", f"<title>Two</title>{text.replace('old', 'new')}"), ("https://a.org/3", f"<title>Three</title>{text}")], "url string, html string")
+    engine = service.SearchEngine(spark, str(tmp_path / "store"))
+    catalogue._checkpoints(spark)
+    job = engine.crawl("harbour tower", pages.where("url like '%/1'").select("url"), fetch.from_table(pages), max_depth=1)
+    assert job.error is None and job.status == "done" and job.pages_crawled == 2 and engine.job(job.job_id) is job and engine.job("none") is None
+    assert [r.url for r in engine.recent().collect()] == ["https://a.org/1", "https://a.org/2"]
+    assert engine.stats() == {"chunks": job.chunks_indexed, "pages": 2, "domains": 1, "jobs": {"done": 1}}
+    engine.delete("https://a.org/1")
+    assert [r.url for r in engine.recent(5).collect()] == ["https://a.org/2"]
+    with pytest.raises(ValueError):
+        engine.recent(0)
+
+
+def test_batteries(spark):
+    pages = spark.createDataFrame([("https://www.reuters.com/x", " ".join([service.BATTERIES["core"][2][0]] * 4)), ("https://www.bbc.com/x", " ".join([service.BATTERIES["core"][2][0]] * 4))], "url string, text string")
+    cases, tally = service.run_battery(spark, "core", pages, trust.usual_lists(spark))
+    got = {r.claim_id: (r.expected, r.actual) for r in cases.collect()}
+    assert got[2] == ("SUPPORTS", "SUPPORTS") and len(got) == 7
+    row = tally.first()
+    assert (row.total, row.passed + row.failed) == (7, 7) and row.passed == sum(a == b for a, b in got.values())
+    assert [len(service.BATTERIES[k]) for k in ("core", "social", "news")] == [7, 13, 2]
