@@ -192,9 +192,9 @@ def chunk_fixed(spark, sf):
     return chunking.chunk_fixed(_docs(spark, sf), keep=["doc_id"]).select("doc_id", "start_char", "end_char", "chunk_index", F.md5("text").alias("chunk"))
 
 
-def _packs(most: int, overlap: int, least: int, longer: int) -> str:
+def _packs(most: int, overlap: int, least: int, longer: int, table: str = "documents") -> str:
     """(doc_id, text, chunk_index) of packed sentences: a pack opens at sentence ``first`` and is closed by the sentence that no longer fits."""
-    return f"""with recursive parts as (select doc_id, [y for y in [trim(x) for x in string_split(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))] if length(y) > {longer}] as s from documents),
+    return f"""with recursive parts as (select doc_id, [y for y in [trim(x) for x in string_split(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))] if length(y) > {longer}] as s from {table}),
       one as (select doc_id, i, s[i] as t, len([w for w in regexp_split_to_array(s[i], '\\s+') if w <> '']) as n from (select doc_id, s, unnest(range(1, len(s) + 1)) as i from parts)),
       totals as (select doc_id, i, sum(n) over (partition by doc_id order by i) as upto from one),
       walk(doc_id, i, first, closed) as (select doc_id, 1::bigint, 1::bigint, null::bigint from parts where len(s) > 0
@@ -221,9 +221,24 @@ def chunk_claims(spark, sf):
     return chunking.chunk_claims(_docs(spark, sf), keep=["doc_id"]).select("doc_id", F.md5("text").alias("chunk"), "chunk_index")
 
 
-@query()
+_SEMANTIC = """with recursive parts as (select doc_id, [y for y in [trim(x) for x in string_split(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))] if y <> ''] as s from documents),
+      one as (select doc_id, i, [w for w in regexp_split_to_array(lower(s[i]), '\\s+') if w <> ''] as w from (select doc_id, s, unnest(range(1, len(s) + 1)) as i from parts)),
+      slots as (select doc_id, i, ('0x' || substr(h, 1, 2))::int % 64 as slot, sum(case when ('0x' || substr(h, 15, 2))::int >= 128 then 1 else -1 end)::double as v from (select doc_id, i, md5(unnest(w)) as h from one) group by all),
+      norms as (select doc_id, i, sqrt(sum(v * v)) as m from slots group by all),
+      dots as (select b.doc_id, b.i, sum(a.v * b.v) as d from slots a join slots b on a.doc_id = b.doc_id and a.slot = b.slot and b.i = a.i + 1 group by all),
+      steps as (select o.doc_id, o.i, sum(len(w)) over (partition by o.doc_id order by o.i) as upto, coalesce(d, 0) / ((coalesce(n.m, 0) + 1e-9) * (coalesce(p.m, 0) + 1e-9)) >= 0.75 as near
+        from one o left join dots using (doc_id, i) left join norms n on n.doc_id = o.doc_id and n.i = o.i left join norms p on p.doc_id = o.doc_id and p.i = o.i - 1),
+      walk(doc_id, i, first, closed) as (select doc_id, 1::bigint, 1::bigint, null::bigint from parts where len(s) > 0
+        union all select doc_id, i + 1, case when over then i + 1 else first end, case when over then first end from
+          (select w.*, not t.near or t.upto - coalesce(b.upto, 0) > 512 as over from walk w join steps t on t.doc_id = w.doc_id and t.i = w.i + 1 left join steps b on b.doc_id = w.doc_id and b.i = w.first - 1)),
+      ends as (select doc_id, closed as a, i - 1 as b from walk where closed is not null union all select doc_id, first, i from walk join (select doc_id, len(s) as n from parts) using (doc_id) where i = n),
+      joined as (select doc_id, a, array_to_string(s[a:b], ' ') as text from ends join parts using (doc_id))
+    select doc_id, text, (row_number() over (partition by doc_id order by a) - 1)::int as chunk_index from joined where length(text) >= 100"""
+
+
+@query(f"select doc_id, md5(text) as chunk, chunk_index, {_WORDS} as token_count from ({_SEMANTIC})")
 def chunk_semantic(spark, sf):
-    return chunking.chunk_semantic(_docs(spark, sf), models.hashed_embedding, keep=["doc_id"])
+    return chunking.chunk_semantic(_docs(spark, sf), models.hashed_embedding, keep=["doc_id"]).select("doc_id", F.md5("text").alias("chunk"), "chunk_index", "token_count")
 
 
 @query("""select doc_id, count(distinct g)::int as n from (
@@ -236,9 +251,12 @@ def shingles(spark, sf):
 _CLICK = " or ".join("contains(lower(t), '" + p.replace("'", "''") + "')" for p in C.CLICKBAIT_PHRASES)
 
 
-@query(f"""select doc_id, round((case when {_CLICK} then 0.5 else 1.0 end) * (case when l > 0 and c / greatest(l, 1) > 0.5 then 0.7 else 1.0 end)
-      * (case when length(t) - length(replace(t, '!', '')) >= 2 or length(t) - length(replace(t, '?', '')) >= 2 then 0.8 else 1.0 end), 6)::double as factor
-    from (select doc_id, t, length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) as l, length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) as c from (select doc_id, text as t from documents))""")
+_FACTOR = f"""(case when {_CLICK} then 0.5 else 1.0 end) * (case when l > 0 and c / greatest(l, 1) > 0.5 then 0.7 else 1.0 end)
+      * (case when length(t) - length(replace(t, '!', '')) >= 2 or length(t) - length(replace(t, '?', '')) >= 2 then 0.8 else 1.0 end)"""
+_LETTERS = "length(regexp_replace(t, '[^\\p{L}]', '', 'g')) as l, length(regexp_replace(t, '[^\\p{Lu}]', '', 'g')) as c"
+
+
+@query(f"select doc_id, round({_FACTOR}, 6)::double as factor from (select doc_id, t, {_LETTERS} from (select doc_id, text as t from documents))")
 def clickbait(spark, sf):
     return _docs(spark, sf).select("doc_id", F.round(tx.clickbait_factor(F.col("text")), 6).alias("factor"))
 
@@ -311,7 +329,27 @@ def html_link_scores(spark, sf):
     return html.extract_links(_pages(spark, sf), ["the", "and"], threshold=0.0)
 
 
-@query()
+def _content() -> str:
+    """(page_id, url, title, text, published_date): what the parser reads, by pattern."""
+    def unescaped(x: str) -> str:
+        for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&nbsp;", " "), ("&amp;", "&")):
+            x = f"replace({x}, '{code}', '{char}')"
+        return x
+
+    squeezed = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    body = "regexp_replace(html, '<!--.*?-->', '', 'gs')"
+    for tag in (*sorted(html.SKIPPED), "title"):
+        body = f"regexp_replace({body}, '<{tag}\\b[^>]*>.*?</{tag}\\s*>', '', 'gis')"
+    body = f"regexp_replace({body}, '<br\\b[^>]*>', chr(10), 'gi')"
+    body = f"regexp_replace({body}, '</?({'|'.join(sorted(html.CONTENT))})(\\s[^>]*)?/?>', chr(1), 'gi')"
+    body = f"regexp_replace({body}, '<[/!a-zA-Z][^>]*>', '', 'g')"
+    title = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)"
+    return f"""select page_id, url, title, array_to_string(case when len([x for x in l if length(x) > {html.BLOCK_LEAST}]) > 0 then [x for x in l if length(x) > {html.BLOCK_LEAST}] else l end, chr(10)) as text, published_date from
+      (select page_id, url, [y for y in [{squeezed('x')} for x in string_split({unescaped(body)}, chr(1))] if y <> ''] as l, {squeezed(unescaped(title))} as title,
+         coalesce(nullif(regexp_extract(html, '(?i)<meta[^>]*(?:property|name)="(?:article:published_time|date|datepublished|pubdate)"[^>]*content="([^"]*)"', 1), ''), regexp_extract(html, '(?i)<time[^>]*datetime="([^"]*)"', 1)) as published_date from pages)"""
+
+
+@query(f"select page_id, url, title, text, published_date, 'en' as lang, len([w for w in regexp_split_to_array(text, '\\s+') if w <> ''])::int as word_count, length(trim(text)) < 100 as is_empty from ({_content()})")
 def html_content(spark, sf):
     return html.extract_content(_pages(spark, sf), keep=["page_id", "url"])
 
@@ -715,17 +753,31 @@ def claim_check(spark, sf):
     return claims.select("claim_id").join(verdicts, "claim_id", "left").join(verified, "claim_id", "left").select("claim_id", F.coalesce("verdict", F.lit(C.NO_INFO)).alias("verdict"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "verified", "independent_sources", "statement")
 
 
-@query()
+@query(f"""with recursive found as (select query_id, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from ({_SCORES} and v.vec_id in (select doc_id from documents))) where rank <= 30),
+      r as (select query_id, vec_id, source, score, {_SHINGLES} as g, row_number() over (partition by query_id, source order by score desc, vec_id) as k from
+        (select query_id, vec_id, score, source, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') as w from found join documents on doc_id = vec_id)),
+      fold(query_id, source, k, vec_id, score, stay, seen) as (select query_id, source, k, vec_id, score, true, g from r where k = 1
+        union all select query_id, source, k, vec_id, score, stay, case when stay then list_distinct(list_concat(seen, g)) else seen end from
+          (select r.*, seen, len(list_intersect(g, seen)) / greatest(1, len(g)) <= {C.NEAR_DUPLICATE} as stay from fold f join r on r.query_id = f.query_id and r.source = f.source and r.k = f.k + 1)),
+      capped as (select * from (select *, row_number() over (partition by query_id, source order by score desc, vec_id) as n from fold where stay) where n <= {C.PER_DOMAIN_SEARCH}),
+      titled as (select *, {_LETTERS} from (select query_id, vec_id, capped.source, score, text, substr(text, 1, 60) as t from capped join documents on doc_id = vec_id)),
+      blended as (select query_id, vec_id, source, t, text, (0.5 * score + 0.3 * (1.3 / 3) + 0.2 * exp(-vec_id / 365.0)) * {_FACTOR} as score from titled),
+      ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as k from blended where score >= 0.15)
+    select query_id, k::int as rank, 'https://' || source || '.example.org/' || vec_id as url, t as title, md5(case when length(q) <= 800 then q else regexp_replace(substr(q, 1, 800), ' [^ ]*$', '') || '…' end) as snippet, round(score, 6)::double as score
+    from (select *, trim(regexp_replace(text, '\\s+', ' ', 'g')) as q from ranked) where k <= 10""")
 def search_flow(spark, sf):
     """Every vector is the chunk of the document of its number."""
     vectors = _vectors(spark, sf)
     docs = _docs(spark, sf).select(F.col("doc_id").alias("id"), F.concat(F.lit("https://"), "source", F.lit(".example.org/"), F.col("doc_id").cast("string")).alias("url"), "text")
     rated = trust.with_trust(vectors.select(F.col("vec_id").alias("id"), "embedding").join(docs, "id"), "url", _lists(spark)).withColumns({"title": F.substring("text", 1, 60), "published": F.lit(AS_OF) - F.col("id") * 86400.0})
     asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return flows.search(asked, rated, AS_OF)
+    return flows.search(asked, rated, AS_OF).withColumns({"snippet": F.md5("snippet"), "score": F.round("score", 6)})
 
 
-@query()
+_FRESH = f"(select min(page_id) as doc_id, url, any_value(title) as title, text from ({_content()}) where length(trim(text)) >= 100 group by url, text)"
+
+
+@query(f"""select substr(sha256(url || '#' || chunk_index), 1, 32) as id, url, chunk_index, c.text, substr(title, 1, 200) as title, {_HOST} as domain from ({_packs(512, 3, 100, 0, _FRESH)}) c join {_FRESH} f on f.doc_id = c.doc_id""")
 def index_flow(spark, sf):
     pages = _pages(spark, sf)
     stored = spark.createDataFrame([], "url string, content_hash string, indexed boolean")
