@@ -37,7 +37,7 @@ from .textscan import BASE_INV, mix, powers, prefix_hashes, range_hashes, slices
 WIDTH = 200
 GRAM = 32
 #: Kinds of one anchor that are sorted in one place.
-SPLIT = 1_500
+SPLIT = 5_000
 #: Kinds that are sorted together in a task, at least; whole buckets only.
 BLOCK = 4_000
 
