@@ -32,3 +32,9 @@ def test_each_stage_takes_effect(spark, docs, sf_dir):
 def test_run_writes_and_reads_every_stage(spark, sf_dir, docs):
     out = pipeline.run(spark, sf_dir)
     assert 0 < out.count() < 2 * docs.count() and {r.doc_id for r in out.collect()} <= {r.doc_id for r in docs.collect()}
+
+
+def test_language_stage_drops_a_document_of_the_real_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    gone = docs.select("doc_id", "text", "n_chars").exceptAll(pipeline.language_id(spark, docs, "").select("doc_id", "text", "n_chars")).collect()
+    assert 0 < len(gone) < 0.002 * docs.count() and all(len(r.text) < 200 for r in gone)
