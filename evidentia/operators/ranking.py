@@ -79,6 +79,79 @@ def nearest(
     return top_rows(out, k, by=[query_id], order=[F.desc("score"), F.asc(vector_id)])
 
 
+def centroids(vectors: DataFrame, lists: int, *, vector_id: str = "vec_id", vector_vec: str = "embedding", sample: int = 20_000, rounds: int = 10) -> np.ndarray:
+    """Centres of ``lists`` groups of unit vectors, by spherical k-means on at most ``sample`` vectors, the first in the order of a hash."""
+    some = vectors.where(F.col(vector_vec).isNotNull()).select(F.xxhash64(vector_id).alias("h"), F.col(vector_vec).cast("array<double>").alias("x")).orderBy("h").limit(sample)
+    x = np.array([r.x for r in some.collect()], dtype=np.float64)
+    if not len(x):
+        return np.zeros((1, 1))
+    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
+    centres = x[np.random.default_rng(3).permutation(len(x))[:lists]]
+    for _ in range(rounds):
+        own = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 0, sums / (length + 1e-9), centres)
+    return centres
+
+
+def nearest_by_lists(
+    queries: DataFrame,
+    vectors: DataFrame,
+    k: int,
+    centres: np.ndarray,
+    *,
+    probes: int = 8,
+    query_id: str = "query_id",
+    vector_id: str = "vec_id",
+    query_vec: str = "embedding",
+    vector_vec: str = "embedding",
+    tile: int = 20_000,
+    query_tile: int = 2_000,
+) -> DataFrame:
+    """(query_id, vec_id, score, rank) as nearest() gives it, of the ``probes`` lists whose centres are nearest to a query: approximate.
+
+    Every vector is in the list of its nearest centre. A list is dealt out in tiles of about ``tile``
+    vectors by ``query_tile`` queries by hash, so that neither a large list nor a much-asked one is one
+    task's, and each tile is one matrix product. Nothing passes the driver but the centres.
+    """
+    spark = queries.sparkSession
+    q_kind, v_kind = queries.schema[query_id].dataType.simpleString(), vectors.schema[vector_id].dataType.simpleString()
+    sent = spark.sparkContext.broadcast(centres)
+
+    def chosen(n: int):
+        @F.pandas_udf("array<int>")
+        def lists(s: pd.Series) -> pd.Series:
+            score = np.stack(s.to_list()) @ sent.value.T if len(s) else np.zeros((0, 1))
+            return pd.Series(np.argsort(-score, axis=1, kind="stable")[:, :n].astype(np.int32).tolist())
+
+        return lists
+
+    width = centres.shape[1]
+    rows = lambda df, name, vec, n: df.select(F.col(name).alias("id"), F.col(vec).cast("array<double>").alias("x")).where(F.size("x") == width).select("id", "x", F.explode(chosen(n)("x")).alias("list"))
+    v, q = rows(vectors, vector_id, vector_vec, 1), rows(queries, query_id, query_vec, probes)
+    # One row a list: into how many parts its vectors and its queries are cut.
+    parts = lambda df, size, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    cuts = F.broadcast(parts(v, tile, "vs").join(parts(q, query_tile, "qs"), "list"))
+    share = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    v = v.join(cuts, "list").select("list", share("vs").alias("a"), every("qs").alias("b"), "id", "x")
+    q = q.join(cuts, "list").select("list", every("vs").alias("a"), share("qs").alias("b"), "id", "x")
+
+    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(held):
+            return pd.DataFrame({query_id: [], vector_id: [], "score": []})
+        held = held.sort_values("id")
+        score = np.einsum("qd,vd->qv", np.stack(asked["x"].to_list()), np.stack(held["x"].to_list()))
+        n = min(k, score.shape[1])
+        top = np.argsort(-score, axis=1, kind="stable")[:, :n]
+        return pd.DataFrame({query_id: np.repeat(asked["id"].to_numpy(), n), vector_id: held["id"].to_numpy()[top].ravel(), "score": np.take_along_axis(score, top, axis=1).ravel()})
+
+    found = q.groupBy("list", "a", "b").cogroup(v.groupBy("list", "a", "b")).applyInPandas(best, f"`{query_id}` {q_kind}, `{vector_id}` {v_kind}, score double")
+    return top_rows(found, k, by=[query_id], order=[F.desc("score"), F.asc(vector_id)])
+
+
 def top_rows(df: DataFrame, k: int, *, by: list[str], order: list[Column], rank_col: str = "rank") -> DataFrame:
     """The first k rows of each group with their rank. Spark limits each group before the shuffle as well (WindowGroupLimit)."""
     return df.withColumn(rank_col, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank_col) <= k)

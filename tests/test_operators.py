@@ -51,6 +51,23 @@ def test_nearest_matches_brute_force(spark):
     assert ranking.nearest(asked.limit(0), df, 5).count() == 0 and ranking.nearest(asked, df.limit(0), 5).count() == 0
 
 
+def test_lists_find_nine_tenths_of_the_nearest(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(40, 16))
+    x = centre[rng.integers(0, 40, 3000)] + 0.4 * rng.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9999, None)], "vec_id int, embedding array<double>").repartition(5)
+    asked = df.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    centres = ranking.centroids(df, 32)
+    exact = {(r.query_id, r.vec_id) for r in ranking.nearest(asked, df, 10).collect()}
+    for tile in (20_000, 50):  # tiles change the work, not the result
+        got = {(r.query_id, r.vec_id) for r in ranking.nearest_by_lists(asked, df, 10, centres, tile=tile, query_tile=tile).collect()}
+        assert len(got) == len(exact) and len(got & exact) >= 0.9 * len(exact)
+    full = {(r.query_id, r.vec_id) for r in ranking.nearest_by_lists(asked, df, 10, centres, probes=32).collect()}
+    assert full == exact
+    assert ranking.nearest_by_lists(asked, df.limit(0), 5, centres).count() == 0
+
+
 def test_near_duplicates_in_order_of_score(spark):
     words = [f"w{i}" for i in range(40)]
     texts = [" ".join(words), " ".join(words[:39]), " ".join(words[20:] + [f"v{i}" for i in range(20)]), "", ""]
