@@ -82,8 +82,8 @@ def query_terms(text: Column, expansions: Column | None = None) -> Column:
 
 
 def letters_tokens(text: Column) -> Column:
-    """Lower-case runs of three or more letters a-z at word boundaries."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z]{3,}\b"), F.lit(0))
+    """Lower-case runs of three or more letters a-z with no letter, digit or underscore of any script beside them."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{M}\p{N}_])[a-z]{3,}(?![\p{L}\p{M}\p{N}_])"), F.lit(0))
 
 
 def sentences(text: Column, *, longer_than: int = 0) -> Column:
