@@ -127,6 +127,55 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(
 from lowered left join words using (doc_id) left join found using (doc_id)
 """
 
+OP11 = """
+with t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as w, min(doc_id) over (partition by text) as first from t),
+marks as (select doc_id, bool_or(coalesce(quality = 1, false)) as good, bool_or(coalesce(toxic = 1, false)) as toxic from labels group by doc_id),
+f as (select part, (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::int
+  + 8 * regexp_matches(text, '[#$%&*|]')::int + 16 * coalesce(doc_id > first, false)::int as fails, coalesce(good, false) as good, coalesce(toxic, false) as toxic from w left join marks using (doc_id)),
+kinds as (select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from f group by part, fails),
+b(i, letter) as (select i::int, substr('ABCDE', i::int + 1, 1) from range(5) r(i)),
+orders as (select [p.i, q.i, r.i, s.i, t.i] as o, p.letter || q.letter || r.letter || s.letter || t.letter as filter_order from b p, b q, b r, b s, b t where len(list_distinct([p.i, q.i, r.i, s.i, t.i])) = 5),
+steps as (select filter_order, k::int as step, o[k] as own, coalesce(list_sum([(1 << x)::int for x in o[1:k - 1]]), 0)::int as before from orders, range(1, 6) r(k)),
+figures as (select part, filter_order, step, own,
+  coalesce(sum(n) filter (fails & (before | (1 << own)) = 0), 0) as kept,
+  coalesce(sum(n) filter (fails & before = 0 and (fails >> own) & 1 = 1), 0) as removed,
+  coalesce(sum(n) filter (fails & before <> 0 and (fails >> own) & 1 = 1), 0) as redundant,
+  coalesce(sum(n) filter (fails = 1 << own), 0) as unique_fails,
+  coalesce(sum(good) filter (fails & before = 0 and (fails >> own) & 1 = 1), 0) as good_lost,
+  coalesce(sum(toxic) filter (fails & before = 0 and (fails >> own) & 1 = 1), 0) as toxic_lost
+  from kinds, steps group by part, filter_order, step, own)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+  (sum(removed) over (partition by part, own))::bigint as shapley from figures
+"""
+
+OP12 = """
+with t as (select page_id, coalesce(html, '') as html from pages),
+f as (select page_id, html, case when strlen(html) >= 100 then min(page_id) over (partition by html) end as first from t)
+select page_id, strlen(html)::bigint as payload_bytes, sha256(html) as payload_digest, case when first is not null and (page_id is null or page_id > first) then 'revisit' else 'response' end as record_type,
+  case when first is not null and (page_id is null or page_id > first) then first end as refers_to from f
+"""
+
+
+def _op13(k: int = 40, rounds: int = 5) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} as (select row, c, d from (select row, c, d, row_number() over (partition by row order by d, c) as rank from
+  (select row, c, list_sum([(v[i] - m[i]) * (v[i] - m[i]) for i in range(1, 65)]) as d from v, c{r})) where rank = 1),""")
+        if r < rounds:
+            steps.append(f"""
+s{r} as (select c, i, ((s - ((s % n) + n) % n) // n)::bigint as m from (select c, i, sum(x)::bigint as s, count(*) as n from (select c, unnest(v) as x, unnest(range(1, 65)) as i from a{r} join v using (row)) group by c, i)),
+c{r + 1} as (select o.c, coalesce(n.m, o.m) as m from c{r} o left join (select c, list(m order by i) as m from s{r} group by c) n using (c)),""")
+    return f"""
+with k as (select vec_id, embedding from embeddings where len(embedding) = 64 and len([x for x in embedding if x is not null and isfinite(x)]) = 64),
+v as (select row_number() over () as row, vec_id, [floor(256 * x::double)::bigint for x in embedding] as v from k),
+c0 as (select c, m from (select row_number() over (order by sha256('2:' || vec_id), v) - 1 as c, v as m from v where vec_id is not null) where c < {k}),{"".join(steps)}
+t as (select row, c, d, sum(d) over (partition by c) as own, sum(d) over () as every from a{rounds})
+select v.vec_id, t.c::int as cluster, t.d::bigint as distance, t.own::bigint as cluster_inertia, t.every::bigint as inertia, sha256(array_to_string(m, ',')) as centroid_sha256 from t join v using (row) join c{rounds} f on f.c = t.c
+"""
+
+
 ORACLES = {
     "op1_poisson_mix": OP1,
     "op2_chat_format": OP2,
@@ -135,4 +184,7 @@ ORACLES = {
     "op8_secret_scan": _op8(),
     "op9_signature_trees": OP9,
     "op10_decontamination": OP10,
+    "op11_filter_audit": OP11,
+    "op12_warc_archives": OP12,
+    "op13_ball_tree_clusters": _op13(),
 }

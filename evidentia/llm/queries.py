@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, mixing, oracles, qda, rules, secrets, suffixdedup, toxicity
+from . import audit, balltree, chat, decontam, jaccard, langid, mixing, oracles, qda, rules, secrets, suffixdedup, toxicity, warc
+from .spark_io import stage_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{stage_folder(spark)}/warc"
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_poisson_mix": op1_poisson_mix,
     "op2_chat_format": op2_chat_format,
@@ -76,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_signature_trees": op9_signature_trees,
     "op10_decontamination": op10_decontamination,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_warc_archives": op12_warc_archives,
+    "op13_ball_tree_clusters": op13_ball_tree_clusters,
 }
 
 ORACLES: dict[str, str] = oracles.ORACLES

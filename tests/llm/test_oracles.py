@@ -5,7 +5,7 @@ import pytest
 
 from evidentia.llm import queries
 
-TABLES = ["documents", "benchmark", "labels", "conversations"]
+TABLES = ["documents", "benchmark", "labels", "conversations", "pages", "embeddings"]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -22,4 +22,4 @@ def test_matches_sql(spark, sf_dir, name):
 
 
 def test_every_operator_has_its_query():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
