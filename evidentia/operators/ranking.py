@@ -96,6 +96,26 @@ def centroids(vectors: DataFrame, lists: int, *, vector_id: str = "vec_id", vect
     return centres
 
 
+#: Stands for the list of the vectors that have none.
+UNLISTED = -1
+
+
+def nearest_lists(centres: np.ndarray, n: int):
+    """A column function: the lists of the n nearest centres of a vector, by inner product; null for vectors of another length."""
+    width = centres.shape[1]
+
+    @F.pandas_udf("array<int>")
+    def lists(s: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(s), dtype=object, index=s.index)
+        ok = s.map(lambda x: x is not None and len(x) == width and not pd.isna(x).any())
+        if ok.any():
+            score = np.stack(s[ok].to_list()).astype(np.float64) @ centres.T
+            out[ok] = pd.Series(np.argsort(-score, axis=1, kind="stable")[:, :n].astype(np.int32).tolist(), index=s.index[ok])
+        return out
+
+    return lists
+
+
 def nearest_by_lists(
     queries: DataFrame,
     vectors: DataFrame,
@@ -107,30 +127,22 @@ def nearest_by_lists(
     vector_id: str = "vec_id",
     query_vec: str = "embedding",
     vector_vec: str = "embedding",
+    vector_list: str | None = None,
     tile: int = 20_000,
     query_tile: int = 2_000,
 ) -> DataFrame:
     """(query_id, vec_id, score, rank) as nearest() gives it, of the ``probes`` lists whose centres are nearest to a query: approximate.
 
-    Every vector is in the list of its nearest centre. A list is dealt out in tiles of about ``tile``
+    Every vector is in the list of its nearest centre, which the column vector_list holds if it is given;
+    vectors whose column is null are searched for every query. A list is dealt out in tiles of about ``tile``
     vectors by ``query_tile`` queries by hash, so that neither a large list nor a much-asked one is one
     task's, and each tile is one matrix product. Nothing passes the driver but the centres.
     """
-    spark = queries.sparkSession
     q_kind, v_kind = queries.schema[query_id].dataType.simpleString(), vectors.schema[vector_id].dataType.simpleString()
-    sent = spark.sparkContext.broadcast(centres)
-
-    def chosen(n: int):
-        @F.pandas_udf("array<int>")
-        def lists(s: pd.Series) -> pd.Series:
-            score = np.stack(s.to_list()) @ sent.value.T if len(s) else np.zeros((0, 1))
-            return pd.Series(np.argsort(-score, axis=1, kind="stable")[:, :n].astype(np.int32).tolist())
-
-        return lists
-
-    width = centres.shape[1]
-    rows = lambda df, name, vec, n: df.select(F.col(name).alias("id"), F.col(vec).cast("array<double>").alias("x")).where(F.size("x") == width).select("id", "x", F.explode(chosen(n)("x")).alias("list"))
-    v, q = rows(vectors, vector_id, vector_vec, 1), rows(queries, query_id, query_vec, probes)
+    rows = lambda df, name, vec, lists: df.where(F.size(vec) == centres.shape[1]).select(F.col(name).alias("id"), F.col(vec).cast("array<double>").alias("x"), F.explode(lists).alias("list"))
+    v = rows(vectors, vector_id, vector_vec, nearest_lists(centres, 1)(vector_vec) if vector_list is None else F.array(F.coalesce(vector_list, F.lit(UNLISTED))))
+    own = nearest_lists(centres, probes)(query_vec)
+    q = rows(queries, query_id, query_vec, own if vector_list is None else F.concat(own, F.array(F.lit(UNLISTED))))
     # One row a list: into how many parts its vectors and its queries are cut.
     parts = lambda df, size, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
     cuts = F.broadcast(parts(v, tile, "vs").join(parts(q, query_tile, "qs"), "list"))

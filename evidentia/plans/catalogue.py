@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from ..functions import urls as ur
 from ..functions import vectors as ve
 from ..operators import chunking, crawl, evaluation, expansion, html, media, models, ranking, store, trust, verdict
 from ..sources import fetch, tables
+from ..sources.vectors import VectorTable
 from ..streaming import incremental
 from . import flows
 
@@ -375,6 +377,21 @@ def knn_topk(spark, sf):
     return _knn(spark, sf, 10)[1].select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query()
+def knn_by_lists(spark, sf):
+    """The same search over a vector store of inverted lists. A fifth of the vectors is added after the lists were made. Approximate: a test holds its recall."""
+    _checkpoints(spark)
+    vectors = tables.table(spark, sf, "embeddings")
+    rows = vectors.select(F.col("vec_id").cast("string").alias("id"), F.lit("").alias("text"), "embedding", F.create_map().cast("map<string,string>").alias("metadata"))
+    late = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
+    store = VectorTable(spark, f"{spark.sparkContext.getCheckpointDir()}/vectors-{uuid.uuid4().hex}")
+    store.add(rows.where(~late))
+    store.index(16)
+    store.add(rows.where(late))
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return store.search(asked, 10, approximate=True).select("query_id", F.col("id").cast("long").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"select query_id, vec_id, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from ({_SCORES} and v.label = 3)) where rank <= 5")
 def knn_filtered(spark, sf):
     return _knn(spark, sf, 5, F.col("label") == 3)[1].select("query_id", "vec_id", "rank")

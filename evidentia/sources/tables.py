@@ -1,12 +1,12 @@
-"""Readers and writers of tables, images, JSON results and vector stores."""
+"""Readers and writers of tables, images and JSON results; the vector store is in vectors.py."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schemas
 from ..operators.media import IMAGE_TYPES
+from .vectors import VectorTable  # noqa: F401  one of the tables
 
 IMAGE_GLOB = "*.{png,jpg,jpeg,webp,bmp,tif,tiff}"
 
@@ -40,50 +40,6 @@ def search_response(ranked: DataFrame, *, query_col: str = "query", full: bool =
     return rows.select(query_col, F.to_json(F.struct(F.col(query_col).alias("user_query"), "evidence")).alias("response"))
 
 
-class VectorTable:
-    """A vector store: Parquet of (id, text, embedding, metadata). Adding an id again replaces it; deleting all ids empties it."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def read(self) -> DataFrame:
-        try:
-            versions = [int(r.name) for r in self._folders()]
-        except Exception:
-            versions = []
-        return self.spark.read.schema(schemas.VECTOR).parquet(f"{self.path}/{max(versions)}") if versions else self.spark.createDataFrame([], schemas.VECTOR)
-
-    def _folders(self):
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        system = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not system.exists(hadoop):
-            return []
-        return [type("Folder", (), {"name": s.getPath().getName()}) for s in system.listStatus(hadoop)]
-
-    def _write(self, df: DataFrame) -> None:
-        version = max([0, *(int(f.name) for f in self._folders())]) + 1
-        df.write.parquet(f"{self.path}/{version}")  # readers of the version before keep their files
-
-    def add(self, rows: DataFrame) -> None:
-        fresh = rows.select("id", "text", "embedding", "metadata").dropDuplicates(["id"])
-        self._write(self.read().join(fresh.select("id"), "id", "left_anti").unionByName(fresh))
-
-    def delete(self, ids: DataFrame) -> None:
-        self._write(self.read().join(ids.select("id"), "id", "left_anti"))
-
-    def count(self) -> int:
-        return self.read().count()
-
-    def search(self, queries: DataFrame, k: int, *, where: dict[str, str] | None = None) -> DataFrame:
-        from ..operators.ranking import nearest
-
-        match = None
-        for key, value in (where or {}).items():
-            term = F.col("metadata")[key] == value
-            match = term if match is None else match & term
-        return nearest(queries, self.read(), k, vector_id="id", where=match)
-
-
 def build(kind: str, makers: dict):
     """The maker of a configured back end, or an error that names it."""
     if kind not in makers:
