@@ -351,15 +351,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """One row per row of docs: id, n_bytes, spans (maximal removed byte runs), kept (the other bytes).
 
     Null reads as the empty text; texts of fewer than WIDTH bytes keep everything. Repeated rows are
-    documents of their own and so repeat each other. Rows are told apart by id and a hash of the text,
-    so that ids may be null or repeated. An empty table gives an empty one; other columns are ignored.
+    documents of their own and so repeat each other. Rows are told apart by id and 128 bits of the text's
+    SHA-256, so that ids may be null or repeated. An empty table gives an empty one; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    plain = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("sig", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))).select("id", "sig", "text")
+    plain = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("sig", F.substring(F.unhex(F.sha2(F.col("text"), 256)), 1, 16)).select("id", "sig", "text")
     long = plain.where(F.octet_length("text") >= WIDTH)
     # Kept as a table of its own, so that both sides of the join are plain exchanges and Spark can split a hot anchor's runs.
     again = cut_lineage(long.select("text").mapInArrow(_anchors, "a bigint").groupBy(F.col("a").alias("k")).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k"))
-    met = cut_lineage(long.mapInArrow(_runs, f"a bigint, s binary, id {kind}, sig bigint, pos bigint").join(again, F.col("a") == F.col("k")).drop("k"))
+    met = cut_lineage(long.mapInArrow(_runs, f"a bigint, s binary, id {kind}, sig binary, pos bigint").join(again, F.col("a") == F.col("k")).drop("k"))
     # first() takes all three columns from one row; any run of its kind will do.
     kinds = cut_lineage(met.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.first("id").alias("i"), F.first("sig").alias("g"), F.first("pos").alias("pos")))
     buckets = cut_lineage(kinds.groupBy(F.col("a").alias("k")).agg(F.count(F.lit(1)).alias("m"), F.sum("c").alias("all")).where("all > 1"))

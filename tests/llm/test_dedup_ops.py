@@ -198,3 +198,16 @@ def test_sort_blocks_hold_whole_buckets(monkeypatch):
             at += n
         out = list(suffixdedup._intervals(iter(parts)))
         assert sorted(int(r["s"]) for b in out for r in b.to_pylist()) == list(range(13)) and len(out) == 4
+
+
+def test_suffix_dedup_keeps_rows_of_one_id_whose_short_hashes_agree(spark):
+    """Two texts under a null id that 32 bits of xxhash64 can't tell apart: only the one with a copy loses bytes."""
+    import xxhash
+
+    one, two = ("".join(chr(97 + (i * i * k + i // 7) % 26) for i in range(260)) for k in (3, 11))
+    short = {xxhash.xxh64(f"{one}{i}", seed=42).intdigest() & 0xFFFFFFFF: f"{one}{i}" for i in range(200_000)}
+    a, b = next((short[h], f"{two}{i}") for i in range(400_000) if (h := xxhash.xxh64(f"{two}{i}", seed=42).intdigest() & 0xFFFFFFFF) in short)
+    rows = spark.createDataFrame([(None, a), (None, a), (None, b)], "doc_id bigint, text string")
+    got = sorted((r.n_bytes, r.n_removed, r.kept_sha256) for r in suffixdedup.digest(suffixdedup.remove_repeats(rows)).collect())
+    assert got == sorted((n, gone, kept) for n, gone, _, kept in brute.op5([a, a, b]))
+    assert sorted(g[1] for g in got)[0] == 0
