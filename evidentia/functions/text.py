@@ -50,10 +50,10 @@ def short_query(text: Column, words: int = 8) -> Column:
     return F.array_join(F.slice(word_list(text), 1, words), " ")
 
 
-def search_query(text: Column, max_terms: int = 15, entities: Column | None = None) -> Column:
-    """Hashtags, then entities (from a model, if there are), then tokens up to max_terms; else the first eight words."""
+def search_query(text: Column, max_terms: int = 15, entities: Column | None = None, key_words: Column | None = None) -> Column:
+    """Hashtags, then entities (from a model or a gazetteer) and key words (operators.keyphrases), if there are, then tokens up to max_terms; else the first eight words."""
     cleaned = clean_claim(text)
-    first = hashtags(text) if entities is None else F.array_distinct(F.concat(hashtags(text), entities))
+    first = F.array_distinct(F.concat(hashtags(text), *[F.coalesce(c, F.array().cast("array<string>")) for c in (entities, key_words) if c is not None]))
     terms = F.slice(F.array_distinct(F.concat(first, keyword_tokens(cleaned))), 1, max_terms)
     return F.when(F.size(terms) > 0, F.array_join(terms, " ")).otherwise(short_query(cleaned))
 

@@ -14,7 +14,7 @@ from ..functions import text as tx
 from ..functions import trust as tr
 from ..functions import urls as ur
 from ..functions import vectors as ve
-from ..operators import chunking, crawl, evaluation, expansion, html, media, models, ranking, store, trust, verdict
+from ..operators import chunking, crawl, evaluation, expansion, html, keyphrases, media, models, ranking, store, trust, verdict
 from ..sources import fetch, tables
 from ..sources.vectors import VectorTable
 from ..streaming import incremental
@@ -177,6 +177,34 @@ def search_query(spark, sf):
     return _tagged(spark, sf).select("doc_id", tx.search_query(F.col("text")).alias("query"))
 
 
+_KEY_WORDS = """with parts as (select doc_id, [x for x in [regexp_extract_all(y, '[\\p{L}\\p{N}]+') for y in regexp_split_to_array(coalesce(text, ''), '[.!?\\n]+')] if len(x) > 0] as s from documents),
+      sent as (select doc_id, len(s) as n_sent, unnest(range(len(s))) as i, unnest(s) as w from parts),
+      one as (select doc_id, n_sent, i, unnest(range(len(w))) as pos, unnest(w) as form, unnest([lower(x) for x in list_concat([null], w[1:-2])]) as l, unnest([lower(x) for x in list_concat(w[2:], [null])]) as r from sent),
+      forms as (select doc_id, lower(form) as word, count(*) as tf, max(n_sent) as n_sent, count(*) filter (length(form) > 1 and upper(form) = form and regexp_matches(form, '\\p{L}')) as acronyms,
+        count(*) filter (pos > 0 and regexp_matches(form, '^\\p{Lu}')) as capitals, quantile_cont(i, 0.5) as middle, count(distinct i) as sentences,
+        count(distinct l) as lefts, count(l) as n_left, count(distinct r) as rights, count(r) as n_right from one group by doc_id, lower(form)),
+      figures as (select *, greatest(acronyms, capitals) / (1 + ln(tf)) as casing, ln(3 + middle) as position, sentences / n_sent as spread,
+        tf / coalesce(avg(tf) filter (length(word) > 1) over (partition by doc_id) + stddev_pop(tf) filter (length(word) > 1) over (partition by doc_id), 1.0) as frequency,
+        1 + (case when n_left > 0 then lefts / n_left else 0.0 end + case when n_right > 0 then rights / n_right else 0.0 end) * tf / max(tf) over (partition by doc_id) as context from forms),
+      scored as (select doc_id, word, round(context * ln(position) / (casing + (frequency + spread) / context), 9) as score from figures where length(word) > 2 and regexp_matches(word, '\\p{L}'))
+    select doc_id, word, round(score, 6) as score, rank::int as rank from (select *, row_number() over (partition by doc_id order by score, word) as rank from scored) where rank <= 10"""
+
+
+@query(_KEY_WORDS)
+def key_word_scores(spark, sf):
+    """The ten best key words of every document."""
+    scored = keyphrases.word_scores(_docs(spark, sf)).withColumn("score", F.round("score", 9))
+    return ranking.top_rows(scored, 10, by=["doc_id"], order=[F.asc("score"), F.asc("word")]).select("doc_id", "word", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def search_query_key_words(spark, sf):
+    """Search queries of all documents: hashtags first, then key words that are no spelling of a better one, then tokens."""
+    tagged = _tagged(spark, sf)
+    found = keyphrases.key_words(tagged, 15)
+    return tagged.join(found, "doc_id").select("doc_id", tx.search_query(F.col("text"), key_words=F.col("words")).alias("query"))
+
+
 @query("select doc_id, len([w for w in regexp_split_to_array(text, '\\s+') if w <> ''])::int as n, array_to_string(([w for w in regexp_split_to_array(text, '\\s+') if w <> ''])[1:8], ' ') as short from documents")
 def token_count(spark, sf):
     return _docs(spark, sf).select("doc_id", tx.token_count(F.col("text")).alias("n"), tx.short_query(F.col("text")).alias("short"))
