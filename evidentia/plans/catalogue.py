@@ -14,7 +14,7 @@ from ..functions import text as tx
 from ..functions import trust as tr
 from ..functions import urls as ur
 from ..functions import vectors as ve
-from ..operators import chunking, crawl, evaluation, expansion, html, keyphrases, media, models, ranking, store, trust, verdict
+from ..operators import boundaries, chunking, crawl, evaluation, expansion, html, keyphrases, media, models, ranking, store, trust, verdict
 from ..sources import fetch, tables
 from ..sources.vectors import VectorTable
 from ..streaming import incremental
@@ -215,6 +215,34 @@ def sentence_split(spark, sf):
     return _docs(spark, sf).select("doc_id", F.size(F.split("text", r"(?<=[.!?])\s+(?=[A-Z])")).alias("n"))
 
 
+_TOKENS = r"""with t as (select doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[ \t\n\f\r]+') if x <> ''] as w from documents),
+      c as (select regexp_replace(regexp_replace(unnest(w), '^["''(\[{«“‘]+', ''), '["'')\]}»”’,;:]+$', '') as core from t),
+      s as (select regexp_matches(core, '[^.]\.$') as dot, lower(case when regexp_matches(core, '[^.]\.$') then regexp_replace(core, '\.$', '') else core end) as bare from c),
+      k as (select case when regexp_matches(bare, '^[0-9.,]*[0-9]$') then '##' else bare end as type, count(*) filter (dot) as w, count(*) filter (not dot) as o from s group by 1),
+      n as (select sum(w)::double / sum(w + o) as p from k),
+      r as (select type, w, o, length(replace(type, '.', ''))::double as letters, length(type) - length(replace(type, '.', '')) as inside,
+        2 * (w * ln(0.99) + o * ln(0.01) - w * ln(p) - o * ln(1 - p)) as ratio from k, n where w > 0 and regexp_matches(type, '\p{L}'))
+    select type, w::bigint as with_dot, o::bigint as without_dot, round(ratio * exp(-letters) * (inside + 1) * pow(letters, -o), 6)::double + 0.0 as score from r"""
+
+
+@query(_TOKENS)
+def abbreviation_scores(spark, sf):
+    """How much each word of the documents is an abbreviation by the company it keeps with periods."""
+    pairs = boundaries.neighbours(_docs(spark, sf))
+    sums = pairs.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("dot"), F.col("n"))).alias("d")).first()
+    scores = boundaries.abbreviation_scores(pairs, sums.n or 0, sums.d or 0)
+    return scores.select("type", "with_dot", "without_dot", (F.round("score", 6) + 0.0).alias("score"))
+
+
+@query()
+def learned_sentences(spark, sf):
+    """Sentences of all documents by boundaries learned from all documents."""
+    _checkpoints(spark)
+    docs = _docs(spark, sf)
+    found = boundaries.split(docs, boundaries.learn(docs))
+    return found.select("doc_id", "pos", F.md5("sentence").alias("sentence"))
+
+
 @query("""select doc_id, s::int as start_char, e::int as end_char, (row_number() over (partition by doc_id order by s) - 1)::int as chunk_index, md5(t) as chunk
     from (select doc_id, s, least(s + 512, length(text)) as e, trim(substr(text, s + 1, 512), chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) as t
           from (select doc_id, text, unnest(range(0, length(text), 448)) as s from documents)) where length(t) >= 100""")
