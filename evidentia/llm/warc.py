@@ -1,7 +1,7 @@
 """WARC archives: a deterministic sharded writer and its reader, as a data source of Spark.
 
 Records are dealt to shards by ranges of the id and sorted within them, so that the archives one after
-the other are in order. The bounds of the ranges come from a sample by hash of the ids, weighted by
+the other are in order. The bounds of the ranges come from a sample of the ids by hash, in proportion to
 bytes: they follow from the rows alone, not from how the input is cut, and a second run gives the same
 bytes. A shard's task streams its records: it regenerates every header and digest, compresses each
 record as a gzip member of its own, and rolls to the next file when the compressed size passes a limit.
@@ -274,16 +274,17 @@ def _batches(spark: SparkSession) -> Iterator[None]:
 
 
 def shard_bounds(sizes: DataFrame, shard_bytes: int) -> list[int]:
-    """The first ids of all shards but the first one: those that cut a sample of the ids by hash, weighted by bytes, into even parts.
+    """The first ids of all shards but the first one: those that cut a sample of the ids, by hash and in proportion to bytes, into even parts.
 
     The driver takes about SAMPLED ids a shard, and shards are MOST_SHARDS at most. sizes: (page_id, n).
     """
-    total = sizes.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes")).first()
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("bytes")).first()
     shards = min(MOST_SHARDS, -(-total.bytes // shard_bytes))
     if shards < 2:
         return []
-    share = max(1, total.rows // (SAMPLED * shards))
-    some = sizes.where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(share)) == 0)).groupBy("page_id").agg(F.sum("n").alias("n")).orderBy("page_id").collect()
+    step = max(1, total.bytes // (SAMPLED * shards))  # an id of n bytes is taken with a chance of n / step and stands for step bytes
+    taken = F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)).cast("double") * step < F.col("n").cast("double") * (1 << 20)
+    some = sizes.where(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.sum("n").alias("n")).where(taken).select("page_id", F.greatest("n", F.lit(step)).alias("n")).orderBy("page_id").collect()
     if not some:
         return []
     done = np.cumsum([r.n for r in some])
