@@ -75,8 +75,11 @@ def plant(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         if hi - lo > LEAF and (here != here[0]).any():
             one = here[away.argmax()]
             other = here[((here - one) ** 2).sum(axis=1).argmax()]
-            mid = (hi - lo) // 2
-            order[lo:hi] = own[np.argpartition(here @ (other - one), mid)]
+            # Each to the nearer of two far points, so that groups part; in halves where that would leave hardly any on one side.
+            along = here @ (other - one)
+            mid = int((along < (one + other) @ (other - one) / 2).sum())
+            mid = mid if min(mid, hi - lo - mid) * 16 >= hi - lo else (hi - lo) // 2
+            order[lo:hi] = own[np.argpartition(along, mid)]
             todo.append((lo + mid, hi, len(spans) - 1))
             todo.append((lo, lo + mid, -1))
     return order, np.array(spans, dtype=np.int32), np.array(radius), np.array(sums)
