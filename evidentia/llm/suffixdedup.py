@@ -355,7 +355,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     SHA-256, so that ids may be null or repeated. An empty table gives an empty one; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    plain = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("sig", F.substring(F.unhex(F.sha2(F.col("text"), 256)), 1, 16)).select("id", "sig", "text")
+    plain = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("sig", F.coalesce(F.substring(F.unhex(F.sha2(F.col("text"), 256)), 1, 16), F.lit(bytearray(b"")))).select("id", "sig", "text")
     long = plain.where(F.octet_length("text") >= WIDTH)
     # Kept as a table of its own, so that both sides of the join are plain exchanges and Spark can split a hot anchor's runs.
     again = cut_lineage(long.select("text").mapInArrow(_anchors, "a bigint").groupBy(F.col("a").alias("k")).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k"))
@@ -367,7 +367,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     detail = kinds.join(buckets, F.col("a") == F.col("k")).select("i", "g", F.struct("a", "pos", (F.col("c") > 1).alias("twice"), (F.col("m") == 1).alias("alone"), (F.col("m") > split).alias("hot")).alias("r"))
     asked = cut_lineage(detail.groupBy("i", "g").agg(F.collect_list("r").alias("runs")))
     same = lambda: plain["id"].eqNullSafe(F.col("i")) & (plain["sig"] == F.col("g"))
-    # These joins and the last one read the same exchange of the texts, which Spark reuses within one plan.
+    # These joins and the last one read the same exchange of the texts, which Spark reuses within one plan: sig is never null, so that no join filters it.
     found = plain.join(asked, same()).select(F.col("text").cast("binary").alias("text"), "runs")
     some = not buckets.where(F.col("m") > split).isEmpty()
 
