@@ -14,7 +14,7 @@ from ..functions import text as tx
 from ..functions import trust as tr
 from ..functions import urls as ur
 from ..functions import vectors as ve
-from ..operators import boundaries, chunking, crawl, evaluation, expansion, html, keyphrases, media, models, ranking, store, trust, verdict
+from ..operators import boundaries, chunking, content, crawl, evaluation, expansion, html, keyphrases, media, models, ranking, store, trust, verdict
 from ..sources import fetch, tables
 from ..sources.vectors import VectorTable
 from ..streaming import incremental
@@ -412,6 +412,12 @@ def html_content(spark, sf):
     return html.extract_content(_pages(spark, sf), keep=["page_id", "url"])
 
 
+@query()
+def page_main_content(spark, sf):
+    """The main content of all pages and the method that found it."""
+    return content.main_content(_pages(spark, sf)).select("page_id", "title", "extraction_method", "word_count", "published_date", F.md5("text").alias("text"))
+
+
 # --- Retrieval and ranking ----------------------------------------------------------------------------
 
 def _vectors(spark, sf):
