@@ -11,6 +11,7 @@ from .constants import (
     BLEND_FRESHNESS,
     BLEND_RELEVANCE,
     BLEND_TRUST,
+    LOW_TRUST_DOMAINS,
     SPAM_FACTOR,
     SPAM_TLDS,
     TLD_TRUST,
@@ -50,8 +51,8 @@ def pattern_trust(domain: Column) -> Column:
     return clamp(base * F.when(spam, SPAM_FACTOR).otherwise(1.0) * F.when(shared, USER_CONTENT_FACTOR).otherwise(1.0))
 
 
-def trust_score(url: Column, *, trusted: Sequence[str] = (*TRUSTED_DOMAINS, *TRUSTED_ARABIC_DOMAINS), blocked: Sequence[str] = ()) -> Column:
-    """0.2 to 3: blocked sources, then trusted ones, then patterns; neutral without a domain."""
+def trust_score(url: Column, *, trusted: Sequence[str] = (*TRUSTED_DOMAINS, *TRUSTED_ARABIC_DOMAINS), blocked: Sequence[str] = LOW_TRUST_DOMAINS) -> Column:
+    """0.2 to 3: sources of low trust, then trusted ones, then patterns; neutral without a domain."""
     domain = registered_domain(url)
     score = F.when(is_listed(domain, blocked), F.lit(TRUST_BLOCKED)).when(is_listed(domain, trusted), F.lit(TRUST_LISTED)).otherwise(pattern_trust(domain))
     return F.when(domain == "", F.lit(TRUST_NEUTRAL)).otherwise(score)

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import kept
+
 SPACE = r"[ \t\n\f\r]+"
 OPEN, CLOSE = r"""^["'(\[{«“‘]+""", r"""["')\]}»”’,;:]+$"""
 #: Least scores of abbreviations, starters and collocations, as in the paper.
@@ -81,10 +83,10 @@ def learn(texts: DataFrame, *, text_col: str = "text") -> Boundaries:
 
     The counts of neighbours are written to the context's checkpoint folder, since all tables come from them.
     """
-    pairs = neighbours(texts, text_col=text_col).checkpoint()
+    pairs = kept(neighbours(texts, text_col=text_col))
     sums = pairs.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("dot"), F.col("n"))).alias("d")).first()
     total, dots = sums.n or 0, sums.d or 0
-    short = abbreviation_scores(pairs, total, dots).where(F.col("score") >= ABBREVIATION).select("type").checkpoint()
+    short = kept(abbreviation_scores(pairs, total, dots).where(F.col("score") >= ABBREVIATION).select("type"))
     known = pairs.join(short.select("type", F.lit(True).alias("short")), "type", "left").fillna(False, ["short"])
     plain = ~F.col("short") & (F.length("type") > 1) & (F.col("type") != NUMBER)
     ends = F.col("mark") | (F.col("dot") & plain)
@@ -92,10 +94,10 @@ def learn(texts: DataFrame, *, text_col: str = "text") -> Boundaries:
     breaks = after.agg(F.sum("both")).first()[0] or 0
     counts = pairs.groupBy("type").agg(F.sum("n").alias("n"))
     drawn = after.join(counts, "type").where(F.col("type").rlike(r"\p{L}") & (F.col("both") * total > F.col("n") * breaks))
-    starters = drawn.where(association(F.lit(float(breaks)), F.col("n"), F.col("both"), float(total)) >= STARTER).select("type").checkpoint()
+    starters = kept(drawn.where(association(F.lit(float(breaks)), F.col("n"), F.col("both"), float(total)) >= STARTER).select("type"))
     parted = known.where(F.col("dot") & ~plain & (F.col("next") != "")).groupBy("type", "next").agg(F.sum("n").alias("both"))
     parted = parted.join(counts, "type").join(counts.select(F.col("type").alias("next"), F.col("n").alias("m")), "next").join(starters.select(F.col("type").alias("next")), "next", "left_anti")
-    together = parted.where((F.col("both") * total > F.col("n") * F.col("m")) & (association(F.col("n"), F.col("m"), F.col("both"), float(total)) >= COLLOCATION)).select("type", "next").checkpoint()
+    together = kept(parted.where((F.col("both") * total > F.col("n") * F.col("m")) & (association(F.col("n"), F.col("m"), F.col("both"), float(total)) >= COLLOCATION)).select("type", "next"))
     inside = ~F.col("dot") & ~F.col("mark")
     cases = pairs.where("next <> ''").groupBy(F.col("next").alias("type")).agg(F.max(~F.col("upper")).alias("low"), F.max(F.col("upper") & inside).alias("high")).where("low or high")
     return Boundaries(short, starters, together, cases)

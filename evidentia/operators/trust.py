@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import TRUST_BLOCKED, TRUST_LISTED, TRUST_NEUTRAL, TRUSTED_ARABIC_DOMAINS, TRUSTED_DOMAINS, UNRELIABLE_DOMAINS
+from ..functions.constants import LOW_TRUST_DOMAINS, TRUST_BLOCKED, TRUST_LISTED, TRUST_NEUTRAL, TRUSTED_ARABIC_DOMAINS, TRUSTED_DOMAINS, UNRELIABLE_DOMAINS
 from ..functions.trust import pattern_trust
 from ..functions.urls import parent_domains, registered_domain
 
@@ -25,8 +25,8 @@ def listed_tier(urls: DataFrame, url_col: str, lists: DataFrame) -> DataFrame:
 
 
 def usual_lists(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
-    """(domain, tier) of the trusted sources of the constants and of more, a table of that form: lists of sources to distrust are as long as their user wants."""
-    own = spark.createDataFrame([(d, "trusted") for d in (*TRUSTED_DOMAINS, *TRUSTED_ARABIC_DOMAINS)], "domain string, tier string")
+    """(domain, tier) of the constants' sources, trusted and of low trust, and of more, a table of that form: lists are as long as their user wants."""
+    own = spark.createDataFrame([(d, "trusted") for d in (*TRUSTED_DOMAINS, *TRUSTED_ARABIC_DOMAINS)] + [(d, "blocked") for d in LOW_TRUST_DOMAINS], "domain string, tier string")
     return own if more is None else own.unionByName(more.select("domain", "tier"))
 
 

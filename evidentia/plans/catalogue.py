@@ -9,12 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import checkpoints
 from ..functions import constants as C
 from ..functions import text as tx
 from ..functions import trust as tr
 from ..functions import urls as ur
 from ..functions import vectors as ve
-from ..operators import boundaries, chunking, content, crawl, evaluation, expansion, html, keyphrases, media, models, ranking, store, trust, verdict
+from ..operators import boundaries, chunking, content, crawl, evaluation, expansion, html, keyphrases, media, models, ranking, retrieval, store, trust, verdict
 from ..sources import fetch, tables
 from ..sources.vectors import VectorTable
 from ..streaming import incremental
@@ -237,7 +238,6 @@ def abbreviation_scores(spark, sf):
 @query()
 def learned_sentences(spark, sf):
     """Sentences of all documents by boundaries learned from all documents."""
-    _checkpoints(spark)
     docs = _docs(spark, sf)
     found = boundaries.split(docs, boundaries.learn(docs))
     return found.select("doc_id", "pos", F.md5("sentence").alias("sentence"))
@@ -442,11 +442,10 @@ def knn_topk(spark, sf):
 @query()
 def knn_by_lists(spark, sf):
     """The same search over a vector store of inverted lists. A fifth of the vectors is added after the lists were made. Approximate: a test holds its recall."""
-    _checkpoints(spark)
     vectors = tables.table(spark, sf, "embeddings")
     rows = vectors.select(F.col("vec_id").cast("string").alias("id"), F.lit("").alias("text"), "embedding", F.create_map().cast("map<string,string>").alias("metadata"))
     late = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
-    store = VectorTable(spark, f"{spark.sparkContext.getCheckpointDir()}/vectors-{uuid.uuid4().hex}")
+    store = VectorTable(spark, f"{checkpoints.folder(spark)}/vectors-{uuid.uuid4().hex}")
     store.add(rows.where(~late))
     store.index(16)
     store.add(rows.where(late))
@@ -704,7 +703,7 @@ def crawl_bfs_depth(spark, sf):
     n = spark.range(500)
     name = lambda c: F.concat(F.lit("u"), c.cast("string"))
     links = n.select(name(F.col("id")).alias("parent_url"), F.explode(F.array((F.col("id") * 7 + 1) % 500, (F.col("id") * 13 + 5) % 500)).alias("b")).select("parent_url", name(F.col("b")).alias("url"))
-    _checkpoints(spark)
+    checkpoints.folder(spark)
     return crawl.crawl_depths(spark.createDataFrame([("u0",)], "url string"), links, max_depth=6).select("url", "depth")
 
 
@@ -714,7 +713,7 @@ _LINKS = rf"""select distinct root || href as url from (select regexp_extract(ur
 @query(f"select canonical as url, 0 as depth from ({_CANONICAL}) union select url, 1 from ({_LINKS}) where url not in (select canonical from ({_CANONICAL}))")
 def crawl_flow(spark, sf):
     """From all pages over their links, in two rounds; what is linked is held as an empty page."""
-    _checkpoints(spark)
+    checkpoints.folder(spark)
     pages = _pages(spark, sf).groupBy(ur.canonical_url(F.col("url")).alias("url")).agg(F.min_by("html", "page_id").alias("html"), F.min("page_id").alias("page_id"))
     links = html.extract_links(pages, [], threshold=0.0).select(F.col("url"), F.lit("").alias("html")).join(pages.select("url"), "url", "left_anti")
     held = pages.select("url", "html").unionByName(links)
@@ -726,18 +725,6 @@ def _link_scores(got: DataFrame) -> DataFrame:
     return html.extract_links(got.withColumn("page", F.col("url")), [], threshold=0.0, key="page").select(F.col("page").alias("parent_url"), "url", "relevance_score")
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    """The shared checkpoint folder, as the cluster names it; one of our own only in local mode, where none is named."""
-    import tempfile
-
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[[^-]*\])?", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="evidentia-"))
-
-
 _STAGE = "(case event_type when 'view' then 'queued' when 'click' then 'searching' when 'signup' then 'fetching' when 'error' then 'nli' else 'done' end)"
 
 
@@ -825,6 +812,18 @@ def _claims(spark, sf):
     return claims, flows.trusted_evidence_pages(claims, pages, _lists(spark))
 
 
+@query(rf"""with c as (select item_id as claim_id, unnest(list_distinct(regexp_extract_all(lower(text), '\b[a-z]{{3,}}\b'))) as term from benchmark),
+      p as (select 'https://' || source || '.example.org/' || doc_id as url, list_distinct(regexp_extract_all(regexp_replace(lower(text), '[\p{{L}}\p{{M}}\p{{N}}_]*[^\x00-\x7F][\p{{L}}\p{{M}}\p{{N}}_]*', ' ', 'g'), '\b[a-z]{{3,}}\b')) as t from documents),
+      w as (select url, len(t) as size, unnest(t) as term from p), o as (select term, count(*) as often from w group by term),
+      h as (select claim_id, url, size, sum(round(ln(1 + (select count(*) from documents) / often) * 1e6)::bigint) as hits from w join c using (term) join o using (term) group by all)
+    select claim_id, url, rank::int as rank from (select *, row_number() over (partition by claim_id order by hits / sqrt(size) desc, size, url) as rank from h) where rank <= 15""")
+def claim_pages(spark, sf):
+    """The pages of each claim of the benchmark by shared terms, all of one trust."""
+    docs = _docs(spark, sf).select(F.format_string("https://%s.example.org/%d", "source", "doc_id").alias("url"), "text", F.lit(1.3).alias("trust"))
+    claims = tables.table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
+    return retrieval.best_pages(claims, docs, 15, terms=tx.letters_tokens).select("claim_id", "url", "rank")
+
+
 @query()
 def claim_check(spark, sf):
     claims, pages = _claims(spark, sf)
@@ -896,7 +895,7 @@ def _stream_folder(sf: str) -> str:
 def _run_stream(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
     import uuid
 
-    _checkpoints(spark)
+    checkpoints.folder(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
     run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").queryName(f"{name}_{uuid.uuid4().hex[:8]}").trigger(availableNow=True).start()
     run.awaitTermination()

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import MIN_RELEVANCE, PAGE_LEAST, PER_DOMAIN_CLAIMS, PER_DOMAIN_SEARCH
+from ..functions.constants import MIN_RELEVANCE, PAGE_LEAST, PER_DOMAIN_CLAIMS, PER_DOMAIN_SEARCH, UNRELIABLE_DOMAINS
 from ..functions.text import clickbait_factor, letters_tokens, snippet
-from ..functions.trust import blended_score, freshness
-from ..functions.urls import evidence_domain, host_domain
+from ..functions.trust import blended_score, freshness, is_listed
+from ..functions.urls import evidence_domain, host_domain, registered_domain
 from ..functions.vectors import dot, fused_score, sigmoid
-from ..operators import chunking, html, models, ranking, store, trust, verdict
+from ..operators import chunking, html, models, ranking, retrieval, store, trust, verdict
 
 
 def select_evidence(claims: DataFrame, pages: DataFrame, *, model: models.ModelBackend = models.DEFAULT, per_page: int = 2, top_k: int = 10, rerank: bool = True) -> DataFrame:
@@ -72,24 +72,14 @@ def index_pages(pages: DataFrame, stored: DataFrame, *, model: models.ModelBacke
     return chunks.select("id", "url", "chunk_index", "text", models.embed(F.col("text"), model).alias("embedding"), F.substring("title", 1, 200).alias("title"), host_domain(F.col("url")).alias("domain"), "content_hash")
 
 
-def trusted_evidence_pages(claims: DataFrame, pages: DataFrame, lists: DataFrame, *, terms: Callable[[Column], Column] = letters_tokens, n: int = 10) -> DataFrame:
-    """(claim_id, url, text, credibility): for each claim the n + 5 most trusted of the pages that share a term with it.
+def trusted_evidence_pages(claims: DataFrame, pages: DataFrame, lists: DataFrame, *, terms: Callable[[Column], Column] = letters_tokens, n: int = 10, unreliable: Sequence[str] = UNRELIABLE_DOMAINS) -> DataFrame:
+    """(claim_id, url, text, credibility): for each claim the n + 5 most trusted of the pages that share a term with it, without pages of unreliable sources.
 
-    The candidates come from an inverted index on all terms of both sides, made by the same function: an equi join of
-    exploded terms. Among equally trusted pages the shared terms decide, each weighing the logarithm of its rarity in
-    millionths (whole numbers, so that sums don't depend on their order), then the page of fewer terms comes first. Pages are dealt out by URL before their terms
-    are exploded: where the claims' terms are broadcast, a page's hits are counted where it is, and what a frequent word
-    meets is not moved.
+    pages: url, text, each URL once. Among equally trusted pages those with the weightier shared terms come first (operators.retrieval).
     """
-    rated = trust.with_trust(pages.select("url").distinct(), "url", lists)
-    index = pages.select("url", F.array_distinct(terms(F.col("text"))).alias("terms")).withColumn("size", F.size("terms")).repartition("url").join(rated, "url")
-    asked = claims.select("claim_id", F.explode(F.array_distinct(terms(F.col("claim")))).alias("term"))
-    words = index.select("url", "trust", "size", F.explode("terms").alias("term"))
-    total = pages.agg(F.count(F.lit(1)).alias("total"))
-    often = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("often"))
-    weighed = asked.join(often, "term").crossJoin(total).select("claim_id", "term", F.round(F.log1p(F.col("total") / F.col("often")) * 1e6).cast("long").alias("weight"))
-    hits = words.join(weighed, "term").groupBy("url", "trust", "size", "claim_id").agg(F.sum("weight").alias("hits"))
-    best = ranking.top_rows(hits, n + 5, by=["claim_id"], order=[F.desc("trust"), F.desc(F.col("hits") / F.sqrt("size")), F.asc("size"), F.asc("url")]).drop("rank")
+    kept = pages.where(~is_listed(registered_domain(F.col("url")), unreliable))
+    rated = trust.with_trust(kept.select("url", "text"), "url", lists)
+    best = retrieval.best_pages(claims, rated, n + 5, terms=terms)
     return best.join(pages.select("url", "text"), "url").select("claim_id", "url", "text", F.col("trust").alias("credibility"))
 
 

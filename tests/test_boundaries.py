@@ -93,12 +93,6 @@ def frame(spark, texts):
     return spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id int, text string, type string")
 
 
-@pytest.fixture(autouse=True)
-def checkpoints(spark, tmp_path_factory):
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
-
-
 @pytest.mark.parametrize("planted", [True, False])
 def test_matches_the_plain_version(spark, sf_dir, planted):
     real = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(60).collect()]

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from evidentia.functions import trust as score
 from evidentia.functions.constants import UNRELIABLE_DOMAINS
 from evidentia.operators import crawl, html, media, models, regions, trust, verdict
 from evidentia.plans import flows
@@ -10,10 +11,25 @@ from evidentia.sources import fetch, tables
 
 
 def test_trust_with_the_usual_lists(spark):
-    more = spark.createDataFrame([(d, "blocked") for d in ("infowars.com", "naturalnews.com", "reddit.com", "arxiv.org")], "domain string, tier string")
-    want = {"https://www.reuters.com/a": 2.0, "https://edition.cnn.com/": 2.0, "https://infowars.com": 0.2, "https://old.reddit.com/r": 0.2, "https://arxiv.org/abs/1": 0.2, "http://unknownblog.xyz/": 0.3, "https://en.wikipedia.org/wiki/X": 1.3, "": 1.0}
-    rows = trust.with_trust(spark.createDataFrame([(u,) for u in want], "url string"), "url", trust.usual_lists(spark, more))
-    assert {r.url: round(r.trust, 6) for r in rows.collect()} == want
+    want = {
+        "https://www.reuters.com/a": 2.0, "https://edition.cnn.com/": 2.0, "https://snopes.com/": 2.0, "https://bbc.com": 2.0, "https://www.nytimes.com/x": 2.0, "https://infowars.com": 0.2, "https://www.naturalnews.com/": 0.2,
+        "https://old.reddit.com/r": 0.2, "https://arxiv.org/abs/1": 0.2, "http://unknownblog.xyz/": 0.3, "https://en.wikipedia.org/wiki/X": 1.3, "": 1.0, "https://blog.intel.com/": 2.4, "https://a.substack.com/p": 0.6,
+        "https://someone.wordpress.com/": 0.2, "https://mine.example.net/": 1.7,
+    }
+    urls = spark.createDataFrame([(u,) for u in want], "url string")
+    scored = {r.url: round(r.t, 6) for r in urls.select("url", score.trust_score(F.col("url")).alias("t")).collect()}
+    assert scored == {**want, "https://mine.example.net/": 1.0}
+    more = spark.createDataFrame([("example.net", "trusted")], "domain string, tier string")
+    rows = trust.with_trust(urls, "url", trust.usual_lists(spark, more))
+    assert {r.url: round(r.trust, 6) for r in rows.collect()} == {**want, "https://mine.example.net/": 2.0}
+
+
+def test_claims_and_searches_leave_out_unreliable_sources(spark):
+    claims = spark.createDataFrame([(1, "the bridge was closed")], "claim_id int, claim string")
+    pages = spark.createDataFrame([(f"https://{d}/{i}", "the bridge was closed on monday") for i, d in enumerate(("a.org", "sub.rumble.com", "mercola.com", "b.com"))], "url string, text string")
+    found = flows.trusted_evidence_pages(claims, pages, trust.usual_lists(spark))
+    assert {r.url for r in found.collect()} == {"https://a.org/0", "https://b.com/3"}
+    assert flows.trusted_evidence_pages(claims, pages, trust.usual_lists(spark), unreliable=()).count() == 4
 
 
 def test_unreliable_sources_are_dropped_by_default(spark):
