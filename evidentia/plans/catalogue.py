@@ -812,8 +812,8 @@ def _claims(spark, sf):
     return claims, flows.trusted_evidence_pages(claims, pages, _lists(spark))
 
 
-@query(rf"""with c as (select item_id as claim_id, unnest(list_distinct(regexp_extract_all(lower(text), '\b[a-z]{{3,}}\b'))) as term from benchmark),
-      p as (select 'https://' || source || '.example.org/' || doc_id as url, list_distinct(regexp_extract_all(regexp_replace(lower(text), '[\p{{L}}\p{{M}}\p{{N}}_]*[^\x00-\x7F][\p{{L}}\p{{M}}\p{{N}}_]*', ' ', 'g'), '\b[a-z]{{3,}}\b')) as t from documents),
+@query(rf"""with c as (select item_id as claim_id, unnest(list_distinct([x for x in regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}_]+') if regexp_full_match(x, '[a-z]{{3,}}')])) as term from benchmark),
+      p as (select 'https://' || source || '.example.org/' || doc_id as url, list_distinct([x for x in regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}_]+') if regexp_full_match(x, '[a-z]{{3,}}')]) as t from documents),
       w as (select url, len(t) as size, unnest(t) as term from p), o as (select term, count(*) as often from w group by term),
       h as (select claim_id, url, size, sum(round(ln(1 + (select count(*) from documents) / often) * 1e6)::bigint) as hits from w join c using (term) join o using (term) group by all)
     select claim_id, url, rank::int as rank from (select *, row_number() over (partition by claim_id order by hits / sqrt(size) desc, size, url) as rank from h) where rank <= 15""")
