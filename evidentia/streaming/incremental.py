@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.urls import content_hash, fingerprint
 
 #: The stages of a claim check and their percentages.
 STAGES = (("queued", 1), ("starting", 4), ("searching", 12), ("fetching", 25), ("translating", 70), ("selecting", 80), ("nli", 90), ("done", 100))
 TASK_TTL = 600
+#: The session's setting for operators with timers.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def unseen_urls(stream: DataFrame, *, url_col: str = "url", time_col: str | None = None, delay: str = "1 hour") -> DataFrame:
@@ -52,48 +57,84 @@ def fetch_progress(done: DataFrame, total: int) -> DataFrame:
     return done.withColumn("pct", F.lit(25) + F.floor(40 * F.col("n") / F.lit(max(total, 1))).cast("int"))
 
 
-def rate_limited(stream: DataFrame, *, key: str = "domain", gap: float = 1.0) -> DataFrame:
-    """Events (key, ts as epoch seconds) with ``allowed_at``: no two of a key closer than ``gap`` seconds.
+class _Lasting(StatefulProcessor):
+    """One number a key, and a timer at the event time from which the number means no more than none: it falls then."""
 
-    The state is one number a key and is kept for every key that has come: it grows with the number of
-    domains, not of events. (A timeout by processing time would keep a run over stored data from ending.)
-    """
-    kind = stream.schema[key].dataType.simpleString()
+    #: The output column: what step() gives for each time of a key, beside the number that it leaves.
+    column = ""
+
+    def __init__(self, key: str, span: float):
+        self.key, self.span = key, span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.number = handle, handle.getValueState("number", "x double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        times = np.sort(np.concatenate([pdf["ts"].to_numpy(dtype=np.float64) for pdf in rows]))
+        held = self.number.get()[0] if self.number.exists() else -math.inf
+        out, held = self.step(times, held)
+        self.number.update((held,))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(self._falls(held))
+        yield pd.DataFrame({self.key: [key[0]] * len(times), "ts": times, self.column: out})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.number.clear()
+        return iter(())
+
+    def _falls(self, held: float) -> int:
+        return math.ceil((held + self.span) * 1000)
+
+
+class _Gaps(_Lasting):
+    column = "allowed_at"
+
+    def step(self, times: np.ndarray, free: float) -> tuple[list, float]:
+        out = []
+        for t in times.tolist():
+            out.append(max(t, free))
+            free = out[-1] + self.span
+        return out, free
 
-    def step(name, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        free = state.get[0] if state.exists else float("-inf")
-        for pdf in batches:
-            pdf = pdf.sort_values("ts")
-            out = []
-            for t in pdf["ts"]:
-                free = max(float(t), free)
-                out.append(free)
-                free += gap
-            yield pd.DataFrame({key: pdf[key].to_numpy(), "ts": pdf["ts"].to_numpy(), "allowed_at": out})
-        state.update((free,))
+    def _falls(self, held: float) -> int:
+        return math.ceil(held * 1000)
 
-    return stream.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, ts double, allowed_at double", "free double", "append", "NoTimeout")
+
+class _Entries(_Lasting):
+    column = "hit"
+
+    def step(self, times: np.ndarray, written: float) -> tuple[list, float]:
+        out = []
+        for t in times.tolist():
+            out.append(t - written < self.span)
+            written = written if out[-1] else t
+        return out, written
+
+
+def _timed(stream: DataFrame, key: str, delay: str, processor: StatefulProcessor, kind: str) -> DataFrame:
+    name = stream.schema[key].dataType.simpleString()
+    rows = stream.select(F.col(key), F.col("ts").cast("double").alias("ts"), F.timestamp_micros((F.col("ts") * 1e6).cast("long")).alias("__at")).where("ts is not null").withWatermark("__at", delay)
+    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=f"`{key}` {name}, ts double, {processor.column} {kind}", outputMode="Append", timeMode="EventTime")
+
+
+def rate_limited(stream: DataFrame, *, key: str = "domain", gap: float = 1.0, delay: str = "1 hour") -> DataFrame:
+    """Events (key, ts as epoch seconds) with ``allowed_at``: no two of a key closer than ``gap`` seconds.
+
+    The state is one number a key. A timer drops it when the watermark, ``delay`` behind the latest event, has passed the
+    time from which the key is free: no event that still counts could tell the difference. So the state grows with the
+    keys of the last ``delay``, not with all that ever came. Events later than the watermark and those without a time are
+    left out; events of a batch are taken in order of time. Needs the RocksDB state store (STATE_STORE).
+    """
+    return _timed(stream, key, delay, _Gaps(key, gap), "double")
 
 
-def live_entries(stream: DataFrame, *, key: str = "key", ttl: float = 3600.0) -> DataFrame:
+def live_entries(stream: DataFrame, *, key: str = "key", ttl: float = 3600.0, delay: str = "1 hour") -> DataFrame:
     """(key, ts, hit) for lookups (key, ts as epoch seconds): hit if an entry of the key is younger than ttl; a miss writes one.
 
-    The state is one number a key and is kept for every key that has come; rate_limited() says why.
+    An entry falls when the watermark passes its end, as rate_limited() says; lookups later than the watermark are left out.
     """
-    kind = stream.schema[key].dataType.simpleString()
-
-    def step(name, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        written = state.get[0] if state.exists else float("-inf")
-        for pdf in batches:
-            pdf = pdf.sort_values("ts")
-            hits = []
-            for t in pdf["ts"]:
-                hits.append(float(t) - written < ttl)
-                written = written if hits[-1] else float(t)
-            yield pd.DataFrame({key: pdf[key].to_numpy(), "ts": pdf["ts"].to_numpy(), "hit": hits})
-        state.update((written,))
-
-    return stream.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, ts double, hit boolean", "written double", "append", "NoTimeout")
+    return _timed(stream, key, delay, _Entries(key, ttl), "boolean")
 
 
 def windowed_counts(stream: DataFrame, *, time_col: str = "ts", key: str = "event_type", window: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:

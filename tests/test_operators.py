@@ -208,7 +208,10 @@ def test_streams(spark, tmp_path):
     assert sorted(seen) == ["http://a/1", "http://a/2"]
     events = str(tmp_path / "ev")
     spark.createDataFrame([("a.com", 1.0), ("a.com", 1.2), ("a.com", 5.0), ("b.com", 1.1)], "domain string, ts double").coalesce(1).write.parquet(events)
+    before = spark.conf.get(incremental.STATE_STORE[0])
+    spark.conf.set(*incremental.STATE_STORE)
     out = incremental.rate_limited(spark.readStream.schema("domain string, ts double").parquet(events))
     run = out.writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
+    spark.conf.set(incremental.STATE_STORE[0], before)
     assert sorted((r.domain, r.ts, r.allowed_at) for r in spark.table("limited").collect()) == [("a.com", 1.0, 1.0), ("a.com", 1.2, 2.0), ("a.com", 5.0, 5.0), ("b.com", 1.1, 1.1)]

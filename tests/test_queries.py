@@ -28,12 +28,15 @@ def duck(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+QUERIES, ORACLES = catalogue.QUERIES | catalogue.MADE, catalogue.ORACLES | catalogue.MADE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, sf_dir, duck, name):
-    df = catalogue.QUERIES[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     cols = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
-    cur = duck.execute(catalogue.ORACLES[name])
+    cur = duck.execute(ORACLES[name])
     names = [d[0] for d in cur.description]
     assert sorted(names) == cols
     assert got == sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in cur.fetchall()), key=repr)
