@@ -8,7 +8,7 @@ from evidentia.llm import decontam, jaccard, langid, mixing, secrets
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a known language takes half of the words or more stay."""
+    """Documents of one known language stay; those that mix languages, or are of none or of another one, go."""
     return langid.keep_identified(docs)
 
 
