@@ -9,7 +9,7 @@ import uuid
 from collections import Counter
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.batteries import BATTERIES
@@ -41,6 +41,7 @@ class CrawlJob:
     pages_crawled: int = 0
     chunks_indexed: int = 0
     elapsed_seconds: float = 0.0
+    pages_per_second: float = 0.0
     error: str | None = None
 
     def run(self, work) -> CrawlJob:
@@ -52,6 +53,7 @@ class CrawlJob:
         except Exception as e:
             self.status, self.error = "error", str(e)
         self.elapsed_seconds = time.monotonic() - began
+        self.pages_per_second = self.pages_crawled / max(self.elapsed_seconds, 1e-9)
         return self
 
 
@@ -66,12 +68,12 @@ class SearchEngine:
     def index(self, pages: DataFrame) -> CrawlJob:
         def work() -> tuple[int, int]:
             stored = self.store.read().select(F.col("metadata")["url"].alias("url"), F.col("metadata")["content_hash"].alias("content_hash"), F.lit(True).alias("indexed")).distinct()
-            rows = flows.index_pages(pages, stored, model=self.model, strategy=self.config["chunker"]["strategy"])
+            seen = Observation()
+            rows = flows.index_pages(pages.observe(seen, F.count(F.lit(1)).alias("pages")), stored, model=self.model, strategy=self.config["chunker"]["strategy"])
             fields = ("url", "title", "domain", "content_hash")
             made = rows.select("id", "text", "embedding", F.create_map(*[x for c in fields for x in (F.lit(c), F.col(c))]).alias("metadata"))
-            before = self.store.count()
-            self.store.add(made)
-            return pages.count(), self.store.count() - before
+            version = self.store.add(made)  # the one pass over the pages; both figures are counted on its way
+            return seen.get["pages"], next(r["rows"] for r in self.store.records() if r["version"] == version)
 
         return CrawlJob("index").run(work)
 
@@ -80,10 +82,9 @@ class SearchEngine:
         bounded(top_k, TOP_K, "top_k")
         if pages is not None and self.store.count() < MIN_CHUNKS:
             self.index(pages)
-        asked = self.spark.createDataFrame([(query,)], "query string").select(F.col("query").alias("query_id"), models.embed(normalise_query(F.col("query")), self.model).alias("embedding"))
+        asked = self.spark.createDataFrame([(query,)], "query string").select(F.col("query").alias("query_id"), "query", models.embed(normalise_query(F.col("query")), self.model).alias("embedding"))
         chunks = self.store.read().select("id", "text", "embedding", F.col("metadata")["url"].alias("url"), F.col("metadata")["title"].alias("title"), F.lit(None).cast("double").alias("published"))
-        none = self.spark.createDataFrame([], "domain string, tier string")
-        rated = trust.with_trust(chunks, "url", none if lists is None else lists)
+        rated = trust.with_trust(trust.drop_blocked(chunks, "url"), "url", trust.usual_lists(self.spark) if lists is None else lists)
         s = self.config["search"]
         return flows.search(asked, rated, as_of, retrieve=s["top_k_retrieval"], top_k=top_k, min_score=s["min_score"])
 

@@ -15,6 +15,9 @@ from ..schemas import DOWNLOAD
 MAX_BYTES = 5 * 1024 * 1024
 PAGE_TYPES = ("text/html", "application/xhtml+xml", "text/plain")
 
+#: Fixed value: seconds that a robots.txt file holds.
+ROBOTS_TTL = 3600.0
+
 
 def from_table(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> Callable[[DataFrame], DataFrame]:
     """A fetcher that looks pages up in a table; URLs it lacks come back with status 404."""
@@ -91,17 +94,30 @@ def guarded(downloads: DataFrame, *, truncate: bool = False) -> DataFrame:
     return downloads.withColumns({"error": error, "html": html})
 
 
-def retry_delay(attempt: Column, jitter: Column) -> Column:
-    """Seconds before the next try: 2 ** attempt and a jitter in [0, 1)."""
-    return F.pow(F.lit(2.0), attempt) + jitter
+def _robots_lines(files: DataFrame) -> DataFrame:
+    """(domain, pos, k, v, agent): the fields of robots.txt files (domain, text), each with the agent that it is for."""
+    lines = files.select("domain", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line"))
+    rule = lines.select("domain", "pos", F.lower(F.trim(F.regexp_extract("line", r"^\s*([A-Za-z-]+)\s*:", 1))).alias("k"), F.trim(F.regexp_extract("line", r"^\s*[A-Za-z-]+\s*:\s*([^#]*)", 1)).alias("v"))
+    return rule.withColumn("agent", F.expr("last_value(case when k = 'user-agent' then v end) ignore nulls over (partition by domain order by pos)"))
 
 
 def robots_rules(files: DataFrame) -> DataFrame:
     """(domain, allow, prefix) of robots.txt files (domain, text) for all agents."""
-    lines = files.select("domain", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line"))
-    rule = lines.select("domain", "pos", F.lower(F.trim(F.regexp_extract("line", r"^\s*([A-Za-z-]+)\s*:", 1))).alias("k"), F.trim(F.regexp_extract("line", r"^\s*[A-Za-z-]+\s*:\s*([^#]*)", 1)).alias("v"))
-    grouped = rule.withColumn("agent", F.expr("last_value(case when k = 'user-agent' then v end) ignore nulls over (partition by domain order by pos)"))
-    return grouped.where("agent = '*' and k in ('allow', 'disallow') and v != ''").select("domain", (F.col("k") == "allow").alias("allow"), F.col("v").alias("prefix"))
+    return _robots_lines(files).where("agent = '*' and k in ('allow', 'disallow') and v != ''").select("domain", (F.col("k") == "allow").alias("allow"), F.col("v").alias("prefix"))
+
+
+def crawl_delays(files: DataFrame) -> DataFrame:
+    """(domain, delay) of every robots.txt file (domain, text): the whole seconds that it asks all agents to wait, the last such line; 0 without one. Null texts ask nothing."""
+    asked = _robots_lines(files).where("agent = '*' and k = 'crawl-delay'").where(F.col("v").rlike("^[0-9]+$"))
+    last = asked.groupBy("domain").agg(F.max_by(F.col("v").cast("double"), "pos").alias("delay"))
+    return files.select("domain").distinct().join(last, "domain", "left").select("domain", F.coalesce("delay", F.lit(0.0)).alias("delay"))
+
+
+def live_robots(files: DataFrame, as_of: float, ttl: float = ROBOTS_TTL) -> tuple[DataFrame, DataFrame]:
+    """The newest file of each domain (domain, text, fetched_at) that is younger than ttl seconds, and the domains (domain) whose file has to be fetched anew."""
+    newest = files.groupBy("domain").agg(F.max_by("text", "fetched_at").alias("text"), F.max("fetched_at").alias("fetched_at"))
+    young = F.coalesce(F.lit(as_of) - F.col("fetched_at") < ttl, F.lit(False))
+    return newest.where(young), newest.where(~young).select("domain")
 
 
 def allowed_by_robots(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -173,3 +173,15 @@ def test_queries_without_results_have_an_empty_answer(spark):
     ranked = spark.createDataFrame([("a", 1, "u1", 0.9), ("a", 2, "u2", 0.5)], "query string, rank int, url string, score double")
     got = {r.query: r.response for r in tables.search_response(ranked, asked=spark.createDataFrame([("a",), ("b",)], "query string")).collect()}
     assert got == {"a": '{"user_query":"a","evidence":[{"url":"u1","score":0.9},{"url":"u2","score":0.5}]}', "b": '{"user_query":"b","evidence":[]}'}
+
+
+def test_robots_delays_and_expiry(spark):
+    texts = {
+        "a.com": "User-agent: *\nCrawl-delay: 3\nDisallow: /x\nCrawl-delay: 7", "b.com": "User-agent: bot\nCrawl-delay: 9\n\nUser-agent: *\nDisallow:", "c.com": "Crawl-delay: 5\nUser-agent: *\nCrawl-delay: soon", "d.com": None,
+        "e.com": "USER-AGENT: *\r\ncrawl-DELAY:  12  # slow\r\n",
+    }
+    files = spark.createDataFrame([(d, t) for d, t in texts.items()], "domain string, text string")
+    assert {r.domain: r.delay for r in fetch.crawl_delays(files).collect()} == {"a.com": 7.0, "b.com": 0.0, "c.com": 0.0, "d.com": 0.0, "e.com": 12.0}
+    kept = spark.createDataFrame([("a.com", "old", 100.0), ("a.com", "new", 5000.0), ("b.com", "x", 1500.0), ("c.com", "y", None)], "domain string, text string, fetched_at double")
+    live, stale = fetch.live_robots(kept, 5100.0)
+    assert [(r.domain, r.text) for r in live.collect()] == [("a.com", "new")] and {r.domain for r in stale.collect()} == {"b.com", "c.com"}

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evidentia import checkpoints
 from evidentia.operators import expansion, regions, trust
 from evidentia.plans import catalogue, service
 from evidentia.sources import fetch, tables
@@ -14,6 +15,7 @@ def test_index_and_search(spark, sf_dir, tmp_path):
     pages = tables.table(spark, sf_dir, "pages")
     first = engine.index(pages)
     assert first.status == "done" and first.chunks_indexed > 0 and first.pages_crawled == pages.count()
+    assert first.chunks_indexed == engine.store.count() and first.pages_per_second > 0
     assert engine.index(pages).chunks_indexed == 0
     text = engine.store.read().orderBy("id").first().text
     got = engine.search(" ".join(text.split()[:40]), catalogue.AS_OF, top_k=5).collect()
@@ -72,7 +74,7 @@ def test_crawl_jobs_recent_pages_and_counts(spark, tmp_path):
     text = "<p>" + "The old harbour has a tower and a long red wall beside the water. " * 5 + "</p>"
     pages = spark.createDataFrame([("https://a.org/1", f'<title>One</title>{text}<p>Here is a page about the <a href="/2">harbour tower</a>.</p><p>Something of no interest: <a href="/3">nothing else</a>.</p>'), ("https://a.org/2", f"<title>Two</title>{text.replace('old', 'new')}"), ("https://a.org/3", f"<title>Three</title>{text}")], "url string, html string")
     engine = service.SearchEngine(spark, str(tmp_path / "store"))
-    catalogue._checkpoints(spark)
+    checkpoints.folder(spark)
     job = engine.crawl("harbour tower", pages.where("url like '%/1'").select("url"), fetch.from_table(pages), max_depth=1)
     assert job.error is None and job.status == "done" and job.pages_crawled == 2 and engine.job(job.job_id) is job and engine.job("none") is None
     assert [r.url for r in engine.recent().collect()] == ["https://a.org/1", "https://a.org/2"]
