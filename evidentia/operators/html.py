@@ -22,13 +22,20 @@ VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "l
 BLOCK_LEAST, LINK_CHARS, CONTEXT_CHARS, LINKS_MOST = 40, 200, 100, 200
 
 
+#: Elements that end where another of their kind begins, and those whose text nobody reads.
+REPEATED, UNREAD = frozenset(("p", "li", "td", "th", "tr", "option", "dt", "dd")), frozenset(("script", "style", "template"))
+
+
 class Page(HTMLParser):
-    """Title, content blocks, links with their anchor and the text around, and the dates a page states."""
+    """Title, content blocks, the dates a page states, and links with their anchor and the text of the element around them."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.title, self.blocks, self.links, self.date = "", [], [], ""
-        self._skip, self._in_title, self._text, self._anchor = 0, False, [], None
+        self._skip, self._in_title, self._text = 0, False, []
+        self._pieces: list[str] = []  # all texts in order; an element's are those from its first one to its end
+        self._open: list[tuple[str, int, list[dict]]] = [("", 0, [])]  # open elements: name, first text, links right below
+        self._unread = 0
 
     def handle_starttag(self, tag, attrs):
         at = dict(attrs)
@@ -42,39 +49,60 @@ class Page(HTMLParser):
             self.flush()
         if tag == "title":
             self._in_title = True
-        if tag == "a" and at.get("href"):
-            self._anchor = [at["href"], [], len("".join(self._text))]
         if tag == "br":
             self._text.append("\n")
+        if tag in REPEATED and self._open[-1][0] == tag:
+            self._close()
+        link = {"href": at["href"].strip(), "anchor": "", "around": ""} if tag == "a" and (at.get("href") or "").strip() else None
+        if link:
+            self.links.append(link)
+            self._open[-1][2].append(link)
+        if tag not in VOID:
+            self._unread += tag in UNREAD
+            self._open.append((tag, len(self._pieces), [link] if link else []))
 
     def handle_endtag(self, tag):
-        if tag == "a" and self._anchor:
-            href, text, at = self._anchor
-            self.links.append({"href": href, "anchor": " ".join("".join(text).split())[:LINK_CHARS], "at": at, "block": len(self.blocks), "around": ""})
-            self._anchor = None
         if tag in SKIPPED and self._skip:
             self._skip -= 1
         elif tag in CONTENT:
             self.flush()
         if tag == "title":
             self._in_title = False
+        if any(name == tag for name, _, _ in self._open[1:]):
+            while self._close() != tag:
+                pass
 
     def handle_data(self, data):
         if self._in_title:
             self.title += data
-        if self._anchor:
-            self._anchor[1].append(data)
         if not self._skip and not self._in_title:
             self._text.append(data)
+        if not self._unread and data.strip():
+            self._pieces.append(data.strip())
+
+    def _close(self) -> str:
+        """Ends the innermost element: a link has its whole anchor then, and the links right below an element the text around them."""
+        tag, first, links = self._open.pop()
+        self._unread -= tag in UNREAD
+        if tag == "a" and links:
+            links[0]["anchor"] = "".join(self._pieces[first:])
+            links = links[1:]
+        if links:
+            full = " ".join(self._pieces[first:])
+            for x in links:
+                at = full.find(x["anchor"])
+                x["around"] = full[:LINK_CHARS] if at < 0 else full[max(0, at - CONTEXT_CHARS) : at + len(x["anchor"]) + CONTEXT_CHARS]
+        return tag
 
     def flush(self):
-        text = "".join(self._text)
-        for x in self.links:
-            if x["block"] == len(self.blocks) and not x["around"]:
-                x["around"] = " ".join(text[max(0, x["at"] - CONTEXT_CHARS) : x["at"] + len(x["anchor"]) + CONTEXT_CHARS].split())[:LINK_CHARS]
-        self.blocks.append(" ".join(text.split()))
+        self.blocks.append(" ".join("".join(self._text).split()))
         self._text = []
 
+    def close(self):
+        super().close()
+        while self._open:
+            self._close()
+
 
 def parse(html: str | None) -> Page:
     page = Page()
@@ -104,12 +132,13 @@ def extract_content(pages: DataFrame, *, html_col: str = "html", keep: list[str]
 
 def extract_links(pages: DataFrame, terms: list[str], *, html_col: str = "html", url_col: str = "url", key: str = "page_id", threshold: float = 0.45, most: int = LINKS_MOST) -> DataFrame:
     """(key, pos, url, anchor_text, surrounding_text, relevance_score, rank): canonical links of each page, each URL once,
-    scored by the query terms in anchor and context, the first ``most`` that reach the threshold, ranked by score."""
+    scored by the query terms in anchor and in the text of the element around it, 100 characters to either side, of which
+    surrounding_text has the first 200; the first ``most`` that reach the threshold, ranked by score."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, u, i, x["href"], x["anchor"], x["around"]) for k, u, html in zip(pdf[key], pdf[url_col], pdf[html_col], strict=True) for i, x in enumerate(parse(html).links)]
+            rows = [(k, u, i, x["href"], x["anchor"][:LINK_CHARS], x["around"]) for k, u, html in zip(pdf[key], pdf[url_col], pdf[html_col], strict=True) for i, x in enumerate(parse(html).links)]
             yield pd.DataFrame(rows, columns=[key, "base", "pos", "href", "anchor_text", "surrounding_text"])
 
     found = pages.select(key, url_col, html_col).mapInPandas(run, f"`{key}` {kind}, base string, pos int, href string, anchor_text string, surrounding_text string")
@@ -119,6 +148,7 @@ def extract_links(pages: DataFrame, terms: list[str], *, html_col: str = "html",
     words = F.array(*[F.lit(t.lower()) for t in terms]) if terms else F.array().cast("array<string>")
     scored = once.withColumn("relevance_score", keyword_overlap(F.concat_ws(" ", "anchor_text", "surrounding_text"), words))
     first = top_rows(scored.where(F.col("relevance_score") >= threshold), most, by=[key], order=[F.asc("pos")]).drop("rank")
+    first = first.withColumn("surrounding_text", F.substring("surrounding_text", 1, LINK_CHARS))
     return first.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("relevance_score"), "pos")))
 
 
