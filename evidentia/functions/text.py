@@ -88,7 +88,7 @@ def letters_tokens(text: Column) -> Column:
 
 def sentences(text: Column, *, longer_than: int = 0) -> Column:
     """Pieces between an end mark with space after it and a capital."""
-    parts = F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z])"), F.trim)
+    parts = F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z])"), lambda s: F.trim(s))  # F.trim itself would take the piece's number as what to trim
     return F.filter(parts, lambda s: F.length(s) > longer_than)
 
 

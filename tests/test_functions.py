@@ -60,3 +60,8 @@ def test_vector_functions(spark):
     assert column(spark, [[1.0, 2.0, 3.0]], ve.softmax, "array<double>")[0] == pytest.approx([0.09003057, 0.24472847, 0.66524096])
     assert column(spark, [[3.0, 4.0]], ve.normalise, "array<double>")[0] == pytest.approx([0.6, 0.8])
     assert column(spark, [[1.0, 5.0, 5.0]], ve.argmax, "array<double>") == [1]
+
+
+def test_sentences_keep_digits_at_their_ends(spark):
+    texts = ["0 is a number. It ends in 10", "  Call 555-8630  ", "A. 1 B. Call 1221 ", "", None]
+    assert column(spark, texts, lambda v: tx.sentences(F.coalesce(v, F.lit("")))) == [["0 is a number.", "It ends in 10"], ["Call 555-8630"], ["A. 1 B.", "Call 1221"], [], []]
