@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import kept
 
 SPACE = r"[ \t\n\f\r]+"
-OPEN, CLOSE = r"""^["'(\[{«“‘]+""", r"""["')\]}»”’,;:]+$"""
+OPEN, CLOSE = """"'([{«“‘""", """"')]}»”’,;:"""
 #: Least scores of abbreviations, starters and collocations, as in the paper.
 ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
 NUMBER = "##"
@@ -27,18 +27,27 @@ NUMBER = "##"
 
 def _shape(token: Column) -> Column:
     """(type, dot, mark, upper) of a token: lower case without quotes and the last period; numbers are one type."""
-    core = F.regexp_replace(F.regexp_replace(token, OPEN, ""), CLOSE, "")
-    dot = core.rlike(r"[^.]\.$")
-    bare = F.lower(F.when(dot, F.regexp_replace(core, r"\.$", "")).otherwise(core))
-    kind = F.when(bare.rlike(r"^[0-9.,]*[0-9]$"), F.lit(NUMBER)).otherwise(bare)
-    return F.struct(kind.alias("type"), dot.alias("dot"), core.rlike("[!?]$").alias("mark"), core.rlike(r"^\p{Lu}").alias("upper"))
+    core = F.rtrim(F.ltrim(token, F.lit(OPEN)), F.lit(CLOSE))
+    dot = core.endswith(".") & ~core.endswith("..") & (F.length(core) > 1)
+    bare = F.lower(F.when(dot, F.substring(core, F.lit(1), F.length(core) - 1)).otherwise(core))
+    number = (bare != "") & (F.ltrim(bare, F.lit("0123456789.,")) == "") & ~bare.endswith(".") & ~bare.endswith(",")
+    return F.struct(F.when(number, F.lit(NUMBER)).otherwise(bare).alias("type"), dot.alias("dot"), (core.endswith("!") | core.endswith("?")).alias("mark"), core.rlike(r"^\p{Lu}").alias("upper"))
+
+
+def _tokens(text_col: str) -> Column:
+    return F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), SPACE), lambda t: t != "")
+
+
+def occurrences(texts: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """(type, dot, n): how often a word stands with and without a period, which is all that abbreviation_scores() counts."""
+    return texts.select(F.explode(_tokens(text_col)).alias("x")).select(_shape(F.col("x")).alias("x")).groupBy("x.type", "x.dot").agg(F.count(F.lit(1)).alias("n"))
 
 
 def neighbours(texts: DataFrame, *, text_col: str = "text") -> DataFrame:
     """(type, dot, mark, next, upper, n): how often a word stands with a period or mark before another one; next is empty at a text's end, upper is the next one's."""
-    tokens = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), SPACE), lambda t: t != "")
-    one = texts.select(F.transform(tokens, _shape).alias("w")).select("w", F.posexplode("w").alias("i", "x")).select("x", F.get("w", F.col("i") + 1).alias("y"))
-    flat = one.select("x.type", "x.dot", "x.mark", F.coalesce("y.type", F.lit("")).alias("next"), F.coalesce("y.upper", F.lit(False)).alias("upper"))
+    # A token takes its next one with it before it is exploded: a row that held its text would cost the square of the text's length.
+    pairs = texts.select(_tokens(text_col).alias("w")).select(F.inline(F.transform("w", lambda x, i: F.struct(x.alias("x"), F.coalesce(F.get("w", i + 1), F.lit("")).alias("y")))))
+    flat = pairs.select(_shape(F.col("x")).alias("x"), _shape(F.col("y")).alias("y")).select("x.type", "x.dot", "x.mark", F.col("y.type").alias("next"), F.col("y.upper").alias("upper"))
     return flat.groupBy("type", "dot", "mark", "next", "upper").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -116,7 +125,8 @@ def split(texts: DataFrame, model: Boundaries, *, key: str = "doc_id", text_col:
     rows = texts.select(key, text_col).repartition(F.col(key)).select(F.col(key).alias("key"), pieces.alias("p"))
     last = lambda t: _shape(F.regexp_extract(t, r"([^ \t\n\f\r]+)$", 1))
     head = lambda t: _shape(F.regexp_extract(t, r"^([^ \t\n\f\r]+)", 1))
-    one = rows.select("key", "p", F.posexplode("p").alias("i", "piece")).select("key", "i", "piece", last(F.col("piece")).alias("x"), head(F.get("p", F.col("i") + 1)).alias("y"))
+    after = rows.select("key", F.inline(F.transform("p", lambda x, i: F.struct(i.alias("i"), x.alias("piece"), F.get("p", i + 1).alias("after")))))
+    one = after.select("key", "i", "piece", last(F.col("piece")).alias("x"), head(F.col("after")).alias("y"))
     one = one.select("key", "i", "piece", "x.type", "x.dot", "x.mark", F.col("y.type").alias("next"), F.col("y.upper").alias("upper"))
     flag = lambda df, name, to: df.select(*[F.col(c).alias(t) for c, t in to.items()], F.lit(True).alias(name))
     one = one.join(flag(model.abbreviations, "short", {"type": "type"}), "type", "left")

@@ -21,9 +21,10 @@ ALIKE = 0.7
 def _words(texts: DataFrame, key: str, text_col: str) -> DataFrame:
     """(key, sent, pos, word, form, left, right): one row a word of a sentence, both counted from 0; form is as written."""
     sentences = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), SENTENCE_ENDS), lambda s: F.regexp_extract_all(s, F.lit(WORD), F.lit(0))), lambda w: F.size(w) > 0)
-    per = texts.select(F.col(key).alias("key"), F.size(sentences).alias("n_sent"), F.posexplode(sentences).alias("sent", "w"))
-    word = per.select("key", "n_sent", "sent", "w", F.posexplode("w").alias("pos", "form"))
-    return word.select("key", "n_sent", "sent", "pos", "form", F.lower("form").alias("word"), F.lower(F.get("w", F.col("pos") - 1)).alias("left"), F.lower(F.get("w", F.col("pos") + 1)).alias("right"))
+    # A word takes its neighbours with it before it is exploded: a row that held its sentence would cost the square of the sentence's length.
+    beside = lambda w, i: F.struct(i.alias("pos"), F.get(w, i).alias("form"), F.get(w, i - 1).alias("left"), F.get(w, i + 1).alias("right"))
+    per = texts.select(F.col(key).alias("key"), sentences.alias("s")).select("key", "s", F.size("s").alias("n_sent")).select("key", "n_sent", F.posexplode(F.transform("s", lambda w: F.transform(w, lambda _, i: beside(w, i)))).alias("sent", "w"))
+    return per.select("key", "n_sent", "sent", F.inline("w")).select("key", "n_sent", "sent", "pos", "form", F.lower("form").alias("word"), F.lower("left").alias("left"), F.lower("right").alias("right"))
 
 
 def word_scores(texts: DataFrame, *, key: str = "doc_id", text_col: str = "text") -> DataFrame:
