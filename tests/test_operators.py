@@ -1,4 +1,5 @@
 import json
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -70,6 +71,29 @@ def test_lists_find_nine_tenths_of_the_nearest(spark):
     assert ranking.nearest_by_lists(asked, df.limit(0), 5, centres).count() == 0
 
 
+def test_scores_are_held_in_slabs():
+    rng = np.random.default_rng(1)
+    asked, held = rng.integers(-3, 4, (2000, 8)).astype(float), rng.integers(-3, 4, (10000, 8)).astype(float)
+    names = rng.permutation(10000).astype(object)
+    tracemalloc.start()
+    got_s, got_v = ranking._merged(asked, held, names, np.zeros((2000, 0)), np.empty((2000, 0), dtype=object), 30)
+    score, place = ranking._first(asked, held, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80_000_000  # all scores at once take 160 MB, and more with their order
+    for q in range(0, 2000, 97):
+        whole = held @ asked[q]
+        order = np.lexsort((names.astype(int), -whole))[:30]
+        assert got_s[q].tolist() == whole[order].tolist() and got_v[q].tolist() == names[order].tolist()
+        assert place[q].tolist() == np.argsort(-whole, kind="stable")[:10].tolist() and score[q].tolist() == whole[place[q]].tolist()
+
+
+def test_near_duplicate_batches_are_bounded_by_bytes(spark):
+    rows = spark.range(40).select(F.lit(1).alias("q"), "id", (1.0 / (F.col("id") + 1)).alias("score"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(9000)), lambda x: F.concat(F.col("id").cast("string"), F.lit("w"), x.cast("string")))).alias("text"))
+    assert ranking.near_duplicate_filter(rows, by=["q"]).count() == 40
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8_000_000
+
+
 def test_near_duplicates_in_order_of_score(spark):
     words = [f"w{i}" for i in range(40)]
     texts = [" ".join(words), " ".join(words[:39]), " ".join(words[20:] + [f"v{i}" for i in range(20)]), "", ""]
