@@ -40,6 +40,8 @@ GRAM = 32
 SPLIT = 5_000
 #: Kinds that are sorted together in a task, at least; whole buckets only.
 BLOCK = 4_000
+#: Bytes of text that a worker cuts at once (or one longer text): each takes about a hundred bytes of arrays.
+SLICE = 250_000
 
 
 def sliding_min(keys: np.ndarray, w: int) -> np.ndarray:
@@ -139,8 +141,8 @@ def sort_suffixes(data: np.ndarray, start: np.ndarray, length: np.ndarray, sizes
 
 def _verified(tail: np.ndarray, start: np.ndarray, length: np.ndarray, x: np.ndarray, y: np.ndarray, shared: np.ndarray) -> bool:
     """Whether the bytes bear out the extensions and the order of neighbours x and y."""
-    for k in range(0, len(x), 8192):
-        a, b, e = x[k : k + 8192], y[k : k + 8192], shared[k : k + 8192]
+    for k in range(0, len(x), 1024):
+        a, b, e = x[k : k + 1024], y[k : k + 1024], shared[k : k + 1024]
         step = np.arange(int(e.max(initial=0)))
         inside = step < e[:, None]
         if (np.where(inside, tail[np.minimum(start[a][:, None] + step, len(tail) - 1)] != tail[np.minimum(start[b][:, None] + step, len(tail) - 1)], False)).any():
@@ -200,7 +202,7 @@ def _digest(raw: bytes) -> bytes:
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) to the anchors of its runs."""
     for batch in batches:
-        for _, _, data, offsets in slices(batch.column(0)):
+        for _, _, data, offsets in slices(batch.column(0), SLICE):
             a = spans_of(data, offsets)[4]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64))], names=["a"])
@@ -210,7 +212,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, sig, text) to runs (a, s, id, sig, pos); s is the run's digest, pos packs the first start, and how far the last start and the anchor lie behind it."""
     for batch in batches:
         ids, sig = batch.column(0), batch.column(1)
-        for first, _, data, offsets in slices(batch.column(2)):
+        for first, _, data, offsets in slices(batch.column(2), SLICE):
             doc, lo, hi, anchor, a = spans_of(data, offsets)
             if len(doc):
                 raw = data.tobytes()
@@ -320,6 +322,11 @@ def _window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array([a] * n, pa.int64()), pa.array([s] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([1 + twice] * n, pa.int64())], names=["h", "a", "s", "f", "many"])
 
 
+def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, runs) to the windows of their kinds, as _window_digests() gives them; in one step, since each step of a stage holds a Python worker of its own."""
+    return _window_digests(_contexts(batches))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text, intervals) to (id, n_bytes, spans, kept)."""
     for batch in batches:
@@ -373,11 +380,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def parts(hot: bool) -> DataFrame:
         own = F.filter("runs", lambda r: r["hot"] == hot) if some else F.col("runs")
-        return found.select("text", own.alias("runs")).where(F.size("runs") > 0).mapInArrow(_contexts, PART)
+        return found.select("text", own.alias("runs")).where(F.size("runs") > 0)
 
-    repeated = parts(False).repartition("a").sortWithinPartitions("a").mapInArrow(_intervals, "a bigint, s binary, f int, t int")
+    repeated = parts(False).mapInArrow(_contexts, PART).repartition("a").sortWithinPartitions("a").mapInArrow(_intervals, "a bigint, s binary, f int, t int")
     if some:
-        windows = parts(True).mapInArrow(_window_digests, "h binary, a bigint, s binary, f int, many bigint")
+        windows = parts(True).mapInArrow(_hot_windows, "h binary, a bigint, s binary, f int, many bigint")
         several = windows.groupBy(F.col("h").alias("w")).agg(F.sum("many").alias("m")).where("m > 1").select("w")
         repeated = repeated.unionByName(windows.join(several, F.col("h") == F.col("w")).select("a", "s", "f", (F.col("f") + WIDTH).alias("t")))
     repeated = repeated.select(F.col("a").alias("k"), F.col("s").alias("l"), "f", "t")

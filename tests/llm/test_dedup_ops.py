@@ -211,3 +211,24 @@ def test_suffix_dedup_keeps_rows_of_one_id_whose_short_hashes_agree(spark):
     got = sorted((r.n_bytes, r.n_removed, r.kept_sha256) for r in suffixdedup.digest(suffixdedup.remove_repeats(rows)).collect())
     assert got == sorted((n, gone, kept) for n, gone, _, kept in brute.op5([a, a, b]))
     assert sorted(g[1] for g in got)[0] == 0
+
+
+def test_suffix_dedup_holds_little_and_one_worker_a_task(spark, real, monkeypatch):
+    """Each Python step of a stage holds a worker of its own, and each slice about a hundred times its bytes."""
+    import re
+    import tracemalloc
+
+    import pyarrow as pa
+
+    plans, cut = [], suffixdedup.cut_lineage
+    monkeypatch.setattr(suffixdedup, "cut_lineage", lambda df: plans.append(df) or cut(df))
+    plans.append(suffixdedup.remove_repeats(docs_of(spark, [t for _, t in real]), split=1))
+    shown = [p._jdf.queryExecution().sparkPlan().toString() for p in plans]
+    steps = [re.sub(r"^[\s:+*|-]*(?:\(\d+\) )?", "", line).split("(")[0].split(" ")[0] for p in shown for line in p.splitlines()]
+    assert "MapInArrow" in steps and not re.search(r"MapInArrow( Project| Filter)* MapInArrow", " ".join(steps))
+    texts = pa.RecordBatch.from_arrays([pa.array(["".join(chr(97 + (i * i * k) % 23) for i in range(20_000)) for k in range(1, 101)])], names=["text"])
+    tracemalloc.start()
+    assert sum(b.num_rows for b in suffixdedup._anchors(iter([texts]))) > 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
