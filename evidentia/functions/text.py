@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .constants import CLICKBAIT_PHRASES
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """body(value) with value evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -96,7 +96,7 @@ def word_shingles(text: Column, k: int = 4) -> Column:
     """Distinct runs of k words (letters, digits, underscores; lower case); the distinct words of shorter texts."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(k)), " "))
-    return _let(words, lambda w: F.array_distinct(F.when(F.size(w) < k, w).otherwise(runs(w))))
+    return let(words, lambda w: F.array_distinct(F.when(F.size(w) < k, w).otherwise(runs(w))))
 
 
 def snippet(text: Column, most: int = 800) -> Column:

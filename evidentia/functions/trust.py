@@ -25,6 +25,7 @@ from .constants import (
     USER_CONTENT_FACTOR,
     USER_CONTENT_HOSTS,
 )
+from .text import let
 from .urls import parent_domains, registered_domain
 
 
@@ -34,7 +35,7 @@ def clamp(x: Column) -> Column:
 
 def is_listed(domain: Column, listed: Sequence[str]) -> Column:
     """Whether the domain or a parent domain is in a list. For long lists join on the exploded parents instead (operators.trust)."""
-    return F.arrays_overlap(parent_domains(domain), F.array(*[F.lit(d) for d in listed])) if listed else F.lit(False)
+    return let(domain, lambda d: F.arrays_overlap(parent_domains(d), F.array(*[F.lit(x) for x in listed]))) if listed else F.lit(False)
 
 
 def pattern_trust(domain: Column) -> Column:

@@ -10,18 +10,28 @@ from ..functions.trust import pattern_trust
 from ..functions.urls import parent_domains, registered_domain
 
 
-def listed_tier(urls: DataFrame, url_col: str, lists: DataFrame) -> DataFrame:
-    """urls with ``tier``: blocked before trusted before null, by the host or any parent domain. lists: (domain, tier).
+#: Parts into which the rows of one host are dealt.
+PARTS = 256
+
+
+def _by_host(urls: DataFrame, url_col: str, columns: dict[str, Column], lists: DataFrame) -> DataFrame:
+    """urls with columns that follow from ``__host`` and ``tier``, each computed once a host and part.
 
-    Each row has a few suffixes, so they are kept as an array and only distinct hosts are exploded and
-    joined: the join is as large as the number of hosts, whatever the number of rows of one host.
+    Each host has a few suffixes, so only distinct hosts are exploded and joined with the lists. The rows are dealt out
+    by host and a hash of the URL, so that those of a host with many pages, texts and all, are not one task's.
     """
-    with_host = urls.withColumn("__host", registered_domain(F.col(url_col)))
-    hosts = with_host.select("__host").distinct()
+    part = F.pmod(F.xxhash64(url_col), F.lit(PARTS)).alias("__part")
+    hosts = urls.select(registered_domain(F.col(url_col)).alias("__host"), part).distinct()
     names = lists.select(F.lower("domain").alias("__name"), (F.col("tier") == "blocked").alias("__b"), (F.col("tier") != "blocked").alias("__t"))
-    found = hosts.select("__host", F.explode(parent_domains(F.col("__host"))).alias("__name")).join(names, "__name").groupBy("__host").agg(F.bool_or("__b").alias("__b"), F.bool_or("__t").alias("__t"))
-    tiers = found.select("__host", F.when(F.col("__b"), "blocked").when(F.col("__t"), "trusted").alias("tier"))
-    return with_host.join(tiers, "__host", "left").drop("__host")
+    found = hosts.select("__host", "__part", F.explode(parent_domains(F.col("__host"))).alias("__name")).join(names, "__name").groupBy("__host", "__part").agg(F.bool_or("__b").alias("__b"), F.bool_or("__t").alias("__t"))
+    tiers = found.select("__host", "__part", F.when(F.col("__b"), "blocked").when(F.col("__t"), "trusted").alias("tier"))
+    told = hosts.join(tiers, ["__host", "__part"], "left").select("__host", "__part", *[c.alias(k) for k, c in columns.items()])
+    return urls.select("*", registered_domain(F.col(url_col)).alias("__host"), part).join(told, ["__host", "__part"], "left").drop("__host", "__part")
+
+
+def listed_tier(urls: DataFrame, url_col: str, lists: DataFrame) -> DataFrame:
+    """urls with ``tier``: blocked before trusted before null, by the host or any parent domain. lists: (domain, tier)."""
+    return _by_host(urls, url_col, {"tier": F.col("tier")}, lists)
 
 
 def usual_lists(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
@@ -39,9 +49,9 @@ def drop_blocked(urls: DataFrame, url_col: str, lists: DataFrame | None = None)
 
 def with_trust(urls: DataFrame, url_col: str, lists: DataFrame) -> DataFrame:
     """urls with ``trust``: the score of functions.trust.trust_score with lists that may be of any length."""
-    domain = registered_domain(F.col(url_col))
-    score: Column = F.when(domain == "", F.lit(TRUST_NEUTRAL)).when(F.col("tier") == "blocked", TRUST_BLOCKED).when(F.col("tier") == "trusted", TRUST_LISTED).otherwise(pattern_trust(domain))
-    return listed_tier(urls, url_col, lists).withColumn("trust", score).drop("tier")
+    host = F.col("__host")
+    score: Column = F.when(host == "", F.lit(TRUST_NEUTRAL)).when(F.col("tier") == "blocked", TRUST_BLOCKED).when(F.col("tier") == "trusted", TRUST_LISTED).otherwise(pattern_trust(host))
+    return _by_host(urls, url_col, {"trust": score}, lists).fillna(TRUST_NEUTRAL, ["trust"])  # null URLs have no host
 
 
 def trusted_first(urls: DataFrame, n: int, *, trust_col: str = "trust", pos_col: str = "pos", extra: int = 5) -> DataFrame:

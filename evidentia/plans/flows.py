@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import kept
 from ..functions.constants import MIN_RELEVANCE, PAGE_LEAST, PER_DOMAIN_CLAIMS, PER_DOMAIN_SEARCH, UNRELIABLE_DOMAINS
 from ..functions.text import clickbait_factor, letters_tokens, snippet
 from ..functions.trust import blended_score, freshness, is_listed
@@ -14,6 +15,9 @@ from ..functions.urls import evidence_domain, host_domain, registered_domain
 from ..functions.vectors import dot, fused_score, sigmoid
 from ..operators import chunking, html, models, ranking, retrieval, store, trust, verdict
 
+#: Rows of found pages (claim, URL, numbers) that are sent to all tasks at most.
+SENT = 20_000
+
 
 def select_evidence(claims: DataFrame, pages: DataFrame, *, model: models.ModelBackend = models.DEFAULT, per_page: int = 2, top_k: int = 10, rerank: bool = True) -> DataFrame:
     """Evidence rows of each claim: (claim_id, url, text, retrieval_score, credibility, rank).
@@ -77,10 +81,12 @@ def trusted_evidence_pages(claims: DataFrame, pages: DataFrame, lists: DataFrame
 
     pages: url, text, each URL once. Among equally trusted pages those with the weightier shared terms come first (operators.retrieval).
     """
-    kept = pages.where(~is_listed(registered_domain(F.col("url")), unreliable))
-    rated = trust.with_trust(kept.select("url", "text"), "url", lists)
-    best = retrieval.best_pages(claims, rated, n + 5, terms=terms)
-    return best.join(pages.select("url", "text"), "url").select("claim_id", "url", "text", F.col("trust").alias("credibility"))
+    usable = pages.where(~is_listed(registered_domain(F.col("url")), unreliable))
+    rated = trust.with_trust(usable.select("url", "text"), "url", lists)
+    best = kept(retrieval.best_pages(claims, rated, n + 5, terms=terms))
+    # The texts of the found pages are fetched once; where the pages are few, no other text is moved or split.
+    few = best.count() <= SENT
+    return kept(pages.select("url", "text").join(F.broadcast(best) if few else best, "url")).select("claim_id", "url", "text", F.col("trust").alias("credibility"))
 
 
 def seed_urls(query: str, expanded: list[str], search: Callable[[str], DataFrame], n: int, *, expansions: int = 2) -> DataFrame:

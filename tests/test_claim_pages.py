@@ -49,3 +49,27 @@ def test_best_pages_are_those_of_the_whole_join(spark):
     got = {(r.claim_id, r.url, r["rank"]) for r in retrieval.best_pages(asked, df, 15, terms=letters_tokens).collect()}
     assert got == want and len(want) > 400
     assert retrieval.best_pages(asked, df.limit(0), 15, terms=letters_tokens).count() == 0
+
+
+def test_pages_of_one_host_are_dealt_out_and_texts_fetched_once(spark):
+    """Rows of a host, with their texts, are not one task's; what follows reads the found texts alone."""
+    from evidentia.operators import trust
+
+    pages = spark.range(2000).select(F.concat(F.lit("https://www.b.org/"), F.col("id").cast("string")).alias("url"), F.lit("a word").alias("text"))
+    pages = pages.unionByName(spark.createDataFrame([(None, "a word"), ("", "b word")], "url string, text string"))
+    lists = spark.createDataFrame([("b.org", "trusted")], "domain string, tier string")
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        rated = trust.with_trust(pages, "url", lists)
+        most = rated.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert most < 1000
+    assert {(r.url in (None, ""), r.trust) for r in rated.select("url", "trust").distinct().collect()} == {(False, 2.0), (True, 1.0)}
+    claims = spark.createDataFrame([(1, "some word")], "claim_id int, claim string")
+    found = flows.trusted_evidence_pages(claims, pages, lists)
+    assert found.count() == 15 and "Join" not in found._jdf.queryExecution().sparkPlan().toString()
