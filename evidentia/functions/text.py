@@ -50,12 +50,15 @@ def short_query(text: Column, words: int = 8) -> Column:
     return F.array_join(F.slice(word_list(text), 1, words), " ")
 
 
-def search_query(text: Column, max_terms: int = 15, entities: Column | None = None, key_words: Column | None = None) -> Column:
-    """Hashtags, then entities (from a model or a gazetteer) and key words (operators.keyphrases), if there are, then tokens up to max_terms; else the first eight words."""
+def search_query(text: Column, max_terms: int = 15, entities: Column | None = None, key_words: Column | None = None, tags: Column | None = None) -> Column:
+    """Hashtags, then entities (from a model or a gazetteer) and key words (operators.keyphrases), if there are, then tokens up to max_terms; else the first eight words.
+
+    tags are the text's hashtags where they are known. A text is cleaned only where what comes first leaves room for its tokens.
+    """
     cleaned = clean_claim(text)
-    first = F.array_distinct(F.concat(hashtags(text), *[F.coalesce(c, F.array().cast("array<string>")) for c in (entities, key_words) if c is not None]))
-    terms = F.slice(F.array_distinct(F.concat(first, keyword_tokens(cleaned))), 1, max_terms)
-    return F.when(F.size(terms) > 0, F.array_join(terms, " ")).otherwise(short_query(cleaned))
+    first = F.array_distinct(F.concat(hashtags(text) if tags is None else tags, *[F.coalesce(c, F.array().cast("array<string>")) for c in (entities, key_words) if c is not None]))
+    terms = let(first, lambda f: F.slice(F.when(F.size(f) >= max_terms, f).otherwise(F.array_distinct(F.concat(f, keyword_tokens(cleaned)))), 1, max_terms))
+    return let(terms, lambda t: F.when(F.size(t) > 0, F.array_join(t, " ")).otherwise(short_query(cleaned)))
 
 
 def normalise_query(text: Column) -> Column:

@@ -2,16 +2,29 @@
 
 A word's score rests on how it is written (capitals, acronyms), where it stands, how often, in how many
 sentences, and with how many different neighbours; low scores are better. Function words fall through by
-their many neighbours. Everything is a grouped aggregate of the exploded words. Texts are dealt out by
-key once, before the words are exploded, so that grouping and ranking need no further exchange; a group is
-one word of one text.
+their many neighbours. ``word_scores`` gives every word's figures, as a grouped aggregate of the exploded
+words: texts are dealt out by key once, before the words are exploded, so that grouping and ranking need no
+further exchange; a group is one word of one text. ``best_words`` gives the best words alone, by the same
+scores, as a column of the text: nothing is exploded, exchanged or joined.
 """
 
 from __future__ import annotations
 
+import math
+import re
+import unicodedata
+from collections import Counter, defaultdict
+from collections.abc import Iterable
+from functools import cache
+from itertools import chain
+from operator import itemgetter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import bounded
+
 #: Sentences end at these marks; words are runs of letters and digits of any script.
 SENTENCE_ENDS, WORD = r"[.!?\n]+", r"[\p{L}\p{N}]+"
 #: Words that are more alike than this, by edit distance over the longer one's length, are one.
@@ -63,14 +76,108 @@ def word_scores(texts: DataFrame, *, key: str = "doc_id", text_col: str = "text"
     return made.where((F.length("word") > 2) & F.col("word").rlike(r"\p{L}")).select(F.col("key").alias(key), "word", "tf", "casing", "position", "frequency", "spread", "context", score.alias("score"))
 
 
-def _alike(a: Column, b: Column) -> Column:
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)) > ALIKE
+_ENDS, _WORD = re.compile(SENTENCE_ENDS), re.compile(r"[^\W_]+")
+
+
+def _scores(text: str) -> dict[str, float]:
+    """The scores of ``word_scores`` for the words of one text, in time that grows with its length."""
+    sentences = [w for s in _ENDS.split(text) if (w := _WORD.findall(s))]
+    at, beside, opened, first, last = defaultdict(list), set(), Counter(), Counter(), Counter()
+    for i, forms in enumerate(sentences):
+        words = [x.lower() for x in forms]
+        for x in words:
+            at[x].append(i)
+        beside.update(zip(words, words[1:]))
+        opened[forms[0]] += 1
+        first[words[0]] += 1
+        last[words[-1]] += 1
+    acronyms, capitals = Counter(), Counter()
+    for form, n in Counter(chain.from_iterable(sentences)).items():
+        if form.islower() and form.isascii():
+            continue
+        if len(form) > 1 and form.upper() == form and _lettered(form):
+            acronyms[form.lower()] += n
+        if unicodedata.category(form[0]) == "Lu":
+            capitals[form.lower()] += n - opened[form]
+    rights, lefts = Counter(map(itemgetter(0), beside)), Counter(map(itemgetter(1), beside))
+    tfs = Counter(len(x) for w, x in at.items() if len(w) > 1)
+    n_words = tfs.total() or 1
+    mean = sum(tf * n for tf, n in tfs.items()) / n_words
+    usual = mean + math.sqrt(sum((tf - mean) ** 2 * n for tf, n in tfs.items()) / n_words) or 1.0
+    most = max(map(len, at.values()), default=0)
+
+    @cache  # most words of a text occur once and share their figures with others
+    def score(tf, cased, middle, n_sent, lefts, n_left, rights, n_right):
+        context = 1 + ((lefts / n_left if n_left else 0.0) + (rights / n_right if n_right else 0.0)) * tf / most
+        return context * math.log(math.log(3 + middle)) / (cased / (1 + math.log(tf)) + (tf / usual + n_sent / len(sentences)) / context)
+
+    out = {}
+    for w, x in at.items():
+        if len(w) > 2 and _lettered(w):
+            tf, cased = len(x), max(acronyms.get(w, 0), capitals.get(w, 0))
+            if tf == 1:
+                left, right = w not in first, w not in last
+                out[w] = score(1, cased, x[0], 1, left, left, right, right)
+            else:
+                out[w] = score(tf, cased, (x[(tf - 1) // 2] + x[tf // 2]) / 2, len(set(x)), lefts[w], tf - first[w], rights[w], tf - last[w])
+    return out
+
+
+def _lettered(word: str) -> bool:
+    return word.isalpha() or any(map(str.isalpha, word))
+
+
+def _distance(a: str, b: str) -> int:
+    """Edit distance, a column of its table at a time as the bits of whole numbers."""
+    where, full = {}, (1 << len(a)) - 1
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    up, down, far, end = full, 0, len(a), 1 << len(a) >> 1
+    for c in b:
+        same = where.get(c, 0)
+        across = ((same & up) + up ^ up) | same
+        more, less = down | full & ~(across | up), up & across
+        far += bool(more & end) - bool(less & end)
+        more, less = more << 1 | 1, less << 1
+        up, down = (less | ~(same | down | more)) & full, more & (same | down) & full
+    return far
+
+
+def _alike(a: str, b: str) -> bool:
+    longer = max(len(a), len(b))
+    # An edit adds or takes one of the kinds of letters on either side, so most pairs need no distance.
+    if not 1 - abs(len(a) - len(b)) / longer > ALIKE or not 1 - (len(set(a) ^ set(b)) + 1) // 2 / longer > ALIKE:
+        return False
+    return 1 - _distance(a, b) / longer > ALIKE
+
+
+def _best(texts: Iterable[str | None], top: int) -> list[list[str]]:
+    out = []
+    for text in texts:
+        equal, tiers, got = defaultdict(list), defaultdict(list), []
+        for word, score in _scores(text or "").items():
+            equal[score].append(word)
+        for score, words in equal.items():
+            tiers[round(score, 9)] += words
+        for word in (w for tier in sorted(tiers) for w in sorted(tiers[tier])):
+            if len(got) >= top:
+                break
+            if not any(_alike(word, g) for g in got):
+                got.append(word)
+        out.append(got)
+    return out
+
+
+def best_words(text: Column, top: int = 20) -> Column:
+    """The best words of a text in order of score, ties by the word; a word that is like a better one is left out. Empty for null texts and those without words."""
+
+    @F.pandas_udf("array<string>")
+    def best(texts: pd.Series) -> pd.Series:
+        return pd.Series(_best(texts, top), dtype=object)
+
+    return best(F.make_valid_utf8(text))
 
 
 def key_words(texts: DataFrame, top: int = 20, *, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, words): the best words of each text in order of score, ties by the word; a word that is like a better one is left out. An empty list for texts without words."""
-    scored = word_scores(texts, key=key, text_col=text_col)
-    ranked = scored.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.round("score", 9).alias("score"), "word"))).alias("all"))
-    chosen = F.aggregate("all", F.array().cast("array<string>"), lambda got, x: F.when((F.size(got) >= top) | F.exists(got, lambda g: _alike(g, x["word"])), got).otherwise(F.array_append(got, x["word"])))
-    found = ranked.select(F.col(key).alias("k"), chosen.alias("words"))
-    return texts.select(key).join(found, F.col(key).eqNullSafe(F.col("k")), "left").select(key, F.coalesce("words", F.array().cast("array<string>")).alias("words"))
+    """(key, words): ``best_words`` of each row's text."""
+    return bounded(texts).select(key, best_words(F.col(text_col), top).alias("words"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as tx
 from evidentia.operators import keyphrases
+from evidentia.plans import catalogue
 
 TEXT = """The reactor at Alder Lake was shut. Engineers of NASA looked at the reactor and the cooling loop!
 Reactor safety is what the Alder council asked about. The council met NASA, and the council wrote a report. reports are the thing that the council keeps."""
@@ -94,3 +95,47 @@ def test_search_query_takes_key_words_between_tags_and_tokens(spark):
     row = df.join(keyphrases.key_words(df, 3), "doc_id").select("words", tx.search_query(F.col("text"), key_words=F.col("words")).alias("q"), tx.search_query(F.col("text")).alias("plain")).first()
     assert row.q.startswith("solar farm " + " ".join(row.words)) and "blamed" in row.q
     assert row.plain.startswith("solar farm") and not row.plain.startswith("solar farm " + " ".join(row.words))
+
+
+ODD = [" ".join(f"Word{i}ab #Tag{i}" for i in range(40)), "x" * 20000 + " " + "x" * 19990 + "y" + " Short words", "ΟΔΟΣ Οδός İstanbul straße STRASSE ﬁne ⅧⅧ", "Ⓐ٣٤٥ abc٣ 12ab", "a.b!c?d\n\n.e", "\t \n"]
+
+
+def test_best_words_are_the_first_of_the_scores(spark, sf_dir):
+    texts = TEXTS + ODD + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(100).collect()]
+    df, scores = frame(spark, texts), {}
+    for r in keyphrases.word_scores(df).collect():
+        scores.setdefault(r.doc_id, {})[r.word] = r.score
+    # the plain distance takes the square of a word's length, so the long words are only held against their scores
+    want = {i: chosen(scores.get(i, {}), 12) for i, t in enumerate(texts) if t is None or len(t) < 20000}
+    got = {r.doc_id: r.words for r in keyphrases.key_words(df, 12).collect()}
+    assert set(got) == set(range(len(texts)))
+    assert {i: got[i] for i in want} == want
+    assert len(got[len(TEXTS) + 1]) == 3 and {"short", "words"} < set(got[len(TEXTS) + 1])
+
+
+def test_search_queries_of_documents_exchange_texts_once(spark, sf_dir):
+    plan = catalogue.QUERIES["search_query_key_words"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Generate" not in plan
+
+
+def test_search_queries_of_documents_have_every_row(spark, sf_dir, tmp_path):
+    tags = " ".join(f"a Tag{i:02}" for i in range(20))
+    rows = [(1, None), (2, ""), (3, "... a b c"), (4, tags), (5, TEXT), (None, "No Key is known for this Text"), (7, "one"), (7, "two more words")]
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") + 100).alias("doc_id"), "text")
+    invalid = spark.sql("select 8L as doc_id, cast(x'616263ff20616263' as string) as text")
+    spark.createDataFrame(rows, "doc_id long, text string").union(invalid).union(real).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in catalogue.QUERIES["search_query_key_words"](spark, str(tmp_path)).collect()), key=repr)
+    tagged = catalogue._tagged(spark, str(tmp_path)).withColumn("words", keyphrases.best_words(F.col("text"), 15))  # of all texts, also where tags fill the query
+    assert got == sorted((tuple(r) for r in tagged.select("doc_id", tx.search_query(F.col("text"), key_words=F.col("words"))).collect()), key=repr)
+    by_key = {k: q for k, q in got}
+    assert len(got) == len(rows) + 1 + real.count() and None in by_key
+    assert by_key[1] is None and by_key[2] == "" and by_key[3] == ". a b c"
+    assert by_key[4] == " ".join(f"tag{i:02}" for i in range(15)) and {q for k, q in got if k == 7} == {"one", "two words more"}
+    full = [q.split(" ") for k, q in got if k and k > 100 and q]
+    assert max(map(len, full)) >= 15
+
+
+def test_distance_is_the_edit_distance():
+    words = ["report", "reports", "reprot", "a", "ab", "ba", "abc" * 30, "abd" * 30, "é漢字", "漢é字", "kitten", "sitting"]
+    assert all(keyphrases._distance(a, b) == distance(a, b) for a in words for b in words)
+    assert all(keyphrases._alike(a, b) == (1 - distance(a, b) / max(len(a), len(b)) > 0.7) for a in words for b in words)
